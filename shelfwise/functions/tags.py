@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfwise.functions import words
-from shelfwise.functions.text import col, contains_any, normalize_text, strip
+from shelfwise.functions.text import col, contains_any, let, normalize_text, strip
 
 _NUM = words.NUMERAL_CLASS
 _TAKEN = ""  # private-use character that marks text already consumed by an earlier pattern
@@ -30,8 +30,7 @@ def longest_term(text, terms: Sequence[str]) -> Column:
 
 def flavor_tags(name, terms: Sequence[str] = tuple(words.FLAVOR_WORDS)) -> Column:
     """Contained flavours without those that are part of another contained flavour."""
-    found = contained_terms(name, terms)
-    return F.filter(found, lambda w: ~F.exists(found, lambda o: (o != w) & F.contains(o, w)))
+    return let(contained_terms(name, terms), lambda found: F.filter(found, lambda w: ~F.exists(found, lambda o: (o != w) & F.contains(o, w))))
 
 
 def first_tags(title, terms: Sequence[str] = tuple(words.TITLE_FLAVOR_WORDS), limit: int = 4) -> Column:
@@ -92,7 +91,7 @@ def numeral_value(token) -> Column:
 def _arabic(spec: Column) -> Column:
     """Rewrite every numeral run of a specification phrase in Arabic digits and drop blanks."""
     runs = F.regexp_extract_all(spec, F.lit(f"({_NUM}|[^0-9一二两三四五六七八九十百千万]+)"), F.lit(1))
-    mapped = F.transform(runs, lambda r: F.coalesce(numeral_value(r).cast("string"), r))
+    mapped = F.transform(runs, lambda r: F.when(r.rlike(f"^{_NUM}$"), F.coalesce(numeral_value(r).cast("string"), r)).otherwise(r))
     return F.regexp_replace(F.array_join(mapped, ""), r"(?U)\s+", "")
 
 
@@ -113,8 +112,9 @@ def specification(name) -> Column:
     for pattern in (rf"共\s*{_NUM}\s*款", rf"买\s*{_NUM}\s*送\s*{_NUM}", rf"{_NUM}\s*{box}\s*装", rf"{_NUM}\s*{box}"):
         parts.append(F.regexp_extract_all(rest, F.lit(f"({pattern})"), F.lit(1)))
         rest = F.regexp_replace(rest, pattern, _TAKEN)
-    counts = F.array_distinct(F.transform(F.concat(*parts), _arabic))
-    return F.concat(series, F.filter(counts, lambda s: (s != "") & ~F.array_contains(series, s)))
+    counts = F.filter(F.transform(F.concat(*parts), _arabic), lambda s: s != "")
+    # series keep their repetitions, counts are added once
+    return let(series, lambda ser: F.concat(ser, F.array_except(counts, ser)))
 
 
 def char_bigrams(text) -> Column:

@@ -22,6 +22,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- regex helpers ------------------------------------------------------------
 def rx(c, pattern: str, group: int = 1) -> Column:
     """First match of ``pattern``; NULL (not ``''``) when there is none."""
@@ -29,7 +34,8 @@ def rx(c, pattern: str, group: int = 1) -> Column:
 
 
 def rx_number(c, pattern: str, group: int = 1) -> Column:
-    return rx(c, pattern, group).try_cast("double")
+    # an absent match is '' and casts to NULL
+    return F.regexp_extract(col(c), pattern, group).try_cast("double")
 
 
 def contains_any(c, terms: Sequence[str]) -> Column:
@@ -51,8 +57,7 @@ def strip(c) -> Column:
 def clean_text(c, collapse: bool = False) -> Column:
     """Trim all Unicode white space; NULL and the word ``nan`` become ``''``."""
     t = F.regexp_replace(col(c), r"(?U)\s+", " ") if collapse else col(c)
-    t = strip(F.coalesce(t, F.lit("")))
-    return F.when(F.lower(t) == "nan", F.lit("")).otherwise(t)
+    return F.regexp_replace(strip(F.coalesce(t, F.lit(""))), "(?i)^nan$", "")
 
 
 def nonempty(c) -> Column:
@@ -110,29 +115,38 @@ def sales_range(c, mode: str = "reference") -> Column:
     arithmetic, in which ``600+`` has upper bound 500.
     """
     t = F.regexp_replace(strip(F.coalesce(col(c), F.lit(""))), ",", "")
-    exact = rx_number(t, r"^(\d+)$")
-    plus = rx_number(t, r"^(\d+)\+$")
-    scaled = F.coalesce(
-        rx_number(t, r"^(\d+(?:\.\d+)?)\s*万\+?$") * 10000,
-        rx_number(t, r"^(\d+(?:\.\d+)?)\s*千\+?$") * 1000,
-    )
-    lower = F.coalesce(exact, plus, scaled)
-    upper = (
-        F.when(exact.isNotNull(), exact)
-        .when(plus < 1000, F.least(plus * 5, F.lit(500.0)))
-        .when(plus < 10000, plus * 2)
-        .when(plus.isNotNull(), plus * 5)
-        .otherwise(scaled * 5)
-    )
-    if mode == "monotone":
-        upper = F.greatest(upper, lower)
-    confidence = (
-        F.when(t == "", F.lit(None).cast("string"))
-        .when(exact.isNotNull(), F.lit("high"))
-        .when((plus >= 1000) | scaled.isNotNull(), F.lit("medium"))
-        .otherwise(F.lit("low"))
-    )
-    return F.struct(lower.alias("lower"), upper.alias("upper"), confidence.alias("confidence"))
+
+    def bounds(t: Column) -> Column:
+        n = rx_number(t, r"^(\d+(?:\.\d+)?)\s*[+万千]*$")
+        kind = (
+            F.when(t.rlike(r"^\d+$"), "exact")
+            .when(t.rlike(r"^\d+\+$"), "plus")
+            .when(t.rlike(r"^\d+(?:\.\d+)?\s*万\+?$"), "wan")
+            .when(t.rlike(r"^\d+(?:\.\d+)?\s*千\+?$"), "qian")
+            .when(t == "", "blank")
+            .otherwise("other")
+        )
+        return let(F.struct(kind.alias("k"), n.alias("n")), _sales_bounds)
+
+    def _sales_bounds(x: Column) -> Column:
+        k, n = x["k"], x["n"]
+        lower = F.when(k.isin("exact", "plus"), n).when(k == "wan", n * 10000).when(k == "qian", n * 1000)
+        upper = (
+            F.when(k == "exact", n)
+            .when((k == "plus") & (n < 1000), F.least(n * 5, F.lit(500.0)))
+            .when((k == "plus") & (n < 10000), n * 2)
+            .otherwise(lower * 5)
+        )
+        if mode == "monotone":
+            upper = F.greatest(upper, lower)
+        confidence = (
+            F.when(k == "exact", F.lit("high"))
+            .when(k.isin("wan", "qian") | ((k == "plus") & (n >= 1000)), F.lit("medium"))
+            .when(k != "blank", F.lit("low"))
+        )
+        return F.struct(lower.alias("lower"), upper.alias("upper"), confidence.alias("confidence"))
+
+    return let(t, bounds)
 
 
 # --- keys ---------------------------------------------------------------------
@@ -142,19 +156,24 @@ def normalize_key(c, mode: str = "plain", url=None) -> Column:
     ``plain`` keeps other text, ``longest_run`` keeps its longest digit run; with ``url`` a blank key falls
     back to the number in a product page address.  Blank keys are ``''``.
     """
-    t = clean_text(col(c).cast("string"))
-    t = F.when(F.lower(t) == "none", F.lit("")).otherwise(t)
-    sci = F.coalesce(t.try_cast("decimal(38,0)").cast("string"), t)
-    if mode == "longest_run":
-        runs = F.regexp_extract_all(t, F.lit(r"(\d+)"), F.lit(1))
-        # longest run, the earliest one on ties
-        ranked = F.transform(runs, lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("at"), r.alias("run")))
-        rest = F.coalesce(F.array_max(ranked)["run"], t)
-    else:
+    def key_of(t: Column) -> Column:
+        sci = F.coalesce(t.try_cast("decimal(38,0)").cast("string"), t)
         rest = t
-    key = F.when(t.rlike(r"(?i)\d(\.\d+)?e[+-]?\d+"), sci).when(t.rlike(r"^\d+\.0+$"), F.regexp_replace(t, r"\.0+$", "")).otherwise(rest)
+        if mode == "longest_run":
+            runs = F.regexp_extract_all(t, F.lit(r"(\d+)"), F.lit(1))
+            # longest run, the earliest one on ties
+            ranked = F.transform(runs, lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("at"), r.alias("run")))
+            rest = F.coalesce(F.array_max(ranked)["run"], t)
+        return (
+            F.when(F.lower(t) == "none", F.lit(""))
+            .when(t.rlike(r"(?i)\d(\.\d+)?e[+-]?\d+"), sci)
+            .when(t.rlike(r"^\d+\.0+$"), F.regexp_replace(t, r"\.0+$", ""))
+            .otherwise(rest)
+        )
+
+    key = let(clean_text(col(c).cast("string")), key_of)
     if url is not None:
-        key = F.when(key != "", key).otherwise(F.regexp_extract(F.coalesce(col(url), F.lit("")), r"item\.jd\.com/(\d+)\.html", 1))
+        key = let(key, lambda k: F.when(k != "", k).otherwise(F.regexp_extract(F.coalesce(col(url), F.lit("")), r"item\.jd\.com/(\d+)\.html", 1)))
     return key
 
 
@@ -192,16 +211,21 @@ def category_levels(path, align: str = "right") -> Column:
     ``right`` fills from the leaf and drops ranking pages, ``left`` fills from the root.
     """
     p = F.coalesce(col(path), F.lit(""))
+    parts = F.filter(F.transform(F.split(p, ">" if align == "left" else "[>/]"), strip), lambda x: x != "")
+    spots = (1, 2, 3) if align == "left" else (-3, -2, -1)
+
+    def levels(a: Column) -> Column:
+        return F.struct(*[F.coalesce(F.try_element_at(a, F.lit(k)), F.lit("")).alias(f"level{i}") for i, k in enumerate(spots, 1)])
+
     if align == "left":
-        parts = F.filter(F.transform(F.split(p, ">"), strip), lambda x: x != "")
-        picks = [F.try_element_at(parts, F.lit(i)) for i in (1, 2, 3)]
-    else:
-        parts = F.filter(F.transform(F.split(p, r"[>/]"), strip), lambda x: x != "")
-        leaf = F.try_element_at(parts, F.lit(-1))
-        ranking = p.rlike("京东排行榜|主体-热卖榜") | F.coalesce(leaf.rlike("榜$") | leaf.isin("全部", "综合", "销量"), F.lit(False))
-        parts = F.when(ranking, F.array().cast("array<string>")).otherwise(parts)
-        picks = [F.try_element_at(parts, F.lit(i)) for i in (-3, -2, -1)]
-    return F.struct(*[F.coalesce(x, F.lit("")).alias(f"level{i}") for i, x in enumerate(picks, 1)])
+        return let(parts, levels)
+
+    def unranked(a: Column) -> Column:
+        leaf = F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(""))
+        ranking = p.rlike("京东排行榜|主体-热卖榜") | leaf.rlike("榜$") | leaf.isin("全部", "综合", "销量")
+        return F.when(ranking, F.array().cast("array<string>")).otherwise(a)
+
+    return let(let(parts, unranked), levels)
 
 
 def category_leaf(path) -> Column:

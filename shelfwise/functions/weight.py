@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfwise.functions import words
-from shelfwise.functions.text import col, normalize_text, rx, rx_number, strip
+from shelfwise.functions.text import col, let, normalize_text, rx, rx_number, strip
 
 NUM = r"(\d+(?:\.\d+)?)"
 KILO = "公斤|千克|kg"
@@ -51,43 +51,53 @@ def weight_strict(title) -> Column:
     return F.when(~ranged, F.coalesce(explicit, bare))
 
 
+def _quantity(m: Column) -> Column:
+    """Grams of a short text that holds one number and one unit."""
+    return rx_number(m, NUM) * _factor(rx(m, f"(?i){UNIT}"))
+
+
 def _from_segment(t: Column) -> Column:
-    """``struct(weight_g, note)`` of one text segment, strongest signal first."""
+    """``struct(weight_g, note)`` of one text segment, strongest signal first; NULL without a weight.
+
+    Each rule scans the segment once for its phrase; numbers and units are then read off the short phrase.
+    """
     box = f"[{words.QUANTITY_WORDS}]"
-    total = rf"(?i)(?:共|合计|总重|净重|重量|规格|实发)\s*[:：]?\s*{NUM}\s*{UNIT}"
-    multi = rf"(?i){NUM}\s*{UNIT}\s*(?:\*|x|/)\s*{NUM}\s*{box}?"
-    reverse = rf"(?i){NUM}\s*{box}\s*(?:\*|x)\s*{NUM}\s*{UNIT}"
-    ranged = rf"(?i){NUM}\s*{UNIT}?\s*(?:-|~|至|到)\s*{NUM}\s*{UNIT}"
-    simple = rf"(?i){NUM}\s*{UNIT}"
-
-    range_unit = _factor(rx(t, ranged, 4))
-    steps = [
-        ("强信号重量", rx_number(t, total, 1) * _factor(rx(t, total, 2))),
+
+    def product(m: Column) -> Column:
         # a slash between weight and count is a ratio, not a multiplication
-        ("倍数重量", F.when(rx(t, multi, 0).rlike("[*xX]"), rx_number(t, multi, 1) * _factor(rx(t, multi, 2)) * rx_number(t, multi, 3))),
-        ("反向倍数重量", rx_number(t, reverse, 1) * rx_number(t, reverse, 2) * _factor(rx(t, reverse, 3))),
-        (
-            "范围重量均值",
-            (rx_number(t, ranged, 1) * F.coalesce(_factor(rx(t, ranged, 2)), range_unit) + rx_number(t, ranged, 3) * range_unit) / 2,
-        ),
-        ("普通重量", rx_number(t, simple, 1) * _factor(rx(t, simple, 2))),
+        return F.when(m.rlike("[*xX]"), _quantity(m) * rx_number(m, rf"[*xX]\s*{NUM}"))
+
+    def mean(m: Column) -> Column:
+        start, end = F.regexp_extract(m, r"^(.*?)\s*(?:-|~|至|到)", 1), F.regexp_extract(m, r"(?:-|~|至|到)\s*(.*)$", 1)
+        unit = _factor(rx(end, f"(?i){UNIT}"))
+        return (rx_number(start, NUM) * F.coalesce(_factor(rx(start, f"(?i){UNIT}")), unit) + rx_number(end, NUM) * unit) / 2
+
+    rules = [
+        ("强信号重量", rf"(?i)(?:共|合计|总重|净重|重量|规格|实发)\s*[:：]?\s*({NUM}\s*{UNIT})", 1, _quantity),
+        ("倍数重量", rf"(?i)({NUM}\s*{UNIT}\s*(?:\*|x|/)\s*{NUM}\s*{box}?)", 1, product),
+        ("反向倍数重量", rf"(?i)({NUM}\s*{box}\s*(?:\*|x)\s*{NUM}\s*{UNIT})", 1, lambda m: rx_number(m, NUM) * _quantity(F.regexp_extract(m, r"[*xX]\s*(.*)$", 1))),
+        ("范围重量均值", rf"(?i)({NUM}\s*{UNIT}?\s*(?:-|~|至|到)\s*{NUM}\s*{UNIT})", 1, mean),
+        ("普通重量", rf"(?i)({NUM}\s*{UNIT})", 1, _quantity),
     ]
-    note = None
-    for label, value in steps:
-        note = F.when(value.isNotNull(), F.lit(label)) if note is None else note.when(value.isNotNull(), F.lit(label))
-    return F.struct(F.round(F.coalesce(*[v for _, v in steps]), 2).alias("weight_g"), note.alias("note"))
+
+    def found(label: str, pattern: str, group: int, formula) -> Column:
+        value = let(F.regexp_extract(t, pattern, group), lambda m: F.when(m != "", formula(m)))
+        return let(value, lambda v: F.when(v.isNotNull(), F.struct(F.round(v, 2).alias("weight_g"), F.lit(label).alias("note"))))
+
+    return F.coalesce(*[found(*r) for r in rules])
 
 
 def weight_structured(title, normalized: bool = False) -> Column:
     """Bracketed weights first, then the whole title: ``struct(weight_g, note)``."""
-    t = col(title) if normalized else normalize_text(title)
-    inner = F.regexp_extract_all(t, F.lit(r"[\(\[【](.*?)[\)\]】]"), F.lit(1))
-    bracketed = F.try_element_at(F.filter(F.transform(inner, lambda s: _from_segment(strip(s))), lambda s: s["weight_g"].isNotNull()), F.lit(1))
-    whole = _from_segment(t)
-    return F.struct(
-        F.coalesce(bracketed["weight_g"], whole["weight_g"]).alias("weight_g"),
-        F.coalesce(F.concat(F.lit("括号优先-"), bracketed["note"]), whole["note"], F.lit("未识别重量")).alias("note"),
-    )
+
+    def of(t: Column) -> Column:
+        inner = F.filter(F.regexp_extract_all(t, F.lit(r"[\(\[【](.*?)[\)\]】]"), F.lit(1)), lambda s: s.rlike(r"\d"))
+        hits = F.array_compact(F.transform(inner, lambda s: _from_segment(strip(s))))
+        marked = F.transform(hits, lambda h: F.struct(h["weight_g"].alias("weight_g"), F.concat(F.lit("括号优先-"), h["note"]).alias("note")))
+        none = F.struct(F.lit(None).cast("double").alias("weight_g"), F.lit("未识别重量").alias("note"))
+        return F.coalesce(F.try_element_at(marked, F.lit(1)), F.when(t.rlike(r"\d"), _from_segment(t)), none)
+
+    return let(col(title) if normalized else normalize_text(title), of)
 
 
 def weight_fallback(title) -> Column:

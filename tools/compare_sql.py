@@ -75,7 +75,8 @@ def main():
             print(f"COLS  {name}: {sorted(df.columns)} vs {sorted(cols)}")
         elif got != want:
             bad += 1
-            diff = [x for x in got if x not in set(want)][:3], [x for x in want if x not in set(got)][:3]
+            gs, ws = set(got), set(want)
+            diff = [x for x in got if x not in ws][:3], [x for x in want if x not in gs][:3]
             print(f"DIFF  {name}: {len(got)} vs {len(want)} rows {sorted(cols)}\n   spark {diff[0]}\n   sql   {diff[1]}")
         else:
             print(f"ok    {name}: {len(got)} rows ({dt:.1f}s, sql {dd:.1f}s)")
