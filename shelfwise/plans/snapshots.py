@@ -349,13 +349,13 @@ def quota_windows(spark, sf):
 
 @query(
     "pending_items",
-    """SELECT i.item_id, i.n FROM (SELECT item_id, count(*) AS n FROM feed GROUP BY 1) i WHERE item_id NOT IN (SELECT item_id FROM feed WHERE (status = 'success' AND cards > 95) OR (status = 'access_blocked' AND value > 60))""",
+    """SELECT i.item_id, i.n FROM (SELECT item_id, count(*) AS n FROM feed GROUP BY 1) i WHERE item_id NOT IN (SELECT item_id FROM feed WHERE (status = 'success' AND cards > 95 AND value > 200) OR (status = 'access_blocked' AND value > 200))""",
     ["feed"],
 )
 def pending_items(spark, sf):
     f = views.feed(spark, sf)
     items = f.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    strict = f.withColumn("cards", F.col("cards") - 95).where((F.col("status") != "access_blocked") | (F.col("value") > 60))
+    strict = f.withColumn("cards", F.col("cards") - 95).where(F.col("value") > 200)
     return tg.pending(items, tg.done_rows(strict), "item_id")
 
 
