@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfwise.functions.text import col, contains_any, rx, rx_number, strip
+from shelfwise.functions.text import col, contains_any, let, rx, rx_number, strip
 
 
 @F.pandas_udf("string")
@@ -213,8 +213,9 @@ def is_negative(score, content, min_chars: int = 10) -> Column:
 
 
 def class_text(html, class_part: str) -> Column:
-    """Text of the first element whose class contains ``class_part`` (leaf elements)."""
-    return F.coalesce(strip(F.regexp_replace(rx(html, rf"(?is)<[a-z]+[^>]*class=[\"'][^\"']*{class_part}[^\"']*[\"'][^>]*>(.*?)</"), "<[^>]*>", "")), F.lit(""))
+    """Text of the first leaf element whose class contains ``class_part``, else NULL."""
+    inner = F.regexp_extract(html, rf"(?is)<[a-z]+[^>]*class=[\"'][^\"']*{class_part}[^\"']*[\"'][^>]*>(.*?)</", 1)
+    return let(strip(F.regexp_replace(inner, "<[^>]*>", "")), lambda v: F.when(v != "", v))
 
 
 def tag_free(html) -> Column:

@@ -79,49 +79,71 @@ def brand_from_titles(df: DataFrame, key: str = "sku", title: str = "title", bra
 def shop_tag_free_title(title) -> Column:
     """Title without a leading platform tag and without leading generic words, each stripped once in list order."""
     t = F.regexp_replace(tx.strip(F.coalesce(tx.col(title), F.lit(""))), r"^[\s【\[]*(京东超市|京东自营|自营|官方旗舰店)[\s】\]]*", "")
-    for p in words.GENERIC_TITLE_PREFIXES:
-        t = tx.strip(F.regexp_replace(t, f"^{p}", ""))
-    return t
+    # optional groups in list order strip the same prefixes in one pass
+    ordered = "".join(rf"(?:{p}\s*)?" for p in words.GENERIC_TITLE_PREFIXES)
+    return tx.strip(F.regexp_replace(t, f"^{ordered}", ""))
 
 
-def canonical_brand(title, aliases: Sequence[tuple[str, str]] = tuple(words.BRAND_ALIASES)) -> Column:
-    """``struct(brand, method)``: alias dictionary (case-blind, longest first), latin token, Han feature."""
-    t = shop_tag_free_title(title)
-    low = F.lower(t)
+def _alias(low: Column, aliases: Sequence[tuple[str, str]]) -> Column:
+    """Canonical name of the longest contained alias; ``low`` is lower-case text."""
     known = None
     for alias, brand in sorted(aliases, key=lambda a: -len(a[0])):
         hit = F.contains(low, F.lit(alias.lower()))
         known = F.when(hit, F.lit(brand)) if known is None else known.when(hit, F.lit(brand))
-    latin = tx.rx(t, r"^([A-Za-z][A-Za-z0-9'&.-]{1,18})")
-    han = tx.rx(t, r"^([一-鿿]{2,8})")
-    cut = "|".join(words.LEADING_TOKEN_CUTS)
-    # cut at the first listed word that occurs after the first character
-    stop = None
+    return known
+
+
+def _leading_feature(han: Column) -> Column:
+    """Leading Han run cut before the first listed word that occurs behind its first character, at most 4 characters."""
+    cut = None
     for s in words.LEADING_TOKEN_CUTS:
         at = F.locate(s, han)
-        stop = F.when(at > 1, F.substring(han, F.lit(1), at - 1)) if stop is None else stop.when(at > 1, F.substring(han, F.lit(1), at - 1))
-    feature = F.when(han.rlike(f"^.+({cut})"), stop).otherwise(han)
-    feature = F.substring(feature, 1, 4)
-    feature = F.when(F.length(feature) >= 2, feature)
-    method = F.when(known.isNotNull(), "brand_dictionary").when(latin.isNotNull(), "leading_token").when(feature.isNotNull(), "leading_feature").otherwise("")
-    return F.struct(F.coalesce(known, latin, feature, F.lit("")).alias("brand"), method.alias("method"))
+        piece = F.substring(han, F.lit(1), at - 1)
+        cut = F.when(at > 1, piece) if cut is None else cut.when(at > 1, piece)
+    return tx.let(F.substring(cut.otherwise(han), 1, 4), lambda f: F.when(F.length(f) >= 2, f))
+
+
+def canonical_brand(title, aliases: Sequence[tuple[str, str]] = tuple(words.BRAND_ALIASES)) -> Column:
+    """``struct(brand, method)``: alias dictionary (case-blind, longest first), latin token, Han feature."""
+
+    def found(t: Column) -> Column:
+        return F.struct(
+            tx.let(F.lower(t), lambda low: _alias(low, aliases)).alias("known"),
+            F.regexp_extract(t, r"^([A-Za-z][A-Za-z0-9'&.-]{1,18})", 1).alias("latin"),
+            tx.let(F.regexp_extract(t, r"^([一-鿿]{2,8})", 1), _leading_feature).alias("feature"),
+        )
+
+    def choose(x: Column) -> Column:
+        method = (
+            F.when(x["known"].isNotNull(), "brand_dictionary").when(x["latin"] != "", "leading_token").when(x["feature"].isNotNull(), "leading_feature").otherwise("")
+        )
+        return F.struct(F.coalesce(x["known"], F.nullif(x["latin"], F.lit("")), x["feature"], F.lit("")).alias("brand"), method.alias("method"))
+
+    return tx.let(tx.let(shop_tag_free_title(title), found), choose)
 
 
 def quoted_or_known_brand(title, brands: Sequence[str] = tuple(words.TITLE_BRANDS)) -> Column:
     """Quoted name, short bracketed name, else the longest known brand at the start, in the head, anywhere."""
-    t = tx.col(title)
-    bracket = tx.rx(t, "[（(](.+?)[）)]")
-    ordered = sorted(brands, key=lambda b: -len(b))
-    arr = tags.string_array(ordered)
-    pick = lambda cond: F.try_element_at(F.filter(arr, cond), F.lit(1))
-    head = F.substring(t, 1, 20)
-    return F.coalesce(
-        tx.rx(t, "「(.+?)」"),
-        F.when((F.length(bracket) <= 10) & ~bracket.rlike(r"\d"), bracket),
-        pick(lambda b: F.startswith(t, b)),
-        pick(lambda b: F.contains(head, b)),
-        pick(lambda b: F.contains(t, b)),
-    )
+    arr = tags.string_array(sorted(brands, key=lambda b: -len(b)))
+
+    def known(t: Column) -> Column:
+        inside = F.filter(arr, lambda b: F.contains(t, b))
+        pick = lambda a, cond: F.try_element_at(F.filter(a, cond), F.lit(1))
+        return tx.let(
+            inside,
+            lambda a: F.when(
+                F.size(a) > 0,
+                F.coalesce(pick(a, lambda b: F.startswith(t, b)), pick(a, lambda b: F.contains(F.substring(t, 1, 20), b)), F.get(a, F.lit(0))),
+            ),
+        )
+
+    def rule(t: Column) -> Column:
+        quoted = F.regexp_extract(t, "「(.+?)」", 1)
+        bracket = F.regexp_extract(t, "[（(](.+?)[）)]", 1)
+        short = tx.let(bracket, lambda b: F.when((b != "") & (F.length(b) <= 10) & ~b.rlike(r"\d"), b))
+        return F.coalesce(tx.let(quoted, lambda q: F.when(q != "", q)), short, known(t))
+
+    return tx.let(tx.col(title), rule)
 
 
 def ranked_brand_match(df: DataFrame, key: str, title: str, brands: DataFrame, brand: str, head: int = 20) -> DataFrame:
@@ -172,16 +194,21 @@ def prefix_text(title) -> Column:
 def fill_brand(title, aliases: Sequence[tuple[str, str]] = tuple(words.REMAINING_ALIASES)) -> Column:
     """Last brand filling with an audit trail: ``struct(action, brand)``."""
     t = F.coalesce(tx.col(title), F.lit(""))
-    low = F.lower(t)
-    known = None
-    for alias, brand in sorted(aliases, key=lambda a: -len(a[0])):
-        hit = F.contains(low, F.lit(alias.lower()))
-        known = F.when(hit, F.lit(brand)) if known is None else known.when(hit, F.lit(brand))
-    p = prefix_text(t)
-    candidate = F.coalesce(tx.rx(p, r"^([A-Za-z][A-Za-z0-9&'.-]{1,18})"), F.substring(tx.rx(p, r"^([一-鿿A-Za-z0-9]{2,8})"), 1, 6))
-    generic = tx.contains_any(F.concat_ws(" ", candidate, p), words.GENERIC_FILL_TERMS)
-    action = F.when(known.isNotNull(), "updated_alias").when(candidate.isNull(), "skip_empty").when(generic, "skip_generic").otherwise("updated_prefix")
-    return F.struct(action.alias("action"), F.coalesce(known, candidate, F.lit("")).alias("brand"))
+
+    def candidate(p: Column) -> Column:
+        latin = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9&'.-]{1,18})", 1)
+        mixed = F.substring(F.regexp_extract(p, r"^([一-鿿A-Za-z0-9]{2,8})", 1), 1, 6)
+        return F.struct(p.alias("p"), F.when(latin != "", latin).otherwise(mixed).alias("c"))
+
+    def decide(x: Column) -> Column:
+        generic = tx.contains_any(F.concat_ws(" ", x["c"], x["p"]), words.GENERIC_FILL_TERMS)
+        return F.struct(
+            F.when(x["c"] == "", "skip_empty").when(generic, "skip_generic").otherwise("updated_prefix").alias("action"), x["c"].alias("brand")
+        )
+
+    known = tx.let(F.lower(t), lambda low: _alias(low, aliases))
+    by_prefix = tx.let(tx.let(prefix_text(t), candidate), decide)
+    return tx.let(known, lambda k: F.when(k.isNotNull(), F.struct(F.lit("updated_alias").alias("action"), k.alias("brand"))).otherwise(by_prefix))
 
 
 def dirty_brand(brand) -> Column:

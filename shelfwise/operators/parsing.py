@@ -19,15 +19,15 @@ def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     )
 
 
-def parse_cards(cards: DataFrame, text: str = "text", sku: str = "sku", href: str = "href") -> DataFrame:
-    """Listing-card text to the raw listing layout."""
+def parse_cards(cards: DataFrame, text: str = "text", sku: str = "sku", href: str = "href", key: str | None = None) -> DataFrame:
+    """Listing-card text to the raw listing layout, with the card's own ``key`` if it has one."""
     prices = pg.card_prices(text)
     item = tx.normalize_key(sku, url=href)
     url = F.when(F.contains(F.coalesce(F.col(href), F.lit("")), F.lit("item.jd.com")), urls.with_scheme(F.col(href))).when(
         item != "", F.concat(F.lit("https://item.jd.com/"), item, F.lit(".html"))
     )
     return cards.select(
-        item.alias("item_id"), pg.card_title(text).alias("title"),
+        *([key] if key else []), item.alias("item_id"), pg.card_title(text).alias("title"),
         F.try_element_at(prices, F.lit(1)).alias("price"), F.try_element_at(prices, F.lit(2)).alias("original_price"),
         pg.card_sales(text).alias("sales_text"), pg.card_shop(text).alias("shop_name"),
         F.array_join(pg.card_promotions(text), "|").alias("promotion_tag"), F.coalesce(url, F.lit("")).alias("detail_url"),
@@ -186,16 +186,24 @@ def comment_payloads(df: DataFrame, key: str, payload: str) -> DataFrame:
 
 def review_cards(df: DataFrame, key: str, html: str) -> DataFrame:
     """Review-card markup to nickname, score, date, sku, content and likes by class names."""
-    first = lambda *names: F.coalesce(*[F.nullif(pg.class_text(html, n), F.lit("")) for n in names], F.lit(""))
-    content = first("main-desc", "text-ellipsis", "comment-con", "comment-text", "info")
-    free = pg.tag_free(html)
-    return df.select(
-        key, first("nickname", "nick", "user-name").alias("nickname"),
-        F.coalesce(pg.review_score(html).cast("string"), F.when(free.contains("差评"), F.lit("1-2")), F.lit("")).alias("score"),
-        first("date", "time").alias("date"), first("order-info", "sku").alias("sku"),
-        F.when(content != "", content).when(F.length(free) > 10, free).otherwise("").alias("content"),
+
+    def first(*names: str) -> Column:
+        return F.coalesce(*[pg.class_text(html, n) for n in names], F.lit(""))
+
+    def body(x: Column) -> Column:
+        return F.when(x["content"] != "", x["content"]).when(F.length(x["free"]) > 10, x["free"]).otherwise("")
+
+    content = F.struct(first("main-desc", "text-ellipsis", "comment-con", "comment-text", "info").alias("content"), pg.tag_free(html).alias("free"))
+    rows = df.select(
+        key,
+        first("nickname", "nick", "user-name").alias("nickname"),
+        F.coalesce(pg.review_score(html).cast("string"), F.when(F.contains(F.col(html), F.lit("差评")), F.lit("1-2")), F.lit("")).alias("score"),
+        first("date", "time").alias("date"),
+        first("order-info", "sku").alias("sku"),
+        tx.let(content, body).alias("content"),
         F.coalesce(tx.rx(first("like", "vote"), r"(\d+)"), F.lit("0")).alias("like_count"),
-    ).where(F.col("content") != "")
+    )
+    return rows.where(F.length("content") > 0)
 
 
 def negative_reviews(df: DataFrame, score: str = "score", content: str = "content") -> DataFrame:

@@ -22,9 +22,6 @@ def reason_counts(df: DataFrame, key: str = "item_id") -> DataFrame:
 
 
 def distinct_reviews(df: DataFrame, keys: Sequence[str], text: str, chars: int | None = 100, order=None) -> DataFrame:
-    """One review per key and text; ``chars`` compares only that many characters, as the review key does.
-
-    Grouping is on a 64-bit hash plus length, verified by the text itself being part of the key.
-    """
+    """One review per key and text; ``chars`` is the length of the text head that is part of the review key."""
     head = F.substring(text, 1, chars) if chars else F.col(text)
     return keep_one(df.withColumn("_head", head), [*keys, "_head"], order or [F.col(text).asc()]).drop("_head")

@@ -1 +1,239 @@
-"""placeholder"""
+"""Page, card, payload and review-text parsing queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfwise.functions import pagetext as pg
+from shelfwise.functions import text as tx
+from shelfwise.functions import urls
+from shelfwise.operators import history as hs
+from shelfwise.operators import parsing as ps
+from shelfwise.plans.registry import query
+from shelfwise.sources import readers, views
+
+KEYS = ["l_orderkey", "l_linenumber", "l_suppkey", "amount"]
+KEY_SQL = "l_orderkey, l_linenumber, l_suppkey, amount"
+
+
+@query(
+    "page_titles",
+    """SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title,
+       lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS host, html AS html FROM pages""",
+)
+def page_titles(spark, sf):
+    p = views.page_table(spark, sf)
+    return ps.parse_pages(p).join(p.select("page_id", "html"), "page_id").select("page_id", "title", "host", "html")
+
+
+@query(
+    "page_product_ids",
+    "SELECT page_id, coalesce(nullif(regexp_extract(url, '(\\d{3,})', 1), ''), '') AS product_id FROM pages",
+)
+def page_product_ids(spark, sf):
+    return views.page_table(spark, sf).select("page_id", urls.product_id("url", 3).alias("product_id"))
+
+
+@query(
+    "page_url_rewrites",
+    """SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) || '?' || CASE WHEN contains(url, '?page=2&ref=x') THEN 'page=9&ref=x' WHEN contains(url, '?utm_source=feed') THEN 'utm_source=feed&page=9' ELSE 'page=9' END
+       || regexp_extract(url, '(#.*)$', 1) AS url FROM pages""",
+)
+def page_url_rewrites(spark, sf):
+    return views.page_table(spark, sf).select("page_id", urls.set_query_params("url", {"page": "9"}).alias("url"))
+
+
+@query(
+    "canonical_item_urls",
+    f"""SELECT {KEY_SQL}, 'https://item.taobao.com/item.htm?id=' || lpad(sku, 12, '9') AS url, '//3.cn/' || sku || '?jkl=@x' AS candidate, title AS shared FROM listing""",
+    ["listing"],
+)
+def canonical_item_urls(spark, sf):
+    r = views.raw_listing(spark, sf)
+    sku = tx.normalize_key("item_id")
+    long = F.concat(F.lit("看看 item.taobao.com/item.htm?spm=a.b&id="), F.lpad(sku, 12, "9"), F.lit("&foo=bar 复制"))
+    share = F.concat(F.lit("//3.cn/"), sku, F.lit("?jkl=@x MF8 「"), "title", F.lit("」 点击"))
+    return r.select(*KEYS, urls.canonical_url(long).alias("url"), urls.url_candidate(share).alias("candidate"), pg.shared_title(share).alias("shared"))
+
+
+@query(
+    "spoken_and_html_prices",
+    f"""SELECT {KEY_SQL}, CASE WHEN price >= 1 THEN price END AS spoken, CASE WHEN price > 0 THEN price END AS html FROM offers""",
+    ["offers"],
+)
+def spoken_and_html_prices(spark, sf):
+    o = views.offers(spark, sf)
+    money = F.format_string("%.2f", "price")
+    said = F.concat(F.lit("商品 促销信息\n到手价 ￥"), money, F.lit(" 规格 0750g"))
+    page = F.concat(F.lit('<script>var item={"jdPrice" : "'), money, F.lit('"}</script>'))
+    return o.select(*KEYS, pg.spoken_price(said).alias("spoken"), pg.html_price(page).alias("html"))
+
+
+@query(
+    "listing_cards",
+    f"""SELECT {KEY_SQL}, sku AS item_id, brand || ' ' || flavor AS title, CASE WHEN price > 0 THEN price END AS price, CAST(CAST(sales AS INT) AS VARCHAR) || '万+' AS sales_text, shop AS shop_name, CASE WHEN discount > 0.05 THEN '满99减10|券后立省' ELSE '' END AS promotion_tag,
+        'https://item.jd.com/' || sku || '.html' AS detail_url FROM offers""",
+    ["offers"],
+)
+def listing_cards(spark, sf):
+    o = views.offers(spark, sf)
+    money = F.format_string("%.2f", "price")
+    promo = F.when(F.col("discount") > 0.05, "\n满99减10\n券后立省\n满99减10").otherwise("")
+    text = F.concat(
+        F.lit("广告\n"), "brand", F.lit(" "), "flavor", F.lit("\n￥\n"), F.substring_index(money, ".", 1), F.lit("\n.\n"), F.substring_index(money, ".", -1), F.lit("\n已售 "),
+        F.col("sales").cast("int").cast("string"), F.lit("w+"), promo, F.lit("\n"), "shop",
+    )
+    cards = o.select(F.struct(*KEYS).alias("k"), text.alias("text"), F.concat("sku", F.lit(".0")).alias("sku"), F.lit("").alias("href"))
+    return ps.parse_cards(cards, key="k").select("k.*", "item_id", "title", "price", "sales_text", "shop_name", "promotion_tag", "detail_url")
+
+
+def later():
+    """Offer day moved ten years on: page dates are of this century."""
+    return F.date_add("ship_date", 3653)
+
+
+def rank_payloads(spark, sf):
+    """A ranking payload per offer, with the product twice (the later one counts) and two tabs."""
+    o = views.offers(spark, sf)
+    money = F.format_string("%.2f", "price")
+    tag = lambda c: F.array(F.struct(c.alias("text")))
+    product = lambda name, p: F.struct(
+        F.col("sku").alias("skuId"), name.alias("name"), F.struct(p.alias("purchasePrice"), F.format_string("%.2f", "original_price").alias("dailyPrice")).alias("price"),
+        F.col("shop").alias("shopName"), F.lit("7").alias("rankNum"), tag(F.col("promotion")).alias("skuPromotionTags"), tag(F.concat(F.col("sales").cast("int").cast("string"), F.lit("万人评价"))).alias("skuInfoTags"),
+    )
+    tab = lambda i, t: F.struct(F.lit(i).alias("rankId"), F.lit("10").alias("rankType"), F.struct(F.lit(t).alias("title")).alias("bodyMateria"))
+    subs = F.array(F.struct(F.lit("0").alias("selected"), F.lit("全部").alias("tabName"), F.array(tab("1", "主体-热卖榜")).alias("rankTypeTabs")),
+                   F.struct(F.lit("1").alias("selected"), F.col("level2").alias("tabName"), F.array(tab("2", "主题-好评榜"), tab("", "x")).alias("rankTypeTabs")))
+    result = F.struct(F.array(product(F.lit("old"), F.lit("1")), product(F.col("title"), money)).alias("productList"), F.struct(F.struct(subs.alias("allSubTab")).alias("rankPageTabListMap")).alias("head"))
+    floor = F.array(F.struct(F.struct(result.alias("result")).alias("providerData")))
+    doc = F.struct(F.struct(F.col("level2").alias("title")).alias("activityData"), F.struct(floor.alias("floorList")).alias("pageData"))
+    return o.select(F.struct(*KEYS).alias("k"), F.to_json(doc).alias("payload"))
+
+
+@query(
+    "rank_products",
+    f"""SELECT {KEY_SQL}, sku AS item_id, title, price, original_price, promotion AS promotion_tag, CAST(CAST(sales AS INT) AS VARCHAR) || '万' AS review_count, shop AS shop_name, level2 || ' > 主体-热卖榜' AS category_breadcrumb FROM offers""",
+    ["offers"],
+)
+def rank_products(spark, sf):
+    out = ps.rank_products(rank_payloads(spark, sf), "k", "payload")
+    return out.select(
+        "k.*", "item_id", "title", F.col("price").cast("double").alias("price"), F.col("original_price").cast("double").alias("original_price"), "promotion_tag", "review_count", "shop_name", "category_breadcrumb"
+    )
+
+
+@query(
+    "nested_products",
+    f"""SELECT {KEY_SQL}, sku AS item_id, title, price FROM offers WHERE discount > 0.085""",
+    ["offers"],
+)
+def nested_products(spark, sf):
+    o = views.offers(spark, sf).where(F.col("discount") > 0.085)
+    inner = F.struct(F.col("sku").alias("mainSkuId"), F.col("title").alias("skuTitle"), F.format_string("%.2f", "price").alias("jdPrice"))
+    doc = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("x").alias("a"), F.struct(inner.alias("card")).alias("b"))).alias("list")).alias("data")))
+    out = ps.nested_products(o.select(F.struct(*KEYS).alias("k"), doc.alias("payload")), "k", "payload", depth=6)
+    return out.select("k.*", "item_id", "title", F.col("price").cast("double").alias("price"))
+
+
+@query(
+    "rank_tabs",
+    f"SELECT {KEY_SQL}, 0 AS ordinal, '2' AS rank_id, '10' AS rank_type, '好评榜' AS rank_label, level2 AS subtab FROM offers",
+    ["offers"],
+)
+def rank_tabs(spark, sf):
+    return ps.rank_tabs(rank_payloads(spark, sf), "k", "payload").select("k.*", "ordinal", "rank_id", "rank_type", "rank_label", "subtab")
+
+
+@query(
+    "product_attributes",
+    f"""SELECT {KEY_SQL}, brand, sku AS product_number, level2 AS origin, flavor, CASE WHEN discount > 0.05 THEN '98%' ELSE '' END AS good_rate, true AS effective FROM offers""",
+    ["offers"],
+)
+def product_attributes(spark, sf):
+    raw = F.concat(F.lit("品牌："), "brand", F.lit("\n货号: "), "sku", F.lit("；产地 "), "level2", F.lit(" |口味："), "flavor", F.when(F.col("discount") > 0.05, "\n好评率 98%").otherwise(""))
+    d = views.offers(spark, sf).select(F.struct(*KEYS).alias("k"), raw.alias("raw"))
+    return ps.parse_details(d, "k", "raw").select("k.*", "brand", "product_number", "origin", "flavor", "good_rate", "effective")
+
+
+@query(
+    "parsed_reviews",
+    f"""SELECT {KEY_SQL}, CAST(1 + CAST(sales AS INT) % 5 AS INT) AS score, ship_date + 3653 AS date, title || ' ' || shop_key || ' fine' AS content, CAST(sales AS INT) AS like_count FROM offers""",
+    ["offers"],
+)
+def parsed_reviews(spark, sf):
+    q = F.col("sales").cast("int")
+    block = F.concat((1 + q % 5).cast("string"), F.lit("星 "), later().cast("string"), F.lit("\n"), "title", F.lit(" "), "shop_key", F.lit(" fine\n点赞 "), q.cast("string"), F.lit("\n举报此条内容"))
+    text = F.concat(block, F.lit("\n\n"), block, F.lit("\n\n短"))
+    r = views.offers(spark, sf).select(F.struct(*KEYS).alias("k"), text.alias("text"))
+    return ps.parse_reviews(r, "k", "text").select("k.*", "score", "date", "content", "like_count")
+
+
+@query(
+    "comment_payload_rows",
+    f"""SELECT {KEY_SQL}, CAST(1 + CAST(sales AS INT) % 5 AS INT) AS score, title AS content, CAST(sales AS BIGINT) AS like_count, 1 + CAST(sales AS INT) % 5 <= 2 AND length(title) > 8 AS negative FROM offers WHERE discount <= 0.095""",
+    ["offers"],
+)
+def comment_payload_rows(spark, sf):
+    q = F.col("sales").cast("int")
+    c = F.struct(F.concat(F.lit(" "), "title", F.lit("  ")).alias("content"), (1 + q % 5).alias("score"), F.col("ship_date").cast("string").alias("creationTime"), q.alias("usefulVoteCount"))
+    empty = F.struct(F.lit("").alias("content"), F.lit(5).alias("score"), F.lit("").alias("creationTime"), F.lit(0).alias("usefulVoteCount"))
+    payload = F.when(F.col("discount") > 0.095, "<!DOCTYPE html>").otherwise(F.concat(F.lit("fetchJSON_comment98("), F.to_json(F.struct(F.array(c, empty).alias("comments"))), F.lit(");")))
+    d = views.offers(spark, sf).select(F.struct(*KEYS).alias("k"), payload.alias("payload"))
+    out = ps.comment_payloads(d, "k", "payload")
+    return out.select("k.*", "score", "content", "like_count", pg.is_negative("score", "content", 8).alias("negative"))
+
+
+@query(
+    "review_card_fields",
+    f"""SELECT {KEY_SQL}, shop_key AS nickname, CAST(1 + CAST(sales AS INT) % 5 AS VARCHAR) AS score, CAST(ship_date AS VARCHAR) AS date, title || ' & co' AS content, CAST(CAST(sales AS INT) AS VARCHAR) AS like_count FROM offers""",
+    ["offers"],
+)
+def review_card_fields(spark, sf):
+    q = F.col("sales").cast("int")
+    html = F.concat(
+        F.lit('<li class="item"><div class="comment-user"><span class="nickname">'), "shop_key", F.lit('</span></div><i class="star star'), (1 + q % 5).cast("string"),
+        F.lit('"></i><div class="info text-ellipsis-2">'), "title", F.lit(' &amp; co</div><div class="date list">'), F.col("ship_date").cast("string"), F.lit('</div><span class="like-count">'), q.cast("string"), F.lit("</span></li>"),
+    )
+    out = ps.review_cards(views.offers(spark, sf).select(F.struct(*KEYS).alias("k"), html.alias("html")), "k", "html")
+    return out.select("k.*", "nickname", "score", "date", pg.unescape_entities("content").alias("content"), "like_count")
+
+
+@query(
+    "price_detail_rows",
+    f"""SELECT {KEY_SQL}, ship_date + 3653 AS date, price AS final_price, original_price AS page_price, '满99减10' AS coupon FROM offers WHERE price > 0 UNION ALL
+        SELECT {KEY_SQL}, ship_date + 3654, floor((price + 1) * 100 + 0.5) / 100, NULL, '' FROM offers WHERE price > 0""",
+    ["offers"],
+)
+def price_detail_rows(spark, sf):
+    o = views.offers(spark, sf).where(F.col("price") > 0)
+    money = lambda c: F.format_string("%.2f", c)
+    text = F.concat(
+        F.lit("历史价格\n"), F.date_format(later(), "yyyy年M月d日"), F.lit("  到手价：￥"), money(F.col("price")), F.lit(" 页面价 "), money(F.col("original_price")), F.lit("\n满99减10\n"),
+        F.date_format(F.date_add(later(), 1), "yyyy.M.d"), F.lit(" 促销 "), money(F.col("price") + 1), F.lit(" 元\n"), F.date_format(F.date_add(later(), 2), "yyyy-MM-dd"), F.lit(" 无价格"),
+    )
+    out = hs.price_details(o.select(F.struct(*KEYS).alias("k"), text.alias("text")), "k", "text")
+    return out.select("k.*", "date", "final_price", "page_price", "coupon")
+
+
+@query(
+    "stated_price_lows",
+    f"""SELECT {KEY_SQL}, price AS lowest_price, ship_date + 3653 AS lowest_date, original_price AS avg_60d FROM offers""",
+    ["offers"],
+)
+def stated_price_lows(spark, sf):
+    o = views.offers(spark, sf)
+    money = lambda c: F.format_string("%.2f", c)
+    text = F.concat(F.lit("走势\n25个月历史最低价：¥"), money("price"), F.lit("元\n("), F.date_format(later(), "yyyy/M/d"), F.lit(")\n60天均价: "), money("original_price"), F.lit("元"))
+    return hs.stated_lows(o.select(F.struct(*KEYS).alias("k"), text.alias("text")), "k", "text").select("k.*", "lowest_price", "lowest_date", "avg_60d")
+
+
+@query(
+    "product_chunks",
+    "SELECT brand, level2, category, CASE WHEN is_gift THEN NULL ELSE price END AS price, title, sku FROM catalog",
+    ["catalog"],
+)
+def product_chunks(spark, sf):
+    c = views.catalog(spark, sf)
+    price = F.when(F.col("is_gift"), "n/a").otherwise(F.col("price").cast("string"))
+    chunk = F.to_json(F.array(F.array("brand", "level2", "category", price, "title", "sku")))
+    return readers.product_tuples(c.select(chunk.alias("value")))
