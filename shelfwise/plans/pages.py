@@ -62,7 +62,7 @@ def canonical_item_urls(spark, sf):
     ["offers"],
 )
 def spoken_and_html_prices(spark, sf):
-    o = views.offers(spark, sf)
+    o = views.offers(spark, sf, parallel=True)
     money = F.format_string("%.2f", "price")
     said = F.concat(F.lit("商品 促销信息\n到手价 ￥"), money, F.lit(" 规格 0750g"))
     page = F.concat(F.lit('<script>var item={"jdPrice" : "'), money, F.lit('"}</script>'))
@@ -76,7 +76,7 @@ def spoken_and_html_prices(spark, sf):
     ["offers"],
 )
 def listing_cards(spark, sf):
-    o = views.offers(spark, sf)
+    o = views.offers(spark, sf, parallel=True)
     money = F.format_string("%.2f", "price")
     promo = F.when(F.col("discount") > 0.05, "\n满99减10\n券后立省\n满99减10").otherwise("")
     text = F.concat(
@@ -94,7 +94,7 @@ def later():
 
 def rank_payloads(spark, sf):
     """A ranking payload per offer, with the product twice (the later one counts) and two tabs."""
-    o = views.offers(spark, sf)
+    o = views.offers(spark, sf, parallel=True)
     money = F.format_string("%.2f", "price")
     tag = lambda c: F.array(F.struct(c.alias("text")))
     product = lambda name, p: F.struct(
@@ -128,7 +128,7 @@ def rank_products(spark, sf):
     ["offers"],
 )
 def nested_products(spark, sf):
-    o = views.offers(spark, sf).where(F.col("discount") > 0.085)
+    o = views.offers(spark, sf, parallel=True).where(F.col("discount") > 0.085)
     inner = F.struct(F.col("sku").alias("mainSkuId"), F.col("title").alias("skuTitle"), F.format_string("%.2f", "price").alias("jdPrice"))
     doc = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("x").alias("a"), F.struct(inner.alias("card")).alias("b"))).alias("list")).alias("data")))
     out = ps.nested_products(o.select(F.struct(*KEYS).alias("k"), doc.alias("payload")), "k", "payload", depth=6)
@@ -151,7 +151,7 @@ def rank_tabs(spark, sf):
 )
 def product_attributes(spark, sf):
     raw = F.concat(F.lit("品牌："), "brand", F.lit("\n货号: "), "sku", F.lit("；产地 "), "level2", F.lit(" |口味："), "flavor", F.when(F.col("discount") > 0.05, "\n好评率 98%").otherwise(""))
-    d = views.offers(spark, sf).select(F.struct(*KEYS).alias("k"), raw.alias("raw"))
+    d = views.offers(spark, sf, parallel=True).select(F.struct(*KEYS).alias("k"), raw.alias("raw"))
     return ps.parse_details(d, "k", "raw").select("k.*", "brand", "product_number", "origin", "flavor", "good_rate", "effective")
 
 
@@ -164,7 +164,7 @@ def parsed_reviews(spark, sf):
     q = F.col("sales").cast("int")
     block = F.concat((1 + q % 5).cast("string"), F.lit("星 "), later().cast("string"), F.lit("\n"), "title", F.lit(" "), "shop_key", F.lit(" fine\n点赞 "), q.cast("string"), F.lit("\n举报此条内容"))
     text = F.concat(block, F.lit("\n\n"), block, F.lit("\n\n短"))
-    r = views.offers(spark, sf).select(F.struct(*KEYS).alias("k"), text.alias("text"))
+    r = views.offers(spark, sf, parallel=True).select(F.struct(*KEYS).alias("k"), text.alias("text"))
     return ps.parse_reviews(r, "k", "text").select("k.*", "score", "date", "content", "like_count")
 
 
@@ -178,7 +178,7 @@ def comment_payload_rows(spark, sf):
     c = F.struct(F.concat(F.lit(" "), "title", F.lit("  ")).alias("content"), (1 + q % 5).alias("score"), F.col("ship_date").cast("string").alias("creationTime"), q.alias("usefulVoteCount"))
     empty = F.struct(F.lit("").alias("content"), F.lit(5).alias("score"), F.lit("").alias("creationTime"), F.lit(0).alias("usefulVoteCount"))
     payload = F.when(F.col("discount") > 0.095, "<!DOCTYPE html>").otherwise(F.concat(F.lit("fetchJSON_comment98("), F.to_json(F.struct(F.array(c, empty).alias("comments"))), F.lit(");")))
-    d = views.offers(spark, sf).select(F.struct(*KEYS).alias("k"), payload.alias("payload"))
+    d = views.offers(spark, sf, parallel=True).select(F.struct(*KEYS).alias("k"), payload.alias("payload"))
     out = ps.comment_payloads(d, "k", "payload")
     return out.select("k.*", "score", "content", "like_count", pg.is_negative("score", "content", 8).alias("negative"))
 
@@ -194,7 +194,7 @@ def review_card_fields(spark, sf):
         F.lit('<li class="item"><div class="comment-user"><span class="nickname">'), "shop_key", F.lit('</span></div><i class="star star'), (1 + q % 5).cast("string"),
         F.lit('"></i><div class="info text-ellipsis-2">'), "title", F.lit(' &amp; co</div><div class="date list">'), F.col("ship_date").cast("string"), F.lit('</div><span class="like-count">'), q.cast("string"), F.lit("</span></li>"),
     )
-    out = ps.review_cards(views.offers(spark, sf).select(F.struct(*KEYS).alias("k"), html.alias("html")), "k", "html")
+    out = ps.review_cards(views.offers(spark, sf, parallel=True).select(F.struct(*KEYS).alias("k"), html.alias("html")), "k", "html")
     return out.select("k.*", "nickname", "score", "date", pg.unescape_entities("content").alias("content"), "like_count")
 
 
@@ -205,7 +205,7 @@ def review_card_fields(spark, sf):
     ["offers"],
 )
 def price_detail_rows(spark, sf):
-    o = views.offers(spark, sf).where(F.col("price") > 0)
+    o = views.offers(spark, sf, parallel=True).where(F.col("price") > 0)
     money = lambda c: F.format_string("%.2f", c)
     text = F.concat(
         F.lit("历史价格\n"), F.date_format(later(), "yyyy年M月d日"), F.lit("  到手价：￥"), money(F.col("price")), F.lit(" 页面价 "), money(F.col("original_price")), F.lit("\n满99减10\n"),
@@ -221,7 +221,7 @@ def price_detail_rows(spark, sf):
     ["offers"],
 )
 def stated_price_lows(spark, sf):
-    o = views.offers(spark, sf)
+    o = views.offers(spark, sf, parallel=True)
     money = lambda c: F.format_string("%.2f", c)
     text = F.concat(F.lit("走势\n25个月历史最低价：¥"), money("price"), F.lit("元\n("), F.date_format(later(), "yyyy/M/d"), F.lit(")\n60天均价: "), money("original_price"), F.lit("元"))
     return hs.stated_lows(o.select(F.struct(*KEYS).alias("k"), text.alias("text")), "k", "text").select("k.*", "lowest_price", "lowest_date", "avg_60d")

@@ -19,5 +19,6 @@ def local_session(cores: str | int = "*", app: str = "shelfwise") -> SparkSessio
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.legacy.javaCharsets", "true")
+        .config("spark.shelfwise.minScanPartitions", str(n))
         .getOrCreate()
     )

@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan of a few unsplittable files before text-heavy work.
+
+    Off unless the session sets ``spark.shelfwise.minScanPartitions``: a table of many files already
+    scans in parallel, and then the extra shuffle would only cost.
+    """
+    n = int(df.sparkSession.conf.get("spark.shelfwise.minScanPartitions", "0"))
+    return df.repartition(n) if n > 1 else df
+
+
 def cents(c: Column) -> Column:
     """Two decimals by plain arithmetic, the same in every engine."""
     return F.floor(c * 100 + 0.5) / 100
@@ -83,9 +93,10 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item: a shop's offer of a product on a day."""
+def offers(spark: SparkSession, sf_dir: str, parallel: bool = False) -> DataFrame:
+    """One row per line item: a shop's offer of a product on a day. ``parallel`` prepares for text-heavy work."""
     li = table(spark, sf_dir, "lineitem")
+    li = spread(li) if parallel else li
     part = table(spark, sf_dir, "part").select(*part_columns()).drop("price")
     supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     df = li.join(part, li.l_partkey == part.p_partkey).join(supp, li.l_suppkey == supp.s_suppkey)
@@ -113,7 +124,7 @@ OFFER_TIES = ["l_orderkey", "l_linenumber", "l_suppkey", "sales", "amount"]
 
 def raw_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers as a crawler would have seen them: every cell dirty text."""
-    o = offers(spark, sf_dir)
+    o = offers(spark, sf_dir, parallel=True)
     c = F.floor(F.col("price") * 100 + 0.5).cast("bigint")
     whole, rest = (c / 100).cast("bigint"), F.lpad((c % 100).cast("string"), 2, "0")
     grouped = F.when(whole >= 1000, F.concat((whole / 1000).cast("bigint").cast("string"), F.lit(","), F.lpad((whole % 1000).cast("string"), 3, "0"))).otherwise(whole.cast("string"))
