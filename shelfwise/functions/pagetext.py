@@ -8,17 +8,18 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.functions.text import col, contains_any, let, rx, rx_number, strip
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_entities(s: pd.Series) -> pd.Series:
     """HTML entities; Spark has no built-in. Arrow batches, one small string per row."""
     return s.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Full NFKC folding; `text.fold_width` covers the width forms without leaving the JVM."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")

@@ -23,7 +23,9 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     """
     if keys:
         return left.join(right, list(keys), how)
-    return left.join(F.broadcast(right))
+    row = right.select(F.struct("*").alias("_row")).scalar()
+    added = [c for c in right.columns if c not in left.columns]
+    return left.withColumn("_row", row).select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in added])
 
 
 def _binned(points: DataFrame, keys: Sequence[str], bins: int) -> tuple[DataFrame, DataFrame]:

@@ -16,26 +16,29 @@ from shelfwise.functions import text as tx
 from shelfwise.functions.weight import weight_structured
 
 
+SMALL_PREFIX_SET = 1000
+
+
 def contained_pairs(df: DataFrame, key: str, text: str, terms: DataFrame, term: str, block: int = 2, ignore_case: bool = False) -> DataFrame:
     """``(key, term)`` for every dictionary term that occurs in the text.
 
     Each text yields its distinct character windows of length ``block``; windows meet the terms' first
     ``block`` characters in an equi-join and survivors are checked literally.  Terms shorter than the
     block are matched through their whole length.  Choose a larger block for long texts and long terms.
+
+    While the dictionary has few distinct prefixes (counted at run time), windows that start no term are
+    dropped inside the row, before they are exploded; beyond that the join alone filters them.
     """
     fold = F.lower if ignore_case else (lambda c: c)
     d = terms.select(F.col(term)).where(F.length(term) > 0).distinct()
     d = d.withColumn("_p", F.substring(fold(F.col(term)), 1, block))
-    lengths = [block] if block == 1 else list(range(1, block + 1))
-    windows = [F.regexp_extract_all(F.col("_t"), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
-    t = df.select(F.col(key).alias("_key"), F.col(text).alias("_t0")).where(F.col("_t0").isNotNull())
-    t = t.withColumn("_t", fold(F.col("_t0")))
-    # short windows only serve terms shorter than the block
-    short = None
-    for n, w in zip(lengths, windows):
-        part = F.array_distinct(w)
-        short = part if short is None else F.concat(short, part)
-    grams = t.select("_key", "_t", F.explode(short).alias("_p"))
+    few = d.select("_p").distinct().limit(SMALL_PREFIX_SET + 1)
+    prefixes = few.agg(F.when(F.count(F.lit(1)) <= SMALL_PREFIX_SET, F.collect_set("_p")).alias("s")).scalar()
+    # windows shorter than the block serve the terms that are shorter than it
+    windows = F.concat(*[F.regexp_extract_all(F.col("_t"), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, block + 1)])
+    t = df.select(F.col(key).alias("_key"), fold(F.col(text)).alias("_t")).where(F.col("_t").isNotNull())
+    starts = F.when(prefixes.isNotNull(), F.array_intersect(windows, prefixes)).otherwise(F.array_distinct(windows))
+    grams = t.select("_key", "_t", F.explode(starts).alias("_p"))
     hits = grams.join(d, "_p").where(F.contains(F.col("_t"), fold(F.col(term))))
     return hits.select(F.col("_key").alias(key), F.col(term)).distinct()
 
@@ -56,7 +59,9 @@ def longest_contained(df: DataFrame, key: str, text: str, terms: DataFrame, term
 # --- brands -------------------------------------------------------------------
 def brand_dictionary(df: DataFrame, brand: str = "brand", min_length: int = 2) -> DataFrame:
     """Distinct cleaned brands of a table as a dictionary."""
-    d = df.select(tx.clean_brand(tx.normalize_text(brand), separators="any", strip_suffix=True).alias("alias")).distinct()
+    # distinct raw values first: the text work then runs once per value, not once per row
+    raw = df.select(F.col(brand).alias("_b")).distinct()
+    d = raw.select(tx.clean_brand(tx.normalize_text("_b"), separators="any", strip_suffix=True).alias("alias")).distinct()
     return d.where(F.length("alias") >= min_length)
 
 
@@ -66,13 +71,14 @@ def title_head(name, pattern: str = r"^([A-Za-z0-9一-龥]{2,12})") -> Column:
 
 def brand_from_titles(df: DataFrame, key: str = "sku", title: str = "title", brand: str = "brand", aliases: DataFrame | None = None) -> DataFrame:
     """``brand_from_name``: own brand if contained, else the longest known brand, else the title head."""
-    base = df.withColumn("_name", tx.normalize_text(title)).withColumn("_own", tx.clean_brand(tx.normalize_text(brand), separators="any", strip_suffix=True))
+    base = df.withColumn("_name", tx.normalize_text(title))
+    cleaned = tx.clean_brand(tx.normalize_text(brand), separators="any", strip_suffix=True)
+    base = base.withColumn("_own", tx.let(cleaned, lambda b: F.when((b != "") & F.contains(F.col("_name"), b), b)))
     known = aliases if aliases is not None else brand_dictionary(df, brand)
-    needy = base.where((F.col("_own") == "") | ~F.contains("_name", "_own"))
-    # one lookup per distinct title
-    found = longest_contained(needy.select("_name").distinct(), "_name", "_name", known, "alias", "_found")
-    own = F.when((F.col("_own") != "") & F.contains("_name", "_own"), F.col("_own"))
-    out = base.join(found, "_name", "left").withColumn("brand_from_name", F.coalesce(own, F.col("_found"), title_head("_name")))
+    # one lookup per distinct title of the rows whose own brand is absent from it
+    needy = base.where(F.col("_own").isNull()).select("_name").distinct()
+    found = longest_contained(needy, "_name", "_name", known, "alias", "_found")
+    out = base.join(found, "_name", "left").withColumn("brand_from_name", F.coalesce("_own", "_found", title_head("_name")))
     return out.drop("_name", "_own", "_found")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import text as tx
 from shelfwise.functions import words
 from shelfwise.operators.dedupe import top_per_group
-from shelfwise.operators.distribution import equal_width_bins, quantiles, small_percent_rank, with_quantiles
+from shelfwise.operators.distribution import equal_width_bins, join_on_keys, quantiles, small_percent_rank, with_quantiles
 
 
 def present(c: str) -> Column:
@@ -268,7 +268,7 @@ def promotion_effect(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.avg("discount_rate").alias("discount_mean"),
     )
     stats = with_quantiles(stats, rows, [*keys, "promo_type"], {"sales_median": ("sales", 0.5)})
-    joined = stats.join(base, list(keys)) if keys else stats.join(F.broadcast(base))
+    joined = join_on_keys(stats, base, keys, "inner")
     ratio = F.when(F.col("_base") > 0, F.col("sales_mean") / F.col("_base"))
     return joined.withColumn("lift", ratio - 1).withColumn("lift_multiple", ratio).withColumn("share", F.col("n") / F.col("_all")).drop("_base", "_all")
 

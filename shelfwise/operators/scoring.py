@@ -11,6 +11,7 @@ from shelfwise.functions import text as tx
 from shelfwise.functions import words
 from shelfwise.operators.dedupe import keep_one, top_per_group
 from shelfwise.operators.distribution import add_ranks, join_on_keys, min_max, positions, quantiles
+from shelfwise.sources.staging import stage
 
 
 def keyword_filter(df: DataFrame, keyword: str, columns: Sequence[str] = ("level2", "category", "title"), regex: bool = False) -> DataFrame:
@@ -78,7 +79,8 @@ def value_score(df: DataFrame, key: str = "category", ranked: bool = True) -> Da
     )
     scored = rows.withColumn("unit_price_percentile", F.coalesce(F.col("_pct"), F.lit(1.0)) * 100)
     scored = scored.withColumn("value_score", tx.stable_round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)), 2)).drop("_pct", "_max")
-    return add_ranks(scored, [key], "value_score", rank_desc="category_rank") if ranked else scored
+    # the second ranking reads the scores three times
+    return add_ranks(stage(scored), [key], "value_score", rank_desc="category_rank") if ranked else scored
 
 
 PRODUCT_KEY = ("title", "price", "weight_g")
@@ -186,7 +188,7 @@ def similar_products(targets: DataFrame, df: DataFrame, k: int = 20, bins: int =
 
 def competitiveness(targets: DataFrame, df: DataFrame, k: int = 20) -> DataFrame:
     """Share of similar products that are dearer, stars, promotion pressure, same-brand median, main rivals."""
-    sim = similar_products(targets, df, k)
+    sim = stage(similar_products(targets, df, k))
     dearer = F.count_if(F.col("unit_price") > F.col("t_unit"))
     n = F.count(F.lit(1))
     same = F.when(F.contains(F.coalesce("brand", F.lit("")), F.col("t_brand")) & (F.col("t_brand") != ""), F.col("unit_price"))
@@ -227,6 +229,7 @@ def band_opportunities(df: DataFrame, min_rows: int = 10) -> DataFrame:
 def analyze_products(targets: DataFrame, df: DataFrame) -> DataFrame:
     """Position, competitiveness, target band and band signals of every target in one row."""
     bounds, labels = words.POSITION_BANDS
+    targets = stage(targets)
     pos = market_position(targets, df).drop("category", "n")
     comp = competitiveness(targets, df).select("target_id", F.col("n").alias("similar"), "beat_rate", "stars", "rivals", "advantages", "risks")
     own = targets.select("target_id", "category", "price", tx.band("price", bounds, labels).alias("band"))

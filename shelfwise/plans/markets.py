@@ -11,6 +11,7 @@ from shelfwise.operators import market as mk
 from shelfwise.plans.registry import query
 from shelfwise.plans.sqlviews import PROMO_KIND, STORE_TYPE, bands, cents, rnd
 from shelfwise.sources import views
+from shelfwise.sources.staging import stage
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
@@ -19,7 +20,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
 
 
 def banded(spark: SparkSession, sf: str) -> DataFrame:
-    return mk.tercile_bands(views.catalog(spark, sf))
+    return mk.tercile_bands(stage(views.catalog(spark, sf)))
 
 
 def report_banded(spark: SparkSession, sf: str) -> DataFrame:
@@ -322,7 +323,7 @@ def price_band_distribution(spark, sf):
 )
 def hot_product_profile(spark, sf):
     bounds, labels = words.REPORT_BANDS
-    out = mk.hot_profile(views.catalog(spark, sf).withColumn("price_band", tx.band("price", bounds, labels)))
+    out = mk.hot_profile(stage(views.catalog(spark, sf)).withColumn("price_band", tx.band("price", bounds, labels)))
     return rounded(out, "threshold", "price_mean", "self_share", "coupon_share", "price_median")
 
 
@@ -491,7 +492,7 @@ def brand_coverage(spark, sf):
     ["banded"],
 )
 def brand_portfolio(spark, sf):
-    df = banded(spark, sf)
+    df = stage(banded(spark, sf))
     from shelfwise.operators.dedupe import top_per_group
 
     owned = top_per_group(df.select("category", "brand").distinct(), ["category"], [F.col("brand").asc()], 3)

@@ -15,6 +15,7 @@ from shelfwise.plans.markets import rounded
 from shelfwise.plans.registry import query
 from shelfwise.plans.sqlviews import bands, rnd
 from shelfwise.sources import views
+from shelfwise.sources.staging import stage
 
 
 def pct(c: str, part: str, order: str = "") -> str:
@@ -93,7 +94,7 @@ _VAL = f"""v AS (SELECT *, {rnd(f"least(greatest(100 - {pct('unit_price', 'categ
     ["catalog"],
 )
 def value_scores(spark, sf):
-    out = sc.value_score(views.catalog(spark, sf))
+    out = sc.value_score(stage(views.catalog(spark, sf)))
     return rounded(out, "unit_price_percentile").select("sku", "category", "unit_price_percentile", "value_score", "category_rank")
 
 
@@ -107,7 +108,7 @@ _REF = f"""d AS (SELECT * FROM catalog QUALIFY row_number() OVER (PARTITION BY c
     ["catalog"],
 )
 def reference_scores_top10(spark, sf):
-    c = views.catalog(spark, sf).withColumn("brand_match_status", F.when(F.col("has_promotion"), "consistent")).withColumn("weight_match_status", F.when(F.col("is_gift"), "consistent"))
+    c = stage(views.catalog(spark, sf)).withColumn("brand_match_status", F.when(F.col("has_promotion"), "consistent")).withColumn("weight_match_status", F.when(F.col("is_gift"), "consistent"))
     out = sc.reference_score(c.withColumn("keyword_count", F.col("shops")))
     return rounded(out, "selection_score").select("category", "sku", "selection_score", "rank")
 
@@ -227,7 +228,7 @@ _OPP_N = "(SELECT category, count(DISTINCT sku) AS n FROM catalog GROUP BY 1 ORD
     ["catalog"],
 )
 def decision_picks(spark, sf):
-    c = views.catalog(spark, sf)
+    c = stage(views.catalog(spark, sf))
     heads = c.groupBy("category").agg(F.countDistinct("sku").alias("n")).orderBy(F.col("n").desc(), F.col("category").asc()).limit(5)
     scored = sc.value_score(c.join(F.broadcast(heads.select("category")), "category", "left_semi"), ranked=False)
     order = [F.col("value_score").desc(), F.col("comments").desc(), F.col("sku").asc()]
@@ -235,9 +236,8 @@ def decision_picks(spark, sf):
 
 
 # --- product analysis ---------------------------------------------------------
-def targets(spark, sf):
+def targets(c):
     """One planned product per category and flavour, at the mean price and weight of what is sold."""
-    c = views.catalog(spark, sf)
     return c.groupBy("category", "flavor").agg(
         (F.floor(F.sum(F.floor(F.col("price") * 100 + 0.5)) / F.count(F.lit(1))) / 100).alias("price"),
         F.floor(F.avg("weight_g")).cast("double").alias("weight_g"), F.min("brand").alias("brand"), F.max("package_type").alias("package_type"),
@@ -256,7 +256,8 @@ _SIM = f"""{_TARGETS}, d AS (SELECT * FROM catalog QUALIFY row_number() OVER (PA
 
 @query("similar_products", f"WITH {_SIM} SELECT target_id, sku, {rnd('distance')} AS distance, CAST(r AS INT) AS rank FROM k WHERE r <= 20", ["catalog"])
 def similar_products(spark, sf):
-    out = sc.similar_products(targets(spark, sf), views.catalog(spark, sf))
+    c = stage(views.catalog(spark, sf))
+    out = sc.similar_products(targets(c), c)
     return rounded(out, "distance").select("target_id", "sku", "distance", "rank")
 
 
@@ -273,7 +274,8 @@ _POS = f"""pos AS (SELECT target_id, t.category, t.price / t.weight_g AS tu, cou
     ["catalog"],
 )
 def market_position(spark, sf):
-    out = sc.market_position(targets(spark, sf), views.catalog(spark, sf))
+    c = stage(views.catalog(spark, sf))
+    out = sc.market_position(targets(c), c)
     return rounded(rounded(out, "target_unit", "q25", "q50", "q75", digits=6), "percentile", "mean_ratio")
 
 
@@ -291,7 +293,8 @@ _COMP = f"""{_SIM}, k20 AS (SELECT * FROM k WHERE r <= 20), s AS (SELECT target_
     ["catalog"],
 )
 def competitiveness(spark, sf):
-    out = sc.competitiveness(targets(spark, sf), views.catalog(spark, sf)).drop("t_unit")
+    c = stage(views.catalog(spark, sf))
+    out = sc.competitiveness(targets(c), c).drop("t_unit")
     return rounded(rounded(out, "same_brand_median", digits=6), "beat_rate", "promotion_rate")
 
 
@@ -319,7 +322,8 @@ def band_opportunities(spark, sf):
     ["catalog"],
 )
 def product_analysis(spark, sf):
-    out = sc.analyze_products(targets(spark, sf), views.catalog(spark, sf))
+    c = stage(views.catalog(spark, sf))
+    out = sc.analyze_products(targets(c), c)
     return rounded(rounded(out, "share", digits=6), "percentile", "beat_rate").select("target_id", "category", "price", "band", "share", "signal", "percentile", "similar", "beat_rate", "rivals")
 
 

@@ -15,6 +15,7 @@ from shelfwise.plans.markets import rounded
 from shelfwise.plans.registry import query
 from shelfwise.plans.sqlviews import rnd
 from shelfwise.sources import views
+from shelfwise.sources.staging import stage
 
 OLD, NEW = 1999, 2000
 TIES = ["l_orderkey", "l_linenumber", "l_suppkey", "sales", "amount"]
@@ -365,7 +366,7 @@ _POOL = """pool AS (SELECT sku, category, price, comments FROM (SELECT *, rank()
 
 @query("priority_pool", f"WITH {_POOL} SELECT * FROM pool", ["catalog"])
 def priority_pool(spark, sf):
-    return tg.priority_pool(views.catalog(spark, sf), top=3, factor=1.3).select("sku", "category", "price", "comments")
+    return tg.priority_pool(stage(views.catalog(spark, sf)), top=3, factor=1.3).select("sku", "category", "price", "comments")
 
 
 @query(
@@ -375,7 +376,7 @@ def priority_pool(spark, sf):
 )
 def next_crawl_batch(spark, sf):
     done = views.offers(spark, sf).where((F.col("ship_date") >= "2001-06-01") & (F.col("l_returnflag") == "N"))
-    pool = tg.priority_pool(views.catalog(spark, sf), top=3, factor=1.3).select("sku", "comments")
+    pool = tg.priority_pool(stage(views.catalog(spark, sf)), top=3, factor=1.3).select("sku", "comments")
     return tg.next_batch(pool, done, "sku", [F.col("comments").desc(), F.col("sku").asc()], 80)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,14 +10,14 @@ from shelfwise.plans.markets import rounded
 from shelfwise.plans.registry import query
 from shelfwise.plans.sqlviews import rnd
 from shelfwise.sources import views
-from shelfwise.sources.sinks import KeyedTable, checkpoint_dir
+from shelfwise.sources.sinks import KeyedTable
+from shelfwise.sources.staging import shared_folder
 from shelfwise.streaming import feeds
 
 
 def workdir(spark) -> str:
     """Folder for checkpoints and results: the cluster's shared folder, a temporary one only without it."""
-    base = checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/feeds-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-feeds-", dir="/tmp")
+    return f"{shared_folder(spark)}/feeds-{uuid.uuid4().hex}"
 
 
 def feed_stream(spark, sf):

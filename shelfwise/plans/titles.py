@@ -12,6 +12,7 @@ from shelfwise.plans.markets import rounded
 from shelfwise.plans.registry import query
 from shelfwise.plans.sqlviews import rnd
 from shelfwise.sources import views
+from shelfwise.sources.staging import stage
 
 KEYS = ["l_orderkey", "l_linenumber", "l_suppkey", "amount"]
 KEY_SQL = "l_orderkey, l_linenumber, l_suppkey, amount"
@@ -23,7 +24,8 @@ def listing(spark, sf):
     o = views.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("pk"), F.col("p_brand").alias("p_brand"), (F.col("p_size") * 10).cast("string").alias("weight_g"))
     j = raw.join(o, tx.normalize_key("item_id") == F.col("pk"))
     blank = F.startswith("item_id", F.lit(" "))
-    return j.withColumn("brand", F.when(blank, "").otherwise(F.concat("p_brand", F.lit(" - "), "category_breadcrumb")))
+    # extraction reads its input in several branches; a crawl is a stored table
+    return stage(j.withColumn("brand", F.when(blank, "").otherwise(F.concat("p_brand", F.lit(" - "), "category_breadcrumb"))))
 
 
 @query("brand_dictionary", "SELECT DISTINCT brand AS alias FROM catalog", ["catalog"])

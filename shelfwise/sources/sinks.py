@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 from shelfwise.operators.dedupe import keep_one
 
 
-def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str | None:
-    """The shared folder the cluster names; ``default`` applies only where the cluster names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or default
-
-
 def write_csv(df: DataFrame, path: str, bom: bool = True) -> None:
     """CSV folder, header included; the BOM goes in front of the first header of every part file."""
     if bom:
