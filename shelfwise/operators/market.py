@@ -7,6 +7,7 @@ Totals and thresholds enter as scalar subqueries, medians through :mod:`.distrib
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,7 @@ from shelfwise.functions import text as tx
 from shelfwise.functions import words
 from shelfwise.operators.dedupe import top_per_group
 from shelfwise.operators.distribution import equal_width_bins, join_on_keys, quantiles, small_percent_rank, with_quantiles
+from shelfwise.sources.staging import stage
 
 
 def present(c: str) -> Column:
@@ -282,8 +284,6 @@ def positive_sales_stats(df: DataFrame) -> DataFrame:
 
 def keyword_hits(df: DataFrame, column: str, terms: Sequence[str]) -> DataFrame:
     """Occurrences of every term over the whole column, one scan for all terms."""
-    import re
-
     aggs = [F.sum(F.regexp_count(F.col(column), F.lit(re.escape(t)))).alias(f"t{i}") for i, t in enumerate(terms)]
     wide = df.agg(*aggs)
     pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.coalesce(F.col(f"t{i}"), F.lit(0)).alias("hits")) for i, t in enumerate(terms)])
@@ -441,8 +441,9 @@ def store_summary(df: DataFrame) -> DataFrame:
 
 def hot_profile(df: DataFrame, share: float = 0.9) -> DataFrame:
     """Profile of the products at or above a sales quantile, one row."""
-    cut = quantiles(df, [], {"threshold": ("sales", share)})
-    hot = df.where(F.col("sales") >= cut.scalar())
+    # five reports read the hot set, and the threshold is asked for twice
+    cut = stage(quantiles(df, [], {"threshold": ("sales", share)}))
+    hot = stage(df.where(F.col("sales") >= cut.scalar()).select("category", "price_band", "price", "shop", "promotion"))
     stats = hot.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("price").alias("price_mean"),

@@ -105,15 +105,14 @@ def nested_products(payloads: DataFrame, key: str, column: str, depth: int = 6)
     The JSON is opened one level per step down to ``depth``; payloads nest deeper only when ``depth`` says so.
     """
     level = payloads.select(key, F.try_parse_json(column).alias("v"), F.lit("").alias("_path")).where(F.col("v").isNotNull())
+    has = lambda *names: F.coalesce(*[F.try_variant_get("v", f"$.{n}", "string") for n in names]).isNotNull()
     found = None
     for _ in range(depth):
-        j = F.to_json("v")
-        cand = level.where(F.coalesce(*[F.get_json_object(j, f"$.{n}") for n in ("skuId", "mainSkuId", "sku")]).isNotNull() & F.coalesce(*[F.get_json_object(j, f"$.{n}") for n in ("name", "skuTitle", "title")]).isNotNull())
-        rows = cand.select(key, "_path", F.from_json(j, PRODUCT_SCHEMA).alias("p"))
+        rows = level.where(has("skuId", "mainSkuId", "sku") & has("name", "skuTitle", "title")).select(key, "_path", F.from_json(F.to_json("v"), PRODUCT_SCHEMA).alias("p"))
         found = rows if found is None else found.unionByName(rows)
-        level = level.lateralJoin(
-            level.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).select(F.col("pos").alias("_pos"), F.col("value").alias("_child"))
-        ).where(F.col("_child").isNotNull()).select(key, F.col("_child").alias("v"), F.concat("_path", F.lit("/"), F.lpad(F.col("_pos").cast("string"), 6, "0")).alias("_path"))
+        children = level.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).select(F.col("pos").alias("_pos"), F.col("value").alias("_child"))
+        path = F.concat("_path", F.lit("/"), F.lpad(F.col("_pos").cast("string"), 6, "0"))
+        level = level.lateralJoin(children).where(F.col("_child").isNotNull()).select(key, F.col("_child").alias("v"), path.alias("_path"))
     rows = found.select(key, "_path", *product_fields(F.col("p"))).where(F.col("item_id") != "")
     return keep_one(rows, [key, "item_id"], [F.col("_path").desc()]).drop("_path")
 

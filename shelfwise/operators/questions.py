@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import tags, words
 from shelfwise.functions import text as tx
+from shelfwise.operators.dedupe import top_per_group
 from shelfwise.operators.extraction import contained_pairs
 
 
@@ -52,19 +53,28 @@ def route(questions: DataFrame, text: str = "text", scenes=tuple(words.SCENE_KEY
     return questions.withColumn("_s", s).select("*", F.col("_s.scene").alias("scene"), F.col("_s.confidence").alias("confidence"), intent(text, rules).alias("intent")).drop("_s")
 
 
+NO_CAP = 1e15
+
+
+def _price_step(price: Column) -> Column:
+    """Monotone price step; square roots are exactly rounded, so every executor agrees."""
+    return F.floor(F.sqrt(F.sqrt(F.greatest(price, F.lit(0.0)))) * 8)
+
+
 def answer_selection(params: DataFrame, ranked: DataFrame, key: str = "question_id", k: int = 3) -> DataFrame:
     """Best products of the asked category under the asked price, ``k`` per question.
 
-    ``ranked`` holds the scored catalog.  Distinct (category, price cap) pairs are answered once and the
-    answers joined back to the questions.
+    ``ranked`` holds the scored catalog.  Distinct (category, price cap) pairs are answered once.  Price
+    steps wholly below a cap contribute only their own best ``k``; single products are compared with the
+    cap only inside the step the cap falls in.
     """
-    from shelfwise.operators.dedupe import top_per_group
-
-    cap = F.coalesce(F.col("max_price"), F.lit(float("inf")))
-    asked = params.where(F.col("category").isNotNull()).withColumn("cap", cap)
-    wanted = asked.select("category", "cap").distinct()
-    hits = ranked.join(wanted, "category").where(F.col("price") <= F.col("cap"))
-    best = top_per_group(hits, ["category", "cap"], [tx.stable_round("final_score", 6).desc(), F.col("sku").asc()], k, "rank")
+    order = [tx.stable_round("final_score", 6).desc(), F.col("sku").asc()]
+    asked = params.where(F.col("category").isNotNull()).withColumn("cap", F.coalesce("max_price", F.lit(NO_CAP)))
+    wanted = asked.select("category", "cap", _price_step(F.col("cap")).alias("_cap_step")).distinct()
+    rows = ranked.select("category", "sku", "price", "final_score", _price_step(F.col("price")).alias("_step"))
+    below = top_per_group(rows, ["category", "_step"], order, k).join(wanted, "category").where(F.col("_step") < F.col("_cap_step"))
+    inside = rows.join(wanted.withColumn("_step", F.col("_cap_step")), ["category", "_step"]).where(F.col("price") <= F.col("cap"))
+    best = top_per_group(below.unionByName(inside.select(below.columns)), ["category", "cap"], order, k, "rank")
     return asked.select(key, "category", "cap").join(best.select("category", "cap", "rank", "sku", "price", "final_score"), ["category", "cap"])
 
 
