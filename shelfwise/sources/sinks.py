@@ -41,38 +41,42 @@ def _fs(spark: SparkSession, path: str):
 
 
 class KeyedTable:
-    """Table with one row per key, rewritten as immutable Parquet versions plus a pointer file.
+    """Table with one row per key, rewritten as immutable Parquet versions with numbered pointers.
 
-    Readers always see a complete version; a crash before the pointer moves leaves the old one in force.
-    ``batch_id`` makes a replayed micro-batch a no-op.
+    A pointer file appears by one atomic rename and none is ever deleted; the highest number is in force,
+    so readers always see a complete version and a crash leaves the previous one.  ``batch_id`` makes a
+    replayed micro-batch a no-op.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], order: Sequence[str] = ()):
         self.spark, self.root, self.keys, self.order = spark, root.rstrip("/"), list(keys), list(order)
 
-    def _pointer(self) -> tuple[str | None, int]:
-        _, fs, p = _fs(self.spark, f"{self.root}/_current")
-        if not fs.exists(p):
-            return None, -1
-        stream = fs.open(p)
+    def _pointer(self) -> tuple[str | None, int, int]:
+        """Version name, last batch and number of the pointer in force."""
+        _, fs, pattern = _fs(self.spark, f"{self.root}/_pointer-*")
+        found = fs.globStatus(pattern)
+        if not found:
+            return None, -1, 0
+        last = max((f.getPath() for f in found), key=lambda p: p.getName())
+        stream = fs.open(last)
         try:
             name, batch = bytes(stream.readAllBytes()).decode().split("\n")
         finally:
             stream.close()
-        return name, int(batch)
+        return name, int(batch), int(last.getName().split("-")[1])
 
     def exists(self) -> bool:
         return self._pointer()[0] is not None
 
     def read(self) -> DataFrame:
-        name, _ = self._pointer()
+        name = self._pointer()[0]
         if name is None:
             raise FileNotFoundError(f"{self.root} holds no version yet")
         return self.spark.read.parquet(f"{self.root}/{name}")
 
     def upsert(self, rows: DataFrame, batch_id: int | None = None) -> bool:
         """Merge ``rows``; the newest row per key wins (by ``order``, then the incoming side)."""
-        name, done = self._pointer()
+        name, done, number = self._pointer()
         if batch_id is not None and batch_id <= done:
             return False
         tagged = rows.withColumn("_side", F.lit(1))
@@ -84,18 +88,17 @@ class KeyedTable:
         merged = keep_one(tagged, self.keys, order + rest).drop("_side")
         version = f"v-{uuid.uuid4().hex}"
         merged.write.parquet(f"{self.root}/{version}")
-        self._move_pointer(version, done if batch_id is None else batch_id)
+        self._point_to(version, done if batch_id is None else batch_id, number + 1)
         return True
 
-    def _move_pointer(self, version: str, batch: int) -> None:
-        jvm, fs, target = _fs(self.spark, f"{self.root}/_current")
+    def _point_to(self, version: str, batch: int, number: int) -> None:
+        jvm, fs, target = _fs(self.spark, f"{self.root}/_pointer-{number:012d}")
         staged = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_next-{version}")
         out = fs.create(staged, True)
         out.write(f"{version}\n{batch}".encode())
         out.close()
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(staged, target)
+        if not fs.rename(staged, target):
+            raise RuntimeError(f"another writer moved {self.root} to pointer {number}")
 
 
 def write_report(lines: DataFrame, path: str, columns: Sequence[str] = ("section", "ordinal"), text: str = "line") -> None:
