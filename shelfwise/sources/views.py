@@ -110,7 +110,7 @@ def offers(spark: SparkSession, sf_dir: str, parallel: bool = False) -> DataFram
         price.alias("price"),
         cents(price / (1 - F.col("l_discount"))).alias("original_price"),
         F.col("l_quantity").alias("sales"),
-        F.floor(F.col("l_tax") * 100 + 0.5).alias("comments"),
+        F.floor(F.col("l_tax") * 100 + 0.5).cast("double").alias("comments"),
         promotion_text(F.col("l_discount")).alias("promotion"),
         F.col("l_discount").alias("discount"),
         F.col("l_shipdate").cast("date").alias("ship_date"),
