@@ -6,11 +6,13 @@ import functools
 import itertools
 
 import numpy as np
+import pyarrow as pa
 
-from shelfwise.llm.cells import Slice, encoded_chunks
+from shelfwise.llm.cells import Slice, encoded_chunks, flat
 
-SLICE = 16 << 20
 JOINED = 500
+#: About 60 MB.
+KNOWN_CHUNKS = 400_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -41,42 +43,79 @@ def ends_visible(last: np.ndarray, before_last: np.ndarray) -> np.ndarray:
     return VISIBLE[last] | (WIDE[last] & ~UNSURE[before_last])
 
 
+BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+ALNUM = np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123)])
+MARK = VISIBLE & ~ALNUM
+
+
 def word_cuts(data: np.ndarray) -> np.ndarray:
-    """True at a space that follows a visible character: the pattern of byte-level BPE always begins a new word there, whatever follows."""
-    cut = data == 32
-    cut[:2] = False
-    cut[2:] &= ends_visible(data[1:-1], data[:-2])
-    return cut
+    """Where the pattern of byte-level BPE always begins a new word, whatever comes before and after.
 
+    These are white space after a visible character, and an ASCII mark after an ASCII letter or digit.
+    """
+    cut = np.zeros(len(data), bool)
+    cut[2:] = BLANK[data[2:]] & ends_visible(data[1:-1], data[:-2])
+    cut[1:] |= MARK[data[1:]] & ALNUM[data[:-1]]
+    return cut
 
-def encode(part: Slice, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids (no special tokens added) and the bounds of every text."""
-    model, sizes = tokenizer(path)
 
-    def run(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        # Chunks between two safe cuts go to the library many at a time; bytes tell their tokens apart.
-        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        joinable = np.fromiter((len(c) > 2 and c[0] == 32 and bool(VISIBLE[c[-1]] or (c[-1] >= 128 and not UNSURE[c[-2]])) for c in chunks), bool, len(chunks))
+def joinable_chunks(first: np.ndarray, last: np.ndarray, before_last: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Chunks that begin with white space and end visibly: one after another, each begins where the pattern begins a word."""
+    return (lengths > 2) & BLANK[first] & ends_visible(last, before_last)
+
+
+class Encoder:
+    """The library behind a bounded table of chunks that this Python worker has met: a chunk in it is not encoded again."""
+
+    def __init__(self, path: str):
+        self.model, self.sizes = tokenizer(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.begins, self.lengths = (np.zeros(0, t) for t in (np.uint32, np.int64, np.int64))
+
+    def __call__(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self.begins) > KNOWN_CHUNKS:
+            self.clear()
+        at = np.fromiter((self.known.get(c, -1) for c in chunks), np.int64, len(chunks))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            missing = [chunks[i] for i in new]
+            ids, begins, lengths = self.encode(missing)
+            at[new] = len(self.begins) + np.arange(len(new))
+            self.known.update(zip(missing, at[new].tolist(), strict=True))
+            self.begins = np.concatenate([self.begins, begins + len(self.ids)])
+            self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
+        return self.ids, self.begins[at], self.lengths[at]
+
+    def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Many chunks at a time go to the library in one text; bytes tell their tokens apart."""
+        data, bounds = flat(pa.array(chunks, pa.large_binary()))
+        lengths = np.diff(bounds)
+        end = np.maximum(bounds[1:], 2)
+        padded = np.concatenate([data, np.zeros(2, np.uint8)])
+        joinable = joinable_chunks(padded[bounds[:-1]], padded[end - 1], padded[end - 2], lengths)
         order = np.concatenate([np.flatnonzero(joinable), np.flatnonzero(~joinable)])
         n = int(joinable.sum())
         groups = [b"".join([chunks[i] for i in order[a:min(a + JOINED, n)]]) for a in range(0, n, JOINED)] + [chunks[i] for i in order[n:]]
-        got = [e.ids for e in model.encode_batch_fast([g.decode() for g in groups], add_special_tokens=False)]
+        got = [e.ids for e in self.model.encode_batch_fast([g.decode() for g in groups], add_special_tokens=False)]
         ids = np.fromiter(itertools.chain.from_iterable(got), np.uint32, sum(map(len, got)))
-        ends = np.concatenate([[0], np.cumsum(sizes[ids])])
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])
         places = np.searchsorted(ends, np.concatenate([[0], np.cumsum(lengths[order])]))
-        counts = np.empty(len(chunks), np.int64)
-        counts[order] = np.diff(places)
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        starts = np.empty(len(chunks), np.int64)
-        starts[order] = places[:-1]
-        out = np.empty(len(ids), np.uint32)
-        for a in range(0, len(chunks), 1 << 18):
-            b = min(a + (1 << 18), len(chunks))
-            at = np.repeat(starts[a:b] - bounds[a:b], counts[a:b]) + np.arange(bounds[a], bounds[b])
-            out[bounds[a]:bounds[b]] = ids[at]
-        return out, bounds
-
-    return encoded_chunks(part, word_cuts, run)
+        begins, counts = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        begins[order], counts[order] = places[:-1], np.diff(places)
+        return ids, begins, counts
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def encode(part: Slice, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids (no special tokens added) and the bounds of every text."""
+    return encoded_chunks(part, word_cuts, encoder(path))
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray]:

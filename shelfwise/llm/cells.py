@@ -169,10 +169,11 @@ def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def encoded_chunks(part: Slice, cut: Callable[[np.ndarray], np.ndarray], encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def encoded_chunks(part: Slice, cut: Callable[[np.ndarray], np.ndarray], encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of every text and their bounds, with every distinct chunk of the slice encoded once.
 
-    ``cut`` marks the bytes before which a text may be cut without changing its tokens, never after white space; ``encode`` gives the flat ids and the bounds of a list of chunks.
+    ``cut`` marks the bytes before which a text may be cut without changing its tokens, never after white space; ``encode`` gives flat
+    ids, and where in them each chunk's begin and how many they are.
     """
     at = cut(part.data)
     at[part.offsets[1:] - 1] = False
@@ -180,8 +181,45 @@ def encoded_chunks(part: Slice, cut: Callable[[np.ndarray], np.ndarray], encode:
     starts = np.flatnonzero(at)
     coded = packed(part.data, np.append(starts, len(part.data))).dictionary_encode()
     # Only a text's last chunk ends with a line feed, the one that the slice added: no cut follows white space.
-    ids, bounds = encode([c[:-1] if c.endswith(b"\n") else c for c in coded.dictionary.to_pylist()])
+    ids, begins, sizes = encode([c[:-1] if c.endswith(b"\n") else c for c in coded.dictionary.to_pylist()])
     index = coded.indices.to_numpy()
-    lengths = np.diff(bounds)[index]
+    lengths = sizes[index]
     ends = np.concatenate([[0], np.cumsum(lengths)])
-    return ids[spread(bounds[:-1][index], lengths)], ends[np.searchsorted(starts, part.offsets)]
+    return ids[spread(begins[index], lengths)], ends[np.searchsorted(starts, part.offsets)]
+
+
+class HashTable:
+    """Places of 64-bit keys (none negative) in open addressing at a load of an eighth; lookups of whole arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 8))))
+        mask = (1 << self.bits) - 1
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.place = np.full(1 << self.bits, -1, np.int32)
+        self.probes = 1
+        for k, at in enumerate(self.slot(keys).tolist()):
+            n = 1
+            while self.keys[at] != -1:
+                at, n = (at + 1) & mask, n + 1
+            self.keys[at], self.place[at] = keys[k], k
+            self.probes = max(self.probes, n)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of every key in the array that the table was made of, or -1."""
+        at = self.slot(keys)
+        met = self.keys[at]
+        out = np.where(met == keys, self.place[at], np.int32(-1))
+        open_ = np.flatnonzero((met != keys) & (met != -1))
+        for _ in range(self.probes - 1):
+            if not len(open_):
+                break
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            met = self.keys[at[open_]]
+            hit = met == keys[open_]
+            out[open_[hit]] = self.place[at[open_[hit]]]
+            open_ = open_[~hit & (met != -1)]
+        return out

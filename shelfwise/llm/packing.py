@@ -193,7 +193,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = No
         seen = np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for piece in slices(batch.column(1), bytebpe.SLICE):
+            for piece in slices(batch.column(1)):
                 ids, bounds = bytebpe.with_end(*bytebpe.encode(piece, tokenizer), end_id)
                 total = np.diff(bounds)
                 n = -(-total // capacity)

@@ -25,12 +25,27 @@ from shelfwise.sources.staging import new_path
 
 #: Fixed values of the format: ids per word and bits per id of selectors 1 to 14.
 PACKINGS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
-BLOCK = 4096
+BLOCK = 1024
 COUNTS = np.array([1, *(n for n, _ in PACKINGS)])
 BITS = np.array([64, *(b for _, b in PACKINGS)])
 SEGMENT_SCHEMA = "part int, start long, doc_ids array<long>, doc_tokens array<long>, n_ids long, block_offsets array<int>, payload binary"
 
 
+WIDTH_16 = np.array([int(i).bit_length() for i in range(1 << 16)], np.uint8)
+
+
+def bit_widths(values: np.ndarray) -> np.ndarray:
+    """Bits of every value."""
+    out = np.zeros(len(values), np.uint8)
+    for shift in (48, 32, 16, 0):
+        part = values >> np.uint64(shift)
+        if shift and not part.any():
+            continue
+        own = WIDTH_16[part & np.uint64(0xFFFF)]
+        out = np.where((out == 0) & (own > 0), own + np.uint8(shift), out)
+    return out
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of all blocks and every block's first word."""
     n = len(values)
@@ -39,18 +54,21 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     grid = np.zeros(blocks * BLOCK, np.uint64)
     grid[:n] = values
-    # The selector at every place: the first packing whose whole window fits; beyond a block's end everything fits.
-    selector = np.zeros(len(grid), np.uint8)
-    place = np.arange(len(grid), dtype=np.int32).reshape(blocks, BLOCK)
-    top = int(values.max())
+    # The widest value of the next 1, 2, 3, ... values of every place; nothing follows a block's end, so everything fits there.
+    widths = np.zeros((blocks, BLOCK + PACKINGS[0][0]), np.uint8)
+    widths[:, :BLOCK] = bit_widths(grid).reshape(blocks, BLOCK)
+    widest = {1: widths.ravel()}
+    selector = np.zeros(widths.size, np.uint8)
     for s in range(len(PACKINGS), 0, -1):
         count, bits = PACKINGS[s - 1]
-        if top < 1 << bits:
-            selector[:] = s
-            continue
-        bad = np.where((grid >> np.uint64(bits)).reshape(blocks, BLOCK) > 0, place, np.int32(2**31 - 1))
-        nearest = np.minimum.accumulate(bad[:, ::-1], axis=1)[:, ::-1]
-        selector[(nearest - place >= count).ravel()] = s
+        near = max(k for k in widest if k <= count)
+        far = widest[near][count - near:] if count > near else widest[near]
+        if count > near:
+            widest[count] = widest[near].copy()
+            np.maximum(widest[near][:len(far)], far, out=widest[count][:len(far)])
+        fits = (widest[count] <= bits).view(np.uint8)
+        selector = selector * (1 - fits) + s * fits
+    selector = selector.reshape(blocks, -1)[:, :BLOCK].ravel()
     # All blocks walk from word to word side by side.
     at = np.arange(blocks, dtype=np.int64) * BLOCK
     ends = np.minimum(at + BLOCK, n)
@@ -129,7 +147,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in slices(batch.column(1), bytebpe.SLICE):
+            for piece in slices(batch.column(1)):
                 ids, bounds = bytebpe.with_end(*bytebpe.encode(piece, tokenizer), end_id)
                 words, offsets = encode(ids)
                 row = [[part], [start], [batch.column(0).slice(piece.first, len(piece)).to_pylist()], [np.diff(bounds)], [len(ids)], [offsets], [words.astype("<u8").tobytes()]]
