@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfwise.llm import packing, quotient_dedup, simple8b
+from shelfwise.llm import language, licenses, packing, perplexity, piece_bpe, quotient_dedup, simple8b, url_filter, word_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +27,68 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_piece_bpe")
+def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.round_trip_digests(documents(spark, sf_dir))
+
+
+@query("op2_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; their source stands for the host, their stated language for the markup's."""
+    return language.with_language(documents(spark, sf_dir)).select("doc_id", F.col("lang").alias("declared"), "language.predicted", "language.posterior", F.col("language.accepted").alias("kept"))
+
+
+@query("page_languages")
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for raw pages: the language of the ``html`` tag, the host of the address and its suffix."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("markup", F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]+)", 1), F.lit("")))
+    visible = pages.withColumn("visible", F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|&[#\w]+;", " "))
+    judged = language.with_language(visible, "visible", F.col("markup"), F.nullif(url_filter.parts(F.col("url"))[0], F.lit("")))
+    return judged.select("page_id", "markup", "language.predicted", "language.posterior", F.col("language.accepted").alias("kept"))
+
+
+@query("op4_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query(
+    "op5_url_filter",
+    r"""
+    with rules(rule_host, rule_path, rule_verdict) as (
+      values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+    ),
+    rests as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+    parsed as (
+      select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+      from rests
+    ),
+    forms as (select *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') as form from parsed),
+    listed as (select distinct form from forms where regexp_matches(host, '(^|\.)spam')),
+    fitting as (
+      select page_id, host, path, form, rule_host || rule_path as rule, rule_verdict,
+             row_number() over (partition by page_id order by length(rule_host || rule_path) desc nulls last, length(rule_host) desc) as n
+      from forms left join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+    )
+    select page_id, host, path, rule, coalesce(rule_verdict, case when listed.form is not null then 'block' else 'allow' end) as verdict
+    from fitting left join listed on fitting.form = listed.form where n = 1
+    """,
+)
+def filtered_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judge(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), url_filter.spam_pages(pages))
+
+
+@query("op6_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity"]
+    return perplexity.with_quality(documents(spark, sf_dir)).select("doc_id", *(f"quality.{n}" for n in names))
+
+
 @query("op7_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
@@ -44,6 +107,11 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotient_dedup.exact_groups(documents(spark, sf_dir)).drop("row")
 
 
+@query("op9_token_counts")
+def piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_pieces.token_counts(documents(spark, sf_dir))
+
+
 @query("op10_simple8b_tokens")
 def simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.round_trip(documents(spark, sf_dir))
