@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import language, licenses, packing, perplexity, piece_bpe, quotient_dedup, simple8b, url_filter, word_pieces
+from shelfwise.llm import language, licenses, near_dedup, packing, perplexity, piece_bpe, quotient_dedup, simple8b, url_filter, word_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,6 +47,11 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "markup", "language.predicted", "language.posterior", F.col("language.accepted").alias("kept"))
 
 
+@query("op3_minhash_dedup")
+def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir)).drop("row")
+
+
 @query("op4_license_scan")
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
