@@ -62,7 +62,7 @@ def subcategory(title, rules: Sequence[tuple[str, str]] = tuple(words.SUBCATEGOR
 def numeral_value(token) -> Column:
     """Integer value of an Arabic or Chinese numeral token, else NULL."""
     t = col(token)
-    digits = F.map_from_arrays(string_array(list(words.NUMERAL_DIGITS)), F.array(*[F.lit(v) for v in words.NUMERAL_VALUES]))
+    digits = F.map_from_arrays(string_array(list(words.NUMERAL_DIGITS)), F.array(*[F.lit(v) for v in words.NUMERAL_DIGITS.values()]))
     units = F.map_from_arrays(string_array(list(words.NUMERAL_UNITS)), F.array(*[F.lit(v) for v in words.NUMERAL_UNITS.values()]))
 
     def state(total, section, pending):
@@ -84,7 +84,7 @@ def numeral_value(token) -> Column:
         step,
         lambda acc: acc["total"] + acc["section"] + acc["pending"],
     )
-    han = f"^[{words.NUMERAL_DIGITS}{''.join(words.NUMERAL_UNITS)}]+$"
+    han = f"^[{''.join(words.NUMERAL_DIGITS)}{''.join(words.NUMERAL_UNITS)}]+$"
     return F.when(t.rlike(r"^\d+$"), t.try_cast("bigint")).when(t.rlike(han), folded)
 
 
