@@ -1,8 +1,9 @@
 """Exact quantiles, percent ranks and positions inside groups, without a one-task-per-group step.
 
-The rows of a group are first collapsed to ``(key, value, count)``.  Values are then cut into bins by an
-arithmetic rule on the group's own minimum and maximum, bin totals give each bin its starting count, and
-only inside a bin are values sorted.  A group with a third of all rows is spread over its bins, and the
+The rows of a group are first collapsed to ``(key, value, count)``.  Values are then cut into bins by their
+distances from the group's minimum and maximum, both on a scale of ratios, so that one value far off at either
+end leaves the others apart.  Bin totals give each bin its starting count, and only inside a bin are values
+sorted.  NaN counts as NULL.  A group with a third of all rows is spread over its bins, and the
 result is exact: bins only decide where work happens.
 """
 
@@ -13,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 4096
+RESOLUTION = 4096
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -28,12 +29,24 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return left.withColumn("_row", row).select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in added])
 
 
-def _binned(points: DataFrame, keys: Sequence[str], bins: int) -> tuple[DataFrame, DataFrame]:
+def present(c: Column) -> Column:
+    """Neither NULL nor NaN."""
+    return c.isNotNull() & ~F.isnan(c.cast("double"))
+
+
+def _step(distance: Column) -> Column:
+    """About 45 steps for every doubling; square roots are exactly rounded, so every executor agrees."""
+    for _ in range(6):
+        distance = F.sqrt(distance)
+    return F.floor(distance * RESOLUTION)
+
+
+def _binned(points: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """``points(keys, _v, _c)`` with a bin column, and per-bin totals with their starting counts."""
     bounds = points.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    frac = F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    # the fourth root spreads long tails; square roots are exactly rounded, so every executor agrees
-    place = F.least(F.floor(F.sqrt(F.sqrt(frac)) * bins), F.lit(bins - 1)).cast("int")
+    # both steps rise with the value, so a bin is a range of values
+    v, lo, hi = (F.col(c).cast("double") for c in ("_v", "_lo", "_hi"))
+    place = F.struct(_step(v - lo).alias("up"), (-_step(hi - v)).alias("down"))
     located = join_on_keys(points, bounds, keys, "inner").withColumn("_bin", place)
     totals = located.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_tot"), F.first("_n").alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -41,15 +54,15 @@ def _binned(points: DataFrame, keys: Sequence[str], bins: int) -> tuple[DataFram
     return located.select(*keys, "_bin", "_v", "_c"), totals
 
 
-def running_counts(points: DataFrame, keys: Sequence[str], bins: int = BINS) -> DataFrame:
+def running_counts(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``points(keys, _v, _c)`` plus ``_cum`` (rows with value <= _v) and ``_n`` (rows of the group)."""
-    located, totals = _binned(points, keys, bins)
+    located, totals = _binned(points, keys)
     joined = join_on_keys(located, totals.drop("_tot"), [*keys, "_bin"], "inner")
     w = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.select(*keys, "_v", "_c", (F.col("_off") + F.sum("_c").over(w)).alias("_cum"), "_n")
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]], bins: int = BINS) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
     """Exact linearly interpolated quantiles.
 
     ``wanted`` maps an output name to ``(column, probability)``.  All columns go through one pass; groups
@@ -61,7 +74,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str
     long = df.select(*keys, F.inline(entries)).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     gkeys = [*keys, "_m"]
     points = long.groupBy(*gkeys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    located, totals = _binned(points, gkeys, bins)
+    located, totals = _binned(points, gkeys)
 
     def position(p: float) -> Column:
         return F.lit(float(p)) * (F.col("_n") - 1)
@@ -97,11 +110,11 @@ def with_quantiles(stats: DataFrame, df: DataFrame, keys: Sequence[str], wanted:
 def add_ranks(df: DataFrame, keys: Sequence[str], value: str, percent: str | None = None, rank_desc: str | None = None, rank_asc: str | None = None) -> DataFrame:
     """Ranks of ``value`` in its group: average-tie percent rank, minimum rank descending or ascending.
 
-    NULL values keep a NULL rank.  The join back is on ``(keys, value)``; adaptive execution splits a
+    NULL and NaN keep a NULL rank.  The join back is on ``(keys, value)``; adaptive execution splits a
     value that dominates a group.
     """
     points = (
-        df.where(F.col(value).isNotNull())
+        df.where(present(F.col(value)))
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )

@@ -1,7 +1,7 @@
 """Entities out of titles as table jobs: dictionary matches, brand filling and mining, structuring.
 
-A dictionary that is itself a table is matched by an equi-join on the first characters of its terms, so
-neither side is paired with the whole other side.
+A dictionary that is itself a table is matched by an equi-join on whole terms, so neither side is paired
+with the whole other side.
 """
 
 from __future__ import annotations
@@ -16,31 +16,36 @@ from shelfwise.functions import text as tx
 from shelfwise.functions.weight import weight_structured
 
 
-SMALL_PREFIX_SET = 1000
+FILTER_BITS = 1 << 16
 
 
-def contained_pairs(df: DataFrame, key: str, text: str, terms: DataFrame, term: str, block: int = 2, ignore_case: bool = False) -> DataFrame:
-    """``(key, term)`` for every dictionary term that occurs in the text.
+def _term_filter(terms: DataFrame, term: str) -> Column:
+    """A bitmap of fixed size with a bit for the hash of every term, as one array that is computed once."""
+    place = F.pmod(F.xxhash64(term), F.lit(FILTER_BITS))
+    cells = terms.select((place / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    filled = cells.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))  # at most FILTER_BITS / 64 entries
+    return filled.select(F.transform(F.sequence(F.lit(0), F.lit(FILTER_BITS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("words")).scalar()
+
 
-    Each text yields its distinct character windows of length ``block``; windows meet the terms' first
-    ``block`` characters in an equi-join and survivors are checked literally.  Terms shorter than the
-    block are matched through their whole length.  Choose a larger block for long texts and long terms.
+def contained_pairs(df: DataFrame, key: str, text: str, terms: DataFrame, term: str, ignore_case: bool = False) -> DataFrame:
+    """``(key, term)`` for every dictionary term that occurs in the text.
 
-    While the dictionary has few distinct prefixes (counted at run time), windows that start no term are
-    dropped inside the row, before they are exploded; beyond that the join alone filters them.
+    A text yields its windows of every length that terms have; windows meet whole terms in an equi-join. Only the key and
+    the window travel, and a bitmap of fixed size drops most windows that are no term before they leave their row.
     """
     fold = F.lower if ignore_case else (lambda c: c)
-    d = terms.select(F.col(term)).where(F.length(term) > 0).distinct()
-    d = d.withColumn("_p", F.substring(fold(F.col(term)), 1, block))
-    few = d.select("_p").distinct().limit(SMALL_PREFIX_SET + 1)
-    prefixes = few.agg(F.when(F.count(F.lit(1)) <= SMALL_PREFIX_SET, F.collect_set("_p")).alias("s")).scalar()
-    # windows shorter than the block serve the terms that are shorter than it
-    windows = F.concat(*[F.regexp_extract_all(F.col("_t"), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, block + 1)])
+    d = terms.select(F.col(term)).where(F.length(term) > 0).distinct().withColumn("_w", fold(F.col(term)))
+    lengths = d.select(F.length("_w").alias("n")).distinct().agg(F.sort_array(F.collect_list("n")).alias("s")).scalar()
     t = df.select(F.col(key).alias("_key"), fold(F.col(text)).alias("_t")).where(F.col("_t").isNotNull())
-    starts = F.when(prefixes.isNotNull(), F.array_intersect(windows, prefixes)).otherwise(F.array_distinct(windows))
-    grams = t.select("_key", "_t", F.explode(starts).alias("_p"))
-    hits = grams.join(d, "_p").where(F.contains(F.col("_t"), fold(F.col(term))))
-    return hits.select(F.col("_key").alias(key), F.col(term)).distinct()
+    by_length = t.withColumn("_words", _term_filter(d, "_w")).select("_key", "_t", "_words", F.explode(lengths).alias("_n")).where(F.length("_t") >= F.col("_n"))
+    windows = by_length.select("_key", "_words", F.array_distinct(F.regexp_extract_all(F.col("_t"), F.concat(F.lit("(?s)(?=(.{"), F.col("_n"), F.lit("}))")), F.lit(1))).alias("_all"))
+
+    def possible(w: Column) -> Column:
+        place = F.pmod(F.xxhash64(w), F.lit(FILTER_BITS))
+        return F.get(F.col("_words"), (place / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))) != 0
+
+    grams = windows.select("_key", F.explode(F.filter("_all", possible)).alias("_w"))
+    return grams.join(d, "_w").select(F.col("_key").alias(key), F.col(term)).distinct()
 
 
 def contained_words(df: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
@@ -71,15 +76,15 @@ def title_head(name, pattern: str = r"^([A-Za-z0-9一-龥]{2,12})") -> Column:
 
 def brand_from_titles(df: DataFrame, key: str = "sku", title: str = "title", brand: str = "brand", aliases: DataFrame | None = None) -> DataFrame:
     """``brand_from_name``: own brand if contained, else the longest known brand, else the title head."""
-    base = df.withColumn("_name", tx.normalize_text(title))
-    cleaned = tx.clean_brand(tx.normalize_text(brand), separators="any", strip_suffix=True)
-    base = base.withColumn("_own", tx.let(cleaned, lambda b: F.when((b != "") & F.contains(F.col("_name"), b), b)))
+    base = df.withColumn("_name", tx.normalize_text(title)).withColumn("_clean", tx.clean_brand(tx.normalize_text(brand), separators="any", strip_suffix=True))
+    base = base.withColumn("_own", F.when((F.col("_clean") != "") & F.contains(F.col("_name"), F.col("_clean")), F.col("_clean"))).drop("_clean")
     known = aliases if aliases is not None else brand_dictionary(df, brand)
-    # one lookup per distinct title of the rows whose own brand is absent from it
-    needy = base.where(F.col("_own").isNull()).select("_name").distinct()
-    found = longest_contained(needy, "_name", "_name", known, "alias", "_found")
-    out = base.join(found, "_name", "left").withColumn("brand_from_name", F.coalesce("_own", "_found", title_head("_name")))
-    return out.drop("_name", "_own", "_found")
+    # one lookup per distinct title, and a join of the rows alone whose own brand is absent from it
+    needy = base.where(F.col("_own").isNull())
+    found = longest_contained(needy.select("_name").distinct(), "_name", "_name", known, "alias", "_found")
+    filled = needy.join(found, "_name", "left").withColumn("brand_from_name", F.coalesce("_found", title_head("_name"))).drop("_found")
+    out = base.where(F.col("_own").isNotNull()).withColumn("brand_from_name", F.col("_own")).unionByName(filled)
+    return out.drop("_name", "_own")
 
 
 def shop_tag_free_title(title) -> Column:
@@ -100,7 +105,7 @@ def _alias(low: Column, aliases: Sequence[tuple[str, str]]) -> Column:
 
 
 def _leading_feature(han: Column) -> Column:
-    """Leading Han run cut before the first listed word that occurs behind its first character, at most 4 characters."""
+    """Leading Han run cut before the first listed word that occurs behind its first character; fixed form: 4 characters of it."""
     cut = None
     for s in words.LEADING_TOKEN_CUTS:
         at = F.locate(s, han)
@@ -169,15 +174,16 @@ def mine_brands(df: DataFrame, title: str = "title", token_pattern: str = r"^([
     return counts.where((F.col("support") >= min_support) & ~F.col("token").isin(*generic))
 
 
-def apply_prefix_brands(df: DataFrame, brands: DataFrame, title: str = "title", brand: str = "token", max_length: int = 8) -> DataFrame:
+def apply_prefix_brands(df: DataFrame, brands: DataFrame, title: str = "title", brand: str = "token") -> DataFrame:
     """Longest mined brand that starts the title (``brand_from_prefix``, NULL without one).
 
-    A title's prefixes of every length meet the dictionary in one equi-join.
+    A title's prefixes of every length that brands have meet the dictionary in one equi-join.
     """
-    d = brands.select(F.col(brand).alias("_b")).distinct()
-    prefixes = F.array_distinct(F.transform(F.sequence(F.lit(2), F.lit(max_length)), lambda n: F.substring(F.col("_title"), F.lit(1), n)))
+    d = brands.select(F.col(brand).alias("_b")).where(F.length(brand) > 0).distinct()
+    lengths = d.select(F.length("_b").alias("n")).distinct().agg(F.sort_array(F.collect_list("n")).alias("s")).scalar()
     t = df.select(F.col(title).alias("_title")).where(F.col(title).isNotNull()).distinct()
-    hits = t.select("_title", F.explode(prefixes).alias("_b")).join(d, "_b")
+    prefixes = t.withColumn("_n", F.explode(lengths)).where(F.length("_title") >= F.col("_n")).select("_title", F.substring("_title", F.lit(1), F.col("_n")).alias("_b"))
+    hits = prefixes.join(d, "_b")
     best = hits.groupBy("_title").agg(F.max_by("_b", F.length("_b")).alias("brand_from_prefix"))
     return df.join(best, df[title] == best["_title"], "left").drop("_title")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from shelfwise.functions import pagetext as pg
 from shelfwise.functions import text as tx
 from shelfwise.functions import urls
 from shelfwise.operators.dedupe import keep_one
+from shelfwise.sources.staging import stage
 
 
 def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -99,21 +102,25 @@ def rank_products(payloads: DataFrame, key: str, column: str) -> DataFrame:
     return keep_one(rows, [key, "item_id"], [F.col("_floor").desc(), F.col("_at").desc()]).drop("_floor", "_at")
 
 
-def nested_products(payloads: DataFrame, key: str, column: str, depth: int = 6) -> DataFrame:
+def nested_products(payloads: DataFrame, key: str, column: str) -> DataFrame:
     """Products anywhere in a payload of unknown nesting: objects that carry a product id and a title.
 
-    The JSON is opened one level per step down to ``depth``; payloads nest deeper only when ``depth`` says so.
+    The JSON is opened one level per step until a level is empty; every level is staged, so a payload is parsed
+    once and a step reads only what the step before has left.
     """
-    level = payloads.select(key, F.try_parse_json(column).alias("v"), F.lit("").alias("_path")).where(F.col("v").isNotNull())
     has = lambda *names: F.coalesce(*[F.try_variant_get("v", f"$.{n}", "string") for n in names]).isNotNull()
-    found = None
-    for _ in range(depth):
-        rows = level.where(has("skuId", "mainSkuId", "sku") & has("name", "skuTitle", "title")).select(key, "_path", F.from_json(F.to_json("v"), PRODUCT_SCHEMA).alias("p"))
-        found = rows if found is None else found.unionByName(rows)
+    product = F.when(has("skuId", "mainSkuId", "sku") & has("name", "skuTitle", "title"), F.from_json(F.to_json("v"), PRODUCT_SCHEMA))
+    level = stage(payloads.select(key, F.col(column).alias("_json"), F.lit("").alias("_path")))
+    found = []
+    while not level.isEmpty():
+        opened = level.select(key, "_path", F.try_parse_json("_json").alias("v")).where(F.col("v").isNotNull())
+        found.append(opened.select(key, "_path", product.alias("p")).where(F.col("p").isNotNull()))
         children = level.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).select(F.col("pos").alias("_pos"), F.col("value").alias("_child"))
         path = F.concat("_path", F.lit("/"), F.lpad(F.col("_pos").cast("string"), 6, "0"))
-        level = level.lateralJoin(children).where(F.col("_child").isNotNull()).select(key, F.col("_child").alias("v"), path.alias("_path"))
-    rows = found.select(key, "_path", *product_fields(F.col("p"))).where(F.col("item_id") != "")
+        inner = opened.lateralJoin(children).where(F.col("_child").isNotNull()).select(key, F.to_json("_child").alias("_json"), path.alias("_path"))
+        level = stage(inner.where(F.col("_json").rlike(r"^\s*[\[{]")))  # numbers and texts hold no products
+    rows = reduce(DataFrame.unionByName, found) if found else level.select(key, "_path", F.lit(None).cast(PRODUCT_SCHEMA).alias("p"))
+    rows = rows.select(key, "_path", *product_fields(F.col("p"))).where(F.col("item_id") != "")
     return keep_one(rows, [key, "item_id"], [F.col("_path").desc()]).drop("_path")
 
 
@@ -148,14 +155,27 @@ def parse_details(details: DataFrame, key: str, raw: str) -> DataFrame:
     return out.withColumn("effective", pg.effective_detail(raw, [*fields, "good_rate", "evaluation_tags", raw]))
 
 
-def review_blocks(df: DataFrame, key: str, text: str, split: str = r"\n{2,}|\n(?=[^\n]*20\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2})", min_chars: int = 12) -> DataFrame:
-    """Text of many reviews to one row per block."""
-    blocks = df.select(key, F.posexplode(F.split(text, split)).alias("ordinal", "block")).withColumn("block", tx.strip("block"))
+_REVIEW_START = r"20\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2}"
+
+
+def review_blocks(df: DataFrame, key: str, text: str, split: str = rf"\n{{2,}}|\n(?=[^\n]*{_REVIEW_START})", min_chars: int = 12) -> DataFrame:
+    """Text of many reviews to one row per block.
+
+    Where that gives at most two blocks, a line with a date, stars or a verdict begins a new one.
+    """
+    by_line = rf"\n(?=[^\n]*(?:{_REVIEW_START}|[1-5]\s*星|好评|中评|差评))"
+    trim = lambda pattern: F.filter(F.transform(F.split(text, pattern), tx.strip), lambda b: b != "")
+    cut = df.select(key, F.col(text).alias("_text"), trim(split).alias("_blocks"), trim(by_line).alias("_lines"))
+    chosen = F.when(F.size("_blocks") <= 2, F.col("_lines")).otherwise(F.col("_blocks"))
+    blocks = cut.select(key, F.posexplode(chosen).alias("ordinal", "block"))
     return blocks.where(F.length("block") >= min_chars)
 
 
-def parse_reviews(df: DataFrame, key: str, text: str, dedupe_chars: int = 120, **kw) -> DataFrame:
-    """Score, date, content and likes per block; one row per ``(key, date, content head)``."""
+def parse_reviews(df: DataFrame, key: str, text: str, dedupe_chars: int | None = None, **kw) -> DataFrame:
+    """Score, date, content and likes per block; one row per ``(key, date, content)``.
+
+    The content counts whole; ``dedupe_chars`` compares a head of it instead (the published form has 120 characters).
+    """
     b = review_blocks(df, key, text, **kw)
     r = b.select(
         key, "ordinal", pg.review_score("block").alias("score"), pg.iso_date("block").alias("date"),
@@ -163,8 +183,9 @@ def parse_reviews(df: DataFrame, key: str, text: str, dedupe_chars: int = 120, *
     ).where(F.col("content") != "")
     weak = F.col("date").isNull() & F.col("score").isNull() & (F.length("content") < 12)
     bulky = (F.length("content") > 300) & ~F.col("block").rlike(r"好评|差评|追评|星|20\d{2}")
-    r = r.where(~weak & ~bulky).withColumn("_head", F.substring("content", 1, dedupe_chars))
-    return keep_one(r, [key, "date", "_head"], [F.col("ordinal").asc()]).drop("_head", "block")
+    own = F.substring("content", 1, dedupe_chars) if dedupe_chars else F.col("content")
+    r = r.where(~weak & ~bulky).withColumn("_own", F.sha2(own, 256))
+    return keep_one(r, [key, "date", "_own"], [F.col("ordinal").asc()]).drop("_own", "block")
 
 
 _COMMENT = "struct<content:string,commentData:string,score:string,commentScore:string,creationTime:string,referenceTime:string,usefulVoteCount:bigint,usefulCount:bigint,nickname:string,referenceName:string>"

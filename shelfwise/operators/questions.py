@@ -17,13 +17,13 @@ def price_cap(text, pattern: str = r"(\d+(?:\.\d+)?)\s*元\s*(?:以内|以下|
     return tx.rx_number(text, pattern)
 
 
-def question_parameters(questions: DataFrame, brands: DataFrame, categories: DataFrame, key: str = "question_id", text: str = "text", fallback: Sequence[str] = tuple(words.FALLBACK_CATEGORIES), block: int = 2) -> DataFrame:
+def question_parameters(questions: DataFrame, brands: DataFrame, categories: DataFrame, key: str = "question_id", text: str = "text", fallback: Sequence[str] = tuple(words.FALLBACK_CATEGORIES)) -> DataFrame:
     """Price cap, longest contained brand and category of every question.
 
     Dictionaries are one-column tables ``brand`` and ``category``.
     """
     def longest(terms: DataFrame, column: str, name: str) -> DataFrame:
-        pairs = contained_pairs(questions, key, text, terms, column, block=block)
+        pairs = contained_pairs(questions, key, text, terms, column)
         return pairs.groupBy(key).agg(F.max_by(column, F.struct(F.length(column), F.col(column))).alias(name))
 
     out = questions.join(longest(brands, "brand", "brand"), key, "left").join(longest(categories, "category", "_cat"), key, "left")

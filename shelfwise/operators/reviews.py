@@ -21,7 +21,7 @@ def reason_counts(df: DataFrame, key: str = "item_id") -> DataFrame:
     return df.rollup("reason", key).agg(F.count(F.lit(1)).alias("n")).where(F.col("reason").isNotNull())
 
 
-def distinct_reviews(df: DataFrame, keys: Sequence[str], text: str, chars: int | None = 100, order=None) -> DataFrame:
-    """One review per key and text; ``chars`` is the length of the text head that is part of the review key."""
-    head = F.substring(text, 1, chars) if chars else F.col(text)
-    return keep_one(df.withColumn("_head", head), [*keys, "_head"], order or [F.col(text).asc()]).drop("_head")
+def distinct_reviews(df: DataFrame, keys: Sequence[str], text: str, chars: int | None = None, order=None) -> DataFrame:
+    """One review per key and text; the text counts whole, or ``chars`` of its head (the published form has 100)."""
+    own = F.substring(text, 1, chars) if chars else F.col(text)
+    return keep_one(df.withColumn("_own", F.sha2(own, 256)), [*keys, "_own"], order or [F.col(text).asc()]).drop("_own")

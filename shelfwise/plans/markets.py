@@ -299,15 +299,14 @@ _LABELS = ", ".join(f"'{x}'" for x in words.REPORT_BANDS[1])
 @query(
     "price_band_distribution",
     f"""WITH b AS (SELECT price_band, count(*) AS n, sum(sales) AS sales_sum, avg(sales) AS sales_mean, avg(price) AS price_mean
-               FROM (SELECT *, {_REPORT_BAND} AS price_band FROM offers WHERE price < 100) GROUP BY 1)
+               FROM (SELECT *, {_REPORT_BAND} AS price_band FROM offers) GROUP BY 1)
         SELECT l.price_band, coalesce(n, 0) AS n, sales_sum, {rnd('sales_mean')} AS sales_mean, {rnd('price_mean')} AS price_mean,
-          {rnd('coalesce(n, 0) / (SELECT count(*) FROM offers WHERE price < 100)', 6)} AS share
+          {rnd('coalesce(n, 0) / (SELECT count(*) FROM offers)', 6)} AS share
         FROM (SELECT unnest([{_LABELS}]) AS price_band) l LEFT JOIN b ON l.price_band = b.price_band""",
     ["offers"],
 )
 def price_band_distribution(spark, sf):
-    df = report_banded(spark, sf).where(F.col("price") < 100)
-    out = mk.share_of_total(df, "price_band", words.REPORT_BANDS[1])
+    out = mk.share_of_total(report_banded(spark, sf), "price_band", words.REPORT_BANDS[1])
     return rounded(rounded(out, "sales_mean", "price_mean"), "share", digits=6)
 
 

@@ -131,7 +131,7 @@ def nested_products(spark, sf):
     o = views.offers(spark, sf, parallel=True)
     inner = F.struct(F.col("sku").alias("mainSkuId"), F.col("title").alias("skuTitle"), F.format_string("%.2f", "price").alias("jdPrice"))
     doc = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("x").alias("a"), F.struct(inner.alias("card")).alias("b"))).alias("list")).alias("data")))
-    out = ps.nested_products(o.select(F.struct(*KEYS).alias("k"), doc.alias("payload")), "k", "payload", depth=6)
+    out = ps.nested_products(o.select(F.struct(*KEYS).alias("k"), doc.alias("payload")), "k", "payload")
     return out.select("k.*", "item_id", "title", F.col("price").cast("double").alias("price"))
 
 

@@ -48,11 +48,11 @@ def negative_keyword_hits(spark, sf):
 
 @query(
     "distinct_reviews",
-    "SELECT item_id, min(doc_id) AS doc_id FROM reviews GROUP BY item_id, substr(text, 1, 100)",
+    "SELECT item_id, min(doc_id) AS doc_id FROM reviews GROUP BY item_id, text",
     ["reviews"],
 )
 def distinct_reviews(spark, sf):
-    return rv.distinct_reviews(views.reviews(spark, sf), ["item_id"], "text", 100, [F.col("doc_id").asc()]).select("item_id", "doc_id")
+    return rv.distinct_reviews(views.reviews(spark, sf), ["item_id"], "text", order=[F.col("doc_id").asc()]).select("item_id", "doc_id")
 
 
 @query(
@@ -102,7 +102,7 @@ _ASKED = """a AS (SELECT question_id, text || ' ' || CAST(length(text) % 900 + 2
 def _params(spark, sf):
     c = views.catalog(spark, sf)
     cats = c.select(F.explode(F.array("category", "level2")).alias("category")).distinct()
-    return qs.question_parameters(_asked(spark, sf), c.select("brand").distinct(), cats, block=4)
+    return qs.question_parameters(_asked(spark, sf), c.select("brand").distinct(), cats)
 
 
 @query("question_parameters", f"WITH {_ASKED} SELECT question_id, max_price, brand, category, category AS keyword FROM p", ["questions", "catalog"])

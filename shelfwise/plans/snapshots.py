@@ -150,11 +150,11 @@ def search_keywords(spark, sf):
 @query(
     "historical_unified",
     f"""SELECT sku AS product_id, title AS product_title, price AS current_price, promotion AS promotion_tags, CAST(sales * 100 AS DOUBLE) AS sales_lower, 'medium' AS sales_confidence,
-        'Goods > ' || level2 || ' > ' || category AS category_path FROM catalog WHERE sales >= 10""",
+        'Goods > ' || level2 || ' > ' || category AS category_path FROM catalog""",
     ["catalog"],
 )
 def historical_unified(spark, sf):
-    c = views.catalog(spark, sf).where(F.col("sales") >= 10)
+    c = views.catalog(spark, sf)
     hist = c.select(
         F.concat("sku", F.lit(".0")).alias("sku"), "title", F.format_string("￥%.2f", "price").alias("price"), F.format_string("%.2f", "original_price").alias("original_price"),
         F.regexp_replace("promotion", "[, ]", "|").alias("promotion"), "comments", F.concat((F.col("sales") * 100).cast("bigint").cast("string"), F.lit("+")).alias("sales_text"), "shop",

@@ -66,13 +66,13 @@ def stream_latest_status(spark, sf):
 
 @query(
     "stream_distinct_reviews",
-    "SELECT DISTINCT source AS item_id, substr(text, 1, 100) AS review_head FROM documents",
+    "SELECT DISTINCT source AS item_id, sha256(text) AS review_key FROM documents",
 )
 def stream_distinct_reviews(spark, sf):
     d = workdir(spark)
     docs = feeds.read_stream(spark, sf, "documents.parquet").select(F.col("source").alias("item_id"), "text", F.timestamp_seconds(F.col("doc_id") + 1_000_000_000).alias("ts"))
     feeds.run_available(feeds.distinct_reviews(docs, ["item_id"], "text", "ts"), f"{d}/cp", f"{d}/out")
-    return spark.read.parquet(f"{d}/out").select("item_id", "review_head")
+    return spark.read.parquet(f"{d}/out").select("item_id", "review_key")
 
 
 @query(

@@ -40,24 +40,24 @@ def brands_from_titles(spark, sf):
 
 @query(
     "contained_vocabulary",
-    """WITH v AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_split_to_array(text, '[^a-zA-Z]+')) AS w FROM benchmark) WHERE length(w) >= 8)
+    """WITH v AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_split_to_array(text, '[^a-zA-Z]+')) AS w FROM benchmark) WHERE w <> '')
        SELECT question_id, count(*) AS terms, arg_max(w, row(length(w), w)) AS longest FROM questions JOIN v ON contains(text, w) GROUP BY 1""",
     ["questions"],
 )
 def contained_vocabulary(spark, sf):
     v = _vocabulary(spark, sf)
-    pairs = ex.contained_pairs(views.questions(spark, sf), "question_id", "text", v, "w", block=4)
+    pairs = ex.contained_pairs(views.questions(spark, sf), "question_id", "text", v, "w")
     return pairs.groupBy("question_id").agg(F.count(F.lit(1)).alias("terms"), F.max_by("w", F.struct(F.length("w"), F.col("w"))).alias("longest"))
 
 
 def _vocabulary(spark, sf):
     w = views.table(spark, sf, "benchmark").select(F.explode(F.split("text", "[^a-zA-Z]+")).alias("w"))
-    return w.select(F.lower("w").alias("w")).where(F.length("w") >= 8).distinct()
+    return w.select(F.lower("w").alias("w")).where(F.col("w") != "").distinct()
 
 
 @query(
     "document_vocabulary",
-    """WITH v AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_split_to_array(text, '[^a-zA-Z]+')) AS w FROM benchmark) WHERE length(w) >= 8),
+    """WITH v AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_split_to_array(text, '[^a-zA-Z]+')) AS w FROM benchmark) WHERE w <> ''),
        t AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS w FROM documents))
        SELECT doc_id, count(*) AS terms FROM t JOIN v USING (w) GROUP BY 1""",
 )

@@ -12,8 +12,6 @@ from shelfwise.operators.dedupe import keep_one
 from shelfwise.operators.snapshots import change_log
 from shelfwise.sources.sinks import KeyedTable
 
-REVIEW_HEAD = 100
-
 
 def read_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", max_files: int | None = None) -> DataFrame:
     """Files of a folder that match ``pattern`` as a stream, with the schema of what is there now."""
@@ -29,9 +27,13 @@ def event_time(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def distinct_reviews(stream: DataFrame, keys: Sequence[str], text: str, time: str, delay: str = "7 days", chars: int = REVIEW_HEAD) -> DataFrame:
-    """First arrival of every ``(keys, head of the text)``; state expires with the watermark."""
-    return stream.withWatermark(time, delay).withColumn("review_head", F.substring(text, 1, chars)).dropDuplicatesWithinWatermark([*keys, "review_head"])
+def distinct_reviews(stream: DataFrame, keys: Sequence[str], text: str, time: str, delay: str = "7 days", chars: int | None = None) -> DataFrame:
+    """First arrival of every ``(keys, text)``; state holds a hash per review and expires with the watermark.
+
+    The text counts whole, or ``chars`` of its head (the published form has 100).
+    """
+    own = F.substring(text, 1, chars) if chars else F.col(text)
+    return stream.withWatermark(time, delay).withColumn("review_key", F.sha2(own, 256)).dropDuplicatesWithinWatermark([*keys, "review_key"])
 
 
 def quota_windows(stream: DataFrame, time: str, quota: int, delay: str = "7 hours", start_hour: int = 23, end_hour: int = 6) -> DataFrame:

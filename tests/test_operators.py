@@ -119,18 +119,61 @@ def test_contained_pairs_against_brute_force(spark):
     terms = ["松鼠", "三只松鼠", "Brand#1", "Brand#12", "a", "鼠坚", "zz"]
     t = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
     d = spark.createDataFrame([(x,) for x in terms], "w string")
-    for block in (1, 2, 3):
-        got = {(r.k, r.w) for r in ex.contained_pairs(t, "k", "t", d, "w", block=block).collect()}
-        assert got == {(i, w) for i, x in enumerate(texts) for w in terms if w in x}
+    got = {(r.k, r.w) for r in ex.contained_pairs(t, "k", "t", d, "w").collect()}
+    assert got == {(i, w) for i, x in enumerate(texts) for w in terms if w in x}
+    assert ex.contained_pairs(t, "k", "t", d.where("false"), "w").count() == 0
     folded = {(r.k, r.w) for r in ex.contained_pairs(t, "k", "t", d, "w", ignore_case=True).collect()}
     assert folded == {(i, w) for i, x in enumerate(texts) for w in terms if w.lower() in x.lower()}
 
 
-def test_contained_pairs_beyond_the_small_prefix_set(spark, monkeypatch):
-    monkeypatch.setattr(ex, "SMALL_PREFIX_SET", 1)
-    t = spark.createDataFrame([(1, "abcdef"), (2, "xyz")], "k int, t string")
-    d = spark.createDataFrame([("bc",), ("ef",), ("yz",), ("q",)], "w string")
-    assert {(r.k, r.w) for r in ex.contained_pairs(t, "k", "t", d, "w").collect()} == {(1, "bc"), (1, "ef"), (2, "yz")}
+def test_contained_pairs_with_many_terms_of_one_prefix_and_a_long_text(spark):
+    terms = [f"Brand#{i}" for i in range(5000)]
+    texts = ["x" * 50_000 + "Brand#4321!" + "y" * 50_000, "Brand#49999", "none"]
+    t = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    pairs = ex.contained_pairs(t, "k", "t", spark.createDataFrame([(w,) for w in terms], "w string"), "w")
+    assert {(r.k, r.w) for r in pairs.collect()} == {(i, w) for i, x in enumerate(texts) for w in terms if w in x}
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.split("\n") if "Join Inner" in line)
+    assert "_t" not in join and "contains" not in plan.lower()  # whole terms meet, no text and no prefix
+
+
+def test_products_at_any_depth(spark):
+    import json
+
+    def wrap(depth):
+        inner = {"skuId": str(depth), "name": f"n{depth}", "jdPrice": "1.5"}
+        for k in range(depth):
+            inner = {"k": inner} if k % 2 else [0, inner]
+        return json.dumps(inner)
+
+    df = spark.createDataFrame([(d, wrap(d)) for d in (0, 1, 5, 6, 12)] + [(99, "no json"), (98, None)], "k int, j string")
+    from shelfwise.operators import parsing as ps
+
+    assert {(r.k, r.item_id) for r in ps.nested_products(df, "k", "j").collect()} == {(d, str(d)) for d in (0, 1, 5, 6, 12)}
+
+
+def test_reviews_on_single_lines_and_whole_texts(spark):
+    from shelfwise.operators import parsing as ps
+    from shelfwise.operators import reviews as rv
+
+    text = "2024-05-01 5星\n口感很好，包装也不错\n2024-05-02 1星\n收到时已经破损了，不满意"
+    rows = ps.parse_reviews(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t").collect()
+    assert {(str(r.date), r.score) for r in rows} == {("2024-05-01", 5), ("2024-05-02", 1)}
+    head = "a" * 200
+    df = spark.createDataFrame([("i", head + "1"), ("i", head + "2"), ("i", head + "1")], "k string, t string")
+    assert rv.distinct_reviews(df, ["k"], "t").count() == 2 and rv.distinct_reviews(df, ["k"], "t", chars=100).count() == 1
+
+
+def test_staging_needs_a_shared_folder_off_a_local_master(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from shelfwise.sources import staging
+
+    fake = lambda master, named=None, context=None: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: named), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: context))
+    assert staging.shared_folder(fake("spark://x", "hdfs://a/b/")) == "hdfs://a/b"
+    assert staging.shared_folder(fake("yarn", None, "hdfs://c")) == "hdfs://c"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_folder(fake("yarn"))
 
 
 def _snapshots(spark):
@@ -193,3 +236,16 @@ def test_tercile_band_edges(spark):
     got = {(r.category, r.price): r.price_band for r in mk.tercile_bands(df).collect()}
     assert got["two", 1.0] == "中价" and got["many", None] == "未知"
     assert [got["many", float(i)] for i in (1, 3, 4, 6, 7, 10)] == ["低价", "低价", "中价", "中价", "高价", "高价"]
+
+
+def test_ranks_with_nan_and_far_values(spark):
+    values = [1.0, float("nan"), 2.0, None, 2.0]
+    df = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)], "g string, i int, v double")
+    got = [r.p for r in ds.add_ranks(df, ["g"], "v", percent="p").orderBy("i").collect()]
+    want = pd.Series([1.0, np.nan, 2.0, np.nan, 2.0]).rank(pct=True).tolist()
+    assert [None if np.isnan(w) else pytest.approx(w) for w in want] == got
+    far = spark.range(20_000).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("_v"), F.lit(1).alias("_c"))
+    both = far.unionByName(spark.createDataFrame([("g", 1e12, 1), ("h", 3.0, 2)], "g string, _v double, _c int"))
+    _, totals = ds._binned(both, ["g"])
+    assert totals.agg(F.max("_tot")).first()[0] < 600
+    assert ds.running_counts(both, ["g"]).where("g = 'g' AND _cum <> least(_v, 20000) + 1").count() == 0
