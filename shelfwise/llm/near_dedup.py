@@ -5,8 +5,8 @@
 2. Classes with an equal band meet in a bucket. Buckets are cut into blocks, and pairs of blocks are compared in tasks: similarities are
    estimated by bit counts and corrected for chance collisions, what may reach the threshold is confirmed on the full sets, and a
    spanning forest of the links goes out, never all pairs. A bucket whose members are in one component already is not compared.
-3. Buckets of several blocks are compared block by block with themselves and with their first block. Then every member outside
-   the bucket's largest component meets all members, so no link between components is missed.
+3. Buckets of several blocks are compared block by block with themselves and with their first block. When all bands have been through
+   that, every member outside a bucket's largest component meets all members, so no link between components is missed.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ SIGNATURE = "row long, doc_id long, n_shingles long, set_a long, set_b long, sig
 #: Minima are taken over stretches of so many shingles, which stay in a core's cache.
 STRETCH = 1 << 16
 #: A block has about so many sets and shingles; incidence matrices are multiplied so many columns at a time.
-BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 256, 200_000, 4096
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 1024, 600_000, 4096
 #: Bands are compared in steps that begin with band 0 and these.
 STEPS = (2, 8)
 #: At most so many row numbers are broadcast; more are joined by a shuffle.
@@ -328,9 +328,11 @@ def near_groups(docs: DataFrame, rule: Rule = AT_85, id_col: str = "doc_id", tex
         if buckets.isEmpty():
             continue
         labels = merged(first_groups(members, buckets), labels)
-        if not buckets.filter(blocks(F.col("m"), F.col("weight")) > 1).isEmpty():
-            rest = stage(rest_groups(own.join(labels, "rep"), buckets))
-            labels = merged(rest, labels)
+    # By now components have grown as far as such steps let them, and few members stand outside.
+    members = banded.select("key", "rep", "n_shingles").join(labels, "rep")
+    buckets = stage(open_buckets(members).filter(blocks(F.col("m"), F.col("weight")) > 1))
+    if not buckets.isEmpty():
+        labels = merged(stage(rest_groups(members, buckets)), labels)
 
     named = classes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     heads = named.groupBy("label").agg(F.min("first").alias("head"))
