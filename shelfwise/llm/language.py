@@ -25,6 +25,8 @@ from shelfwise.llm.cells import WHITE_LOWER, Slice, mixed, slices
 from shelfwise.sources.staging import stage
 
 BUCKETS = 1 << 16
+#: Bytes of text worked on at a time.
+SLICE = 1 << 19
 SMOOTHING = 0.5
 #: A trigram's evidence is damped: neighbouring trigrams are not independent, and one text must not outweigh all other evidence for good.
 DAMPING = 0.25
@@ -60,7 +62,7 @@ def count_trigrams(docs: DataFrame, languages: list[str]) -> np.ndarray:
         number = {name: i for i, name in enumerate(languages)}
         for batch in batches:
             own = np.array([number.get(x, -1) for x in batch.column(0).to_pylist()])
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SLICE):
                 classes, bounds = trigrams(part)
                 language = np.repeat(own[part.first:part.first + len(part)], np.diff(bounds))
                 known = language >= 0
@@ -80,7 +82,7 @@ def text_scores(table: np.ndarray):
     @F.arrow_udf("array<double>")
     def score(texts: pa.Array) -> pa.Array:
         out, has = [], []
-        for part in slices(texts):
+        for part in slices(texts, SLICE):
             classes, bounds = trigrams(part)
             each = np.empty((len(part), table.shape[0]))
             for k in range(table.shape[0]):
