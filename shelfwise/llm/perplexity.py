@@ -26,6 +26,8 @@ BITS = 21
 WIDTH, LEAST_WIDTH = 10.0, 0.7
 #: Log perplexities are counted in cells of a thousandth of a nat.
 CELLS = 1000
+#: Bytes of text and rows worked on at a time.
+SLICE, ROWS = 1 << 19, 1000
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 COUNT_SCHEMA = "n int, gram int, context int, suffix int, count long"
 
@@ -111,6 +113,13 @@ def grams(part: Slice, salts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray,
     return out, at, np.searchsorted(at, ends)
 
 
+def padded_slices(texts: pa.Array, language: np.ndarray) -> Iterator[tuple[Slice, np.ndarray]]:
+    """Slices of padded texts with their languages' salts; few rows are copied at a time."""
+    for low in range(0, len(texts), ROWS):
+        for part in slices(padded(texts.slice(low, ROWS)), SLICE):
+            yield part, language[low + part.first:low + part.first + len(part)]
+
+
 def padded(texts: pa.Array) -> pa.Array:
     """Line feeds before every text; with the one that closes the text before it they make a full context."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -137,8 +146,8 @@ def count_types(docs: DataFrame) -> DataFrame:
         links = [np.zeros((2, size), np.int32) for _ in range(ORDER)]
         for batch in batches:
             language = salts(batch.column(1))
-            for part in slices(padded(batch.column(0)), 1 << 21):
-                own, at, _ = grams(part, language[part.first:part.first + len(part)])
+            for part, salt in padded_slices(batch.column(0), language):
+                own, at, _ = grams(part, salt)
                 for n in range(1, ORDER + 1):
                     gram = own[n][at]
                     counts[n - 1] += np.bincount(gram, minlength=size).astype(np.int32)
@@ -244,12 +253,11 @@ def measured(spark, model: Model, with_counts: bool):
     def run(texts: pa.Array, languages: pa.Array) -> pa.Array:
         if "dense" not in cache:
             cache["dense"] = shared.value.dense()
-        language = salts(languages)
-        logs = [log_perplexities(shared.value, cache["dense"], p, language[p.first:p.first + len(p)]) for p in slices(padded(texts), 1 << 21)]
+        logs = [log_perplexities(shared.value, cache["dense"], part, salt) for part, salt in padded_slices(texts, salts(languages))]
         logs = pa.array(np.concatenate(logs) if logs else np.zeros(0))
         if not with_counts:
             return logs
-        counts = [base_counts(p) for p in slices(texts, 1 << 22)]
+        counts = [base_counts(p) for p in slices(texts, SLICE)]
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
         return pa.StructArray.from_arrays([*(pa.array(np.concatenate([c[k] for c in counts]).astype(np.int64) if counts else np.zeros(0, np.int64)) for k in names), logs], [*names, "log_perplexity"])
 
