@@ -23,7 +23,7 @@ def unescape_entities(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
-    """Full NFKC folding; `text.fold_width` covers the width forms without leaving the JVM."""
+    """Full NFKC folding; `text.compatible` does it character by character without leaving the JVM."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 

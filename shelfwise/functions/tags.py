@@ -124,11 +124,13 @@ def char_bigrams(text) -> Column:
 
 def keyword_tags(name, extra: Sequence = (), stop: Sequence[str] = tuple(words.KEYWORD_STOP_WORDS), vocabulary: Sequence[str] = tuple(words.FLAVOR_WORDS)) -> Column:
     """Keywords without a segmenter: latin words, Han bigrams, vocabulary terms and known entities."""
-    t = normalize_text(name)
-    latin = F.regexp_extract_all(t, F.lit(r"([A-Za-z]{2,})"), F.lit(1))
-    han = F.filter(char_bigrams(t), lambda w: w.rlike(r"^[一-龥]{2}$"))
-    tokens = F.concat(contained_terms(t, vocabulary), latin, han)
-    tokens = F.filter(F.array_distinct(tokens), lambda w: ~w.rlike(r"(?i)^(kg|g|克|斤)$"))
+
+    def found(t: Column) -> Column:
+        latin = F.regexp_extract_all(t, F.lit(r"([A-Za-z]{2,})"), F.lit(1))
+        han = F.filter(char_bigrams(t), lambda w: w.rlike(r"^[一-龥]{2}$"))
+        return F.concat(contained_terms(t, vocabulary), latin, han)
+
+    tokens = F.filter(F.array_distinct(let(normalize_text(name), found)), lambda w: ~w.rlike(r"(?i)^(kg|g|克|斤)$"))
     known = F.filter(F.array_compact(F.array(*[strip(col(c)) for c in extra])) if extra else F.array().cast("array<string>"), lambda w: w != "")
     return F.array_except(F.array_distinct(F.concat(tokens, known)), string_array(list(stop)))
 

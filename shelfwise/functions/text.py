@@ -6,6 +6,7 @@ cell yields NULL under ANSI mode instead of failing a job.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -14,8 +15,32 @@ from pyspark.sql import functions as F
 from shelfwise.functions import words
 
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
-FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-HALF_WIDTH = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
+
+
+def _compatibility_forms() -> dict[str, str]:
+    """Characters of the basic plane that NFKC replaces, by themselves, with another text."""
+    points = (c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000)
+    return {chr(c): form for c in points if (form := unicodedata.normalize("NFKC", chr(c))) != chr(c)}
+
+
+_FORMS = _compatibility_forms()
+SINGLE_FORMS = {c: f for c, f in _FORMS.items() if len(f) == 1}
+LONG_FORMS = {c: f for c, f in _FORMS.items() if len(f) > 1}
+
+
+def _ranges(chars: Sequence[str]) -> str:
+    """A character class of code point ranges; a range costs the regex engine as much as a single character."""
+    points = sorted(map(ord, chars))
+    runs = [[points[0], points[0]]]
+    for p in points[1:]:
+        if p == runs[-1][1] + 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+LONG_CLASS = _ranges(list(LONG_FORMS))
 
 
 def col(c: Column | str) -> Column:
@@ -79,14 +104,21 @@ def merge_prefer_right(left, right) -> Column:
     return F.when(nonempty(right), col(right)).otherwise(col(left))
 
 
-def fold_width(c) -> Column:
-    """Full-width ASCII block and ideographic space to half width, inside the JVM."""
-    return F.translate(col(c), FULL_WIDTH, HALF_WIDTH)
+def compatible(c) -> Column:
+    """NFKC character by character, inside the JVM: width forms, units, circled numbers, fractions, ligatures.
+
+    Combining marks are not composed with their letters; :func:`.pagetext.nfkc` does that in Arrow batches.
+    """
+    t = F.translate(col(c), "".join(SINGLE_FORMS), "".join(SINGLE_FORMS.values()))
+    plain = ~col(c).rlike(r"[^\x00-\x7f\u3001-\u3029\u4e00-\u9fff]")
+    forms = F.map_from_arrays(F.split(F.lit(" ".join(LONG_FORMS)), " "), F.split(F.lit("\n".join(LONG_FORMS.values())), "\n"))
+    spread = F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(forms, x), x))
+    return F.when(plain, col(c)).when(col(c).rlike(LONG_CLASS), F.array_join(spread, "")).otherwise(t)
 
 
 def normalize_text(c) -> Column:
-    """Fold width, unify the multiplication sign, list punctuation to blanks, collapse blanks."""
-    t = F.translate(fold_width(F.coalesce(col(c), F.lit(""))), "×X", "xx")
+    """Fold compatibility forms, unify the multiplication sign, list punctuation to blanks, collapse blanks."""
+    t = F.translate(compatible(F.coalesce(col(c), F.lit(""))), "×X", "xx")
     t = F.regexp_replace(t, "[，、；;]+", " ")
     return strip(F.regexp_replace(t, r"(?U)\s+", " "))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text as tx
-from shelfwise.functions import words
+from shelfwise.functions import urls, words
 from shelfwise.functions.weight import weight_multi
 from shelfwise.operators.dedupe import best_per_key, latest_per_key
 
@@ -108,3 +108,25 @@ def publication_order() -> list[Column]:
 def integrate(listing: DataFrame, structured: DataFrame, **supplements) -> DataFrame:
     """Reconcile, supplement and finalise: the unified catalog."""
     return finalize_products(attach_supplements(reconcile(listing, structured), **supplements))
+
+
+def lookup_urls(requests: DataFrame, catalog: DataFrame, url: str = "url", key: str = "sku", columns: Sequence[str] = ("title", "price")) -> DataFrame:
+    """Catalog rows of a batch of product addresses or share texts: one equi-join on the product number.
+
+    ``source`` says how a request was answered: from the catalog, not there, or without a product number.
+    """
+    named = requests.withColumn("_id", urls.product_id(url))
+    known = catalog.select(F.col(key).alias("_id"), *columns, F.lit(True).alias("_hit"))
+    source = F.when(F.col("_hit"), "sku_matched_structured_corpus").when(F.col("_id") != "", "sku_not_in_corpus").otherwise("no_sku")
+    out = named.join(known, "_id", "left")
+    return out.select(*requests.columns, F.nullif(F.col("_id"), F.lit("")).alias(key), *columns, source.alias("source"))
+
+
+def review_coverage(catalog: DataFrame, reviews: DataFrame, key: str = "sku") -> DataFrame:
+    """Products, reviewed products, reviews, and the percentage of products with a review."""
+    per_item = reviews.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    j = catalog.select(key).distinct().join(per_item, key, "left")
+    return j.agg(
+        F.count(F.lit(1)).alias("products"), F.count("_n").alias("reviewed"), F.coalesce(F.sum("_n"), F.lit(0)).alias("reviews"),
+        F.coalesce(F.try_divide(F.count("_n") * 100, F.count(F.lit(1))), F.lit(0.0)).alias("coverage_pct"),
+    )

@@ -274,8 +274,8 @@ def title_weights(spark, sf):
     ["listing"],
 )
 def title_tags(spark, sf):
-    name = tx.normalize_text("title")
-    return views.raw_listing(spark, sf).select(
+    name = F.col("_name")
+    return views.raw_listing(spark, sf).withColumn("_name", tx.normalize_text("title")).select(
         *KEYS, F.array_join(tags.package_tags(name), ";").alias("packages"), F.array_join(tags.specification(name), ";").alias("specification"), tags.is_gift(name).alias("gift"),
         F.array_join(tags.flavor_tags(name, ["bolt", "bol", "ring", "in"]), ";").alias("flavor_all"),
     ).withColumn("flavor", F.when(F.contains("flavor_all", F.lit("bolt")), "bolt").when(F.contains("flavor_all", F.lit("ring")), "ring").otherwise("")).drop("flavor_all")

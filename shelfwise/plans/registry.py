@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None, views: Sequence[str] = ()):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from shelfwise.plans import cleaning, markets, pages, pricing, reviewing, snapshots, streams, titles  # noqa: F401
+    from shelfwise.plans import cleaning, lookups, markets, pages, pricing, reviewing, snapshots, streams, titles  # noqa: F401

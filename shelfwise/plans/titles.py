@@ -215,7 +215,15 @@ def extraction_report(spark, sf):
     return rounded(ex.extraction_report(ex.structure_titles(listing(spark, sf), key="item_id")), "rate", digits=6)
 
 
-@query("title_keywords")
+@query(
+    "title_keywords",
+    """WITH l AS (SELECT sku, trim(brand) AS b, trim(category) AS c, list_filter(regexp_extract_all(replace(replace(concat_ws(' ', title, brand, promotion), '×', 'x'), 'X', 'x'), '[A-Za-z]{2,}'), lambda w: lower(w) NOT IN ('kg', 'g')) AS latin,
+              regexp_extract_all(replace(concat_ws(' ', title, brand, promotion), '，', ' '), '[一-龥]+') AS runs FROM catalog),
+       h AS (SELECT *, flatten(list_transform(runs, lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))) AS han FROM l),
+       k AS (SELECT sku, list_concat(list_concat(latin, han), [b, c]) AS all_words FROM h)
+       SELECT sku, array_to_string(list_filter(all_words, lambda w, i: list_position(all_words, w) = i AND w NOT IN ('满减', '包邮', '优惠', '促销', '特价', '京东', '热卖', '自营', 'kg', 'KG')), ';') AS keywords FROM k""",
+    ["catalog"],
+)
 def title_keywords(spark, sf):
     c = views.catalog(spark, sf)
     return c.select("sku", F.array_join(tags.keyword_tags(F.concat_ws(" ", "title", "brand", "promotion"), ["brand", "category"]), ";").alias("keywords"))
