@@ -87,6 +87,8 @@ def brand_tiers(df: DataFrame, keys: Sequence[str] = ("category",), k: int = 20)
 
 # --- category tables ----------------------------------------------------------
 def category_baseline(df: DataFrame, key: str = "category") -> DataFrame:
+    """Sizes, price and review statistics and brand concentration per category; one scan of ``df``."""
+    df = stage(df.select(key, "sku", "brand", "shop", "price", "comments"))
     stats = df.groupBy(key).agg(
         F.count("sku").alias("items"),
         F.countDistinct("brand").alias("brands"),
@@ -257,8 +259,8 @@ def promotion_compare(df: DataFrame) -> DataFrame:
 
 
 def promotion_effect(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Sales by promotion class against the unpromoted products (overall mean where there are none)."""
-    rows = df.withColumn("promo_type", tx.promotion_kind("promotion"))
+    """Sales by promotion class against the unpromoted products (overall mean where there are none); one scan of ``df``."""
+    rows = stage(df.select(*keys, "sku", "sales", "comments", "discount_rate", tx.promotion_kind("promotion").alias("promo_type")))
     base = rows.groupBy(*keys).agg(
         F.coalesce(F.avg(F.when(F.col("promo_type") == words.NO_PROMOTION, F.col("sales"))), F.avg("sales"), F.lit(0.0)).alias("_base"),
         F.count(F.lit(1)).alias("_all"),
@@ -422,8 +424,8 @@ def brand_portfolio(df: DataFrame, owned: DataFrame, k: int = 15, max_flavors: i
 
 # --- report tables ------------------------------------------------------------
 def store_summary(df: DataFrame) -> DataFrame:
-    """Self-operated against third-party shops: shares, plain and sales-weighted prices, coupons."""
-    rows = df.withColumn("store_type", tx.store_type("shop"))
+    """Self-operated against third-party shops: shares, plain and sales-weighted prices, coupons; one scan of ``df``."""
+    rows = stage(df.select("price", "sales", "comments", "promotion", tx.store_type("shop").alias("store_type")))
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("sales").alias("s"))
     weight = F.coalesce(F.col("sales"), F.lit(0.0))
     stats = rows.groupBy("store_type").agg(
@@ -459,7 +461,8 @@ def hot_profile(df: DataFrame, share: float = 0.9) -> DataFrame:
 
 
 def market_kpis(df: DataFrame, high_price: float = 100.0, k: int = 10) -> DataFrame:
-    """Market totals in one row."""
+    """Market totals in one row; one scan of ``df``."""
+    df = stage(df.select("brand", "price", "sales"))
     stats = df.agg(
         F.count(F.lit(1)).alias("items"),
         F.sum("sales").alias("sales_sum"),
@@ -469,11 +472,12 @@ def market_kpis(df: DataFrame, high_price: float = 100.0, k: int = 10) -> DataFr
         mean_flag(F.coalesce(F.col("price") >= high_price, F.lit(False))).alias("high_price_share"),
     )
     q = quantiles(df, [], {"price_median": ("price", 0.5), "sales_median": ("sales", 0.5)})
+    medians = q.select(F.struct("price_median", "sales_median").alias("m")).scalar()
     heads = top_values(df, "brand", k).agg(F.sum("n").alias("n"))
     return stats.select(
         "*",
-        q.select("price_median").scalar().alias("price_median"),
-        q.select("sales_median").scalar().alias("sales_median"),
+        medians.getField("price_median").alias("price_median"),
+        medians.getField("sales_median").alias("sales_median"),
         (heads.scalar() / F.col("items")).alias("top_brand_share"),
     )
 
