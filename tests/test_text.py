@@ -133,3 +133,31 @@ def test_brand_rules(one):
     assert one(ex.quoted_or_known_brand, "「某牌」x", "（新牌）y", "（12包）洽洽瓜子", "zz") == ["某牌", "新牌", "洽洽", None]
     got = one(ex.fill_brand, "Calbee 麦片", "【新】2025代购 好味道饼干", "零食大礼包", "【】")
     assert [tuple(r) for r in got] == [("updated_alias", "卡乐比"), ("updated_prefix", "好味道饼干"), ("skip_generic", "零食大礼包"), ("skip_empty", "")]
+
+
+def test_compatibility_forms_fold_like_nfkc(one):
+    import unicodedata
+
+    texts = ["坚果 500㎏ 装", "①½ﬁ㎖℃™…", "Ａｂｃ，；：　！", "plain text 12", "三只松鼠【礼盒】", "", None]
+    assert one(tx.compatible, *texts) == [t and unicodedata.normalize("NFKC", t) for t in texts]
+    assert one(lambda c: wt.weight_structured(c)["weight_g"], "坚果 500㎏ 装") == [500_000.0]
+
+
+def test_page_fields_in_any_attribute_order(one):
+    pages = [
+        '<meta content="A &amp; B" property="og:title">', "<META name='title' data-x=1 content='C'>", '<title lang="x">D</title>', '{"skuName":"E"}', "none",
+    ]
+    assert one(pg.html_title, *pages) == ["A & B", "C", "D", "E", ""]
+    assert one(pg.spoken_price, "到手价：123456.5元", "¥ 7", "卖 12元", "x") == [123456.5, 7.0, 12.0, None]
+    assert one(pg.good_rate, "好评度: 98%", "超99%买家赞不绝口", "推荐度很高 97.5%", "") == ["98%", "99%", "97.5%", ""]
+    assert one(pg.review_score, "4星", "star_2", "一般般", "评分: 5", "x") == [4, 2, 3, 5, None]
+    assert one(pg.like_count, "点赞 12", "3人觉得有用", "x") == [12, 3, 0]
+
+
+def test_coupons_and_stated_lows(spark, one):
+    from shelfwise.operators import history
+
+    assert one(history.coupon, "优惠券：满99减10，其他", "满 200 减 20 全场", "券后 9.9", "5元券", "8折", "立减3", "x") == ["满99减10", "满 200 减 20 全场", "券后 9.9", "5元券", "8折", "立减3", ""]
+    rows = spark.createDataFrame([(1, "a\n25个月历史最低价：¥ 9.5\n2024.3.7\n60天均价 12"), (2, "25个月历史最低\n于 2023-01-02 记录\n¥ 8.8"), (3, "none")], "k int, t string")
+    got = {r.k: (r.lowest_price, str(r.lowest_date), r.avg_60d) for r in history.stated_lows(rows, "k", "t").collect()}
+    assert got == {1: (9.5, "2024-03-07", 12.0), 2: (8.8, "2023-01-02", None), 3: (None, "None", None)}
