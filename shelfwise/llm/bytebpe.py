@@ -8,11 +8,11 @@ import itertools
 import numpy as np
 import pyarrow as pa
 
-from shelfwise.llm.cells import Slice, encoded_chunks, flat
+from shelfwise.llm.cells import Slice, encoded_chunks, flat, release
 
 JOINED = 500
-#: About 60 MB.
-KNOWN_CHUNKS = 400_000
+#: About 50 MB.
+KNOWN_CHUNKS = 300_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -113,6 +113,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """Drop the tokenizer and its chunks: a worker that lives on does other work beside a full executor."""
+    encoder.cache_clear()
+    tokenizer.cache_clear()
+    release()
+
+
 def encode(part: Slice, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids (no special tokens added) and the bounds of every text."""
     return encoded_chunks(part, word_cuts, encoder(path))

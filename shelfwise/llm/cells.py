@@ -14,12 +14,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 4 << 20
+BATCH_ROWS = 2000
 LIBC = ctypes.CDLL(None)
 SPACES = bytes([0x20, 9, 10, 11, 12, 13])
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands Python at most ``BATCH_ROWS`` rows at a time: texts make rows large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
+
+
 @dataclass
 class Slice:
     """Texts ``first .. first + len(offsets) - 1`` of a batch; ``data`` holds them one after another, each with ``\\n`` at its end."""

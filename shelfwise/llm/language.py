@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.cells import WHITE_LOWER, Slice, mixed, slices
+from shelfwise.llm.cells import WHITE_LOWER, Slice, mixed, slices, small_batches
 from shelfwise.sources.staging import stage
 
 BUCKETS = 1 << 16
@@ -97,7 +97,7 @@ def text_scores(table: np.ndarray):
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(each[has].ravel()))
         return pa.array([x if h else None for x, h in zip(lists.to_pylist(), has, strict=True)], pa.list_(pa.float64())) if not has.all() else lists
 
-    return score
+    return score.asNondeterministic()  # else a filter on the result would be pushed below and score every text twice
 
 
 def host_levels(host: Column) -> list[Column]:
@@ -123,7 +123,7 @@ def with_language(pages: DataFrame, text_col: str = "text", declared: Column | N
     """
     declared = F.col("lang") if declared is None else declared
     host = F.col("source") if host is None else host
-    evidence = pages.withColumn("__evidence", F.struct(F.lower(F.substring(declared, 1, 2)).alias("declared"), F.lower(host).alias("host"), F.col(text_col).cast("string").alias("text")))
+    evidence = small_batches(pages).withColumn("__evidence", F.struct(F.lower(F.substring(declared, 1, 2)).alias("declared"), F.lower(host).alias("host"), F.col(text_col).cast("string").alias("text")))
     flat_ = evidence.select("__evidence.*")
     if languages is None:
         # Two letters: 676 values at most.

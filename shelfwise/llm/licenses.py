@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.cells import ALNUM_LOWER, Words, hashes, slices, windows, words
+from shelfwise.llm.cells import ALNUM_LOWER, Words, hashes, slices, small_batches, windows, words
 from shelfwise.sources.staging import stage
 
 GRAM = 2
@@ -118,7 +118,7 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE_PHRASES, notices: l
     are ignored, and an empty table gives no rows.
     """
     known = templates(base, notices)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     found = stage(spans(rows, known).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("template", "first", "last"))).alias("found")))  # one text's spans
     size = found.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("found")), F.lit(0)).alias("spans")).first()
     small = size["rows"] <= BROADCAST_ROWS and size["spans"] <= BROADCAST_SPANS

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.cells import WHITE_LOWER, Slice, distinct_in_text, hashes, mixed, slices, windows, words
+from shelfwise.llm.cells import WHITE_LOWER, Slice, distinct_in_text, hashes, mixed, slices, small_batches, windows, words
 from shelfwise.llm.components import components
 from shelfwise.sources.staging import stage
 
@@ -298,7 +298,7 @@ def near_groups(docs: DataFrame, rule: Rule = AT_85, id_col: str = "doc_id", tex
     window; null texts and texts without words have none and are alone. ``docs`` is a file scan or another plan with stable row numbers; ids may
     repeat, other columns are ignored, and an empty table gives no rows.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
+    base = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     signed = stage(signatures(base, rule.size, rule.bands, rule.rows))
     # Equal sets are one class from here on.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.llm import bytebpe
-from shelfwise.llm.cells import slices
+from shelfwise.llm.cells import slices, small_batches
 from shelfwise.sources.staging import stage
 
 STEPS = 300
@@ -214,8 +214,9 @@ def cut_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = No
                 names = batch.column(0).slice(piece.first, len(piece)).take(pa.array(owner))
                 columns = [names, pa.array(number, pa.int32()), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(at), part), pa.int32()), pa.array(rank)]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PIECE_SCHEMA.split(", ")])
+        bytebpe.forget()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECE_SCHEMA)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECE_SCHEMA)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

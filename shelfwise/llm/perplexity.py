@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.cells import WHITE, Slice, Words, flat, mixed, packed, per_text, slices, words
+from shelfwise.llm.cells import WHITE, Slice, Words, flat, mixed, packed, per_text, release, slices, small_batches, words
 from shelfwise.sources.staging import stage
 
 ORDER = 4
@@ -138,11 +138,12 @@ def salts(languages: pa.Array) -> np.ndarray:
 
 
 def count_types(docs: DataFrame) -> DataFrame:
-    """Distinct n-grams of every order with their contexts and suffixes, and how often each occurs."""
+    """Distinct n-grams of every order with their contexts and suffixes; ``count`` is how often those of the highest order occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 << BITS
-        counts = [np.zeros(size, np.int32) for _ in range(ORDER)]
+        # Lower orders are counted by what follows from the types, so it is enough to know that an n-gram is there.
+        counts = [np.zeros(size, np.int32 if n == ORDER else np.int8) for n in range(1, ORDER + 1)]
         links = [np.zeros((2, size), np.int32) for _ in range(ORDER)]
         for batch in batches:
             language = salts(batch.column(1))
@@ -150,11 +151,15 @@ def count_types(docs: DataFrame) -> DataFrame:
                 own, at, _ = grams(part, salt)
                 for n in range(1, ORDER + 1):
                     gram = own[n][at]
-                    counts[n - 1] += np.bincount(gram, minlength=size).astype(np.int32)
+                    if n == ORDER:
+                        np.add.at(counts[n - 1], gram, np.int32(1))
+                    else:
+                        counts[n - 1][gram] = 1
                     links[n - 1][0][gram] = own[n - 1][at - 1]
                     links[n - 1][1][gram] = own[n - 1][at]
         for n in range(1, ORDER + 1):
             there = np.flatnonzero(counts[n - 1]).astype(np.int32)
+            release()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(there), n, np.int32)), pa.array(there), pa.array(links[n - 1][0][there]), pa.array(links[n - 1][1][there]), pa.array(counts[n - 1][there].astype(np.int64))],
                 [c.split()[0] for c in COUNT_SCHEMA.split(", ")],
@@ -261,7 +266,7 @@ def measured(spark, model: Model, with_counts: bool):
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
         return pa.StructArray.from_arrays([*(pa.array(np.concatenate([c[k] for c in counts]).astype(np.int64) if counts else np.zeros(0, np.int64)) for k in names), logs], [*names, "log_perplexity"])
 
-    return run
+    return run.asNondeterministic()  # else a filter on the result would be pushed below and score every text twice
 
 
 def bands(logs: DataFrame) -> DataFrame:
@@ -290,7 +295,7 @@ def with_quality(docs: DataFrame, text_col: str = "text", language: Column | Non
     """
     language = F.col("lang") if language is None else language
     spark = docs.sparkSession
-    source = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(language, F.lit("")).alias("language"))
+    source = small_batches(docs).select(F.col(text_col).cast("string").alias("text"), F.coalesce(language, F.lit("")).alias("language"))
     model = train(source)
     alone = measured(spark, model, with_counts=False)
     limits = stage(bands(source.filter("text != ''").select("language", alone("text", "language").alias("log_perplexity")))).withColumnRenamed("language", "__language")

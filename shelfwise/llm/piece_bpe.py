@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.bytebpe import tokenizer_path
-from shelfwise.llm.cells import HashTable, Slice, encoded_chunks, flat, packed, slices, spread
+from shelfwise.llm.cells import HashTable, Slice, encoded_chunks, flat, packed, slices, small_batches, spread
 
 NONE = np.int32(2**31 - 1)
 SPACE = "▁"
@@ -265,4 +265,4 @@ def round_trip_digests(docs: DataFrame, path: str | None = None, id_col: str = "
 
 
 def _ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

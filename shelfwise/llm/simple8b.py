@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm import bytebpe
-from shelfwise.llm.cells import slices
+from shelfwise.llm.cells import slices, small_batches
 from shelfwise.sources.staging import new_path
 
 #: Fixed values of the format: ids per word and bits per id of selectors 1 to 14.
@@ -142,7 +142,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
     """
     tokenizer = tokenizer or bytebpe.tokenizer_path()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    dealt = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0

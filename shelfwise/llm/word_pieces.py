@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.bytebpe import tokenizer_path
-from shelfwise.llm.cells import WHITE, HashTable, per_text, slices, words
+from shelfwise.llm.cells import WHITE, HashTable, per_text, slices, small_batches, words
 
 BEGIN, CONTINUE = 0, 1
 POINT_BITS = 21
@@ -133,4 +133,4 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
                 columns = [batch.column(0).slice(part.first, len(part)), pa.array(found.counts), pa.array(per_text(np.where(unknown, 1, pieces), found.bounds)), pa.array(per_text(unknown, found.bounds))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
