@@ -1,9 +1,9 @@
 """Quality rules with n-gram perplexity.
 
 The language model is an interpolated modified Kneser-Ney model of characters, one per language, counted by Spark over all texts.
-An n-gram is its hash of ``BITS`` bits, salted with the language; n-grams of one hash share their counts. That bounds the model,
-which is kept in sorted hash arrays, whatever the size of the corpus. Every language has its own band of log perplexity around
-its median; documents outside it are rejected, besides those that fail the base rules.
+An n-gram is a 64-bit hash of its characters and its language. The model is a Spark table of all n-grams of the highest order, as long as
+the texts make it: a small one is broadcast, any other is joined with the n-grams that blocks of texts hold. Every language has its own band
+of log perplexity around its median; documents outside it are rejected, besides those that fail the base rules.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from shelfwise.llm.cells import WHITE, Slice, Words, flat, mixed, packed, per_te
 from shelfwise.sources.staging import stage
 
 ORDER = 4
-BITS = 21
 #: A band reaches so many median absolute deviations from the median, and so many nats at least.
 WIDTH, LEAST_WIDTH = 10.0, 0.7
 #: Log perplexities are counted in cells of a thousandth of a nat.
@@ -29,7 +28,13 @@ CELLS = 1000
 #: Bytes of text and rows worked on at a time.
 SLICE, ROWS = 1 << 19, 1000
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
-COUNT_SCHEMA = "n int, gram int, context int, suffix int, count long"
+#: Models of at most so many n-grams (12 bytes each) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+#: A task sends its counts on when it holds so many distinct n-grams, in batches of so many.
+PENDING, ROWS_PER_BATCH = 1 << 20, 1 << 17
+#: By a shuffle, 2 ** so many rows at a time meet the n-grams they hold.
+BLOCK_BITS = 9
+COUNT_SCHEMA = ", ".join([*(f"gram{n} long, context{n} long" for n in range(1, ORDER + 1)), "count long"])
 
 
 # -- base rules ---------------------------------------------------------------------------------------------------------------
@@ -87,30 +92,44 @@ def base_counts(part: Slice) -> dict[str, np.ndarray]:
 # -- the model ----------------------------------------------------------------------------------------------------------------
 
 
-def grams(part: Slice, salts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes of the 0- to ``ORDER``-grams that end at every character, the places to predict, and the texts' bounds among these.
+@dataclass
+class Grams:
+    """Hashes of the ``ORDER``-grams at the places to predict, these places among ``points`` and ``salts``, and the texts' bounds among them."""
 
-    ``part`` is a slice of :func:`padded` texts: a text follows ``ORDER - 1`` line feeds, and its closing line feed is predicted.
-    """
+    hashes: np.ndarray
+    at: np.ndarray
+    bounds: np.ndarray
+    points: np.ndarray
+    salts: np.ndarray
+
+
+def hashed(columns: list[np.ndarray], salts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every row's characters, one column each, and its language."""
+    with np.errstate(over="ignore"):
+        value = salts + np.uint64(len(columns))
+        for points in columns:
+            value = mixed(value + points)
+    return value.view(np.int64)
+
+
+def grams(part: Slice, salts: np.ndarray) -> Grams:
+    """The ``ORDER``-grams of a slice of :func:`padded` texts: a text follows ``ORDER - 1`` line feeds, and its closing line feed is predicted."""
     points = np.frombuffer(b"\n\0\0\0" + part.data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
     ends = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80)])[part.offsets] + 1
-    lengths = np.diff(ends)
-    salt = np.concatenate([salts[:1], np.repeat(salts, lengths)]) if len(salts) else np.zeros(1, np.uint64)
-    multiplier = np.uint64(0x9E3779B97F4A7C15)
-    out = []
-    with np.errstate(over="ignore"):
-        for n in range(ORDER + 1):
-            value = np.full(len(points), n, np.uint64)
-            for back in range(n - 1, -1, -1):
-                value *= multiplier
-                value[back:] += points[:len(points) - back]
-            out.append((mixed(value * multiplier + salt) >> np.uint64(64 - BITS)).astype(np.int32))
+    salt = np.concatenate([salts[:1], np.repeat(salts, np.diff(ends))]) if len(salts) else np.zeros(1, np.uint64)
     predicted = np.ones(len(points), bool)
-    predicted[:1] = False
+    predicted[:ORDER - 1] = False
     for k in range(ORDER - 2):
         predicted[ends[:-1] + k] = False
     at = np.flatnonzero(predicted)
-    return out, at, np.searchsorted(at, ends)
+    whole = hashed([points[k:len(points) - ORDER + 1 + k] for k in range(ORDER)], salt[ORDER - 1:]) if len(at) else np.zeros(0, np.int64)
+    return Grams(whole[at - ORDER + 1], at, np.searchsorted(at, ends), points, salt)
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, unsorted, and the place of every value among them."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
 
 def padded_slices(texts: pa.Array, language: np.ndarray) -> Iterator[tuple[Slice, np.ndarray]]:
@@ -137,54 +156,73 @@ def salts(languages: pa.Array) -> np.ndarray:
     return own[coded.indices.to_numpy()]
 
 
+class Pending:
+    """Distinct ``ORDER``-grams with their counts, characters and languages."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, own: Grams) -> None:
+        keys, index = distinct(own.hashes)
+        where = np.empty(len(keys), np.int64)
+        where[index] = own.at  # any of its places
+        self.parts.append((keys, np.bincount(index, minlength=len(keys)), own.salts[where], *(own.points[where - back].astype(np.uint32) for back in range(ORDER - 1, -1, -1))))
+        self.size += len(keys)
+
+    def merge(self) -> None:
+        columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
+        keys, first, index = np.unique(columns[0], return_index=True, return_inverse=True)
+        self.parts = [(keys, np.bincount(index, columns[1]).astype(np.int64), *(c[first] for c in columns[2:]))]
+        self.size = len(keys)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for keys, counts, salt, *points in self.parts:
+            for a in range(0, len(keys), ROWS_PER_BATCH):
+                cut = slice(a, a + ROWS_PER_BATCH)
+                own = [p[cut].astype(np.uint64) for p in points]
+                pairs = [(hashed(own[ORDER - n:], salt[cut]), hashed(own[ORDER - n:-1], salt[cut])) for n in range(1, ORDER)] + [(keys[cut], hashed(own[:-1], salt[cut]))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for pair in pairs for x in pair] + [pa.array(counts[cut])], [c.split()[0] for c in COUNT_SCHEMA.split(", ")])
+        self.parts, self.size = [], 0
+
+
 def count_types(docs: DataFrame) -> DataFrame:
-    """Distinct n-grams of every order with their contexts and suffixes; ``count`` is how often those of the highest order occur."""
+    """Distinct n-grams of the highest order and how often they occur, with the shorter n-grams that end with them and all their contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 1 << BITS
-        # Lower orders are counted by what follows from the types, so it is enough to know that an n-gram is there.
-        counts = [np.zeros(size, np.int32 if n == ORDER else np.int8) for n in range(1, ORDER + 1)]
-        links = [np.zeros((2, size), np.int32) for _ in range(ORDER)]
+        pending = Pending()
         for batch in batches:
-            language = salts(batch.column(1))
-            for part, salt in padded_slices(batch.column(0), language):
-                own, at, _ = grams(part, salt)
-                for n in range(1, ORDER + 1):
-                    gram = own[n][at]
-                    if n == ORDER:
-                        np.add.at(counts[n - 1], gram, np.int32(1))
-                    else:
-                        counts[n - 1][gram] = 1
-                    links[n - 1][0][gram] = own[n - 1][at - 1]
-                    links[n - 1][1][gram] = own[n - 1][at]
-        for n in range(1, ORDER + 1):
-            there = np.flatnonzero(counts[n - 1]).astype(np.int32)
-            release()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(there), n, np.int32)), pa.array(there), pa.array(links[n - 1][0][there]), pa.array(links[n - 1][1][there]), pa.array(counts[n - 1][there].astype(np.int64))],
-                [c.split()[0] for c in COUNT_SCHEMA.split(", ")],
-            )
-
-    return docs.select("text", "language").mapInArrow(run, COUNT_SCHEMA).groupBy("n", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("count").alias("count"))
+            for part, salt in padded_slices(batch.column(0), salts(batch.column(1))):
+                pending.add(grams(part, salt))
+                if pending.size > PENDING:
+                    pending.merge()
+                    if pending.size > PENDING // 2:
+                        yield from pending.batches()
+        if pending.size:
+            pending.merge()
+            yield from pending.batches()
+        release()
+
+    whole, *others = [f"gram{ORDER}", *(x for n in range(1, ORDER + 1) for x in (f"gram{n}", f"context{n}") if x != f"gram{ORDER}")]
+    return docs.select("text", "language").mapInArrow(run, COUNT_SCHEMA).groupBy(whole).agg(*(F.first(x).alias(x) for x in others), F.sum("count").alias("a"))
 
 
 @dataclass
 class Model:
-    """Sorted hashes with log probabilities per order, and sorted context hashes with log back-off weights per order."""
+    """``gram, v``: the log probability of every n-gram of the highest order, and how many there are."""
+
+    table: DataFrame
+    rows: int
 
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
-    floor: float
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """The whole table as sorted hashes and their values."""
+        table = self.table.toArrow()
+        return by_key(table.column("gram").to_numpy(), table.column("v").to_numpy())
 
-    def dense(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """The arrays spread over all hashes, for lookups without a search; NaN where a hash is absent."""
-        out: tuple[list, list] = ([], [])
-        for kind, pairs in enumerate((self.grams, self.contexts)):
-            for keys, values in pairs:
-                whole = np.full(1 << BITS, np.nan, np.float32)
-                whole[keys] = values
-                out[kind].append(whole)
-        return out
+
+def by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    return keys[order], values[order].astype(np.float32)
 
 
 def discounts(counts_of_counts: list[int]) -> list[float]:
@@ -198,17 +236,14 @@ def discounts(counts_of_counts: list[int]) -> list[float]:
 
 def train(docs: DataFrame) -> Model:
     """From the columns ``text`` and ``language`` of all rows."""
-    types = stage(count_types(docs))
-    order = lambda n: types.filter(F.col("n") == n)
-    grams_, contexts = [], []
+    levels = {ORDER: stage(count_types(docs))}
+    for n in range(ORDER - 1, 0, -1):  # adjusted counts: how many different n-grams of the next order end with it
+        others = [f"context{n}", *(x for k in range(1, n) for x in (f"gram{k}", f"context{k}"))]
+        levels[n] = stage(levels[n + 1].groupBy(f"gram{n}").agg(*(F.first(x).alias(x) for x in others), F.count("*").alias("a")))
+    floor = 1.0 / (levels[1].count() + 1)
     lower: DataFrame | None = None
-    floor = 1.0 / (order(1).count() + 1)
     for n in range(1, ORDER + 1):
-        own = order(n).select("gram", "context", "suffix", F.col("count").alias("a"))
-        if n < ORDER:  # adjusted counts: how many different n-grams of the next order end with it
-            extended = order(n + 1).groupBy(F.col("suffix").alias("gram")).agg(F.count("*").alias("a"))
-            own = own.drop("a").join(extended, "gram")
-        own = stage(own)
+        own = levels[n].select(F.col(f"gram{n}").alias("gram"), F.col(f"context{n}").alias("context"), *([F.col(f"gram{n - 1}").alias("suffix")] if n > 1 else []), "a")
         seen = own.agg(*(F.sum((F.col("a") == k).cast("long")).alias(f"n{k}") for k in range(1, 5))).first()
         d = discounts([seen[f"n{k}"] or 0 for k in range(1, 5)])
         weight = F.when(F.col("a") == 1, d[0]).when(F.col("a") == 2, d[1]).otherwise(d[2])
@@ -217,49 +252,68 @@ def train(docs: DataFrame) -> Model:
         joined = own.join(held, "context")
         if lower is not None:
             joined = joined.join(lower, "suffix")
-        p = stage(joined.select("gram", "context", (F.greatest(F.col("a") - weight, F.lit(0.0)) / F.col("total") + F.col("taken") / F.col("total") * base).alias("p")))
+        p = stage(joined.select("gram", (F.greatest(F.col("a") - weight, F.lit(0.0)) / F.col("total") + F.col("taken") / F.col("total") * base).alias("p")))
         lower = p.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-        grams_.append(_sorted(p.select("gram", F.log("p").alias("v"))))
-        contexts.append(_sorted(held.select("context", F.log(F.greatest(F.col("taken") / F.col("total"), F.lit(1e-9))).alias("v"))))
-    return Model(grams_, contexts, float(np.log(floor)))
+    return Model(p.select("gram", F.log("p").cast("float").alias("v")), p.count())
+
 
+def log_perplexities(_: Model | None, dense: tuple[np.ndarray, np.ndarray], part: Slice, language: np.ndarray) -> np.ndarray:
+    """Mean negative log probability of the characters of every text of a slice of padded texts.
 
-def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    table = df.toArrow()  # at most 2 ** BITS rows
-    keys = table.column(0).to_numpy().astype(np.int32)
-    by = np.argsort(keys)
-    return keys[by], table.column(1).to_numpy().astype(np.float32)[by]
+    ``dense`` has the n-grams of these texts at least; a model is counted on all texts that it is asked about.
+    """
+    own = grams(part, language)
+    wanted, index = distinct(own.hashes)
+    keys, values = dense
+    place = np.searchsorted(keys, wanted)
+    if len(wanted) and (not len(keys) or (keys[np.minimum(place, len(keys) - 1)] != wanted).any()):
+        raise ValueError("the model was not counted on this text")
+    return -per_text(values[place].astype(np.float64)[index], own.bounds) / np.diff(own.bounds)
 
 
-def log_perplexities(model: Model, dense: tuple[list, list], part: Slice, language: np.ndarray) -> np.ndarray:
-    """Mean negative log probability of the characters of every text of a slice of padded texts."""
-    own, at, bounds = grams(part, language)
-    value = dense[0][ORDER - 1][own[ORDER][at]].astype(np.float64)
-    lost = np.flatnonzero(np.isnan(value))
-    if len(lost):
-        place = at[lost]
-        low = np.full(len(place), model.floor)
-        for n in range(1, ORDER + 1):
-            p, back = dense[0][n - 1][own[n][place]], dense[1][n - 1][own[n - 1][place - 1]]
-            low = np.where(np.isnan(p), low + np.where(np.isnan(back), 0.0, back), p)
-        value[lost] = low
-    return -per_text(value, bounds) / np.diff(bounds)
+def scores_by_join(rows: DataFrame, model: Model) -> DataFrame:
+    """``row, language, has_text, log_perplexity`` from ``row, text, language``; no task holds more of the model than its block of rows asks for."""
+    blocks = rows.withColumn("block", F.shiftright("row", BLOCK_BITS))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                for part, salt in padded_slices(batch.column(1).slice(low, high - low), salts(batch.column(2).slice(low, high - low))):
+                    wanted, _ = distinct(grams(part, salt).hashes)
+                    for a in range(0, len(wanted), ROWS_PER_BATCH):
+                        own = wanted[a:a + ROWS_PER_BATCH]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block[low])), pa.array(own)], ["block", "gram"])
+
+    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
+        keys, first = np.unique(found.column("gram").to_numpy(), return_index=True)
+        known = keys, found.column("v").to_numpy()[first]
+        out = []
+        for batch in texts.select(["row", "text", "language"]).to_batches():
+            logs = [log_perplexities(None, known, part, salt) for part, salt in padded_slices(batch.column(1), salts(batch.column(2)))]
+            has = pc.fill_null(pc.greater(pc.binary_length(batch.column(1)), 0), False)
+            out.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), has, pa.array(np.concatenate(logs) if logs else np.zeros(0))], ["row", "language", "has_text", "log_perplexity"]))
+        return pa.Table.from_batches(out)
+
+    found = blocks.select("block", "text", "language").mapInArrow(needed, "block long, gram long").join(model.table, "gram").select("block", "gram", "v")
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, "row long, language string, has_text boolean, log_perplexity double")
 
 
 QUALITY = "struct<n_words: long, word_chars: long, n_symbols: long, n_dup_lines: long, n_repeat_words: long, log_perplexity: double>"
 
 
-def measured(spark, model: Model, with_counts: bool):
-    """A column function of text and language: log perplexity, with the base counts or alone."""
-    shared = spark.sparkContext.broadcast(model)
-    cache: dict[str, tuple] = {}
+def measured(spark, known: tuple[np.ndarray, np.ndarray] | None, with_counts: bool):
+    """A column function of text and language: log perplexity, with the base counts or alone; it is null without a model."""
+    shared = None if known is None else spark.sparkContext.broadcast(known)
 
     @F.arrow_udf(QUALITY if with_counts else "double")
     def run(texts: pa.Array, languages: pa.Array) -> pa.Array:
-        if "dense" not in cache:
-            cache["dense"] = shared.value.dense()
-        logs = [log_perplexities(shared.value, cache["dense"], part, salt) for part, salt in padded_slices(texts, salts(languages))]
-        logs = pa.array(np.concatenate(logs) if logs else np.zeros(0))
+        if shared is None:
+            logs = pa.nulls(len(texts), pa.float64())
+        else:
+            found = [log_perplexities(None, shared.value, part, salt) for part, salt in padded_slices(texts, salts(languages))]
+            logs = pa.array(np.concatenate(found) if found else np.zeros(0))
         if not with_counts:
             return logs
         counts = [base_counts(p) for p in slices(texts, SLICE)]
@@ -297,11 +351,20 @@ def with_quality(docs: DataFrame, text_col: str = "text", language: Column | Non
     spark = docs.sparkSession
     source = small_batches(docs).select(F.col(text_col).cast("string").alias("text"), F.coalesce(language, F.lit("")).alias("language"))
     model = train(source)
-    alone = measured(spark, model, with_counts=False)
-    limits = stage(bands(source.filter("text != ''").select("language", alone("text", "language").alias("log_perplexity")))).withColumnRenamed("language", "__language")
-    whole = measured(spark, model, with_counts=True)
-    judged = docs.withColumn("__language", F.coalesce(language, F.lit(""))).withColumn("__measured", whole(F.col(text_col).cast("string"), F.col("__language")))
-    m = lambda name: F.col(f"__measured.{name}")
+    judged = docs.withColumn("__language", F.coalesce(language, F.lit("")))
+    text = F.col(text_col).cast("string")
+    if model.rows <= BROADCAST_ROWS:
+        known = model.dense()
+        logs = source.filter("text != ''").select("language", measured(spark, known, with_counts=False)("text", "language").alias("log_perplexity"))
+        judged = judged.withColumn("__measured", measured(spark, known, with_counts=True)(text, F.col("__language"))).withColumn("__log", F.col("__measured.log_perplexity"))
+    else:
+        judged = judged.withColumn("__row", F.monotonically_increasing_id())
+        scored = stage(scores_by_join(judged.select(F.col("__row").alias("row"), text.alias("text"), F.col("__language").alias("language")), model))
+        logs = scored.filter("has_text").select("language", "log_perplexity")
+        judged = judged.join(scored.select(F.col("row").alias("__row"), F.col("log_perplexity").alias("__log")), "__row")
+        judged = judged.withColumn("__measured", measured(spark, None, with_counts=True)(text, F.col("__language")))
+    limits = stage(bands(logs)).withColumnRenamed("language", "__language")
+    m = lambda name: F.col("__log" if name == "log_perplexity" else f"__measured.{name}")
     failed = (m("n_words") < 50) | (100 * m("n_repeat_words") > 50 * m("n_words"))
     inside = F.coalesce(m("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"]

@@ -319,3 +319,33 @@ def test_pipeline(spark, docs):
     assert len({re.sub(r"[\x20\x09-\x0D]+", " ", t) for t in texts}) == len(texts)
     assert all(d == c for d, _, c in brute_components([(i, t) for i, t in enumerate(texts)], 80, 100))
     check_packing(table.collect(), texts, 2048)
+
+
+def test_kneser_ney_of_many_ngrams_and_languages(spark, monkeypatch):
+    """More n-grams than a fixed table keeps apart: every text's perplexity equals a plain dictionary model's, by a broadcast and by a join."""
+    random.seed(12)
+    n = perplexity.ORDER
+    rows = [(i, "".join(chr(0x4E00 + random.randrange(4000)) for _ in range(100)), ["zh", "ja", None][i % 3]) for i in range(600)] + [(600, None, "zh"), (601, "", "ja")]
+    lines = [(lang, "\n" * (n - 1) + (t or "") + "\n") for _, t, lang in rows]
+    counts = {n: Counter((lang, t[i - n + 1:i + 1]) for lang, t in lines for i in range(n - 1, len(t)))}
+    for k in range(n - 1, 0, -1):
+        counts[k] = Counter((lang, g[1:]) for lang, g in counts[k + 1])
+    p = Counter({(lang, ""): 1 / (len(counts[1]) + 1) for lang in ("zh", "ja", None)})
+    for k in range(1, n + 1):
+        d = perplexity.discounts([sum(1 for c in counts[k].values() if c == j) for j in range(1, 5)])
+        taken, total = Counter(), Counter()
+        for (lang, g), c in counts[k].items():
+            taken[lang, g[:-1]] += d[min(c, 3) - 1]
+            total[lang, g[:-1]] += c
+        p.update({(lang, g): max(c - d[min(c, 3) - 1], 0) / total[lang, g[:-1]] + taken[lang, g[:-1]] / total[lang, g[:-1]] * p[lang, g[1:]] for (lang, g), c in counts[k].items()})
+    wanted = {i: -np.mean([np.log(p[lang, t[j - n + 1:j + 1]]) for j in range(n - 1, len(t))]) for i, (lang, t) in enumerate(lines)}
+    path = __import__("tempfile").mkdtemp(prefix="llm-grams-")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.mode("overwrite").parquet(path)
+    monkeypatch.setattr(perplexity, "PENDING", 5000)
+    kept = []
+    for most in (perplexity.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(perplexity, "BROADCAST_ROWS", most)
+        got = {r.doc_id: r.quality for r in perplexity.with_quality(spark.read.parquet(path)).collect()}
+        assert {i: q.log_perplexity for i, q in got.items()} == pytest.approx(wanted, abs=1e-4)
+        kept.append({i: (q.kept, q.base_failed, q.n_words, q.lower, q.upper) for i, q in got.items()})
+    assert kept[0] == kept[1]
