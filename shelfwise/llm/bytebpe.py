@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,17 @@ def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True
-    return loaded, np.array([len(loaded.id_to_token(i) or "") for i in range(loaded.get_vocab_size())], np.int64)
+    added = loaded.get_added_tokens_decoder()
+    return loaded, np.array([len(added[i].content.encode() if i in added else loaded.id_to_token(i) or "") for i in range(loaded.get_vocab_size())], np.int64)
+
+
+@functools.lru_cache(maxsize=2)
+def added_tokens(path: str) -> re.Pattern[bytes] | None:
+    """Where the library takes an added token out of a text, before its pattern finds words: the leftmost, then the longest."""
+    added = tokenizer(path)[0].get_added_tokens_decoder().values()
+    if any(t.lstrip or t.rstrip or t.single_word or "\n" in t.content for t in added):
+        raise ValueError("added tokens that look at what stands beside them, or hold a line feed, are not supported")
+    return re.compile(b"|".join(re.escape(x) for x in sorted((t.content.encode() for t in added), key=len, reverse=True))) if added else None
 
 
 VISIBLE = np.zeros(256, bool)
@@ -59,6 +69,18 @@ def word_cuts(data: np.ndarray) -> np.ndarray:
     return cut
 
 
+def token_cuts(data: np.ndarray, path: str) -> np.ndarray:
+    """:func:`word_cuts`, with every added token a chunk of its own."""
+    cut = word_cuts(data)
+    added = added_tokens(path)
+    for found in added.finditer(data) if added else ():
+        a, b = found.span()
+        cut[a + 1:b] = False
+        cut[a] = True
+        cut[b] = True  # at least the text's closing line feed follows
+    return cut
+
+
 def joinable_chunks(first: np.ndarray, last: np.ndarray, before_last: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Chunks that begin with white space and end visibly: one after another, each begins where the pattern begins a word."""
     return (lengths > 2) & BLANK[first] & ends_visible(last, before_last)
@@ -116,13 +138,14 @@ def encoder(path: str) -> Encoder:
 def forget() -> None:
     """Drop the tokenizer and its chunks: a worker that lives on does other work beside a full executor."""
     encoder.cache_clear()
+    added_tokens.cache_clear()
     tokenizer.cache_clear()
     release()
 
 
 def encode(part: Slice, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids (no special tokens added) and the bounds of every text."""
-    return encoded_chunks(part, word_cuts, encoder(path))
+    """Flat ids as the library gives them (no special tokens added, such as the text holds recognised) and the bounds of every text."""
+    return encoded_chunks(part, functools.partial(token_cuts, path=path), encoder(path))
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -192,16 +192,18 @@ def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def encoded_chunks(part: Slice, cut: Callable[[np.ndarray], np.ndarray], encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of every text and their bounds, with every distinct chunk of the slice encoded once.
 
-    ``cut`` marks the bytes before which a text may be cut without changing its tokens, never after white space; ``encode`` gives flat
-    ids, and where in them each chunk's begin and how many they are.
+    ``cut`` marks the bytes before which a text may be cut without changing its tokens; ``encode`` gives flat ids, and where in them
+    each chunk's begin and how many they are.
     """
     at = cut(part.data)
     at[part.offsets[1:] - 1] = False
     at[part.offsets[:-1]] = True
     starts = np.flatnonzero(at)
-    coded = packed(part.data, np.append(starts, len(part.data))).dictionary_encode()
-    # Only a text's last chunk ends with a line feed, the one that the slice added: no cut follows white space.
-    ids, begins, sizes = encode([c[:-1] if c.endswith(b"\n") else c for c in coded.dictionary.to_pylist()])
+    own = np.ones(len(part.data), bool)  # without the line feeds that the slice added
+    own[part.offsets[1:] - 1] = False
+    data = part.data[own]
+    coded = packed(data, np.append(starts - (np.searchsorted(part.offsets, starts, "right") - 1), len(data))).dictionary_encode()
+    ids, begins, sizes = encode(coded.dictionary.to_pylist())
     index = coded.indices.to_numpy()
     lengths = sizes[index]
     ends = np.concatenate([[0], np.cumsum(lengths)])

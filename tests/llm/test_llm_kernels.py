@@ -46,6 +46,22 @@ def test_ids_equal_the_libraries(texts):
             assert data[ends[i]:ends[i + 1]].tobytes().decode() == library.decode(wanted)
 
 
+def test_ids_of_added_tokens_equal_a_fresh_library():
+    from tokenizers import Tokenizer
+
+    fresh, end = Tokenizer.from_file(bytebpe.tokenizer_path()), "<|endoftext|>"
+    texts = [f"abc {end} def", f"abc{end}def", end, end + end, f"{end} x", f"x {end}", f"a\n{end}\nb", f"\n{end}\n", f"a  \n\n{end}  b", f"a\t{end}\u3000{end}é", f"日{end}日 ", "<|endoftext|", "|endoftext|>", f"<{end}>", f"<|endo{end}ftext|>", f"a.{end}.b 1{end}2 '{end}'s", "\n", "", None, "plain\n"]
+    random.seed(3)
+    texts += ["".join(random.choice([end, " ", "\n", "ab", "<|", "|>", "é", "7", ".", "  ", "'s"]) for _ in range(random.randrange(30))) for _ in range(400)]
+    assert fresh.encode(texts[0], add_special_tokens=False).ids == [39305, 220, 50256, 825]
+    for limit in (200, 1 << 20):
+        got = []
+        for part in cells.slices(pa.array(texts, pa.string()), limit):
+            ids, bounds = bytebpe.encode(part, bytebpe.tokenizer_path())
+            got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+        assert got == [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_decoding_of_any_ids():
     import sentencepiece
 
