@@ -8,6 +8,9 @@ Posterior log odds of a language are the sum of
 * the host's prior: counts of the text-only languages of a host's pages, smoothed towards those of its parent domain, these
   towards those of the suffix, and these towards the corpus.
 
+The posterior also weighs the text under the best language against an unknown one, whose trigrams are each as likely as halfway (in
+logarithms) between the language's own average over all its texts and the uniform distribution.
+
 Counting sends partial sums only; the trigram table has a fixed number of classes, so its size does not follow the corpus.
 """
 
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.cells import WHITE_LOWER, Slice, mixed, slices, small_batches
+from shelfwise.llm.cells import WHITE_LOWER, Slice, mixed, per_text, slices, small_batches
 from shelfwise.sources.staging import stage
 
 BUCKETS = 1 << 16
@@ -34,10 +37,18 @@ DAMPING = 0.25
 LEAN = 20.0
 #: How often a declared language or suffix is taken to be of no meaning.
 DOUBT = 0.05
-#: A text is rejected if its best language has less than this posterior, or if it has no letters and nothing else speaks for it.
+#: The prior of a text in none of the languages.
+UNKNOWN = 0.05
+#: A text has no letters to speak of if they are less than this part of its visible bytes.
+LEAST_LETTERS = 0.2
+#: A text is rejected if its best language has less than this posterior, or if it has no letters to speak of.
 LEAST_POSTERIOR = 0.5
 
 
+VISIBLE = WHITE_LOWER > 32
+LETTER = ((WHITE_LOWER >= 97) & (WHITE_LOWER <= 122)) | (WHITE_LOWER >= 128)
+
+
 def trigrams(part: Slice) -> tuple[np.ndarray, np.ndarray]:
     """Hash classes of the byte trigrams that hold a letter (or a byte outside ASCII), and every text's bounds among them."""
     data = WHITE_LOWER[part.data].astype(np.uint32)
@@ -77,23 +88,25 @@ def count_trigrams(docs: DataFrame, languages: list[str]) -> np.ndarray:
 
 
 def text_scores(table: np.ndarray):
-    """A column function: the damped log likelihoods of a text under every language, null for a text without letters."""
+    """A column function: the damped log likelihoods of a text under every language, and last its damped number of trigrams; null for a text without letters."""
 
     @F.arrow_udf("array<double>")
     def score(texts: pa.Array) -> pa.Array:
         out, has = [], []
         for part in slices(texts, SLICE):
             classes, bounds = trigrams(part)
-            each = np.empty((len(part), table.shape[0]))
+            each = np.empty((len(part), table.shape[0] + 1))
             for k in range(table.shape[0]):
                 total = np.concatenate([[0.0], np.cumsum(table[k][classes], dtype=np.float64)])
                 each[:, k] = total[bounds[1:]] - total[bounds[:-1]]
+            each[:, -1] = np.diff(bounds)
             out.append(each * DAMPING)
-            has.append(np.diff(bounds) > 0)
+            letters = per_text(LETTER[part.data], part.offsets)
+            has.append((np.diff(bounds) > 0) & (letters >= LEAST_LETTERS * per_text(VISIBLE[part.data], part.offsets)))
         if not out:
             return pa.array([], pa.list_(pa.float64()))
         each, has = np.concatenate(out), np.concatenate(has)
-        sizes = np.where(has, table.shape[0], 0)
+        sizes = np.where(has, table.shape[0] + 1, 0)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(each[has].ravel()))
         return pa.array([x if h else None for x, h in zip(lists.to_pylist(), has, strict=True)], pa.list_(pa.float64())) if not has.all() else lists
 
@@ -118,7 +131,7 @@ def with_language(pages: DataFrame, text_col: str = "text", declared: Column | N
 
     ``declared`` is the declared language (default: column ``lang``), ``host`` the address's host (default: column ``source``); null
     values say nothing. ``languages`` default to the declared values of two or three letters. A null or empty text, or one without
-    letters, is judged by the other evidence but never accepted. Ties go to the language first in the alphabet. An empty table, or
+    letters to speak of, is judged by the other evidence but never accepted; one in none of the languages has a low posterior. Ties go to the language first in the alphabet. An empty table, or
     one without any declared language, gives its rows with a null prediction, not accepted.
     """
     declared = F.col("lang") if declared is None else declared
@@ -132,13 +145,16 @@ def with_language(pages: DataFrame, text_col: str = "text", declared: Column | N
     if not languages:
         return evidence.withColumn(into, F.struct(F.lit(None).cast("string").alias("predicted"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted")).cast(answer)).drop("__evidence")
     counts = count_trigrams(flat_, languages) + SMOOTHING
-    score = text_scores(np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
+    shares = counts / counts.sum(1, keepdims=True)
+    score = text_scores(np.log(shares).astype(np.float32))
+    unknown = F.array(*(F.lit(float(x)) for x in ((shares * np.log(shares)).sum(1) - math.log(BUCKETS)) / 2))
+    of_text = lambda both: F.slice(both, 1, len(languages))
 
     # What the text alone says of every page, softened into fractions, counted by declared language, suffix, domain and host.
     suffix, domain, whole = host_levels(F.col("host"))
     best = F.array_max("scores")
     weights = F.transform("scores", lambda x: F.exp(x - best))
-    said = flat_.select("declared", suffix.alias("suffix"), domain.alias("domain"), whole.alias("host"), score(F.col("text")).alias("scores")).filter("scores is not null")
+    said = flat_.select("declared", suffix.alias("suffix"), domain.alias("domain"), whole.alias("host"), of_text(score(F.col("text"))).alias("scores")).filter("scores is not null")
     said = said.select("declared", "suffix", "domain", "host", weights.alias("w")).withColumn("total", F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
     sums = [F.sum(F.col("w")[k] / F.col("total")).alias(f"n{k}") for k in range(len(languages))]
     by_host = stage(said.groupBy("declared", "suffix", "domain", "host").agg(*sums))
@@ -163,12 +179,15 @@ def with_language(pages: DataFrame, text_col: str = "text", declared: Column | N
 
     zero = F.array(*(F.lit(0.0) for _ in languages))
     spoken = F.create_map(*(x for v, logs in of_declared.items() for x in (F.lit(v), F.array(*map(F.lit, logs))))) if of_declared else F.create_map().cast("map<string,array<double>>")
-    held = evidence.join(priors, F.col("__evidence.host") == F.col("__host"), "left").withColumn("__scores", score(F.col("__evidence.text")))
+    held = evidence.join(priors, F.col("__evidence.host") == F.col("__host"), "left").withColumn("__scored", score(F.col("__evidence.text"))).withColumn("__scores", of_text("__scored"))
     of_markup = F.when(F.col("__evidence.declared").isNotNull(), F.coalesce(F.try_element_at(spoken, F.col("__evidence.declared")), zero)).otherwise(zero)
     parts = F.arrays_zip(F.coalesce("__scores", zero).alias("text"), of_markup.alias("markup"), F.coalesce("prior", prior).alias("host"))
     logs = F.transform(parts, lambda p: p["text"] + p["markup"] + F.log(p["host"]))
     held = held.withColumn("__logs", logs).withColumn("__top", F.array_max("__logs"))
     posterior = 1.0 / F.aggregate("__logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top")))
-    predicted = F.element_at(F.array(*map(F.lit, languages)), F.array_position("__logs", F.col("__top")).cast("int"))
+    at = F.array_position("__logs", F.col("__top")).cast("int")
+    predicted = F.element_at(F.array(*map(F.lit, languages)), at)
+    against = F.element_at("__scored", -1) * F.element_at(unknown, at) - F.element_at("__scores", at)
+    posterior = posterior / (1.0 + F.coalesce(F.exp(against), F.lit(0.0)) * (UNKNOWN / (1 - UNKNOWN)))
     result = held.withColumn(into, F.struct(predicted.alias("predicted"), posterior.alias("posterior"), ((posterior >= LEAST_POSTERIOR) & F.col("__scores").isNotNull()).alias("accepted")))
     return result.select(*(c for c in pages.columns if c != into), into)

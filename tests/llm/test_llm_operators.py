@@ -349,3 +349,19 @@ def test_kneser_ney_of_many_ngrams_and_languages(spark, monkeypatch):
         assert {i: q.log_perplexity for i, q in got.items()} == pytest.approx(wanted, abs=1e-4)
         kept.append({i: (q.kept, q.base_failed, q.n_words, q.lower, q.upper) for i, q in got.items()})
     assert kept[0] == kept[1]
+
+
+WORDS_OF = {"en": "the of and that with this from they have", "de": "und nicht auch für sich mit einer keit ung", "ru": "что это как его она они был для при или чтобы только", "zh": "我们 他们 因为 所以 这个 那个 时间 问题"}
+
+
+@pytest.mark.parametrize("stated", [["en"], ["en", "de"]])
+def test_texts_in_no_known_language_are_rejected(spark, stated):
+    """Other languages, keyboard noise and symbols under a stated language go; clean texts, short ones too, stay."""
+    random.seed(14)
+    prose = lambda name, n: " ".join(random.choice(WORDS_OF[name].split()) for _ in range(n))
+    clean = [(prose(lang, random.choice([1, 3, 40, 400])), lang) for i in range(300) for lang in [stated[i % len(stated)]]]
+    noise = lambda n: "".join(random.choice("qxzjkvwpbgfy") for _ in range(n))
+    wrong = [(prose("ru", 60), "en"), (prose("ru", 300), None), (prose("zh", 60), "en"), (" ".join(noise(8) for _ in range(50)), "en"), ("#$% &*( " * 30 + "a", "en"), ("!!! ??? --- a", "en")]
+    rows = [(i, t, lang, "h") for i, (t, lang) in enumerate(clean + wrong)]
+    got = {r.doc_id: r.language for r in language.with_language(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [i for i in range(len(rows)) if got[i].accepted != (i < len(clean))] == []
