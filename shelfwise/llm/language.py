@@ -45,6 +45,8 @@ LEAST_LETTERS = 0.2
 LEAST_POSTERIOR = 0.5
 
 
+#: Undetermined, several, and no linguistic content.
+NO_LANGUAGE = ["und", "mul", "zxx"]
 VISIBLE = WHITE_LOWER > 32
 LETTER = ((WHITE_LOWER >= 97) & (WHITE_LOWER <= 122)) | (WHITE_LOWER >= 128)
 
@@ -126,21 +128,27 @@ def log_table(counts: DataFrame, value: str, languages: list[str]) -> dict[str,
     return {r[value]: [math.log((1 - DOUBT) * (r[f"n{k}"] + SMOOTHING) / (totals[k] + SMOOTHING * n) + DOUBT / n) for k in range(len(languages))] for r in rows}
 
 
+def primary_subtag(declared: Column) -> Column:
+    """The two or three letters before the first ``-`` or ``_`` of a language tag, lower-cased; null for other shapes and such as name no language."""
+    found = F.regexp_extract(F.lower(F.trim(declared)), r"^([a-z]{2,3})(?:[-_]|$)", 1)
+    return F.when((found != "") & ~found.isin(NO_LANGUAGE), found)
+
+
 def with_language(pages: DataFrame, text_col: str = "text", declared: Column | None = None, host: Column | None = None, languages: list[str] | None = None, into: str = "language") -> DataFrame:
     """``pages`` with ``predicted, posterior, accepted`` in a struct ``into``; all columns stay, but for an old one of that name.
 
     ``declared`` is the declared language (default: column ``lang``), ``host`` the address's host (default: column ``source``); null
-    values say nothing. ``languages`` default to the declared values of two or three letters. A null or empty text, or one without
+    values say nothing. ``languages`` default to the primary subtags of two or three letters that are declared. A null or empty text, or one without
     letters to speak of, is judged by the other evidence but never accepted; one in none of the languages has a low posterior. Ties go to the language first in the alphabet. An empty table, or
     one without any declared language, gives its rows with a null prediction, not accepted.
     """
     declared = F.col("lang") if declared is None else declared
     host = F.col("source") if host is None else host
-    evidence = small_batches(pages).withColumn("__evidence", F.struct(F.lower(F.substring(declared, 1, 2)).alias("declared"), F.lower(host).alias("host"), F.col(text_col).cast("string").alias("text")))
+    evidence = small_batches(pages).withColumn("__evidence", F.struct(primary_subtag(declared).alias("declared"), F.lower(host).alias("host"), F.col(text_col).cast("string").alias("text")))
     flat_ = evidence.select("__evidence.*")
     if languages is None:
-        # Two letters: 676 values at most.
-        languages = sorted(r["declared"] for r in flat_.filter(F.col("declared").rlike("^[a-z]{2}$")).select("declared").distinct().collect())
+        # Two or three letters: 18,252 values at most.
+        languages = sorted(r["declared"] for r in flat_.filter("declared is not null").select("declared").distinct().collect())
     answer = "struct<predicted: string, posterior: double, accepted: boolean>"
     if not languages:
         return evidence.withColumn(into, F.struct(F.lit(None).cast("string").alias("predicted"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted")).cast(answer)).drop("__evidence")

@@ -365,3 +365,16 @@ def test_texts_in_no_known_language_are_rejected(spark, stated):
     rows = [(i, t, lang, "h") for i, (t, lang) in enumerate(clean + wrong)]
     got = {r.doc_id: r.language for r in language.with_language(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert [i for i in range(len(rows)) if got[i].accepted != (i < len(clean))] == []
+
+
+def test_declared_languages_of_three_letters(spark):
+    tags = {"fil": ["fil", "fil-PH", "FIL_ph"], "ast": ["ast", " ast-ES"], "fi": ["fi", "FI-fi"], "en": ["en", "en_US"]}
+    words = {"fil": "ang mga hindi kayo ako siya nang", "ast": "ye la llingua asturiana nun tamién yá", "fi": "että mutta joka hän ovat kun olla", "en": WORDS_OF["en"]}
+    random.seed(15)
+    rows = [(i, " ".join(random.choice(words[name].split()) for _ in range(60)), random.choice(tags[name]), "h", name) for i in range(200) for name in [sorted(tags)[i % 4]]]
+    rows += [(1000 + i, rows[i][1], tag, "h", rows[i][4]) for i, tag in enumerate(["und", "mul", "zxx", "und-Latn", "english", "e", "", "x-klingon", "en1", None])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, true string")
+    assert all(r.language.predicted == r.true and r.language.accepted for r in language.with_language(table).collect())
+    assert {r.language.predicted for r in language.with_language(table, languages=["fil", "en"]).filter(F.col("true") == "fil").collect()} == {"fil"}
+    got = spark.createDataFrame([(r[2],) for r in rows[200:]], "x string").select(language.primary_subtag(F.col("x")).alias("y")).collect()
+    assert all(r.y is None for r in got)
