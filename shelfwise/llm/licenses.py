@@ -2,13 +2,16 @@
 
 All rolling two-word hashes of all texts meet the positions of the templates' in a Spark join. A match votes for its diagonal, the
 text position minus the template position. A diagonal with all votes of its template is a span of its own; neighbouring diagonals
-with some of them, as words inserted or left out make, merge into one. Spans are verified on the words of the text.
+with some of them, as words inserted or left out make, merge into one. Spans with as many votes as any that the words can accept has
+reach as far as their outer diagonals, and are verified on the words of the text.
 """
 
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ from shelfwise.sources.staging import stage
 GRAM = 2
 #: Merged diagonals lie at most so many words apart.
 GAP = 3
-#: The part of a template that a span must have, among its word pairs to be looked at and among its words to count.
+#: The part of a template's words, and of its own, that a span must have in common to count.
 SHARE = 0.8
 #: Tables of at most so many rows and spans are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_SPANS = 50_000, 500_000
@@ -81,28 +84,36 @@ def rolling_grams(docs: DataFrame) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row long, pos long, gram long")
 
 
-def template_grams(known: list[tuple[list[str], str, bool]]) -> list[tuple[int, int, int, int]]:
-    """``gram, template, tpos, n_grams`` rows."""
+def least_votes(n_words: int) -> int:
+    """The fewest word pairs left in any span of ``SHARE``: every word left out or inserted may part two runs of words in common."""
+    share = Fraction(str(SHARE))
+    return max(1, min(common - 1 - (n_words - common) - (int(common / share) - common) for common in range(math.ceil(n_words * share), n_words + 1)))
+
+
+def template_grams(known: list[tuple[list[str], str, bool]]) -> list[tuple[int, int, int, int, int]]:
+    """``gram, template, tpos, n_grams, least`` rows."""
     out = []
     for t, (own, _, _) in enumerate(known):
         part = next(slices(pa.array([" ".join(own)])))
         values, _ = grams(words(part, ALNUM_LOWER))
-        out += [(int(g), t, p, len(values)) for p, g in enumerate(values.view(np.int64))]
+        out += [(int(g), t, p, len(values), least_votes(len(own))) for p, g in enumerate(values.view(np.int64))]
     return out
 
 
 def spans(docs: DataFrame, known: list[tuple[list[str], str, bool]]) -> DataFrame:
     """``row, template, first, last``: word places of the diagonals worth a look."""
-    places = docs.sparkSession.createDataFrame(template_grams(known), "gram long, template int, tpos long, n_grams int")
+    places = docs.sparkSession.createDataFrame(template_grams(known), "gram long, template int, tpos long, n_grams int, least int")
     votes = rolling_grams(docs).join(F.broadcast(places), "gram")  # a few rows per template
-    diagonals = votes.withColumn("diagonal", F.col("pos") - F.col("tpos")).groupBy("row", "template", "n_grams", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("first"), (F.max("pos") + GRAM - 1).alias("last"))
+    diagonals = votes.withColumn("diagonal", F.col("pos") - F.col("tpos")).groupBy("row", "template", "n_grams", "least", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("first"), (F.max("pos") + GRAM - 1).alias("last"))
     whole = F.col("votes") == F.col("n_grams")
     exact = diagonals.filter(whole).select("row", "template", "first", "last")
     # One text's diagonals of one template lie in a window: a text bounds it.
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     starts = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > GAP, F.lit(True))
     grouped = diagonals.filter(~whole).withColumn("starts", starts.cast("int")).withColumn("group", F.sum("starts").over(order))
-    merged = grouped.groupBy("row", "template", "n_grams", "group").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last")).filter(F.col("votes") >= F.ceil(F.col("n_grams") * SHARE))
+    # The words before the first vote and after the last may be in common, too.
+    reach = [F.greatest(F.min_by("diagonal", "first"), F.lit(0)).alias("first"), (F.max_by("diagonal", "last") + F.col("n_grams") + GRAM - 2).alias("last")]
+    merged = grouped.groupBy("row", "template", "n_grams", "least", "group").agg(F.sum("votes").alias("votes"), *reach).filter(F.col("votes") >= F.col("least"))
     return exact.unionByName(merged.select("row", "template", "first", "last"))
 
 
@@ -136,14 +147,22 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE_PHRASES, notices: l
         exact, seen = [], []
         for f in findings or []:
             wanted, label, is_base = known[f["template"]]
-            a, b = int(own.bounds[i]) + f["first"], int(own.bounds[i]) + f["last"] + 1
-            got = own.vocabulary.take(pa.array(own.ids[a:b])).to_pylist()
-            share = 1.0 if got == wanted else sum(m.size for m in difflib.SequenceMatcher(None, got, wanted, autojunk=False).get_matching_blocks()) / max(len(wanted), len(got))
+            low, high, first, last, share = int(own.bounds[i]), int(own.bounds[i + 1]), f["first"], f["last"], 1.0
+            if own.vocabulary.take(pa.array(own.ids[low + first:low + last + 1])).to_pylist() != wanted:
+                # Inserted words may part the template's outer words from the rest.
+                extra = int(len(wanted) / Fraction(str(SHARE))) - len(wanted)
+                a = max(low, low + first - extra)
+                got = own.vocabulary.take(pa.array(own.ids[a:min(low + last + 1 + extra, high)])).to_pylist()
+                if sum(w in wanted for w in got) < SHARE * len(wanted):
+                    continue
+                common = [m for m in difflib.SequenceMatcher(None, got, wanted, autojunk=False).get_matching_blocks() if m.size]
+                runs = [common[j:k] for j in range(len(common)) for k in range(j + 1, len(common) + 1)]
+                share, first, last = max((sum(m.size for m in r) / max(len(wanted), r[-1].a + r[-1].size - r[0].a), a - low + r[0].a, a - low + r[-1].a + r[-1].size - 1) for r in runs)
             if share < SHARE:
                 continue
-            seen.append((label, f["first"], f["last"], share))
+            seen.append((label, first, last, share))
             if is_base and share == 1.0:
-                exact.append((f["first"], f["last"], label))
+                exact.append((first, last, label))
         joined = lambda labels: ",".join(sorted(set(labels)))
         return (
             len(exact), min((e[0] for e in exact), default=None), max((e[0] for e in exact), default=None), joined(e[2] for e in exact), joined([*(e[2] for e in exact), *(s[0] for s in seen)]),

@@ -378,3 +378,20 @@ def test_declared_languages_of_three_letters(spark):
     assert {r.language.predicted for r in language.with_language(table, languages=["fil", "en"]).filter(F.col("true") == "fil").collect()} == {"fil"}
     got = spark.createDataFrame([(r[2],) for r in rows[200:]], "x string").select(language.primary_subtag(F.col("x")).alias("y")).collect()
     assert all(r.y is None for r in got)
+
+
+def test_license_notices_with_one_edit(spark):
+    """Every notice with one word replaced, inserted or left out at any place is found where its words are enough."""
+    rows, wanted = [], []
+    for notice, label in licenses.NOTICES:
+        w = notice.split()
+        edits = [(w[:k] + ["qqq"] + w[k + 1:], len(w) - 1, len(w)) for k in range(len(w))] + [(w[:k] + ["qqq"] + w[k:], len(w), len(w) + 1) for k in range(1, len(w))] + [(w[:k] + w[k + 1:], len(w) - 1, len(w)) for k in range(len(w))]
+        for words, common, size in edits:
+            if 10 * common >= 8 * size:
+                rows.append((len(rows), " ".join(["zzz"] * 7 + words + ["yyy"] * 7)))
+                wanted.append((label, common / size))
+    path = __import__("tempfile").mkdtemp(prefix="llm-notices-")
+    spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(path)
+    got = {r.doc_id: r.spans for r in licenses.scan(spark.read.parquet(path)).collect()}
+    missing = [rows[i] for i, (label, share) in enumerate(wanted) if not any(x.label == label and x.share >= share - 1e-9 for x in got[i])]
+    assert missing == []
