@@ -37,7 +37,7 @@ def count_of(text: Column, char: str) -> Column:
 
 
 def directory(path: Column, depth: Column) -> Column:
-    """The path up to its ``depth``-th slash."""
+    """The path up to its ``depth``-th slash; one slash for depth 0."""
     return F.concat(F.call_function("substring_index", path, F.lit("/"), depth), F.lit("/"))
 
 
@@ -67,12 +67,13 @@ def possible(candidates: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every page.
 
-    ``rules`` has ``host, path, verdict``: a rule fits its host and all subdomains where the path starts with its own. The rule of the
+    ``rules`` has ``host, path, verdict``: a rule fits its host and all subdomains where the path starts with its own; an empty or null path
+    fits the whole host, and a null host fits none. The rule of the
     most characters wins, then the longer host, then the rule's text. Without a rule, a URL whose canonical form is among the
     canonical forms of ``listed.url`` is blocked, any other allowed. Null URLs and such without ``://`` have an empty host and path and are
     allowed; pages may repeat, other columns are ignored, and an empty table gives no rows.
     """
-    rules = rules.select("host", "path", "verdict").distinct().withColumn("labels", count_of(F.col("host"), ".") + 1).withColumn("depth", count_of(F.col("path"), "/")).filter("depth > 0")
+    rules = rules.filter("host is not null").select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict").distinct().withColumn("labels", count_of(F.col("host"), ".") + 1).withColumn("depth", count_of(F.col("path"), "/"))
     rules = rules.withColumn("key", F.concat("host", F.lit("|"), directory(F.col("path"), F.col("depth"))))
     # Rules come in few shapes (labels of the host, slashes of the path): a URL has one key per shape, however long it is.
     shapes = [F.struct(F.lit(r["labels"]).alias("labels"), F.lit(r["depth"]).alias("depth")) for r in rules.select("labels", "depth").distinct().orderBy("labels", "depth").collect()]

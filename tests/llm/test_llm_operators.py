@@ -395,3 +395,12 @@ def test_license_notices_with_one_edit(spark):
     got = {r.doc_id: r.spans for r in licenses.scan(spark.read.parquet(path)).collect()}
     missing = [rows[i] for i, (label, share) in enumerate(wanted) if not any(x.label == label and x.share >= share - 1e-9 for x in got[i])]
     assert missing == []
+
+
+def test_url_rules_of_whole_hosts(spark):
+    rules = [("example.com", "", "block"), ("example.com", "/en/", "allow"), ("net", "", "allow"), ("x.net", "/", "block")]
+    urls = ["http://example.com", "http://www.example.com/de/1", "http://example.com/en/1", "http://example.com?q", "http://notexample.com/", "http://a.net", "http://x.net", "http://x.net/a", "http://b.org/", "http://void.org/a"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame([*rules, ("void.org", None, "block"), (None, "/a", "block")], "host string, path string, verdict string")
+    got = url_filter.judge(pages, table, spark.createDataFrame([], "url string"))
+    assert Counter(tuple(r) for r in got.collect()) == Counter((i, *judge(u, [*rules, ("void.org", "", "block")], [])) for i, u in enumerate(urls))
