@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import language, licenses, near_dedup, packing, perplexity, piece_bpe, quotient_dedup, simple8b, url_filter, word_pieces
+from shelfwise.llm import language, licenses, merkle, near_dedup, packing, perplexity, piece_bpe, quotient_dedup, resample, simple8b, suffix_tree, url_filter, word_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -120,3 +120,105 @@ def piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simple8b_tokens")
 def simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.round_trip(documents(spark, sf_dir))
+
+
+#: CRC-32 of a column of bytes, by its table of 256 entries.
+CRC_TABLE = """
+    crc_steps(b, k, v) as (
+      select range, 0, range from range(256)
+      union all select b, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from crc_steps where k < 8
+    ),
+    crc_table as (select list(v order by b) as crc from crc_steps where k = 8)
+"""
+
+
+def crc_sql(text: str) -> str:
+    """The CRC-32 of a string expression where ``crc_table`` is joined."""
+    bytes_ = f"list_transform(range(0, octet_length(encode({text}))), lambda i: ('0x' || hex(encode({text}))[(2 * i + 1):(2 * i + 2)])::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {bytes_}), lambda c, b: xor(crc[xor(c & 255, b) + 1], c >> 8)), 4294967295)"
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""
+    with recursive {CRC_TABLE},
+    fields as (
+      select *, case when doc_id is null then '-' else strlen(doc_id::varchar) || ':' || doc_id end || case when source is null then '-' else strlen(source) || ':' || source end
+                || case when lang is null then '-' else strlen(lang) || ':' || lang end as head,
+             case when text is null then '-' else strlen(text) || ':' || text end as tail,
+             coalesce({crc_sql("doc_id::varchar")} % 7 = 0, false) as chosen
+      from documents, crc_table
+    ),
+    leaves as (
+      select doc_id, lang, sha256(head || case when n_chars is null then '-' else strlen(n_chars::varchar) || ':' || n_chars end || tail) as leaf,
+             sha256(head || case when n_chars is null then '-' else strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1) end || tail) as changed, chosen
+      from fields
+    ),
+    placed as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from leaves),
+    trees as (select lang, row_number() over (order by lang nulls first) - 1 as t, count(*) over () as n from (select distinct lang from leaves)),
+    grown(lang, level, i, n, h) as (
+      select lang, 0, i, n, leaf from placed
+      union all select lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' order by i)) from grown where n > 1 group by lang, level, i // 2, n
+    ),
+    subroots as (select t, trees.n, trees.lang, h as subroot, level as height from grown join trees on grown.lang is not distinct from trees.lang where grown.n = 1),
+    above(level, i, n, h) as (
+      select 0, t, n, subroot from subroots
+      union all select level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' order by i)) from above where n > 1 group by level, i // 2, n
+    ),
+    top as (select h as root, level as height from above where n = 1),
+    nodes as (
+      select t, level, i, h from grown join trees on grown.lang is not distinct from trees.lang where grown.n > 1
+      union all select -1, level, i, h from above where n > 1
+    ),
+    ways as (select placed.*, subroots.t, subroot, subroots.height as own_height, root, top.height + subroots.height as height from placed join subroots on placed.lang is not distinct from subroots.lang, top),
+    steps as (
+      select rn, step, case when step < own_height then t else -1 end as tree, case when step < own_height then step else step - own_height end as level,
+             case when step < own_height then i >> step else t >> (step - own_height) end as here
+      from (select *, row_number() over () as rn from ways) w, range(64) r(step) where step < height
+    ),
+    met as (select rn, step, here, h from steps left join nodes on tree = t and steps.level = nodes.level and nodes.i = xor(here, 1)),
+    folded(rn, step, h) as (
+      select row_number() over (), 0, case when chosen then changed else leaf end from ways
+      union all select f.rn, f.step + 1, sha256(case when here % 2 = 1 then m.h || f.h else f.h || coalesce(m.h, '') end) from folded f join met m on f.rn = m.rn and f.step = m.step
+    ),
+    proofs as (select rn, sha256(coalesce(string_agg(h, '' order by step), '')) as proof_sha256 from met group by rn)
+    select doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256, f.h as folded_root, f.h = root as verified
+    from (select *, row_number() over () as rn from ways) w join folded f on w.rn = f.rn and f.step = w.height left join proofs p on p.rn = w.rn
+    """,
+)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(documents(spark, sf_dir))
+
+
+@query(
+    "op12_importance_resampling",
+    f"""
+    with recursive {CRC_TABLE},
+    texts as (select 0 as kind, doc_id as id, text from documents union all select 1, item_id, text from benchmark),
+    own as (select kind, id, row_number() over () as rn, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+    runs as (
+      select kind, rn, unnest(w) as f from own
+      union all select kind, rn, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from own
+      union all select kind, rn, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from own
+    ),
+    counted as (select kind, rn, f, count(*) as n from runs group by all),
+    hashed as (select f, {crc_sql("f")} % 10000 as bucket from (select distinct f from counted), crc_table),
+    buckets as (select bucket, sum(n) filter (kind = 0) as s, sum(n) filter (kind = 1) as t from counted join hashed using (f) group by bucket),
+    totals as (select sum(s) as all_s, sum(t) as all_t from buckets),
+    gains as (select bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (coalesce(all_s, 0) + 10000))::double / ((coalesce(s, 0) + 1) * (coalesce(all_t, 0) + 10000))::double))::bigint as gain from buckets, totals),
+    weighed as (
+      select id as doc_id, len(w) as n_words, greatest(len(w), 0) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) as n_features, coalesce(weight, 0)::bigint as weight
+      from own left join (select rn, sum(n * gain) as weight from counted join hashed using (f) join gains using (bucket) where kind = 0 group by rn) using (rn) where kind = 0
+    ),
+    scored as (select *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score from weighed),
+    ranked as (select *, row_number() over (order by n_words < 20, score desc, doc_id nulls first) as place, count(*) filter (n_words >= 20) over () as eligible from scored)
+    select doc_id, n_features, weight, score, case when place <= 5 * eligible // 100 then place end as rank from ranked
+    """,
+)
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op13_suffix_tree")
+def suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(documents(spark, sf_dir), suffix_tree.seventh(F.col("doc_id")))
