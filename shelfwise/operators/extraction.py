@@ -1,7 +1,6 @@
 """Entities out of titles as table jobs: dictionary matches, brand filling and mining, structuring.
 
-A dictionary that is itself a table is matched by an equi-join on whole terms, so neither side is paired
-with the whole other side.
+A dictionary that is itself a table becomes an automaton that every text passes through once, see :mod:`.automaton`.
 """
 
 from __future__ import annotations
@@ -14,38 +13,16 @@ from pyspark.sql import functions as F
 from shelfwise.functions import tags, words
 from shelfwise.functions import text as tx
 from shelfwise.functions.weight import weight_structured
-
-
-FILTER_BITS = 1 << 16
-
-
-def _term_filter(terms: DataFrame, term: str) -> Column:
-    """A bitmap of fixed size with a bit for the hash of every term, as one array that is computed once."""
-    place = F.pmod(F.xxhash64(term), F.lit(FILTER_BITS))
-    cells = terms.select((place / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    filled = cells.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))  # at most FILTER_BITS / 64 entries
-    return filled.select(F.transform(F.sequence(F.lit(0), F.lit(FILTER_BITS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("words")).scalar()
+from shelfwise.operators.automaton import contained_terms, longest_term
 
 
 def contained_pairs(df: DataFrame, key: str, text: str, terms: DataFrame, term: str, ignore_case: bool = False) -> DataFrame:
-    """``(key, term)`` for every dictionary term that occurs in the text.
-
-    A text yields its windows of every length that terms have; windows meet whole terms in an equi-join. Only the key and
-    the window travel, and a bitmap of fixed size drops most windows that are no term before they leave their row.
-    """
-    fold = F.lower if ignore_case else (lambda c: c)
-    d = terms.select(F.col(term)).where(F.length(term) > 0).distinct().withColumn("_w", fold(F.col(term)))
-    lengths = d.select(F.length("_w").alias("n")).distinct().agg(F.sort_array(F.collect_list("n")).alias("s")).scalar()
-    t = df.select(F.col(key).alias("_key"), fold(F.col(text)).alias("_t")).where(F.col("_t").isNotNull())
-    by_length = t.withColumn("_words", _term_filter(d, "_w")).select("_key", "_t", "_words", F.explode(lengths).alias("_n")).where(F.length("_t") >= F.col("_n"))
-    windows = by_length.select("_key", "_words", F.array_distinct(F.regexp_extract_all(F.col("_t"), F.concat(F.lit("(?s)(?=(.{"), F.col("_n"), F.lit("}))")), F.lit(1))).alias("_all"))
-
-    def possible(w: Column) -> Column:
-        place = F.pmod(F.xxhash64(w), F.lit(FILTER_BITS))
-        return F.get(F.col("_words"), (place / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))) != 0
-
-    grams = windows.select("_key", F.explode(F.filter("_all", possible)).alias("_w"))
-    return grams.join(d, "_w").select(F.col("_key").alias(key), F.col(term)).distinct()
+    """``(key, term)`` for every dictionary term that occurs in the text, each pair once; one pass of :mod:`.automaton` over the texts."""
+    if not ignore_case:
+        return df.select(F.col(key), F.explode(contained_terms(F.col(text), terms, term)).alias(term)).distinct()
+    folded = terms.select(F.col(term), F.lower(F.col(term)).alias("_w")).where(F.length("_w") > 0).distinct()
+    found = df.select(F.col(key), F.explode(contained_terms(F.lower(F.col(text)), folded, "_w")).alias("_w")).distinct()
+    return found.join(folded, "_w").select(key, term)
 
 
 def contained_words(df: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
@@ -55,10 +32,10 @@ def contained_words(df: DataFrame, key: str, text: str, terms: DataFrame, term:
     return tokens.join(d, "_w").select(key, term)
 
 
-def longest_contained(df: DataFrame, key: str, text: str, terms: DataFrame, term: str, name: str, **kw) -> DataFrame:
-    """Longest contained term per key (``key`` unique); no row where nothing is contained."""
-    pairs = contained_pairs(df, key, text, terms, term, **kw)
-    return pairs.groupBy(key).agg(F.max_by(term, F.struct(F.length(term), F.col(term))).alias(name))
+def longest_contained(df: DataFrame, key: str, text: str, terms: DataFrame, term: str, name: str) -> DataFrame:
+    """Longest contained term per key; no row where nothing is contained. Rows of one key count as one text each, none of them is joined."""
+    found = df.select(F.col(key), longest_term(F.col(text), terms, term).alias(name)).where(F.col(name).isNotNull())
+    return found.groupBy(key).agg(F.max_by(name, F.struct(F.length(name), F.col(name))).alias(name))
 
 
 # --- brands -------------------------------------------------------------------
@@ -79,12 +56,9 @@ def brand_from_titles(df: DataFrame, key: str = "sku", title: str = "title", bra
     base = df.withColumn("_name", tx.normalize_text(title)).withColumn("_clean", tx.clean_brand(tx.normalize_text(brand), separators="any", strip_suffix=True))
     base = base.withColumn("_own", F.when((F.col("_clean") != "") & F.contains(F.col("_name"), F.col("_clean")), F.col("_clean"))).drop("_clean")
     known = aliases if aliases is not None else brand_dictionary(df, brand)
-    # one lookup per distinct title, and a join of the rows alone whose own brand is absent from it
-    needy = base.where(F.col("_own").isNull())
-    found = longest_contained(needy.select("_name").distinct(), "_name", "_name", known, "alias", "_found")
-    filled = needy.join(found, "_name", "left").withColumn("brand_from_name", F.coalesce("_found", title_head("_name"))).drop("_found")
-    out = base.where(F.col("_own").isNotNull()).withColumn("brand_from_name", F.col("_own")).unionByName(filled)
-    return out.drop("_name", "_own")
+    # titles with their own brand in them are not looked at
+    found = longest_term(F.when(F.col("_own").isNull(), F.col("_name")), known, "alias")
+    return base.withColumn("brand_from_name", F.coalesce("_own", found, title_head("_name"))).drop("_name", "_own")
 
 
 def shop_tag_free_title(title) -> Column:
