@@ -15,6 +15,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.sources.staging import stage
+
 #: Bytes of the terms of a shard; its arrays take thirty times as much at most.
 SHARD_BYTES = 2 << 20
 #: Bytes of text worked on at a time, and the shortest piece of a text.
@@ -94,8 +96,10 @@ class Automaton:
             state[open_] = self.fail[state[open_]]
         return out
 
-    def walk(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Per step, the texts and states that have a term behind them."""
+    def walk(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per step, the texts and states that have a term behind them, and the places in ``data`` where it ends.
+
+        Pieces overlap, so a term near a piece's beginning may come twice."""
         size = max(PIECE, 4 * self.longest)
         lengths = np.diff(bounds)
         pieces = -(-lengths // size)
@@ -111,12 +115,12 @@ class Automaton:
             state[:n] = self.step(state[:n], data[at[:n] + i])
             found = np.flatnonzero(self.top[state[:n]] >= 0)
             if len(found):
-                yield text[found], state[found]
+                yield text[found], state[found], at[found] + i + 1
 
     def best(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Per text the greatest rank of a term that it contains, or -1."""
         out = np.full(len(bounds) - 1, -1, np.int64)
-        for text, state in self.walk(data, bounds):
+        for text, state, _ in self.walk(data, bounds):
             np.maximum.at(out, text, self.top[state])
         return out
 
@@ -124,7 +128,7 @@ class Automaton:
         """Pairs of text and term, each once, in order."""
         n = max(1, int(self.term.max(initial=0)) + 1)
         pairs, held = [np.zeros(0, np.int64)], 0
-        for text, state in self.walk(data, bounds):
+        for text, state, _ in self.walk(data, bounds):
             state = np.where(self.term[state] >= 0, state, self.out[state])
             while len(state):
                 pairs.append(text * n + self.term[state])
@@ -138,6 +142,20 @@ class Automaton:
         return found // n, found % n
 
 
+    def occurrences(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every occurrence of every term once: where in ``data`` it ends, and the term."""
+        n = max(1, int(self.term.max(initial=0)) + 1)
+        found = [np.zeros(0, np.int64)]
+        for _, state, end in self.walk(data, bounds):
+            state = np.where(self.term[state] >= 0, state, self.out[state])
+            while len(state):
+                found.append(end * n + self.term[state])
+                state = self.out[state]
+                end, state = end[state > 0], state[state > 0]
+        found = np.unique(np.concatenate(found))
+        return found // n, found % n
+
+
 def slices(texts: pa.Array) -> Iterator[pa.Array]:
     """Runs of whole texts of about ``SLICE_BYTES``."""
     _, ends = flat(texts)
@@ -153,7 +171,7 @@ def shards(terms: DataFrame, term: str) -> Iterator[list[str]]:
 
     Texts pass once through every shard, so a dictionary of many shards costs as many passes. The runs come from sizes per pair of first bytes, added up in Spark; pairs whose terms are more than a shard are split in their order.
     """
-    own = terms.select(F.col(term).cast("string").alias("w")).where(F.length("w") > 0).distinct()
+    own = stage(terms.select(F.col(term).cast("string").alias("w")).where(F.length("w") > 0).distinct())
     lead = F.substring(F.col("w").cast("binary"), 1, 2)
     sizes = own.groupBy(lead.alias("lead")).agg(F.sum(F.octet_length("w")).alias("n"))  # 65,792 rows at most
     upto = F.sum("n").over(Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1))

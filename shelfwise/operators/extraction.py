@@ -43,6 +43,7 @@ def brand_dictionary(df: DataFrame, brand: str = "brand", min_length: int = 2) -
     """Distinct cleaned brands of a table as a dictionary."""
     # distinct raw values first: the text work then runs once per value, not once per row
     raw = df.select(F.col(brand).alias("_b")).distinct()
+    raw = raw.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but much work on each
     d = raw.select(tx.clean_brand(tx.normalize_text("_b"), separators="any", strip_suffix=True).alias("alias")).distinct()
     return d.where(F.length("alias") >= min_length)
 

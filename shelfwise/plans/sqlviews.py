@@ -118,4 +118,6 @@ def with_views(names: Sequence[str], body: str) -> str:
     if not ordered:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1].strip()})" for n in ordered)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[len('WITH RECURSIVE '):]}"
     return f"WITH {ctes}\n{body}" if not body.upper().startswith("WITH ") else f"WITH {ctes},\n{body[5:]}"

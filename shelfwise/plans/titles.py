@@ -8,6 +8,7 @@ from shelfwise.functions import tags, words
 from shelfwise.functions import text as tx
 from shelfwise.operators import extraction as ex
 from shelfwise.operators import market as mk
+from shelfwise.operators import segmentation as sg
 from shelfwise.plans.markets import rounded
 from shelfwise.plans.registry import query
 from shelfwise.plans.sqlviews import rnd
@@ -229,6 +230,35 @@ def title_keywords(spark, sf):
     return c.select("sku", F.array_join(tags.keyword_tags(F.concat_ws(" ", "title", "brand", "promotion"), ["brand", "category"]), ";").alias("keywords"))
 
 
+_LETTERS, _SIGNS = "abcdefghijklmnopqrstuvwxyz", "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥天地人山"
+
+
+@query(
+    "segmented_keywords",
+    f"""WITH RECURSIVE t AS (SELECT sku, trim(brand) AS b, trim(category) AS c, regexp_extract_all(concat_ws(' ', title, brand, promotion, translate(flavor || split_part(category, ' ', 2), '{_LETTERS}', '{_SIGNS}')), '[一-龥]+|[A-Za-z]{{2,}}') AS l FROM catalog),
+       tok AS (SELECT sku, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS w FROM t),
+       runs AS (SELECT w AS run, count(*) AS n FROM tok WHERE regexp_matches(w, '^[一-龥]') GROUP BY 1),
+       grams AS (SELECT substr(run, i, k) AS g, sum(n) AS n FROM runs, range(1, 40) p(i), range(1, 7) q(k) WHERE i + k - 1 <= length(run) GROUP BY 1),
+       total AS (SELECT sum(n) AS s FROM grams WHERE length(g) = 1),
+       voc AS (SELECT g, round(1000000 * ln(n / s))::BIGINT AS w FROM grams, total WHERE length(g) = 1 OR n >= greatest(2, ceil(s / 100000))),
+       rec(run, i, b, p) AS (
+         SELECT run, 0, [0::BIGINT], [[]::VARCHAR[]] FROM runs
+         UNION ALL SELECT run, i + 1, list_append(b, max(b[i + 2 - k] + voc.w)), list_append(p, arg_max(list_append(p[i + 2 - k], g), row(b[i + 2 - k] + voc.w, k)))
+         FROM rec, range(1, 7) q(k), voc WHERE i < length(run) AND k <= i + 1 AND g = substr(run, i + 2 - k, k) GROUP BY run, i, b, p),
+       best AS (SELECT run, p[length(run) + 1] AS own FROM rec WHERE i = length(run)),
+       found AS (SELECT sku, flatten(list(coalesce(own, [w]) ORDER BY i)) AS ws FROM tok LEFT JOIN best ON w = run GROUP BY 1),
+       k AS (SELECT sku, list_concat(list_filter(ws, lambda w: length(w) > 1 AND NOT regexp_matches(lower(w), '^(kg|g|公斤|千克)$')), [b, c]) AS ws FROM found JOIN t USING (sku))
+       SELECT sku, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i AND w NOT IN ('满减', '包邮', '优惠', '促销', '特价', '京东', '热卖', '自营', 'kg', 'KG')), ';') AS keywords FROM k""",
+    ["catalog"],
+)
+def segmented_keywords(spark, sf):
+    c = views.catalog(spark, sf)
+    unspaced = F.translate(F.concat("flavor", views.noun(F.col("category"))), _LETTERS, _SIGNS)
+    c = c.withColumn("t", F.concat_ws(" ", "title", "brand", "promotion", unspaced))
+    counts = sg.word_counts(c, "t", max_length=6)
+    return c.select("sku", F.array_join(sg.keywords(F.col("t"), counts, ["brand", "category"]), ";").alias("keywords"))
+
+
 @query(
     "nonstandard_top_words",
     "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(title, ' ')) AS word FROM offers WHERE weight_g < 200) WHERE word NOT IN ('ring', 'old') GROUP BY 1 ORDER BY n DESC, word LIMIT 10",
