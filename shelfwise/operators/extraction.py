@@ -54,12 +54,17 @@ def title_head(name, pattern: str = r"^([A-Za-z0-9一-龥]{2,12})") -> Column:
 
 def brand_from_titles(df: DataFrame, key: str = "sku", title: str = "title", brand: str = "brand", aliases: DataFrame | None = None) -> DataFrame:
     """``brand_from_name``: own brand if contained, else the longest known brand, else the title head."""
-    base = df.withColumn("_name", tx.normalize_text(title)).withColumn("_clean", tx.clean_brand(tx.normalize_text(brand), separators="any", strip_suffix=True))
-    base = base.withColumn("_own", F.when((F.col("_clean") != "") & F.contains(F.col("_name"), F.col("_clean")), F.col("_clean"))).drop("_clean")
-    known = aliases if aliases is not None else brand_dictionary(df, brand)
+    return _named_brand(df.withColumn("_name", tx.normalize_text(title)), brand, aliases).drop("_name", "_own_brand")
+
+
+def _named_brand(base: DataFrame, brand: str, aliases: DataFrame | None) -> DataFrame:
+    """``brand_from_name`` by the normalised title ``_name``, and the cleaned own brand as ``_own_brand``."""
+    base = base.withColumn("_own_brand", tx.clean_brand(tx.normalize_text(brand), separators="any", strip_suffix=True))
+    base = base.withColumn("_own", F.when((F.col("_own_brand") != "") & F.contains(F.col("_name"), F.col("_own_brand")), F.col("_own_brand")))
+    known = aliases if aliases is not None else brand_dictionary(base, brand)
     # titles with their own brand in them are not looked at
     found = longest_term(F.when(F.col("_own").isNull(), F.col("_name")), known, "alias")
-    return base.withColumn("brand_from_name", F.coalesce("_own", found, title_head("_name"))).drop("_name", "_own")
+    return base.withColumn("brand_from_name", F.coalesce("_own", found, title_head("_name"))).drop("_own")
 
 
 def shop_tag_free_title(title) -> Column:
@@ -241,7 +246,7 @@ def infer_tags(titles: DataFrame, df: DataFrame, key: str, title: str, column: s
 # --- the whole structuring job ------------------------------------------------
 def structure_titles(df: DataFrame, key: str = "sku", title: str = "title", brand: str = "brand", weight: str | None = "weight_g", extra: Sequence[str] = (), aliases: DataFrame | None = None) -> DataFrame:
     """All title-derived columns and their agreement with the given brand and weight."""
-    base = brand_from_titles(df, key, title, brand, aliases).withColumn("_name", tx.normalize_text(title))
+    base = _named_brand(df.withColumn("_name", tx.normalize_text(title)), brand, aliases)
     out = (
         base.withColumn("_w", weight_structured("_name", normalized=True))
         .withColumn("flavor_tags", tags.flavor_tags("_name"))
@@ -251,17 +256,16 @@ def structure_titles(df: DataFrame, key: str = "sku", title: str = "title", bran
         .withColumn("weight_from_text", F.col("_w.weight_g"))
         .withColumn("weight_note", F.col("_w.note"))
     )
-    own = tx.clean_brand(tx.normalize_text(brand), separators="any", strip_suffix=True)
     seen = tx.clean_brand(tx.normalize_text("brand_from_name"), separators="any", strip_suffix=True)
     given = F.col(weight).try_cast("double") if weight else F.lit(None).cast("double")
     out = (
         out.withColumn("keywords", tags.keyword_tags("_name", ["brand_from_name", F.array_join("flavor_tags", ";"), F.array_join("package_tags", ";"), *extra]))
-        .withColumn("brand_match_status", tags.brand_status(own, seen))
+        .withColumn("brand_match_status", tags.brand_status("_own_brand", seen))
         .withColumn("weight_match_status", tags.weight_status(given, "weight_from_text"))
     )
     return out.withColumn(
         "extraction_notes", tags.structure_notes("brand_match_status", "weight_match_status", "flavor_tags", "package_tags", "weight_note")
-    ).drop("_w", "_name")
+    ).drop("_w", "_name", "_own_brand")
 
 
 def extraction_report(df: DataFrame) -> DataFrame:

@@ -191,18 +191,19 @@ def inferred_tags(spark, sf):
     return ex.infer_tags(c.select("sku", F.concat_ws(" ", "title", "brand").alias("title")), corpus, "sku", "title", "tags")
 
 
-_STRUCT = "CASE WHEN q = 1 THEN 'consistent' ELSE 'mismatch' END"
-
-
 @query(
     "structured_titles",
-    f"""SELECT {KEY_SQL}, brand AS brand_from_name, weight_g * q AS weight_from_text, '袋装' AS package_type, false AS gift, CASE WHEN l_returnflag = 'R' THEN 'missing_original' ELSE 'consistent' END AS brand_match_status,
-        CASE WHEN abs(weight_g - weight_g * q) <= greatest(1.0, weight_g * 0.02) THEN 'consistent' ELSE 'mismatch' END AS weight_match_status FROM (SELECT *, CASE WHEN starts_with(item_id, ' ') THEN 'R' ELSE 'N' END AS l_returnflag FROM listing)""",
+    f"""SELECT {KEY_SQL}, brand AS brand_from_name, weight_g * q AS weight_from_text, '' AS flavor, '袋装' AS package_type, CASE WHEN contains(level2, 'G') THEN '' ELSE '系列:' || level2 || ';' END || q::INT || '袋' AS specification, false AS gift,
+        concat_ws(';', level2, 'Brand', split_part(title, ' ', 2), split_part(title, ' ', 3), brand, '袋装') AS keywords,
+        CASE WHEN l_returnflag = 'R' THEN 'missing_original' ELSE 'consistent' END AS brand_match_status, CASE WHEN wok THEN 'consistent' ELSE 'mismatch' END AS weight_match_status,
+        concat_ws(';', CASE WHEN l_returnflag = 'R' THEN '品牌missing_original' ELSE '品牌一致' END, CASE WHEN wok THEN '重量一致' ELSE '重量mismatch' END, '重量来源:倍数重量', '未识别口味') AS extraction_notes
+        FROM (SELECT *, CASE WHEN starts_with(item_id, ' ') THEN 'R' ELSE 'N' END AS l_returnflag, abs(weight_g - weight_g * q) <= greatest(1.0, weight_g * 0.02) AS wok FROM listing)""",
     ["listing"],
 )
 def structured_titles(spark, sf):
     out = ex.structure_titles(listing(spark, sf), key="item_id")
-    return out.select(*KEYS, "brand_from_name", "weight_from_text", F.array_join("package_tags", ";").alias("package_type"), "gift", "brand_match_status", "weight_match_status")
+    listed = [F.array_join(f"{c}_tags", ";").alias(n) for c, n in (("flavor", "flavor"), ("package", "package_type"), ("specification", "specification"))]
+    return out.select(*KEYS, "brand_from_name", "weight_from_text", *listed, "gift", F.array_join("keywords", ";").alias("keywords"), "brand_match_status", "weight_match_status", "extraction_notes")
 
 
 @query(
