@@ -297,14 +297,16 @@ def prepared_listing(spark, sf):
 
 @query(
     "appended_listing",
-    f"""WITH a AS (SELECT sku AS product_id, shop AS shop_name, {_LOW} AS lo FROM listing WHERE crawl_year = 2000 QUALIFY row_number() OVER (PARTITION BY sku ORDER BY lo DESC, crawl_time DESC, {TIES_SQL}) = 1),
-        b AS (SELECT sku AS product_id, shop AS shop_name, {_LOW} AS lo FROM listing WHERE crawl_year = 1999 QUALIFY row_number() OVER (PARTITION BY sku ORDER BY lo DESC, crawl_time DESC, {TIES_SQL}) = 1)
+    f"""WITH a AS (SELECT sku AS product_id, shop AS shop_name, {_LOW} AS lo FROM listing WHERE crawl_year = (SELECT max(crawl_year) FROM listing) QUALIFY row_number() OVER (PARTITION BY sku ORDER BY lo DESC, crawl_time DESC, {TIES_SQL}) = 1),
+        b AS (SELECT sku AS product_id, shop AS shop_name, {_LOW} AS lo FROM listing WHERE crawl_year < (SELECT max(crawl_year) FROM listing) QUALIFY row_number() OVER (PARTITION BY sku ORDER BY lo DESC, crawl_time DESC, {TIES_SQL}) = 1)
         SELECT product_id, shop_name, {rnd('lo')} AS sales_sort FROM (SELECT *, 0 AS s FROM a UNION ALL SELECT *, 1 FROM b) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY lo DESC, s) = 1""",
     ["listing"],
 )
 def appended_listing(spark, sf):
+    """The last year's crawl before all earlier ones."""
     raw = views.raw_listing(spark, sf)
-    new, old = (sn.prepare_listing(raw.where(F.col("crawl_year") == y), KEYS) for y in (2000, 1999))
+    last = raw.agg(F.max("crawl_year")).first()[0]
+    new, old = (sn.prepare_listing(raw.where(part), KEYS) for part in (F.col("crawl_year") == last, F.col("crawl_year") < last))
     return rounded(sn.append_existing(new, old), "sales_sort").select("product_id", "shop_name", "sales_sort")
 
 

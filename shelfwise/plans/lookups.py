@@ -145,14 +145,14 @@ def typed_csv_round_trip(spark, sf):
     return readers.read_csv_typed(spark, path, schema)
 
 
-@query("snapshot_files", "SELECT CAST(l_shipdate AS DATE) AS snapshot_date, count(*) AS n, sum(l_orderkey) AS keys FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1".replace("CAST(l_shipdate AS DATE)", "make_date(2024, 1, CAST(l_linenumber AS INT))"))
+@query("snapshot_files", "SELECT make_date(2024, 1, CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE 2 END) AS snapshot_date, count(*) AS n, sum(l_orderkey) AS keys FROM lineitem GROUP BY 1")
 def snapshot_files(spark, sf):
-    """Two dated snapshots; the first is written twice, and the rerun replaces just its own day."""
+    """Two dated snapshots, odd and even lines; the first is written twice, and the rerun replaces just its own day."""
     path = new_path(spark, "snapshots")
     li = views.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    sinks.write_snapshot(li.where("l_linenumber = 2"), path, "2024-01-01")
-    sinks.write_snapshot(li.where("l_linenumber = 2"), path, "2024-01-02")
-    sinks.write_snapshot(li.where("l_linenumber = 1"), path, "2024-01-01")
+    sinks.write_snapshot(li, path, "2024-01-01")
+    sinks.write_snapshot(li.where("l_linenumber % 2 = 0"), path, "2024-01-02")
+    sinks.write_snapshot(li.where("l_linenumber % 2 = 1"), path, "2024-01-01")
     return spark.read.parquet(path).groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").cast("decimal(38,0)").alias("keys"))
 
 

@@ -17,17 +17,12 @@ from shelfwise.plans.sqlviews import rnd
 from shelfwise.sources import views
 from shelfwise.sources.staging import stage
 
-OLD, NEW = 1999, 2000
 TIES = ["l_orderkey", "l_linenumber", "l_suppkey", "sales", "amount"]
 TIES_DESC = ", ".join(f"{c} DESC" for c in TIES)
 
 
 def pair(spark, sf):
-    out = []
-    for year in (OLD, NEW):
-        s = views.snapshot(spark, sf, year)
-        out.append(s.withColumn("sales_text", F.concat(F.col("sales").cast("int").cast("string"), F.lit("+"))))
-    return out
+    return [s.withColumn("sales_text", F.concat(F.col("sales").cast("int").cast("string"), F.lit("+"))) for s in views.snapshot_rounds(spark, sf)]
 
 
 _J = """j AS (SELECT o.sku AS osku, n.sku AS nsku, o.shop AS os, n.shop AS ns, o.promotion AS opr, n.promotion AS npr, o.price AS op, n.price AS np, o.original_price AS oo, n.original_price AS no,
@@ -209,19 +204,19 @@ def _sources(spark, sf):
     structured = c.where(~F.col("is_gift")).select(
         "sku", "brand", "category", F.when(F.col("package_type") == "", None).otherwise(F.col("weight_g")).cast("string").alias("weight_g"), "flavor", "title"
     )
-    listing = views.snapshot(spark, sf, NEW).select(
+    listing = views.snapshot(spark, sf).select(
         "sku", F.concat(F.lit("new "), "title").alias("title"), F.lit("").alias("brand"), F.col("category"), F.lit("77").alias("weight_g"), "price", "sales", "comments", "shop"
     )
     return listing, structured
 
 
-_REC = """l AS (SELECT sku, 'new ' || title AS title, category, 77.0::DOUBLE AS weight_g, price, sales, comments, shop FROM snap_new), s AS (SELECT * FROM catalog WHERE NOT is_gift),
+_REC = """l AS (SELECT sku, 'new ' || title AS title, category, 77.0::DOUBLE AS weight_g, price, sales, comments, shop FROM snap_last), s AS (SELECT * FROM catalog WHERE NOT is_gift),
    r AS (SELECT coalesce(l.sku, s.sku) AS sku, coalesce(l.title, s.title) AS title, coalesce(s.brand, '') AS brand, coalesce(s.category, l.category) AS category,
      coalesce(CASE WHEN s.package_type <> '' THEN s.weight_g END, l.weight_g) AS weight_g, s.flavor, l.price, l.sales, l.comments, l.shop,
      CASE WHEN l.sku IS NULL THEN 'structured' WHEN s.sku IS NULL THEN 'merged' ELSE 'merged+structured' END AS source_flags FROM l FULL OUTER JOIN s ON l.sku = s.sku)"""
 
 
-@query("reconciled_sources", f"WITH {_REC} SELECT * FROM r", ["catalog", "snap_new"])
+@query("reconciled_sources", f"WITH {_REC} SELECT * FROM r", ["catalog", "snap_last"])
 def reconciled_sources(spark, sf):
     return ig.reconcile(*_sources(spark, sf)).withColumn("weight_g", F.col("weight_g").cast("double"))
 
@@ -234,7 +229,7 @@ def reconciled_sources(spark, sf):
         SELECT sku, r.title, CASE WHEN brand = '' THEN '未知品牌' ELSE brand END AS brand, category, weight_g, price, coalesce(sales, 0.0) AS sales, coalesce(comments, 0.0) AS comments,
           {rnd('price / weight_g', 6)} AS unit_price, source_flags, negative_rows, negative_nonempty, negative_unique, history_low, history_status
         FROM r LEFT JOIN n USING (sku) LEFT JOIN h USING (sku)""",
-    ["catalog", "snap_new", "offers"],
+    ["catalog", "snap_last", "offers"],
 )
 def integrated_catalog(spark, sf):
     o = views.offers(spark, sf)
@@ -350,14 +345,15 @@ def quota_windows(spark, sf):
 
 @query(
     "pending_items",
-    """SELECT i.item_id, i.n FROM (SELECT item_id, count(*) AS n FROM feed GROUP BY 1) i WHERE item_id NOT IN (SELECT item_id FROM feed WHERE (status = 'success' AND cards > 95 AND value > 200) OR (status = 'access_blocked' AND value > 200))""",
+    """WITH f AS (SELECT *, item_id || '@' || CAST(ts AS DATE) AS task FROM feed)
+       SELECT task, count(*) AS n FROM f WHERE task NOT IN (SELECT task FROM f WHERE (status = 'success' AND cards > 0) OR status = 'access_blocked') GROUP BY 1""",
     ["feed"],
 )
 def pending_items(spark, sf):
-    f = views.feed(spark, sf)
-    items = f.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    strict = f.withColumn("cards", F.col("cards") - 95).where(F.col("value") > 200)
-    return tg.pending(items, tg.done_rows(strict), "item_id")
+    """A task is an item on a day."""
+    f = views.feed(spark, sf).withColumn("task", F.concat(F.col("item_id").cast("string"), F.lit("@"), F.to_date("ts").cast("string")))
+    tasks = f.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    return tg.pending(tasks, tg.done_rows(f), "task")
 
 
 _POOL = """pool AS (SELECT sku, category, price, comments FROM (SELECT *, rank() OVER (PARTITION BY category ORDER BY comments DESC) AS r FROM catalog) WHERE r <= 3 OR comments > (SELECT avg(comments) * 1.3 FROM catalog)

@@ -79,12 +79,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT *, CAST(sales AS INT) AS q, CAST(floor(price * 100 + 0.5) AS BIGINT) AS c,
                      CASE WHEN c // 100 >= 1000 THEN CAST(c // 100000 AS VARCHAR) || ',' || lpad(CAST((c // 100) % 1000 AS VARCHAR), 3, '0')
                           ELSE CAST(c // 100 AS VARCHAR) END || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS money FROM offers)"""),
-    "snap_old": (("offers",), """
-        SELECT * FROM offers WHERE year(ship_date) = 1999
+    "snap_last": (("offers",), """
+        SELECT * FROM offers
         QUALIFY row_number() OVER (PARTITION BY sku ORDER BY ship_date DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, sales DESC, amount DESC) = 1"""),
+    "snap_old": (("offers",), """
+        SELECT * REPLACE (sku || '@' || year(ship_date) AS sku) FROM offers WHERE year(ship_date) < (SELECT max(year(ship_date)) FROM offers)
+        QUALIFY row_number() OVER (PARTITION BY offers.sku, year(ship_date) ORDER BY ship_date DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, sales DESC, amount DESC) = 1"""),
     "snap_new": (("offers",), """
-        SELECT * FROM offers WHERE year(ship_date) = 2000
-        QUALIFY row_number() OVER (PARTITION BY sku ORDER BY ship_date DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, sales DESC, amount DESC) = 1"""),
+        SELECT * REPLACE (sku || '@' || (year(ship_date) - 1) AS sku) FROM offers WHERE year(ship_date) > (SELECT min(year(ship_date)) FROM offers)
+        QUALIFY row_number() OVER (PARTITION BY offers.sku, year(ship_date) ORDER BY ship_date DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, sales DESC, amount DESC) = 1"""),
     "feed": ((), """
         SELECT event_id, ts, user_id AS item_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'access_blocked'
                WHEN 'view' THEN 'no_result' ELSE 'success' END AS status, value, CAST(json_extract_string(props, '$.k') AS INT) AS cards

@@ -40,15 +40,17 @@ def stream_quota_windows(spark, sf):
 
 @query(
     "stream_feed_alerts",
-    f"""WITH m AS (SELECT date_trunc('day', ts) AS window_start, count(*) FILTER (status = 'access_blocked') / count(*) AS b, count(*) FILTER (status = 'error') / count(*) AS e FROM feed GROUP BY 1
+    f"""WITH m AS (SELECT date_trunc('day', ts) AS window_start, count(*) FILTER (status = 'access_blocked') / count(*) AS b, count(*) FILTER (status = 'error') / count(*) AS e,
+            count(*) FILTER (status = 'success') AS s, count(*) FILTER (status = 'success' AND value > 0) / nullif(count(*) FILTER (status = 'success'), 0) AS p FROM feed GROUP BY 1
           HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM feed) - INTERVAL 1 HOUR)
-        SELECT CAST(window_start AS TIMESTAMP) AS window_start, 'blocked_ratio' AS metric, {rnd('b')} AS value FROM m WHERE b > 0.2 UNION ALL SELECT CAST(window_start AS TIMESTAMP), 'error_ratio', {rnd('e')} FROM m WHERE e > 0.2""",
+        SELECT CAST(window_start AS TIMESTAMP) AS window_start, 'blocked_ratio' AS metric, {rnd('b')} AS value FROM m WHERE b > 0.2 UNION ALL SELECT CAST(window_start AS TIMESTAMP), 'error_ratio', {rnd('e')} FROM m WHERE e > 0.2
+        UNION ALL SELECT CAST(window_start AS TIMESTAMP), 'low_price_ratio', {rnd('p')} FROM m WHERE p < 0.8 UNION ALL SELECT CAST(window_start AS TIMESTAMP), 'success_count', s FROM m WHERE s <= 0""",
     ["feed"],
 )
 def stream_feed_alerts(spark, sf):
     d = workdir(spark)
     feeds.run_available(feeds.feed_alerts(feed_stream(spark, sf)), f"{d}/cp", f"{d}/out")
-    out = spark.read.parquet(f"{d}/out").where(F.col("metric").isin("blocked_ratio", "error_ratio"))
+    out = spark.read.parquet(f"{d}/out")
     return rounded(out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "metric", "value"), "value")
 
 
@@ -77,7 +79,7 @@ def stream_distinct_reviews(spark, sf):
 
 @query(
     "stream_price_changes",
-    f"""WITH o AS (SELECT sku, arg_max(price, row(ship_date, l_orderkey, price)) AS p FROM offers WHERE year(ship_date) = 1999 GROUP BY 1), n AS (SELECT sku, arg_max(price, row(ship_date, l_orderkey, price)) AS p FROM offers WHERE year(ship_date) = 2000 GROUP BY 1)
+    f"""WITH o AS (SELECT sku, arg_max(price, row(ship_date, l_orderkey, price)) AS p FROM offers WHERE year(ship_date) = (SELECT min(year(ship_date)) FROM offers) GROUP BY 1), n AS (SELECT sku, arg_max(price, row(ship_date, l_orderkey, price)) AS p FROM offers WHERE year(ship_date) > (SELECT min(year(ship_date)) FROM offers) GROUP BY 1)
         SELECT sku, CASE WHEN n.p > o.p THEN 'up' ELSE 'down' END AS change_type, {rnd('n.p - o.p')} AS change_amount FROM o JOIN n USING (sku) WHERE abs(n.p - o.p) > 1e-4""",
     ["offers"],
 )
@@ -85,9 +87,10 @@ def stream_price_changes(spark, sf):
     d = workdir(spark)
     order = ["ship_date", "l_orderkey", "price"]
     t = KeyedTable(spark, f"{d}/table", ["sku"], order)
-    base = views.offers(spark, sf).where(F.year("ship_date") == 1999).select("sku", "price", "ship_date", "l_orderkey", F.lit(0.0).alias("comments"), F.lit("").alias("sales_text"))
+    first = views.offers(spark, sf).agg(F.min(F.year("ship_date"))).first()[0]
+    base = views.offers(spark, sf).where(F.year("ship_date") == first).select("sku", "price", "ship_date", "l_orderkey", F.lit(0.0).alias("comments"), F.lit("").alias("sales_text"))
     t.upsert(base)
-    li = feeds.read_stream(spark, sf, "lineitem.parquet").where(F.year("l_shipdate") == 2000)
+    li = feeds.read_stream(spark, sf, "lineitem.parquet").where(F.year("l_shipdate") > first)
     new = li.select(
         F.col("l_partkey").cast("string").alias("sku"), views.cents(F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("price"), F.to_date("l_shipdate").alias("ship_date"), "l_orderkey",
         F.lit(0.0).alias("comments"), F.lit("").alias("sales_text"),

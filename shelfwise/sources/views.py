@@ -157,11 +157,26 @@ def raw_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def snapshot(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
-    """Last offer of every product shipped in a year: one crawl round."""
-    o = offers(spark, sf_dir).where(F.year("ship_date") == year)
-    order = [F.col("ship_date").desc(), *[F.col(c).desc() for c in OFFER_TIES]]
-    return keep_one(o, ["sku"], order).select("sku", "title", "brand", "category", "shop", "price", "original_price", "sales", "comments", "promotion", "ship_date")
+SNAPSHOT = ["sku", "title", "brand", "category", "shop", "price", "original_price", "sales", "comments", "promotion", "ship_date"]
+
+
+def last_offers(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Last offer of every key."""
+    return keep_one(rows, keys, [F.col("ship_date").desc(), *[F.col(c).desc() for c in OFFER_TIES]])
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last offer of every product over all years."""
+    return last_offers(offers(spark, sf_dir), ["sku"]).select(*SNAPSHOT)
+
+
+def snapshot_rounds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every year's crawl against the next one's, for all pairs of consecutive years at once: the key is the product and the earlier year."""
+    rows = last_offers(offers(spark, sf_dir).withColumn("year", F.year("ship_date")), ["sku", "year"])
+    first, last = offers(spark, sf_dir).agg(F.min(F.year("ship_date")), F.max(F.year("ship_date"))).first()
+    key = lambda year: F.concat("sku", F.lit("@"), year.cast("string")).alias("sku")
+    old = rows.where(F.col("year") < last).select(key(F.col("year")), *SNAPSHOT[1:])
+    return old, rows.where(F.col("year") > first).select(key(F.col("year") - 1), *SNAPSHOT[1:])
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
