@@ -145,6 +145,23 @@ def typed_csv_round_trip(spark, sf):
     return readers.read_csv_typed(spark, path, schema)
 
 
+@query(
+    "charset_routed_files",
+    """SELECT sku, promotion || CASE WHEN is_gift THEN chr(10) || '礼盒, "é"' ELSE '包装' END AS note, title FROM catalog""",
+    ["catalog"],
+)
+def charset_routed_files(spark, sf):
+    """One folder of files in UTF-8 with and without a mark, GB18030 and GBK, read in one call; some cells hold quoted line breaks."""
+    path = new_path(spark, "charsets")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    note = F.concat("promotion", F.when(F.col("is_gift"), F.lit('\n礼盒, "é"')).otherwise(F.lit("包装")))
+    c = views.catalog(spark, sf).select("sku", note.alias("note"), "title", F.pmod(F.xxhash64("sku"), F.lit(4)).alias("k"))
+    sinks.write_csv(c.where("k = 0").drop("k"), f"{path}/part=0")
+    for k, charset in ((1, "UTF-8"), (2, "GB18030"), (3, "GBK")):
+        c.where(F.col("k") == k).drop("k").write.option("header", True).option("encoding", charset).option("escape", '"').csv(f"{path}/part={k}")
+    return readers.read_csv_routed(spark, f"{path}/part=*", ["sku", "note", "title"])
+
+
 @query("snapshot_files", "SELECT make_date(2024, 1, CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE 2 END) AS snapshot_date, count(*) AS n, sum(l_orderkey) AS keys FROM lineitem GROUP BY 1")
 def snapshot_files(spark, sf):
     """Two dated snapshots, odd and even lines; the first is written twice, and the rerun replaces just its own day."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +19,8 @@ def string_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def read_csv_strings(spark: SparkSession, path, columns: Sequence[str], encoding: str = "UTF-8", blank_nulls: bool = True) -> DataFrame:
-    """CSV with a header, every column as text.
+def read_csv_strings(spark: SparkSession, path, columns: Sequence[str], encoding: str = "UTF-8", blank_nulls: bool = True, line_breaks: bool = False) -> DataFrame:
+    """CSV with a header, every column as text; with ``line_breaks`` a quoted cell may hold some, and then a file is one task.
 
     The encoding is an argument of the job: a wrong charset does not raise in Spark.  gb18030 and gbk
     need ``spark.sql.legacy.javaCharsets=true`` on the session.
@@ -27,7 +29,7 @@ def read_csv_strings(spark: SparkSession, path, columns: Sequence[str], encoding
         spark.read.schema(string_schema(columns))
         .option("header", True)
         .option("encoding", encoding)
-        .option("multiLine", False)
+        .option("multiLine", line_breaks)
         .option("escape", '"')
         .option("enforceSchema", False)
         .csv(path)
@@ -36,6 +38,41 @@ def read_csv_strings(spark: SparkSession, path, columns: Sequence[str], encoding
     return (df.na.fill("") if blank_nulls else df).withColumn(first, F.regexp_replace(first, "^﻿", ""))
 
 
+#: Fixed order: the charsets that files are tried with; the last one is taken where none fits.
+CHARSETS = ("UTF-8", "GB18030", "GBK")
+#: Bytes, one character each, of lines that are valid: one, two or four bytes a character, and two at most.
+_TWO = "[\\x81-\\xfe][\\x40-\\x7e\\x80-\\xfe]"
+_VALID = {"GB18030": f"^(?:[\\x00-\\x7f]|{_TWO}|[\\x81-\\xfe][0-9][\\x81-\\xfe][0-9])*+$", "GBK": f"^(?:[\\x00-\\x80]|{_TWO})*+$"}
+
+
+def file_charsets(spark: SparkSession, path, charsets: Sequence[str] = CHARSETS) -> DataFrame:
+    """``file, charset``: the first of ``charsets`` in which every line of the file is valid, else the last.
+
+    No line feed is part of a longer character in any of them, so lines are checked where they are read: large files stay splittable, and one
+    small row per split is shuffled. Files without a line have no row.
+    """
+    lines = spark.read.text(path)  # its strings are the file's bytes, not looked at
+    raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    valid = {c: F.expr("is_valid_utf8(value)") if c == "UTF-8" else raw.rlike(_VALID[c]) for c in charsets}
+    seen = lines.groupBy(F.input_file_name().alias("file")).agg(*(F.bool_and(v).alias(c) for c, v in valid.items()))
+    return seen.select("file", F.coalesce(*(F.when(F.col(c), F.lit(c)) for c in charsets), F.lit(charsets[-1])).alias("charset"))
+
+
+def read_csv_routed(spark: SparkSession, path, columns: Sequence[str], charsets: Sequence[str] = CHARSETS, line_breaks: bool = True, **kw) -> DataFrame:
+    """CSV files of several charsets in one table, every column as text: one scan per charset that occurs.
+
+    The driver learns the files' names and charsets, as it does to plan any scan. Sets ``spark.sql.legacy.javaCharsets``, without which Spark knows
+    no charset of these but UTF-8. Files without a line add no rows; without any file with lines the table is empty.
+    """
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    by_charset: dict[str, list[str]] = {}
+    for row in file_charsets(spark, path, charsets).orderBy("file").collect():
+        # names come percent-encoded, the reader wants plain ones
+        by_charset.setdefault(row["charset"], []).append(unquote(row["file"]))
+    parts = [read_csv_strings(spark, files, columns, charset, line_breaks=line_breaks, **kw) for charset, files in sorted(by_charset.items())]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], string_schema(columns))
+
+
 def read_csv_typed(spark: SparkSession, path, schema: T.StructType, encoding: str = "UTF-8") -> DataFrame:
     """CSV with an explicit schema; dirty cells become NULL."""
     return spark.read.schema(schema).option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE").csv(path)

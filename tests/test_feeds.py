@@ -75,3 +75,21 @@ def test_stream_dedup_counts(spark, tmp_path):
     out = feeds.distinct_reviews(feeds.read_stream(spark, src, max_files=1), ["item_id"], "text", "ts")
     feeds.run_available(out, str(tmp_path / "cp"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_files_of_several_charsets_in_one_call(spark, tmp_path):
+    from shelfwise.sources import readers
+
+    rows = 'id,note\n1,"甜味 糖\n二行"\n2,"say ""hi"""\n3,plain\n'
+    (tmp_path / "a b.csv").write_bytes(rows.encode("utf-8-sig"))
+    (tmp_path / "b.csv").write_bytes(rows.encode("utf-8"))
+    (tmp_path / "c.csv").write_bytes((rows + "4,𠀀€\n").encode("gb18030"))
+    (tmp_path / "d.csv").write_bytes(rows.encode("gbk"))
+    (tmp_path / "e.csv").write_bytes(b"")
+    (tmp_path / "f.csv").write_bytes("id,note\n5,caf\xe9 \x80\xff\n".encode("latin-1"))  # valid in none: the last charset is taken
+    found = {r["file"].rsplit("/", 1)[1]: r["charset"] for r in readers.file_charsets(spark, str(tmp_path)).collect()}
+    assert found == {"a%20b.csv": "UTF-8", "b.csv": "UTF-8", "c.csv": "GB18030", "d.csv": "GB18030", "f.csv": "GBK"}
+    got = sorted((r["id"], r["note"]) for r in readers.read_csv_routed(spark, str(tmp_path), ["id", "note"]).collect() if r["id"] != "5")
+    assert got == sorted([("1", "甜味 糖\n二行"), ("2", 'say "hi"'), ("3", "plain")] * 4 + [("4", "𠀀€")])
+    (tmp_path / "none").mkdir()
+    assert readers.read_csv_routed(spark, str(tmp_path / "none"), ["id", "note"]).count() == 0
