@@ -147,14 +147,14 @@ def typed_csv_round_trip(spark, sf):
 
 @query(
     "charset_routed_files",
-    """SELECT sku, promotion || CASE WHEN is_gift THEN chr(10) || '礼盒, "é"' ELSE '包装' END AS note, title FROM catalog""",
+    """SELECT sku, CASE WHEN is_gift THEN '礼盒, "é"' || chr(10) || promotion || '。' ELSE promotion || '包装' END AS note, title FROM catalog""",
     ["catalog"],
 )
 def charset_routed_files(spark, sf):
     """One folder of files in UTF-8 with and without a mark, GB18030 and GBK, read in one call; some cells hold quoted line breaks."""
     path = new_path(spark, "charsets")
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    note = F.concat("promotion", F.when(F.col("is_gift"), F.lit('\n礼盒, "é"')).otherwise(F.lit("包装")))
+    note = F.when(F.col("is_gift"), F.concat(F.lit('礼盒, "é"\n'), "promotion", F.lit("。"))).otherwise(F.concat("promotion", F.lit("包装")))
     c = views.catalog(spark, sf).select("sku", note.alias("note"), "title", F.pmod(F.xxhash64("sku"), F.lit(4)).alias("k"))
     sinks.write_csv(c.where("k = 0").drop("k"), f"{path}/part=0")
     for k, charset in ((1, "UTF-8"), (2, "GB18030"), (3, "GBK")):
