@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import functools
 import itertools
+import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 from shelfwise.llm.cells import Slice, encoded_chunks, flat, release
 
-JOINED = 500
-#: About 50 MB.
-KNOWN_CHUNKS = 300_000
+#: Chunks that go to the library as one text, and bytes that it gets at a time: its result objects take a hundred times as much.
+JOINED, IN_FLIGHT = 500, 1 << 17
+#: Bytes of text worked on at a time.
+SLICE = 1 << 20
+#: Chunks that a worker remembers, and their bytes: about 50 MB with the table around them.
+KNOWN_CHUNKS, KNOWN_BYTES = 200_000, 8 << 20
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -26,6 +31,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str):
     """The tokenizer and every id's length in bytes (a byte is one character of a byte-level token)."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
     from tokenizers import Tokenizer
 
     loaded = Tokenizer.from_file(path)
@@ -95,10 +101,11 @@ class Encoder:
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.bytes = 0
         self.ids, self.begins, self.lengths = (np.zeros(0, t) for t in (np.uint32, np.int64, np.int64))
 
     def __call__(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if len(self.begins) > KNOWN_CHUNKS:
+        if len(self.begins) > KNOWN_CHUNKS or self.bytes > KNOWN_BYTES:
             self.clear()
         at = np.fromiter((self.known.get(c, -1) for c in chunks), np.int64, len(chunks))
         new = np.flatnonzero(at < 0)
@@ -107,6 +114,7 @@ class Encoder:
             ids, begins, lengths = self.encode(missing)
             at[new] = len(self.begins) + np.arange(len(new))
             self.known.update(zip(missing, at[new].tolist(), strict=True))
+            self.bytes += sum(map(len, missing)) + 4 * len(ids)
             self.begins = np.concatenate([self.begins, begins + len(self.ids)])
             self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
         return self.ids, self.begins[at], self.lengths[at]
@@ -120,9 +128,8 @@ class Encoder:
         joinable = joinable_chunks(padded[bounds[:-1]], padded[end - 1], padded[end - 2], lengths)
         order = np.concatenate([np.flatnonzero(joinable), np.flatnonzero(~joinable)])
         n = int(joinable.sum())
-        groups = [b"".join([chunks[i] for i in order[a:min(a + JOINED, n)]]) for a in range(0, n, JOINED)] + [chunks[i] for i in order[n:]]
-        got = [e.ids for e in self.model.encode_batch_fast([g.decode() for g in groups], add_special_tokens=False)]
-        ids = np.fromiter(itertools.chain.from_iterable(got), np.uint32, sum(map(len, got)))
+        groups = itertools.chain((b"".join([chunks[i] for i in order[a:min(a + JOINED, n)]]) for a in range(0, n, JOINED)), (chunks[i] for i in order[n:]))
+        ids = np.concatenate(list(self.flat_ids(groups)) or [np.zeros(0, np.uint32)])
         ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])
         places = np.searchsorted(ends, np.concatenate([[0], np.cumsum(lengths[order])]))
         begins, counts = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
@@ -130,16 +137,34 @@ class Encoder:
         return ids, begins, counts
 
 
+    def flat_ids(self, groups: Iterator[bytes]) -> Iterator[np.ndarray]:
+        """Ids of texts one after another; the library gets ``IN_FLIGHT`` bytes at a time, or one longer text."""
+        held: list[bytes] = []
+
+        def flush() -> np.ndarray:
+            got = [e.ids for e in self.model.encode_batch_fast([g.decode() for g in held], add_special_tokens=False)]
+            return np.fromiter(itertools.chain.from_iterable(got), np.uint32, sum(map(len, got)))
+
+        size = 0
+        for group in groups:
+            if held and size + len(group) > IN_FLIGHT:
+                yield flush()
+                held, size = [], 0
+            held.append(group)
+            size += len(group)
+        if held:
+            yield flush()
+
+
 @functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
 def forget() -> None:
-    """Drop the tokenizer and its chunks: a worker that lives on does other work beside a full executor."""
-    encoder.cache_clear()
-    added_tokens.cache_clear()
-    tokenizer.cache_clear()
+    """Drop the remembered chunks: a worker that lives on does other work beside a full executor. The tokenizer itself stays."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
     release()
 
 
