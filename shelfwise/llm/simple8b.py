@@ -147,12 +147,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in slices(batch.column(1)):
+            for piece in slices(batch.column(1), bytebpe.SLICE):
                 ids, bounds = bytebpe.with_end(*bytebpe.encode(piece, tokenizer), end_id)
                 words, offsets = encode(ids)
                 row = [[part], [start], [batch.column(0).slice(piece.first, len(piece)).to_pylist()], [np.diff(bounds)], [len(ids)], [offsets], [words.astype("<u8").tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, ARROW_TYPES, strict=True)], ARROW_NAMES)
                 start += len(ids)
+        bytebpe.forget()
 
     dealt.mapInArrow(segments, SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
 
