@@ -72,9 +72,20 @@ def mask(level: int) -> int:
     return ((1 << 8 * level) - 1) << (8 * (DEPTH + 1 - level)) | 0xFF
 
 
-def summed(kinds_keys: np.ndarray, train: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, index = np.unique(kinds_keys, return_inverse=True)
-    return keys, np.bincount(index, train, len(keys)).astype(np.int64), np.bincount(index, every, len(keys)).astype(np.int64)
+def summed(keys: np.ndarray, train: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    if not len(keys):
+        return keys, train, every
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(train[order], first), np.add.reduceat(every[order], first)
+
+
+def counted(keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows in order, how often they come up where ``chosen``, and how often at all; a window leaves room for the mark."""
+    marked, n = np.unique(keys << 1 | chosen, return_counts=True)
+    return summed(marked >> 1, n * (marked & 1), n)
 
 
 def count_occurrences(docs: DataFrame) -> DataFrame:
@@ -97,10 +108,11 @@ def count_occurrences(docs: DataFrame) -> DataFrame:
             for part in slices(batch.column(0), SLICE):
                 chosen = learn[part.first:part.first + len(part)]
                 own, bounds = symbols(part)
+                pending[WINDOW].append(counted(windows(own, bounds), np.repeat(chosen, np.diff(bounds))))
                 found = words(part, WHITE_LOWER)
-                coded = hashes(found.vocabulary).astype(np.int64)
-                for kind, keys, of_text in ((WINDOW, windows(own, bounds), np.diff(bounds)), (WORD, coded[found.ids], found.counts)):
-                    pending[kind].append(summed(keys, np.repeat(chosen, of_text), np.ones(len(keys))))
+                size = len(found.vocabulary)
+                train = np.bincount(found.ids[np.repeat(chosen, found.counts)], minlength=size)
+                pending[WORD].append((hashes(found.vocabulary).astype(np.int64), train, np.bincount(found.ids, minlength=size)))
                 pending[WORD].append((np.array([END_WORD]), np.array([chosen.sum()]), np.array([len(chosen)])))
                 for kind in (WINDOW, WORD):
                     if sum(len(k) for k, _, _ in pending[kind]) > PENDING:
