@@ -1,9 +1,11 @@
 """Best-fit packing: a configuration linear program over the length histogram.
 
 A configuration is a multiset of piece lengths that fits one sequence. The program asks for the fewest configurations that cover
-the histogram. Multiplicative weights put a price on every length; a knapsack dynamic program finds the configuration of the
-highest price; the configurations found, with their amounts, are the fractional solution. Amounts are rounded down, and what
-rounding leaves goes best-fit, also by counts.
+the histogram. Multiplicative weights put a price on every length: its share of a sequence, the dual value if nothing is wasted,
+falling exponentially with what covers it beyond the demand. A knapsack dynamic program over these prices gives the highest price of any
+configuration, which turns the prices into a lower bound, and configurations that reach it. The configurations, with amounts that cover every length, are
+the fractional solution; rounds go on until it lies within ``GAP`` of the bound. It is rounded to whole numbers, what rounding leaves is a
+smaller program, and the last hundredth goes best-fit, also by counts.
 
 The histogram has at most ``capacity`` entries, so the driver solves for counts and never sees a piece. Pieces meet their
 sequences in tasks: a piece's rank within its length says which copy of which configuration holds it.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,55 +28,113 @@ from shelfwise.llm import bytebpe
 from shelfwise.llm.cells import slices, small_batches
 from shelfwise.sources.staging import stage
 
-STEPS = 300
-RATE = 0.05
-LARGE_FIRST = 1.5
+#: The fractional solution is within this share of its bound, or ``ROUNDS`` demands have been covered; the bound tells which.
+GAP, ROUNDS = 0.02, 12
+#: How fast a price falls, in demands covered too often; configurations found between two dynamic programs.
+RATE, FRESH = 1.0, 32
+#: Rounding goes on until best-fit has this share of the volume to place, or a pass places less than ``LEAST_PLACED`` of its sequences.
+REMAINDER, LEAST_PLACED = 0.01, 0.25
+NONE_LEFT = 1e-9
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 Plan = list[tuple[dict[int, int], int]]
+Config = tuple[tuple[int, int], ...]
 
 
-def best_configuration(prices: np.ndarray, sizes: np.ndarray, capacity: int, most: np.ndarray) -> dict[int, int]:
-    """The multiset of ``sizes`` within ``capacity`` of the highest total price, by dynamic programming over capacities.
+class Cover(NamedTuple):
+    """Amounts of configurations that cover every length, their sum, and a lower bound on any such sum."""
 
-    ``most`` is how many pieces of a size there are; a configuration takes no more of it.
-    """
-    value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    amounts: dict[Config, float]
+    total: float
+    bound: float
+
+
+def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The highest total price of a multiset of ``sizes`` (ascending) within every capacity from 0, by dynamic programming."""
+    value = np.zeros(capacity + 1)
     for room in range(int(sizes[0]), capacity + 1):
+        fit = int(np.searchsorted(sizes, room, "right"))
+        value[room] = max(value[room - 1], (value[room - sizes[:fit]] + prices[:fit]).max())
+    return value
+
+
+def configuration(first: int, value: np.ndarray, prices: np.ndarray, sizes: np.ndarray, need: np.ndarray) -> dict[int, int]:
+    """A configuration with size ``first`` whose other pieces have the highest total price; of equal ones, it takes large sizes that are still in need."""
+    config = {first: 1}
+    room = len(value) - 1 - int(sizes[first])
+    while value[room] > 0:
         fit = int(np.searchsorted(sizes, room, "right"))
         gains = value[room - sizes[:fit]] + prices[:fit]
-        k = int(np.argmax(gains))
-        if gains[k] > value[room - 1]:
-            value[room], choice[room] = gains[k], k
-        else:
-            value[room] = value[room - 1]
-    taken: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        k = int(choice[room])
-        if k < 0:
+        best = gains.max()
+        if best < value[room] * (1 - NONE_LEFT):
             room -= 1
             continue
-        taken[k] = taken.get(k, 0) + 1
+        equal = np.flatnonzero((gains >= best * (1 - NONE_LEFT)) & (need[:fit] > 0))
+        wanted = [k for k in equal.tolist() if need[k] >= config.get(k, 0) + 1]
+        k = wanted[-1] if wanted else int(np.argmax(gains))
+        config[k] = config.get(k, 0) + 1
         room -= int(sizes[k])
-    return {k: min(n, int(most[k])) for k, n in taken.items()}
+    return config
 
 
-def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, steps: int = STEPS, rate: float = RATE) -> list[tuple[dict[int, int], float]]:
-    """Configurations with amounts: multiplicative weights over the lengths.
+def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP, rounds: int = ROUNDS) -> Cover:
+    """The covering program, solved by multiplicative weights.
 
-    A length's price starts at its share of a sequence, the dual value if nothing is wasted, raised to ``LARGE_FIRST`` since large
-    pieces are harder to place, and falls with the part of it that is covered. A step adds the best configuration under these prices, as often as its scarcest length allows.
+    A round covers every length once more, from the largest on. A configuration gets the amount that its scarcest length still needs, so a
+    round finds as many configurations as there are lengths at most. After ``t`` rounds, a ``t``-th of all amounts covers every length. Any prices,
+    divided by the highest price of a configuration, are feasible for the dual program; their total is a bound.
+    """
+    demand = counts.astype(np.float64)
+    covered, amounts, total = np.zeros(len(sizes)), {}, 0.0
+    bound = float(demand @ sizes) / capacity
+    for t in range(1, rounds + 1):
+        k, age = len(sizes) - 1, FRESH
+        while True:
+            need = t * demand - covered
+            while k >= 0 and need[k] <= NONE_LEFT * demand[k]:
+                k -= 1
+            if k < 0:
+                break
+            if age >= FRESH:
+                beyond = np.maximum(covered / demand - t, 0) + (need <= NONE_LEFT * demand)
+                prices = sizes / capacity * np.exp(-RATE * beyond)
+                value, age = knapsack(prices, sizes, capacity), 0
+                bound = max(bound, float(demand @ prices) / value[capacity])
+            config = configuration(k, value, prices, sizes, need)
+            amount = min(need[j] / n for j, n in config.items() if need[j] > NONE_LEFT * demand[j])
+            key = tuple(sorted(config.items()))
+            amounts[key] = amounts.get(key, 0.0) + amount
+            for j, n in config.items():
+                covered[j] += amount * n
+            total += amount
+            age += 1
+        if total / t <= (1 + gap) * bound:
+            break
+    return Cover({key: amount / t for key, amount in amounts.items()}, total / t, bound)
+
+
+def rounded(cover: Cover, sizes: np.ndarray, left: np.ndarray) -> Plan:
+    """Whole numbers of configurations out of the pieces ``left``, which are taken away: amounts rounded down, then, while their pieces last, up.
+
+    Only configurations filled as well as the average are rounded up. Well-filled ones come first.
     """
-    share = np.zeros(len(sizes))
-    found: dict[tuple, float] = {}
-    for _ in range(steps):
-        best = best_configuration((sizes / capacity) ** LARGE_FIRST * np.exp(-rate * share), sizes, capacity, counts)
-        amount = min(counts[k] / n for k, n in best.items())
-        key = tuple(sorted(best.items()))
-        found[key] = found.get(key, 0.0) + amount
-        for k, n in best.items():
-            share[k] += amount * n / counts[k]
-    return [(dict(key), amount) for key, amount in found.items()]
+    filled = {key: sum(int(sizes[k]) * n for k, n in key) for key in cover.amounts}
+    usual = sum(filled[key] * amount for key, amount in cover.amounts.items()) / cover.total
+    order = sorted(cover.amounts, key=lambda key: (-filled[key], -cover.amounts[key], key))
+    plan: Plan = []
+
+    def take(key: Config, most: int) -> None:
+        copies = min([most, *(int(left[k]) // n for k, n in key)])
+        if copies > 0:
+            for k, n in key:
+                left[k] -= n * copies
+            plan.append((dict(key), copies))
+
+    for key in order:
+        take(key, int(cover.amounts[key] + NONE_LEFT))
+    for key in order:
+        if filled[key] >= usual and cover.amounts[key] % 1 > NONE_LEFT:
+            take(key, 1)
+    return plan
 
 
 def best_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
@@ -107,21 +168,28 @@ def best_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
     return [entry for entries in rooms.values() for entry in entries]
 
 
-def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, steps: int = STEPS) -> Plan:
-    """Whole numbers of configurations (index of size to count) that hold every piece exactly once.
-
-    Amounts are rounded down to what is still there; what rounding leaves goes best-fit.
-    """
-    sizes, left = np.asarray(sizes, np.int64), np.asarray(counts, np.int64).copy()
+def programmed(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[Plan, np.ndarray]:
+    """Rounded solutions of the program, and the counts that they leave: each pass solves it for what the passes before left."""
+    left = counts.copy()
     plan: Plan = []
+    volume = int(sizes @ counts)
+    while int(sizes @ left) > REMAINDER * volume:
+        live = np.flatnonzero(left)
+        cover = fractional(sizes[live], left[live], capacity)
+        own = Cover({tuple((int(live[k]), n) for k, n in key): amount for key, amount in cover.amounts.items()}, cover.total, cover.bound)
+        placed = rounded(own, sizes, left)
+        plan += placed
+        if sum(copies for _, copies in placed) < LEAST_PLACED * cover.total:
+            break
+    return plan, left
+
+
+def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
+    """Whole numbers of configurations (index of size to count) that hold every piece exactly once: the program's, and best-fit for the remainder."""
+    sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
     if not len(sizes):
-        return plan
-    for config, amount in sorted(fractional(sizes, left, capacity, steps), key=lambda x: -x[1]):
-        copies = min([int(amount), *(int(left[k]) // n for k, n in config.items())])
-        if copies > 0:
-            for k, n in config.items():
-                left[k] -= n * copies
-            plan.append((config, copies))
+        return []
+    plan, left = programmed(sizes, counts, capacity)
     return plan + best_fit(sizes, left, capacity)
 
 
@@ -220,5 +288,9 @@ def cut_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = No
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece.
+
+    A null text is empty and has one piece with its end id alone. Null ids and repeated rows are documents of their own; pieces of equal length are
+    interchangeable. Other columns are ignored, whatever their names. An empty table gives no rows.
+    """
     return assign(stage(cut_pieces(docs, capacity, tokenizer, id_col, text_col)), capacity).drop("part", "local_rank")

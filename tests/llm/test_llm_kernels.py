@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -104,7 +105,7 @@ def test_quotient_filters_merge_losslessly(parts):
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=80))
 def test_packing_plan_holds_every_piece_once(lengths):
     sizes, counts = np.unique(lengths, return_counts=True)
-    plan = packing.solve(sizes, counts, 100, steps=20)
+    plan = packing.solve(sizes, counts, 100)
     held = Counter()
     for config, copies in plan:
         assert copies > 0 and sum(int(sizes[k]) * n for k, n in config.items()) <= 100
@@ -122,6 +123,77 @@ def test_packing_is_near_the_volume_bound():
     assert sum(n for _, n in packing.solve(sizes, counts, 2048)) <= 1.002 * lengths.sum() / 2048 + 1
 
 
+def covering(sizes, counts, capacity):
+    """The fractional solution: every configuration fits, and every length is covered."""
+    cover = packing.fractional(sizes, counts, capacity)
+    covered = np.zeros(len(sizes))
+    for config, amount in cover.amounts.items():
+        assert amount > 0 and sum(int(sizes[k]) * n for k, n in config) <= capacity
+        for k, n in config:
+            covered[k] += amount * n
+    assert (covered >= counts * (1 - 1e-6)).all()
+    assert cover.total == pytest.approx(sum(cover.amounts.values()))
+    return cover
+
+
+def fewest(pieces, capacity):
+    """The fewest sequences, by trying every place for every piece."""
+    best = len(pieces)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for k in range(len(rooms)):
+            if rooms[k] >= pieces[i]:
+                put(i + 1, [*rooms[:k], rooms[k] - pieces[i], *rooms[k + 1:]])
+        put(i + 1, [*rooms, capacity - pieces[i]])
+
+    put(0, [])
+    return best
+
+
+def test_covering_program_is_bounded_by_its_dual():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        pieces = sorted(rng.integers(1, 31, rng.integers(1, 9)).tolist(), reverse=True)
+        sizes, counts = np.unique(pieces, return_counts=True)
+        cover = covering(sizes, counts, 30)
+        optimum = fewest(pieces, 30)
+        assert cover.bound <= optimum + 1e-9 and cover.bound <= cover.total + 1e-9
+        assert optimum <= sum(n for _, n in packing.solve(sizes, counts, 30)) <= optimum + 1
+
+
+@pytest.mark.parametrize("source", ["documents", "lognormal"])
+def test_sequences_come_from_the_program(source):
+    """Within two hundredths of the bound, and best-fit has less than a tenth of the sequences left to make."""
+    if source == "documents":
+        texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+        model = bytebpe.tokenizer(bytebpe.tokenizer_path())[0]
+        total = np.array([len(e.ids) + 1 for e in model.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)])
+        n = -(-total // 2048)
+        lengths = np.concatenate([total - (n - 1) * 2048, np.full(int((n - 1).sum()), 2048)])
+    else:
+        lengths = np.minimum(np.random.default_rng(3).lognormal(6.0, 1.0, 10_000).astype(int) + 1, 2048)
+    sizes, counts = np.unique(lengths, return_counts=True)
+    cover = covering(sizes, counts, 2048)
+    assert cover.total <= 1.02 * cover.bound
+    plan, left = packing.programmed(sizes, counts, 2048)
+    placed, rest = sum(n for _, n in plan), sum(n for _, n in packing.best_fit(sizes, left, 2048))
+    assert rest < 0.1 * placed
+    assert placed + rest <= np.ceil(1.001 * lengths.sum() / 2048)
+
+
+def test_packing_by_the_program_beats_best_fit():
+    """Three pieces a sequence: best-fit alone takes a tenth more than the volume."""
+    sizes, counts = np.unique(np.random.default_rng(2).integers(500, 900, 5000), return_counts=True)
+    plain = sum(n for _, n in packing.best_fit(sizes, counts.copy(), 2048))
+    assert sum(n for _, n in packing.solve(sizes, counts, 2048)) < 0.97 * plain
+
+
 def test_automaton_counts_greedy_pieces():
     def greedy(word, begin, continuing):
         n = at = 0
