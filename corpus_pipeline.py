@@ -1,7 +1,10 @@
 """From raw documents to packed training sequences: language, quality, exact and near copies, packing.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept; each result is written as Parquet and read again.
-All stages but the last return the columns of ``docs``.
+All stages but the last return the columns of ``docs``, whatever their names; extra columns stay.
+
+Null and empty texts have no language that could be accepted and go in the first stage. Null languages and sources say nothing. Of rows that repeat a
+text, whatever their ids, the smallest id stays (a null id is the largest; of equal ids, one row). An empty table gives no rows in every stage.
 """
 
 from __future__ import annotations
@@ -10,19 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import language, near_dedup, packing, perplexity, quotient_dedup
+from shelfwise.llm.cells import free_name
 from shelfwise.sources.staging import stage
 
-MARK = "__judged"
-
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; empty ones and such without letters go."""
-    return language.with_language(docs, into=MARK).filter(F.col(f"{MARK}.accepted")).drop(MARK)
+    mark = free_name(docs, "judged")
+    return language.with_language(docs, into=mark).filter(F.col(f"{mark}.accepted")).select(*docs.columns)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's perplexity band."""
-    return perplexity.with_quality(docs, into=MARK).filter(F.col(f"{MARK}.kept")).drop(MARK)
+    mark = free_name(docs, "judged")
+    return perplexity.with_quality(docs, into=mark).filter(F.col(f"{mark}.kept")).select(*docs.columns)
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 BATCH_ROWS = 2000
@@ -245,3 +246,17 @@ class HashTable:
             out[open_[hit]] = self.place[at[open_[hit]]]
             open_ = open_[~hit & (met != -1)]
         return out
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, lengthened until no column of ``df`` has the name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose stable number is a ``row`` of ``gone``; all columns stay, whatever their names."""
+    row = free_name(docs, "row_number")
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone.select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)

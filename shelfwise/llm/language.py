@@ -144,14 +144,18 @@ def with_language(pages: DataFrame, text_col: str = "text", declared: Column | N
     """
     declared = F.col("lang") if declared is None else declared
     host = F.col("source") if host is None else host
-    evidence = small_batches(pages).withColumn("__evidence", F.struct(primary_subtag(declared).alias("declared"), F.lower(host).alias("host"), F.col(text_col).cast("string").alias("text")))
-    flat_ = evidence.select("__evidence.*")
+    # The pages' own columns are one struct, so no name of theirs meets one used here.
+    evidence = small_batches(pages).select(F.struct(*pages.columns).alias("own"), primary_subtag(declared).alias("declared"), F.lower(host).alias("host"))
+    text = F.col("own")[text_col].cast("string")
+    kept = [F.col("own")[c].alias(c) for c in pages.columns if c != into]
+    flat_ = evidence.select("declared", "host", text.alias("text"))
     if languages is None:
         # Two or three letters: 18,252 values at most.
         languages = sorted(r["declared"] for r in flat_.filter("declared is not null").select("declared").distinct().collect())
     answer = "struct<predicted: string, posterior: double, accepted: boolean>"
     if not languages:
-        return evidence.withColumn(into, F.struct(F.lit(None).cast("string").alias("predicted"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted")).cast(answer)).drop("__evidence")
+        none = F.struct(F.lit(None).cast("string").alias("predicted"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted")).cast(answer)
+        return evidence.select(*kept, none.alias(into))
     counts = count_trigrams(flat_, languages) + SMOOTHING
     shares = counts / counts.sum(1, keepdims=True)
     score = text_scores(np.log(shares).astype(np.float32))
@@ -183,19 +187,19 @@ def with_language(pages: DataFrame, text_col: str = "text", declared: Column | N
 
     by_suffix = leaning(["suffix"], None, [])
     by_domain = leaning(["suffix", "domain"], by_suffix, ["suffix"])
-    priors = stage(leaning(["suffix", "domain", "host"], by_domain, ["suffix", "domain"]).select(F.col("host").alias("__host"), "prior"))
+    priors = stage(leaning(["suffix", "domain", "host"], by_domain, ["suffix", "domain"]).select(F.col("host").alias("of_host"), "prior"))
 
     zero = F.array(*(F.lit(0.0) for _ in languages))
     spoken = F.create_map(*(x for v, logs in of_declared.items() for x in (F.lit(v), F.array(*map(F.lit, logs))))) if of_declared else F.create_map().cast("map<string,array<double>>")
-    held = evidence.join(priors, F.col("__evidence.host") == F.col("__host"), "left").withColumn("__scored", score(F.col("__evidence.text"))).withColumn("__scores", of_text("__scored"))
-    of_markup = F.when(F.col("__evidence.declared").isNotNull(), F.coalesce(F.try_element_at(spoken, F.col("__evidence.declared")), zero)).otherwise(zero)
-    parts = F.arrays_zip(F.coalesce("__scores", zero).alias("text"), of_markup.alias("markup"), F.coalesce("prior", prior).alias("host"))
+    held = evidence.join(priors, F.col("host") == F.col("of_host"), "left").withColumn("scored", score(text)).withColumn("scores", of_text("scored"))
+    of_markup = F.when(F.col("declared").isNotNull(), F.coalesce(F.try_element_at(spoken, F.col("declared")), zero)).otherwise(zero)
+    parts = F.arrays_zip(F.coalesce("scores", zero).alias("text"), of_markup.alias("markup"), F.coalesce("prior", prior).alias("host"))
     logs = F.transform(parts, lambda p: p["text"] + p["markup"] + F.log(p["host"]))
-    held = held.withColumn("__logs", logs).withColumn("__top", F.array_max("__logs"))
-    posterior = 1.0 / F.aggregate("__logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top")))
-    at = F.array_position("__logs", F.col("__top")).cast("int")
+    held = held.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
+    posterior = 1.0 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    at = F.array_position("logs", F.col("top")).cast("int")
     predicted = F.element_at(F.array(*map(F.lit, languages)), at)
-    against = F.element_at("__scored", -1) * F.element_at(unknown, at) - F.element_at("__scores", at)
+    against = F.element_at("scored", -1) * F.element_at(unknown, at) - F.element_at("scores", at)
     posterior = posterior / (1.0 + F.coalesce(F.exp(against), F.lit(0.0)) * (UNKNOWN / (1 - UNKNOWN)))
-    result = held.withColumn(into, F.struct(predicted.alias("predicted"), posterior.alias("posterior"), ((posterior >= LEAST_POSTERIOR) & F.col("__scores").isNotNull()).alias("accepted")))
-    return result.select(*(c for c in pages.columns if c != into), into)
+    result = F.struct(predicted.alias("predicted"), posterior.alias("posterior"), ((posterior >= LEAST_POSTERIOR) & F.col("scores").isNotNull()).alias("accepted"))
+    return held.select("own", result.alias("answer")).select(*kept, F.col("answer").alias(into))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.cells import WHITE_LOWER, Slice, distinct_in_text, hashes, mixed, slices, small_batches, windows, words
+from shelfwise.llm.cells import WHITE_LOWER, Slice, distinct_in_text, hashes, mixed, slices, small_batches, windows, without_rows, words
 from shelfwise.llm.components import components
 from shelfwise.sources.staging import stage
 
@@ -344,5 +344,4 @@ def near_groups(docs: DataFrame, rule: Rule = AT_85, id_col: str = "doc_id", tex
 
 def drop_near_copies(docs: DataFrame, rule: Rule = AT_80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of every component; all columns stay."""
-    gone = near_groups(docs, rule, id_col, text_col).filter(~F.col("kept")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    return without_rows(docs, near_groups(docs, rule, id_col, text_col).filter(~F.col("kept")))

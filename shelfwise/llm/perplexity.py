@@ -351,22 +351,23 @@ def with_quality(docs: DataFrame, text_col: str = "text", language: Column | Non
     spark = docs.sparkSession
     source = small_batches(docs).select(F.col(text_col).cast("string").alias("text"), F.coalesce(language, F.lit("")).alias("language"))
     model = train(source)
-    judged = docs.withColumn("__language", F.coalesce(language, F.lit("")))
-    text = F.col(text_col).cast("string")
+    # The documents' own columns are one struct, so no name of theirs meets one used here.
+    judged = docs.select(F.struct(*docs.columns).alias("own"), F.coalesce(language, F.lit("")).alias("language"))
+    text = F.col("own")[text_col].cast("string")
     if model.rows <= BROADCAST_ROWS:
         known = model.dense()
         logs = source.filter("text != ''").select("language", measured(spark, known, with_counts=False)("text", "language").alias("log_perplexity"))
-        judged = judged.withColumn("__measured", measured(spark, known, with_counts=True)(text, F.col("__language"))).withColumn("__log", F.col("__measured.log_perplexity"))
+        judged = judged.withColumn("measured", measured(spark, known, with_counts=True)(text, F.col("language"))).withColumn("log", F.col("measured.log_perplexity"))
     else:
-        judged = judged.withColumn("__row", F.monotonically_increasing_id())
-        scored = stage(scores_by_join(judged.select(F.col("__row").alias("row"), text.alias("text"), F.col("__language").alias("language")), model))
+        judged = judged.withColumn("row", F.monotonically_increasing_id())
+        scored = stage(scores_by_join(judged.select("row", text.alias("text"), "language"), model))
         logs = scored.filter("has_text").select("language", "log_perplexity")
-        judged = judged.join(scored.select(F.col("row").alias("__row"), F.col("log_perplexity").alias("__log")), "__row")
-        judged = judged.withColumn("__measured", measured(spark, None, with_counts=True)(text, F.col("__language")))
-    limits = stage(bands(logs)).withColumnRenamed("language", "__language")
-    m = lambda name: F.col("__log" if name == "log_perplexity" else f"__measured.{name}")
+        judged = judged.join(scored.select("row", F.col("log_perplexity").alias("log")), "row")
+        judged = judged.withColumn("measured", measured(spark, None, with_counts=True)(text, F.col("language")))
+    limits = stage(bands(logs))
+    m = lambda name: F.col("log" if name == "log_perplexity" else f"measured.{name}")
     failed = (m("n_words") < 50) | (100 * m("n_repeat_words") > 50 * m("n_words"))
     inside = F.coalesce(m("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"]
-    result = judged.join(limits, "__language", "left").withColumn(into, F.struct(*(m(x).alias(x) for x in names), failed.alias("base_failed"), (~failed & inside).alias("kept"), "lower", "upper"))
-    return result.select(*(c for c in docs.columns if c != into), into)
+    result = F.struct(*(m(x).alias(x) for x in names), failed.alias("base_failed"), (~failed & inside).alias("kept"), "lower", "upper")
+    return judged.join(limits, "language", "left").select("own", result.alias("answer")).select(*(F.col("own")[c].alias(c) for c in docs.columns if c != into), F.col("answer").alias(into))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.cells import without_rows
 from shelfwise.sources.staging import stage
 
 FINGERPRINT_BITS = 64
@@ -178,5 +179,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that :func:`exact_groups` does not keep; all columns stay."""
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    return without_rows(docs, exact_groups(docs, id_col, text_col).filter(~F.col("kept")))

@@ -380,6 +380,50 @@ def test_declared_languages_of_three_letters(spark):
     assert all(r.y is None for r in got)
 
 
+CLASHING = ["prior", "of_host", "host", "declared", "own", "scored", "scores", "logs", "top", "lower", "upper", "row", "row_number", "__row", "__host", "__judged", "judged", "measured", "log", "key", "label", "fingerprint", "sha", "norm"]
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    """The sample with extra columns of the names that operators use inside."""
+    path = __import__("tempfile").mkdtemp(prefix="llm-clash-")
+    docs.select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(f"own {c}").alias(c) for c in CLASHING)).write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_clashing_columns_of_judged_documents(docs, clashing, many, monkeypatch):
+    """Extra columns stay as they are and change no verdict."""
+    if many:
+        monkeypatch.setattr(perplexity, "BROADCAST_ROWS", 0)
+    for judge_, name in ((language.with_language, "language"), (perplexity.with_quality, "quality")):
+        plain, got = judge_(docs), judge_(clashing)
+        assert got.columns == [*clashing.columns, name]
+        verdict = lambda df: Counter((r.doc_id, r.text, str(r[name][-1])) for r in df.collect())  # noqa: B023, E731
+        assert verdict(plain) == verdict(got)
+        assert all(r[c] == f"own {c}" for r in got.collect() for c in CLASHING)
+
+
+def test_clashing_columns_of_the_pipeline(docs, clashing):
+    import corpus_pipeline
+
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        got = step(docs.sparkSession, clashing, "")
+        assert got.columns == clashing.columns, name
+        rows = got.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASHING), name
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in step(docs.sparkSession, docs, "").collect()), name
+
+
+def test_pipeline_of_an_empty_table(spark, empty):
+    import corpus_pipeline
+
+    for name, step in corpus_pipeline.STAGES:
+        got = step(spark, empty, "")
+        assert got.count() == 0, name
+        assert name == "best_fit_packing" or got.columns == empty.columns
+
+
 def test_license_notices_with_one_edit(spark):
     """Every notice with one word replaced, inserted or left out at any place is found where its words are enough."""
     rows, wanted = [], []
