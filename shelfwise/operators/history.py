@@ -52,12 +52,14 @@ def _priced(c, labels: Sequence[str]) -> Column:
 
 
 def coupon(c) -> Column:
-    """The first form of coupon wording that a block has, to the end of its clause; ``''`` without one."""
-    found = []
-    for form, word, numbered in words.COUPON_FORMS:
-        digits = r"\s*\d+" if numbered else ""
-        found.append({"after": rf"{word}[：:\s]*({_CLAUSE}+)", "from": rf"({word}{digits}{_CLAUSE}*)", "number": rf"([0-9]+{word})"}[form])
-    return F.coalesce(*[tx.rx(c, p) for p in found], F.lit(""))
+    """The clause around the leftmost coupon word of a block; ``''`` without one.
+
+    It starts at the word, with a number right in front of it, and must hold a digit. Behind the label any wording counts, and the label goes.
+    """
+    label = rf"{words.COUPON_LABEL}[：:\s]*"
+    clauses = F.regexp_extract_all(tx.col(c), F.lit(rf"(?:{label}|\d*{either(words.COUPON_WORDS)}){_CLAUSE}+|\d+{either(words.COUPON_WORDS)}"), F.lit(0))
+    told = F.filter(clauses, lambda x: x.rlike(rf"\d|^{label}"))
+    return F.coalesce(tx.strip(F.regexp_replace(F.try_element_at(told, F.lit(1)), rf"^{label}", "")), F.lit(""))
 
 
 def price_details(df: DataFrame, key: str, text: str, limit: int | None = None) -> DataFrame:
@@ -136,12 +138,15 @@ def daily_prices(points: DataFrame, key: str, day: str = "day", price: str = "pr
     return points.groupBy(key, day).agg(F.min(price).alias("low"), F.sum(price).alias("price_sum"), F.count(price).alias("n"))
 
 
-def windowed_lows(daily: DataFrame, key: str, day: str = "day", low_days: int = 25 * 30, mean_days: int = 60) -> DataFrame:
-    """Rolling low and rolling mean per item and day over the trailing windows; 25 months count as 750 days."""
-    at = F.unix_date(day)
-    w = Window.partitionBy(key).orderBy(at)
-    low, mean = w.rangeBetween(-low_days, 0), w.rangeBetween(-mean_days, 0)
-    return daily.withColumn("rolling_low", F.min("low").over(low)).withColumn("rolling_mean", F.sum("price_sum").over(mean) / F.sum("n").over(mean))
+def windowed_lows(daily: DataFrame, key: str, day: str = "day", low_months: int = 25, mean_days: int = 60) -> DataFrame:
+    """Rolling low over trailing calendar months and rolling mean over trailing days, per item and day.
+
+    A window of months opens on the same day of the month, or on that month's last day if it is shorter: one month
+    before March 31 is February 28 or 29.
+    """
+    months = F.expr(f"min(low) OVER (PARTITION BY `{key}` ORDER BY `{day}` RANGE BETWEEN INTERVAL '{int(low_months)}' MONTH PRECEDING AND CURRENT ROW)")
+    mean = Window.partitionBy(key).orderBy(F.unix_date(day)).rangeBetween(-mean_days, 0)
+    return daily.withColumn("rolling_low", months).withColumn("rolling_mean", F.sum("price_sum").over(mean) / F.sum("n").over(mean))
 
 
 def as_of_price(rows: DataFrame, daily: DataFrame, key: str, day: str = "day", value: str = "low", name: str = "as_of_price") -> DataFrame:

@@ -376,7 +376,7 @@ _DAILY = "dl AS (SELECT sku, ship_date AS day, min(price) AS low, sum(price) AS
 
 @query(
     "rolling_lows",
-    f"""WITH {_DAILY} SELECT sku, day, low, min(low) OVER (PARTITION BY sku ORDER BY day RANGE BETWEEN INTERVAL 750 DAY PRECEDING AND CURRENT ROW) AS rolling_low,
+    f"""WITH {_DAILY} SELECT sku, day, low, min(low) OVER (PARTITION BY sku ORDER BY day RANGE BETWEEN INTERVAL 25 MONTH PRECEDING AND CURRENT ROW) AS rolling_low,
         {rnd('sum(price_sum) OVER m / sum(n) OVER m')} AS rolling_mean FROM dl WINDOW m AS (PARTITION BY sku ORDER BY day RANGE BETWEEN INTERVAL 60 DAY PRECEDING AND CURRENT ROW)""",
     ["offers"],
 )

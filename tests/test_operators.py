@@ -248,3 +248,18 @@ def test_ranks_with_nan_and_far_values(spark):
     _, totals = ds._binned(both, ["g"])
     assert totals.agg(F.max("_tot")).first()[0] < 600
     assert ds.running_counts(both, ["g"]).where("g = 'g' AND _cum <> least(_v, 20000) + 1").count() == 0
+
+
+def test_months_of_a_rolling_low_are_calendar_months(spark):
+    import datetime as dt
+
+    from shelfwise.operators import history
+
+    days = ["2022-01-30", "2022-01-31", "2022-02-28", "2024-02-29", "2024-03-01", "2024-03-31"]
+    rows = [("x", dt.date.fromisoformat(d), float(i + 1)) for i, d in enumerate(days)]
+    daily = spark.createDataFrame(rows, "sku string, day date, low double").withColumn("price_sum", F.col("low")).withColumn("n", F.lit(1))
+    low = {str(r.day): r.rolling_low for r in history.windowed_lows(daily, "sku").collect()}
+    # 25 months before 2024-02-29 is 2022-01-29, before 2024-03-01 it is 2022-02-01, before 2024-03-31 it is 2022-02-28
+    assert low["2024-02-29"] == 1.0 and low["2024-03-01"] == 3.0 and low["2024-03-31"] == 3.0
+    last = {str(r.day): r.rolling_low for r in history.windowed_lows(daily, "sku", low_months=1).collect()}
+    assert last["2022-02-28"] == 1.0 and last["2024-03-31"] == 4.0  # from 01-28, from 02-29

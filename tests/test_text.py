@@ -161,3 +161,10 @@ def test_coupons_and_stated_lows(spark, one):
     rows = spark.createDataFrame([(1, "a\n25个月历史最低价：¥ 9.5\n2024.3.7\n60天均价 12"), (2, "25个月历史最低\n于 2023-01-02 记录\n¥ 8.8"), (3, "none")], "k int, t string")
     got = {r.k: (r.lowest_price, str(r.lowest_date), r.avg_60d) for r in history.stated_lows(rows, "k", "t").collect()}
     assert got == {1: (9.5, "2024-03-07", 12.0), 2: (8.8, "2023-01-02", None), 3: (None, "None", None)}
+
+
+def test_a_coupon_is_the_clause_around_its_leftmost_word(one):
+    from shelfwise.operators import history
+
+    told = one(history.coupon, "满意的商品，满99减10", "打折促销，8折", "到手价 9 优惠券：新人专享。满2件", "5元券满50可用，立减3", "满意", "", None)
+    assert told == ["满99减10", "8折", "新人专享", "5元券满50可用", "", "", ""]
