@@ -102,6 +102,18 @@ def quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str
     return ranked.groupBy(*keys).agg(*aggs)
 
 
+def weighted_quantiles(points: DataFrame, keys: Sequence[str], wanted: Mapping[str, float]) -> DataFrame:
+    """Exact linearly interpolated quantiles of ``points(keys, _v, _c)``, values with their counts."""
+    ranked = running_counts(points, keys)
+    aggs = []
+    for name, p in wanted.items():
+        place = F.lit(float(p)) * (F.col("_n") - 1)
+        at = lambda k: F.min(F.when(F.col("_cum") > k, F.col("_v")))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        aggs.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return ranked.groupBy(*keys).agg(*aggs)
+
+
 def with_quantiles(stats: DataFrame, df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
     """Attach :func:`quantiles` of ``df`` to a per-group table."""
     return join_on_keys(stats, quantiles(df, keys, wanted), keys, "left")

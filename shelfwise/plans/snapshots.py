@@ -10,12 +10,14 @@ from shelfwise.operators import dedupe as dd
 from shelfwise.operators import integration as ig
 from shelfwise.operators import quality as ql
 from shelfwise.operators import snapshots as sn
+from shelfwise.operators import states as st
 from shelfwise.operators import targets as tg
+from shelfwise.operators import validity as vl
 from shelfwise.plans.markets import rounded
 from shelfwise.plans.registry import query
 from shelfwise.plans.sqlviews import rnd
 from shelfwise.sources import views
-from shelfwise.sources.staging import stage
+from shelfwise.sources.staging import new_path, stage
 
 TIES = ["l_orderkey", "l_linenumber", "l_suppkey", "sales", "amount"]
 TIES_DESC = ", ".join(f"{c} DESC" for c in TIES)
@@ -132,6 +134,56 @@ def snapshot_trend(spark, sf):
     return rounded(sn.trend(yearly(spark, sf)), "price_mean", "comments_mean")
 
 
+_STRETCHES = f"""{_MONTHLY}, c AS (SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date) AS i FROM (SELECT DISTINCT snapshot_date FROM m)),
+    g AS (SELECT sku, snapshot_date, comments, i, CASE WHEN comments IS NOT DISTINCT FROM lag(comments) OVER w AND lag(i) OVER w = i - 1 THEN 0 ELSE 1 END AS f
+          FROM m JOIN c USING (snapshot_date) WINDOW w AS (PARTITION BY sku ORDER BY snapshot_date)),
+    s AS (SELECT *, sum(f) OVER (PARTITION BY sku ORDER BY i) AS st FROM g),
+    v AS (SELECT sku, any_value(comments) AS comments, min(snapshot_date) AS valid_from, max(i) AS last, count(*) AS rounds FROM s GROUP BY sku, st)"""
+
+
+@query(
+    "validity_history",
+    f"WITH {_STRETCHES} SELECT sku, comments, valid_from, c.snapshot_date AS valid_to, rounds FROM v LEFT JOIN c ON c.i = last + 1",
+    ["offers"],
+)
+def validity_history(spark, sf):
+    return vl.intervals(yearly(spark, sf), "sku", "snapshot_date", ["comments"])
+
+
+@query(
+    "validity_as_of",
+    f"""WITH {_MONTHLY}, q AS (SELECT o_orderkey, CAST(o_orderkey % (SELECT count(*) FROM part) AS VARCHAR) AS sku, CAST(o_orderdate AS DATE) AS day FROM orders),
+        r AS (SELECT *, (SELECT max(snapshot_date) FROM m) AS newest FROM q)
+        SELECT o_orderkey, r.sku, day, comments AS as_of_comments, price AS as_of_price FROM r LEFT JOIN m ON m.sku = r.sku AND m.snapshot_date = least(date_trunc('year', day)::DATE, newest)""",
+    ["offers"],
+)
+def validity_as_of(spark, sf):
+    history = vl.intervals(yearly(spark, sf), "sku", "snapshot_date", ["comments", "price"])
+    parts = views.table(spark, sf, "part").agg(F.count(F.lit(1)).alias("n")).scalar()
+    q = views.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % parts).cast("string").alias("sku"), F.to_date("o_orderdate").alias("day"))
+    return vl.as_of_join(q, history, "sku", "day", ["comments", "price"])
+
+
+@query(
+    "market_states",
+    f"""SELECT category, count(*) AS n, count(DISTINCT sku) AS items, {rnd('sum(price)')} AS price_sum, {rnd('avg(price)')} AS price_mean, min(price) AS price_min, max(price) AS price_max,
+        {rnd('median(price)')} AS price_median, {rnd('sum(sales)')} AS sales_sum, {rnd('median(sales)')} AS sales_median FROM offers GROUP BY category""",
+    ["offers"],
+)
+def market_states(spark, sf):
+    """States of every month are written, the last month is written again, the whole period is read from the states."""
+    o = stage(views.offers(spark, sf).select("category", "sku", "price", "sales", F.trunc("ship_date", "month").alias("month")))
+    path, keys, measures = new_path(spark, "states"), ["category"], ["price", "sales"]
+    st.write_states(o, path, "month", keys, measures, "sku")
+    st.write_states(o.where(F.col("month") == o.agg(F.max("month").alias("m")).scalar()), path, "month", keys, measures, "sku")
+    sums = st.merged(spark.read.parquet(f"{path}/sums"), keys, measures)
+    exact = st.merged_exact(spark.read.parquet(f"{path}/points"), keys, measures)
+    out = sums.join(exact, "category").select(
+        "category", "n", "items", "price_sum", "price_mean", "price_min", "price_max", F.col("price_quantile").alias("price_median"), "sales_sum", F.col("sales_quantile").alias("sales_median")
+    )
+    return rounded(out, "price_sum", "price_mean", "price_median", "sales_sum", "sales_median")
+
+
 @query(
     "search_keywords",
     """SELECT DISTINCT 'brand' AS kind, brand, '' AS category FROM catalog UNION ALL SELECT DISTINCT 'pair', brand, category FROM catalog

@@ -73,7 +73,8 @@ def stream_latest_status(spark, sf):
 def stream_distinct_reviews(spark, sf):
     d = workdir(spark)
     docs = feeds.read_stream(spark, sf, "documents.parquet").select(F.col("source").alias("item_id"), "text", F.timestamp_seconds(F.col("doc_id") + 1_000_000_000).alias("ts"))
-    feeds.run_available(feeds.distinct_reviews(docs, ["item_id"], "text", "ts"), f"{d}/cp", f"{d}/out")
+    seen = KeyedTable(spark, f"{d}/seen", ["item_id", "review_key"])
+    feeds.run_available(docs, f"{d}/cp", each=feeds.distinct_ever(seen, f"{d}/out", "text", "ts"))
     return spark.read.parquet(f"{d}/out").select("item_id", "review_key")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,11 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
+def write_days(df: DataFrame, path: str) -> None:
+    """Rows by their ``snapshot_date``; a day that ``df`` holds is replaced, all others stay. A large day is split over tasks, small ones share them."""
+    df.hint("rebalance", "snapshot_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
+
+
 def write_snapshot(df: DataFrame, path: str, snapshot_date: str) -> None:
     """One dated snapshot; a rerun of the day replaces just that partition."""
     (
@@ -41,64 +48,124 @@ def _fs(spark: SparkSession, path: str):
 
 
 class KeyedTable:
-    """Table with one row per key, rewritten as immutable Parquet versions with numbered pointers.
+    """Table with one row per key, kept as delta files per bucket of keys, with numbered manifests.
+
+    An upsert writes a delta that holds its own rows only, a file per bucket it touches; no other file is read or
+    rewritten. Readers take the newest row per key over the deltas of each bucket. A bucket with more than
+    ``max_deltas`` deltas is compacted into one, on its own. Files and manifests that the last ``keep`` manifests do
+    not name are removed, so a reader has that many writes to finish.
 
-    A pointer file appears by one atomic rename and none is ever deleted; the highest number is in force,
-    so readers always see a complete version and a crash leaves the previous one.  ``batch_id`` makes a
-    replayed micro-batch a no-op.
+    A manifest appears by one atomic rename, so readers see a complete state and a crash leaves the previous one;
+    ``batch_id`` makes a replayed micro-batch a no-op. ``buckets`` is fixed by the first write: choose it so that a
+    bucket's rows fit a few tasks. NULL is a key like any other. Columns may come later; older rows have NULL there.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], order: Sequence[str] = ()):
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], order: Sequence[str] = (), buckets: int = 16, max_deltas: int = 8, keep: int = 3):
         self.spark, self.root, self.keys, self.order = spark, root.rstrip("/"), list(keys), list(order)
+        self.buckets, self.max_deltas, self.keep = buckets, max_deltas, max(1, keep)
 
-    def _pointer(self) -> tuple[str | None, int, int]:
-        """Version name, last batch and number of the pointer in force."""
-        _, fs, pattern = _fs(self.spark, f"{self.root}/_pointer-*")
-        found = fs.globStatus(pattern)
-        if not found:
-            return None, -1, 0
-        last = max((f.getPath() for f in found), key=lambda p: p.getName())
-        stream = fs.open(last)
+    def _manifest_paths(self) -> list:
+        _, fs, pattern = _fs(self.spark, f"{self.root}/manifest-*")
+        return sorted((f.getPath() for f in fs.globStatus(pattern) or []), key=lambda p: p.getName())
+
+    def _load(self, path) -> dict:
+        _, fs, _ = _fs(self.spark, self.root)
+        stream = fs.open(path)
         try:
-            name, batch = bytes(stream.readAllBytes()).decode().split("\n")
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
-        return name, int(batch), int(last.getName().split("-")[1])
+
+    def _manifest(self) -> dict:
+        """The manifest in force: ``number``, last ``batch``, ``buckets`` and ``deltas``, the buckets that each delta still serves."""
+        paths = self._manifest_paths()
+        return self._load(paths[-1]) if paths else {"number": 0, "batch": -1, "buckets": self.buckets, "deltas": {}}
 
     def exists(self) -> bool:
-        return self._pointer()[0] is not None
+        return bool(self._manifest_paths())
+
+    def last_batch(self) -> int:
+        return self._manifest()["batch"]
+
+    def files(self) -> list[str]:
+        """Folders that the manifest in force names, one per bucket and delta."""
+        return [f"{self.root}/{d}/_bucket={b}" for d, held in self._manifest()["deltas"].items() for b in held]
+
+    def _newest(self, df: DataFrame) -> DataFrame:
+        sequence = [F.col("_seq").desc()] if "_seq" in df.columns else []
+        rest = [F.col(f"`{c}`").desc_nulls_last() for c in sorted(df.columns) if c not in self.keys + self.order + ["_seq"]]
+        # rows of keys alone are all the same
+        return keep_one(df, self.keys, [F.col(c).desc_nulls_last() for c in self.order] + sequence + rest or [F.lit(0)])
+
+    def _read(self, folders: Sequence[str]) -> DataFrame:
+        return self._newest(self.spark.read.option("mergeSchema", True).parquet(*folders))
 
     def read(self) -> DataFrame:
-        name = self._pointer()[0]
-        if name is None:
-            raise FileNotFoundError(f"{self.root} holds no version yet")
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        folders = self.files()
+        if not folders:
+            raise FileNotFoundError(f"{self.root} holds no rows yet")
+        return self._read(folders).drop("_seq")
 
     def upsert(self, rows: DataFrame, batch_id: int | None = None) -> bool:
-        """Merge ``rows``; the newest row per key wins (by ``order``, then the incoming side)."""
-        name, done, number = self._pointer()
-        if batch_id is not None and batch_id <= done:
+        """Add ``rows``; the newest row per key wins (by ``order``, then the later write)."""
+        m = self._manifest()
+        if batch_id is not None and batch_id <= m["batch"]:
             return False
-        tagged = rows.withColumn("_side", F.lit(1))
-        if name is not None:
-            old = self.spark.read.parquet(f"{self.root}/{name}").withColumn("_side", F.lit(0))
-            tagged = old.unionByName(tagged, allowMissingColumns=True)
-        order = [F.col(c).desc_nulls_last() for c in self.order] + [F.col("_side").desc()]
-        rest = [F.col(c).desc_nulls_last() for c in rows.columns if c not in self.keys + self.order]
-        merged = keep_one(tagged, self.keys, order + rest).drop("_side")
-        version = f"v-{uuid.uuid4().hex}"
-        merged.write.parquet(f"{self.root}/{version}")
-        self._point_to(version, done if batch_id is None else batch_id, number + 1)
+        m["number"] += 1
+        m["batch"] = m["batch"] if batch_id is None else batch_id
+        self._add(m, self._newest(rows).withColumn("_seq", F.lit(m["number"]).cast("bigint")))
+        self._publish(m)
+        self.compact()
         return True
 
-    def _point_to(self, version: str, batch: int, number: int) -> None:
-        jvm, fs, target = _fs(self.spark, f"{self.root}/_pointer-{number:012d}")
-        staged = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_next-{version}")
+    def _add(self, m: dict, rows: DataFrame) -> None:
+        """Write rows as a delta of the manifest ``m``."""
+        n, delta = m["buckets"], f"delta-{m['number']:012d}-{uuid.uuid4().hex}"
+        placed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(n)).cast("int"))
+        placed.repartition(n, "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{delta}")
+        _, fs, made = _fs(self.spark, f"{self.root}/{delta}/_bucket=*")
+        held = sorted(int(f.getPath().getName().split("=")[1]) for f in fs.globStatus(made) or [])
+        if held:
+            m["deltas"][delta] = held
+
+    def compact(self, force: bool = False) -> list[int]:
+        """Merge the deltas of every bucket that has more than ``max_deltas`` (more than one if forced); the buckets rewritten."""
+        m = self._manifest()
+        per_bucket = Counter(b for held in m["deltas"].values() for b in held)
+        full = sorted(b for b, c in per_bucket.items() if c > (1 if force else self.max_deltas))
+        if full:
+            chosen = set(full)
+            merged = self._read([f"{self.root}/{d}/_bucket={b}" for d, held in m["deltas"].items() for b in held if b in chosen])
+            kept = {d: [b for b in held if b not in chosen] for d, held in m["deltas"].items()}
+            m["deltas"] = {d: held for d, held in kept.items() if held}
+            m["number"] += 1
+            self._add(m, merged)
+            self._publish(m)
+        self._vacuum()
+        return full
+
+    def _vacuum(self) -> None:
+        """Remove manifests before the last ``keep``, and older files that none of those name: superseded ones and what crashed writers left."""
+        paths = self._manifest_paths()
+        kept = [self._load(p) for p in paths[-self.keep :]]
+        named = {(d, b) for m in kept for d, held in m["deltas"].items() for b in held}
+        _, fs, pattern = _fs(self.spark, f"{self.root}/delta-*/_bucket=*")
+        for f in fs.globStatus(pattern) or []:
+            delta, bucket = f.getPath().getParent().getName(), int(f.getPath().getName().split("=")[1])
+            if int(delta.split("-")[1]) < kept[0]["number"] and (delta, bucket) not in named:
+                fs.delete(f.getPath(), True)
+        for p in paths[: -self.keep]:
+            fs.delete(p, False)
+
+    def _publish(self, m: dict) -> None:
+        jvm, fs, target = _fs(self.spark, f"{self.root}/manifest-{m['number']:012d}")
+        staged = jvm.org.apache.hadoop.fs.Path(f"{self.root}/next-{uuid.uuid4().hex}")
         out = fs.create(staged, True)
-        out.write(f"{version}\n{batch}".encode())
+        out.write(json.dumps(m).encode())
         out.close()
-        if not fs.rename(staged, target):
-            raise RuntimeError(f"another writer moved {self.root} to pointer {number}")
+        if fs.exists(target) or not fs.rename(staged, target):
+            fs.delete(staged, False)
+            raise RuntimeError(f"another writer moved {self.root} to manifest {m['number']}")
 
 
 def write_report(lines: DataFrame, path: str, columns: Sequence[str] = ("section", "ordinal"), text: str = "line") -> None:

@@ -36,6 +36,34 @@ def distinct_reviews(stream: DataFrame, keys: Sequence[str], text: str, time: st
     return stream.withWatermark(time, delay).withColumn("review_key", F.sha2(own, 256)).dropDuplicatesWithinWatermark([*keys, "review_key"])
 
 
+def distinct_ever(seen: KeyedTable, out: str, text: str, time: str, chars: int | None = None) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer of the first arrival of every ``(seen.keys, text)``, however late a repeat comes.
+
+    ``seen`` is keyed by the columns that name the item and ``review_key``, the hash of the text (or of ``chars`` of its head); it holds keys
+    only, so a batch is one anti-join by key and the stream itself keeps no state. The rows of a batch are one
+    folder named by its id and ``seen`` moves last: a replay after a crash in between repeats the same rows, one after it does nothing.
+    NULL keys and texts are values; among repeats in a batch the earliest stays.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if batch_id <= seen.last_batch():
+            return
+        own = F.substring(text, 1, chars) if chars else F.col(text)
+        keyed = batch.withColumn("review_key", F.sha2(own, 256))
+        rest = [F.col(c).asc_nulls_first() for c in batch.columns if c != time]
+        new = keep_one(keyed, seen.keys, [F.col(time).asc_nulls_last(), *rest])
+        if seen.files():
+            known = seen.read().select(*[F.col(k).alias(f"_{k}") for k in seen.keys])
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in seen.keys]
+            new = new.join(known, same, "left_anti")
+        folder = f"{out}/batch_id={batch_id}"
+        new.write.mode("overwrite").parquet(folder)
+        written = batch.sparkSession.read.schema(new.schema).parquet(folder)
+        seen.upsert(written.select(*seen.keys), batch_id)
+
+    return write
+
+
 def quota_windows(stream: DataFrame, time: str, quota: int, delay: str = "7 hours", start_hour: int = 23, end_hour: int = 6) -> DataFrame:
     """Rows per night or day window of a crawler and the rest of its quota.
 

@@ -93,3 +93,51 @@ def test_files_of_several_charsets_in_one_call(spark, tmp_path):
     assert got == sorted([("1", "甜味 糖\n二行"), ("2", 'say "hi"'), ("3", "plain")] * 4 + [("4", "𠀀€")])
     (tmp_path / "none").mkdir()
     assert readers.read_csv_routed(spark, str(tmp_path / "none"), ["id", "note"]).count() == 0
+
+
+def test_a_batch_touches_only_its_buckets(spark, tmp_path):
+    t = sinks.KeyedTable(spark, str(tmp_path / "t"), ["k"], ["ts"], buckets=8, max_deltas=2, keep=2)
+    mk = lambda rows: spark.createDataFrame(rows, "k int, ts int, v string")
+    t.upsert(mk([(k, 0, f"v{k}") for k in range(64)]), 0)
+    first = {f: sorted((p.name, p.stat().st_mtime_ns) for p in (tmp_path / f).glob("*.parquet")) for f in t.files()}
+    assert len(first) == 8
+    want = {k: f"v{k}" for k in range(64)}
+    for batch in range(1, 8):  # one key over and over: its bucket is compacted, the others never are
+        t.upsert(mk([(5, batch, f"new{batch}")]), batch)
+        want[5] = f"new{batch}"
+        assert {r.k: r.v for r in t.read().collect()} == want
+    now = t.files()
+    untouched = [f for f in first if f in now]
+    assert len(untouched) == 7 and all(first[f] == sorted((p.name, p.stat().st_mtime_ns) for p in (tmp_path / f).glob("*.parquet")) for f in untouched)
+    assert len(now) <= 7 + 3
+    # old manifests and the files only they name are gone
+    assert len(list((tmp_path / "t").glob("manifest-*"))) == 2
+    on_disk = {str(p) for p in (tmp_path / "t").glob("delta-*/_bucket=*")}
+    assert len(on_disk) <= 7 + 5 and set(now) <= on_disk
+    before = sorted(map(str, (tmp_path / "t").rglob("*")))
+    assert not t.upsert(mk([(5, 99, "replayed")]), 7) and sorted(map(str, (tmp_path / "t").rglob("*"))) == before
+    assert t.compact(force=True) and len(t.files()) == 8 and {r.k: r.v for r in t.read().collect()} == want
+
+
+def test_keyed_table_nulls_ties_new_columns_and_empty_batches(spark, tmp_path):
+    t = sinks.KeyedTable(spark, str(tmp_path / "t"), ["k"], ["ts"])
+    assert t.upsert(spark.createDataFrame([], "k string, ts int, v string"), 0) and t.exists() and t.files() == []
+    t.upsert(spark.createDataFrame([(None, 1, "a"), (None, 1, "b"), ("x", None, None)], "k string, ts int, v string"), 1)
+    t.upsert(spark.createDataFrame([(None, 1, "c", 7)], "k string, ts int, v string, extra int"), 2)
+    assert {tuple(r) for r in t.read().select("k", "ts", "v", "extra").collect()} == {(None, 1, "c", 7), ("x", None, None, None)}
+
+
+def test_repeats_beyond_any_watermark_are_dropped(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    days = [(0, "a", "good"), (1, "a", "bad"), (30, "a", "good"), (31, "b", "good"), (31, "b", "good"), (32, None, None), (64, None, None), (65, "a", "bad")]
+    for d, item, text in days:
+        one = spark.createDataFrame([(d, item, text)], "day int, item_id string, text string")
+        one.select("item_id", "text", F.timestamp_seconds(F.col("day") * 86400 + 1_700_000_000).alias("ts")).coalesce(1).write.mode("append").parquet(src)
+    seen = sinks.KeyedTable(spark, str(tmp_path / "seen"), ["item_id", "review_key"])
+    feeds.run_available(feeds.read_stream(spark, src, max_files=1), str(tmp_path / "cp"), each=feeds.distinct_ever(seen, out, "text", "ts"))
+    read = lambda: sorted((str(r.item_id), str(r.text)) for r in spark.read.parquet(out).collect())
+    want = [("None", "None"), ("a", "bad"), ("a", "good"), ("b", "good")]
+    assert read() == want
+    # a lost checkpoint replays the batches; those that are done change nothing
+    feeds.run_available(feeds.read_stream(spark, src, max_files=1), str(tmp_path / "cp2"), each=feeds.distinct_ever(seen, out, "text", "ts"))
+    assert read() == want
