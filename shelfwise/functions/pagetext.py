@@ -232,11 +232,5 @@ def is_negative(score, content, min_chars: int = 10) -> Column:
     return F.coalesce(s.isin("1", "2", "1-2"), F.lit(False)) & (F.length(F.coalesce(col(content), F.lit(""))) > min_chars)
 
 
-def class_text(html, class_part: str) -> Column:
-    """Text of the first leaf element whose class contains ``class_part``, else NULL."""
-    inner = F.regexp_extract(html, rf"(?is)<[a-z]+[^>]*class=[\"'][^\"']*{class_part}[^\"']*[\"'][^>]*>(.*?)</", 1)
-    return let(strip(F.regexp_replace(inner, "<[^>]*>", "")), lambda v: F.when(v != "", v))
-
-
 def tag_free(html) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(F.coalesce(col(html), F.lit("")), "(?s)<[^>]*>", " "), r"\s+", " "))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions import markup as mk
 from shelfwise.functions import pagetext as pg
 from shelfwise.functions import text as tx
 from shelfwise.functions import urls
@@ -204,24 +205,22 @@ def comment_payloads(df: DataFrame, key: str, payload: str) -> DataFrame:
     ).where(F.col("content") != "")
 
 
+CARD_FIELDS = {
+    "nickname": ("nickname", "nick", "user-name"),
+    "date": ("date", "time"),
+    "sku": ("order-info", "sku"),
+    "content": ("main-desc", "text-ellipsis", "comment-con", "comment-text", "info"),
+    "likes": ("like", "vote"),
+}
+
+
 def review_cards(df: DataFrame, key: str, html: str) -> DataFrame:
-    """Review-card markup to nickname, score, date, sku, content and likes by class names."""
-
-    def first(*names: str) -> Column:
-        return F.coalesce(*[pg.class_text(html, n) for n in names], F.lit(""))
-
-    def body(x: Column) -> Column:
-        return F.when(x["content"] != "", x["content"]).when(F.length(x["free"]) > 10, x["free"]).otherwise("")
-
-    content = F.struct(first("main-desc", "text-ellipsis", "comment-con", "comment-text", "info").alias("content"), pg.tag_free(html).alias("free"))
-    rows = df.select(
-        key,
-        first("nickname", "nick", "user-name").alias("nickname"),
-        F.coalesce(pg.review_score(html).cast("string"), F.when(F.contains(F.col(html), F.lit("差评")), F.lit("1-2")), F.lit("")).alias("score"),
-        first("date", "time").alias("date"),
-        first("order-info", "sku").alias("sku"),
-        tx.let(content, body).alias("content"),
-        F.coalesce(tx.rx(first("like", "vote"), r"(\d+)"), F.lit("0")).alias("like_count"),
+    """Review-card markup to nickname, score, date, sku, content and likes by class names; nested elements give their whole text."""
+    score = F.coalesce(pg.review_score(html).cast("string"), F.when(F.contains(F.col(html), F.lit("差评")), F.lit("1-2")), F.lit(""))
+    free = F.when(F.col("_f.content") == "", pg.tag_free(html)).otherwise("")
+    content = F.when(F.length(free) > 10, free).otherwise(F.col("_f.content"))
+    rows = df.select(key, html, mk.element_texts(html, CARD_FIELDS).alias("_f")).select(
+        key, "_f.nickname", score.alias("score"), "_f.date", "_f.sku", content.alias("content"), F.coalesce(tx.rx(F.col("_f.likes"), r"(\d+)"), F.lit("0")).alias("like_count"),
     )
     return rows.where(F.length("content") > 0)
 

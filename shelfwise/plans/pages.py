@@ -198,6 +198,22 @@ def review_card_fields(spark, sf):
     return out.select("k.*", "nickname", "score", "date", pg.unescape_entities("content").alias("content"), "like_count")
 
 
+@query(
+    "nested_card_fields",
+    f"""SELECT {KEY_SQL}, shop_key || 'VIP' AS nickname, CAST(ship_date AS VARCHAR) || '来自 ' || brand AS date, title || level2 || category AS content, CAST(CAST(sales AS INT) AS VARCHAR) AS like_count FROM offers""",
+    ["offers"],
+)
+def nested_card_fields(spark, sf):
+    """Cards whose fields hold further elements of the same kind, on both sides of their own text."""
+    html = F.concat(
+        F.lit('<li class="item"><div class="comment-user"><div class="nickname"><div>'), "shop_key", F.lit('</div><div><img src="x.png"><i>VIP</i></div></div></div><div class="info text-ellipsis-2"><div><div>'), "title",
+        F.lit("</div></div> "), "level2", F.lit(" <div>"), "category", F.lit('</div></div><div class="date list"><div>'), F.col("ship_date").cast("string"), F.lit("</div><div>来自 "), "brand",
+        F.lit('</div></div><span class="like-count"><span></span><b>'), F.col("sales").cast("int").cast("string"), F.lit("</b></span></li>"),
+    )
+    out = ps.review_cards(views.offers(spark, sf, parallel=True).select(F.struct(*KEYS).alias("k"), html.alias("html")), "k", "html")
+    return out.select("k.*", "nickname", "date", "content", "like_count")
+
+
 @query(
     "price_detail_rows",
     f"""SELECT {KEY_SQL}, ship_date + 3653 AS date, price AS final_price, original_price AS page_price, '满99减10' AS coupon FROM offers WHERE price > 0 UNION ALL
