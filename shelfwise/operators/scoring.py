@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,54 +129,92 @@ def _gap(x: Column, lo: Column, hi: Column) -> Column:
     return F.greatest(lo - x, x - hi, F.lit(0.0))
 
 
-def similar_products(targets: DataFrame, df: DataFrame, k: int = 20, bins: int = 32) -> DataFrame:
+def _extent(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Exact box and count of every cell."""
+    return rows.groupBy(*keys).agg(
+        F.min(x).alias("_xlo"), F.max(x).alias("_xhi"), F.min(y).alias("_ylo"), F.max(y).alias("_yhi"), F.count(F.lit(1)).alias("_cnt")
+    )
+
+
+def adaptive_cells(rows: DataFrame, key: str, x: str, y: str, cell_rows: int = 64, fan: int = 16) -> tuple[DataFrame, list[DataFrame]]:
+    """Cells of two measures that follow the data: rows with their ``_cell``, and the cells level by level.
+
+    A cell of more than ``cell_rows`` rows is cut at the exact ``fan``-quantiles of ``x``, every slab at those of ``y``, until
+    all cells are small or a single point. Level 0 has one cell per key; a cell of a later level names its ``_parent``.
+    """
+    marks = {f"_q{i}": i / fan for i in range(1, fan)}
+    edges = F.array(*marks)
+
+    def cut(df: DataFrame, keys: Sequence[str], v: str, name: str) -> DataFrame:
+        at = quantiles(df, keys, {n: (v, p) for n, p in marks.items()}).select(*keys, edges.alias("_edges"))
+        # a value that meets an edge has a slab of its own, so the least and the greatest value always part
+        slab = F.size(F.filter("_edges", lambda e: e < F.col(v))) + F.size(F.filter("_edges", lambda e: e <= F.col(v)))
+        return df.join(at, list(keys)).withColumn(name, slab).drop("_edges")
+
+    placed = stage(rows.withColumn("_cell", F.lit("")))
+    levels = [stage(_extent(placed, [key, "_cell"], x, y).withColumn("_parent", F.lit(None).cast("string")))]
+    done = []
+    while True:
+        large = (F.col("_cnt") > cell_rows) & ((F.col("_xlo") < F.col("_xhi")) | (F.col("_ylo") < F.col("_yhi")))
+        levels[-1] = levels[-1].withColumn("_split", large)
+        big = levels[-1].where("_split").select(key, "_cell")
+        if big.isEmpty():
+            return reduce(DataFrame.unionByName, done, placed), levels
+        done.append(placed.join(big, [key, "_cell"], "left_anti"))
+        open_rows = placed.join(big, [key, "_cell"], "left_semi").withColumnRenamed("_cell", "_parent")
+        tiles = cut(cut(open_rows, [key, "_parent"], x, "_sx"), [key, "_parent", "_sx"], y, "_sy")
+        placed = stage(tiles.withColumn("_cell", F.concat("_parent", F.lit("/"), "_sx", F.lit("."), "_sy")).drop("_sx", "_sy"))
+        levels.append(stage(_extent(placed, [key, "_parent", "_cell"], x, y)))
+        placed = placed.drop("_parent")
+
+
+def similar_products(targets: DataFrame, df: DataFrame, k: int = 20, cell_rows: int = 64, fan: int = 16) -> DataFrame:
     """The ``k`` most similar products of every target, exactly, without pairing it with its whole category.
 
     Distance is relative weight gap plus unit-price gap minus tag bonuses (flavour 0.20, package 0.10);
     the weight gap must stay within 100 % unless fewer than ``min(5, n)`` products do.
 
-    Products are first grouped into cells of weight and unit price with exact extremes and counts.  Cell
-    bounds give every target a radius that surely holds ``k`` products; only products of cells that reach
-    into the radius are scored.
+    Products lie in cells of weight and unit price (:func:`adaptive_cells`). Cell boxes give every target a radius that surely
+    holds ``k`` products; only cells that reach into it are opened, level by level, and only products of the last
+    cells are scored: about ``k`` and some cells of ``cell_rows``, however large the category.
     """
     rows = keep_one(df.where(F.col("unit_price").isNotNull()), ["category", *PRODUCT_KEY], [F.col("sku").asc()])
-    ext = rows.groupBy("category").agg(
-        F.min("weight_g").alias("_w0"), F.max("weight_g").alias("_w1"), F.min("unit_price").alias("_u0"), F.max("unit_price").alias("_u1"), F.count(F.lit(1)).alias("_n")
-    )
-
-    def place(v: str, lo: str, hi: str) -> Column:
-        f = F.coalesce(F.try_divide(F.col(v) - F.col(lo), F.col(hi) - F.col(lo)), F.lit(0.0))
-        return F.least(F.floor(F.sqrt(F.sqrt(f)) * bins), F.lit(bins - 1)).cast("int")
-
-    located = rows.join(ext, "category").withColumn("_cw", place("weight_g", "_w0", "_w1")).withColumn("_cu", place("unit_price", "_u0", "_u1"))
-    cells = located.groupBy("category", "_cw", "_cu").agg(
-        F.min("weight_g").alias("_wlo"), F.max("weight_g").alias("_whi"), F.min("unit_price").alias("_ulo"), F.max("unit_price").alias("_uhi"),
-        F.count(F.lit(1)).alias("_cnt"), F.first("_n").alias("_n"),
-    )
+    rows = stage(rows.select("category", "sku", "title", "brand", "price", "weight_g", "unit_price", "flavor", "package_type", "has_promotion"))
+    located, levels = adaptive_cells(rows, "category", "weight_g", "unit_price", cell_rows, fan)
     t = targets.select(
         "target_id", "category", F.col("weight_g").alias("t_weight"), tx.unit_price("price", "weight_g").alias("t_unit"),
         F.coalesce("flavor", F.lit("")).alias("t_flavor"), F.coalesce("package_type", F.lit("")).alias("t_package"), F.col("brand").alias("t_brand"),
     ).where(F.col("t_unit").isNotNull()).withColumn("t_reach", F.col("t_weight") * 2)
     # products within twice the target weight, counted through the weight distribution
     near = positions(t.select("target_id", "category", "t_reach"), rows, ["category"], "weight_g", "t_reach", "_share").select("target_id", "_share")
-    t = t.join(near, "target_id")
-    near_n = F.floor(F.col("_share") * F.col("_n") + 0.5)
-    tc = t.join(cells, "category").withColumn("free", near_n < F.least(F.lit(5), F.col("_n")))
+    box = ["_cell", "_split", "_xlo", "_xhi", "_ylo", "_yhi", "_cnt"]
+    t = t.join(near, "target_id").join(levels[0].select("category", *box), "category")
+    near_n = F.floor(F.col("_share") * F.col("_cnt") + 0.5)
+    tc = t.withColumn("free", near_n < F.least(F.lit(5), F.col("_cnt")))
+    fixed = ["target_id", "category", "t_weight", "t_unit", "t_flavor", "t_package", "t_brand", "t_reach", "free"]
     w, u = F.col("t_weight"), F.col("t_unit")
     bonus = F.when(F.col("t_flavor") != "", 0.20).otherwise(0.0) + F.when(F.col("t_package") != "", 0.10).otherwise(0.0)
-    nearest = _gap(w, F.col("_wlo"), F.col("_whi")) / w + _gap(u, F.col("_ulo"), F.col("_uhi")) - bonus
-    farthest = F.greatest(F.abs(F.col("_wlo") - w), F.abs(F.col("_whi") - w)) / w + F.greatest(F.abs(F.col("_ulo") - u), F.abs(F.col("_uhi") - u))
-    tc = tc.withColumn("_near", nearest).withColumn("_far", farthest)
-    inside = F.col("free") | (F.col("_whi") <= F.col("t_reach"))
-    tc = tc.where(F.col("free") | (F.col("_wlo") <= F.col("t_reach")))
-    by_far = Window.partitionBy("target_id").orderBy(inside.desc(), F.col("_far").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tc = tc.withColumn("_have", F.sum(F.when(inside, F.col("_cnt")).otherwise(0)).over(by_far))
-    radius = tc.groupBy("target_id").agg(F.min(F.when(inside & (F.col("_have") >= k), F.col("_far"))).alias("_r"))
-    chosen = tc.join(radius, "target_id").where(F.col("_r").isNull() | (F.col("_near") <= F.col("_r") + 1e-9))
-    chosen = chosen.select("target_id", "category", "_cw", "_cu", "t_weight", "t_unit", "t_flavor", "t_package", "t_brand", "free")
-
-    items = located.select("category", "_cw", "_cu", "sku", "title", "brand", "price", "weight_g", "unit_price", "flavor", "package_type", "has_promotion")
-    pairs = items.join(chosen, ["category", "_cw", "_cu"])
+
+    def in_reach(tc: DataFrame) -> DataFrame:
+        """The target's cells that may hold one of its ``k`` products."""
+        nearest = _gap(w, F.col("_xlo"), F.col("_xhi")) / w + _gap(u, F.col("_ylo"), F.col("_yhi")) - bonus
+        farthest = F.greatest(F.abs(F.col("_xlo") - w), F.abs(F.col("_xhi") - w)) / w + F.greatest(F.abs(F.col("_ylo") - u), F.abs(F.col("_yhi") - u))
+        inside = F.col("free") | (F.col("_xhi") <= F.col("t_reach"))
+        tc = tc.where(F.col("free") | (F.col("_xlo") <= F.col("t_reach"))).withColumn("_near", nearest).withColumn("_far", farthest)
+        by_far = Window.partitionBy("target_id").orderBy(inside.desc(), F.col("_far").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        tc = tc.withColumn("_have", F.sum(F.when(inside, F.col("_cnt")).otherwise(0)).over(by_far))
+        tc = tc.withColumn("_r", F.min(F.when(inside & (F.col("_have") >= k), F.col("_far"))).over(Window.partitionBy("target_id")))
+        return tc.where(F.col("_r").isNull() | (F.col("_near") <= F.col("_r") + 1e-9)).select(*fixed, *box)
+
+    tc = in_reach(tc.select(*fixed, *box))
+    for level in levels[1:]:
+        tc = stage(tc)
+        children = level.select("category", F.col("_parent"), *box)
+        opened = tc.where("_split").select(*fixed, F.col("_cell").alias("_parent")).join(children, ["category", "_parent"])
+        tc = in_reach(tc.where(~F.col("_split")).unionByName(opened.select(*fixed, *box)))
+    chosen = tc.select("target_id", "category", "_cell", "t_weight", "t_unit", "t_flavor", "t_package", "t_brand", "free")
+
+    pairs = located.join(chosen, ["category", "_cell"])
     weight_gap = F.abs(F.col("weight_g") - F.col("t_weight")) / F.col("t_weight")
     tag = F.when((F.col("t_flavor") != "") & F.contains(F.coalesce("flavor", F.lit("")), F.col("t_flavor")), 0.20).otherwise(0.0) + F.when(
         (F.col("t_package") != "") & F.contains(F.coalesce("package_type", F.lit("")), F.col("t_package")), 0.10
@@ -183,7 +222,7 @@ def similar_products(targets: DataFrame, df: DataFrame, k: int = 20, bins: int =
     scored = pairs.withColumn("weight_gap", weight_gap).where(F.col("free") | (F.col("weight_gap") <= 1.0))
     scored = scored.withColumn("distance", F.col("weight_gap") + F.abs(F.col("unit_price") - F.col("t_unit")) - tag)
     order = [tx.stable_round("distance", 6).asc(), tx.stable_round("unit_price", 6).asc(), F.col("sku").asc()]
-    return top_per_group(scored, ["target_id"], order, k, "rank").drop("_cw", "_cu", "free")
+    return top_per_group(scored, ["target_id"], order, k, "rank").drop("_cell", "free")
 
 
 def competitiveness(targets: DataFrame, df: DataFrame, k: int = 20) -> DataFrame:

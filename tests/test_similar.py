@@ -1,0 +1,47 @@
+"""Exact nearest products through adaptive cells, against brute force."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from shelfwise.operators import scoring
+
+SCHEMA = "sku string, category string, title string, brand string, price double, weight_g double, unit_price double, flavor string, package_type string, has_promotion boolean"
+
+
+def products(n):
+    rng = random.Random(8)
+    out = []
+    for i in range(n):
+        hot = rng.random() < 0.5  # half of all products lie in one crowded corner, some at one point
+        w = 100.0 if i % 10 == 0 else rng.uniform(90, 110) if hot else rng.uniform(10, 5000)
+        p = 5.0 if i % 10 == 0 else round(rng.uniform(1, 90), 2)
+        out.append((f"{i:05d}", "big" if i % 7 else "small", f"t{i}", f"b{i % 5}", p, w, p / w, rng.choice(["sweet", "hot", None]), rng.choice(["bag", "", None]), i % 2 == 0))
+    return out
+
+
+def distance(t, r):
+    bonus = 0.2 * bool(t[7] and t[7] in (r[7] or "")) + 0.1 * bool(t[8] and t[8] in (r[8] or ""))
+    return abs(r[5] - t[5]) / t[5] + abs(r[6] - t[6]) - bonus
+
+
+def test_adaptive_cells_find_the_nearest(spark):
+    rows = products(3000)
+    df = spark.createDataFrame(rows, SCHEMA)
+    targets = df.where(F.col("sku").cast("int") % 100 == 3).withColumnRenamed("sku", "target_id")
+    far = spark.createDataFrame([("zz", "big", "t", "b", 1.0, 2.0, 0.5, None, None, False)], SCHEMA).withColumnRenamed("sku", "target_id")
+    located, levels = scoring.adaptive_cells(df, "category", "weight_g", "unit_price", 20, 4)
+    sizes = located.groupBy("category", "_cell").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("weight_g", "unit_price").alias("points"))
+    assert len(levels) > 2 and located.count() == 3000 and sizes.where((F.col("n") > 20) & (F.col("points") > 1)).count() == 0
+    got = {}
+    for r in scoring.similar_products(targets.unionByName(far), df, k=7, cell_rows=20, fan=4).orderBy("target_id", "rank").collect():
+        got.setdefault(r.target_id, []).append(r.sku)
+    asked = [tuple(r) for r in targets.unionByName(far).collect()]
+    assert len(got) == len(asked) == 31
+    for t in asked:
+        mine = [r for r in rows if r[1] == t[1]]
+        reach = [r for r in mine if r[5] <= 2 * t[5]]
+        pool = reach if len(reach) >= min(5, len(mine)) else mine
+        want = sorted(pool, key=lambda r: (round(distance(t, r), 6), round(r[6], 6), r[0]))[:7]
+        assert got[t[0]] == [r[0] for r in want]
+    assert scoring.similar_products(targets, df.where(F.lit(False))).count() == 0
