@@ -21,7 +21,7 @@ def workdir(spark) -> str:
 
 
 def feed_stream(spark, sf):
-    raw = feeds.event_time(feeds.read_stream(spark, sf, "events.parquet"), "ts")
+    raw = feeds.event_time(feeds.table_stream(spark, f"{sf}/events.parquet"), "ts")
     status = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "access_blocked").when(F.col("event_type") == "view", "no_result").otherwise("success")
     return raw.select("event_id", "ts", F.col("user_id").alias("item_id"), status.alias("status"), "value")
 
@@ -72,7 +72,7 @@ def stream_latest_status(spark, sf):
 )
 def stream_distinct_reviews(spark, sf):
     d = workdir(spark)
-    docs = feeds.read_stream(spark, sf, "documents.parquet").select(F.col("source").alias("item_id"), "text", F.timestamp_seconds(F.col("doc_id") + 1_000_000_000).alias("ts"))
+    docs = feeds.table_stream(spark, f"{sf}/documents.parquet").select(F.col("source").alias("item_id"), "text", F.timestamp_seconds(F.col("doc_id") + 1_000_000_000).alias("ts"))
     seen = KeyedTable(spark, f"{d}/seen", ["item_id", "review_key"])
     feeds.run_available(docs, f"{d}/cp", each=feeds.distinct_ever(seen, f"{d}/out", "text", "ts"))
     return spark.read.parquet(f"{d}/out").select("item_id", "review_key")
@@ -91,7 +91,7 @@ def stream_price_changes(spark, sf):
     first = views.offers(spark, sf).agg(F.min(F.year("ship_date"))).first()[0]
     base = views.offers(spark, sf).where(F.year("ship_date") == first).select("sku", "price", "ship_date", "l_orderkey", F.lit(0.0).alias("comments"), F.lit("").alias("sales_text"))
     t.upsert(base)
-    li = feeds.read_stream(spark, sf, "lineitem.parquet").where(F.year("l_shipdate") > first)
+    li = feeds.table_stream(spark, f"{sf}/lineitem.parquet").where(F.year("l_shipdate") > first)
     new = li.select(
         F.col("l_partkey").cast("string").alias("sku"), views.cents(F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("price"), F.to_date("l_shipdate").alias("ship_date"), "l_orderkey",
         F.lit(0.0).alias("comments"), F.lit("").alias("sales_text"),

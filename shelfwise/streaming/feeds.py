@@ -22,6 +22,14 @@ def read_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", ma
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table as a stream, be it one file or a folder of part files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return read_stream(spark, path, "*")
+    return read_stream(spark, str(place.getParent()), place.getName())
+
+
 def event_time(df: DataFrame, column: str) -> DataFrame:
     """Watermarks need TIMESTAMP; files written without a zone load as TIMESTAMP_NTZ."""
     return df.withColumn(column, F.col(column).cast("timestamp"))

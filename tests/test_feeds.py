@@ -141,3 +141,12 @@ def test_repeats_beyond_any_watermark_are_dropped(spark, tmp_path):
     # a lost checkpoint replays the batches; those that are done change nothing
     feeds.run_available(feeds.read_stream(spark, src, max_files=1), str(tmp_path / "cp2"), each=feeds.distinct_ever(seen, out, "text", "ts"))
     assert read() == want
+
+
+def test_tables_of_one_file_and_of_part_files_stream_alike(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "doc_id long, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows.toPandas().to_parquet(tmp_path / "single.parquet")
+    for name in ("documents", "single"):
+        feeds.run_available(feeds.table_stream(spark, f"{tmp_path}/{name}.parquet"), str(tmp_path / f"cp_{name}"), str(tmp_path / f"out_{name}"))
+        assert spark.read.parquet(str(tmp_path / f"out_{name}")).count() == 6
