@@ -75,6 +75,7 @@ def numeral_value(token) -> Column:
         return (
             F.when(digit.isNotNull(), state(acc["total"], acc["section"], digit))
             .when(unit == 10000, state(acc["total"] + closed, F.lit(0), F.lit(0)))
+            .when(unit == 100000000, state(F.try_multiply(acc["total"] + acc["section"] + acc["pending"], unit), F.lit(0), F.lit(0)))
             .otherwise(state(acc["total"], acc["section"] + F.greatest(acc["pending"], F.lit(1)) * unit, F.lit(0)))
         )
 

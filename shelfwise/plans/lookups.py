@@ -68,17 +68,28 @@ def unit_price_compare(spark, sf):
     return rounded(top, "unit_price", digits=6)
 
 
-@query("numeral_values", "SELECT l_orderkey, l_linenumber, l_partkey + 1 AS value, CAST(l_quantity AS BIGINT) AS arabic FROM lineitem")
-def numeral_values(spark, sf):
-    """Numbers up to the tens of thousands in Chinese numerals and in Arabic digits, read back."""
+def chinese_numeral(n: str):
+    """A whole number of zero or more in Chinese numerals: groups of four digits that 万 and 亿 close."""
     digits = F.split(F.lit("零,一,二,三,四,五,六,七,八,九"), ",")
-    li = views.table(spark, sf, "lineitem").withColumn("n", F.col("l_partkey").cast("bigint") + 1)
+    over = lambda k: F.expr(f"`{n}` div {10**k}L")
+    parts = []
+    for k in range(18, -1, -1):
+        digit = over(k) % 10
+        unit = ("", "十", "百", "千")[k % 4]
+        parts.append(F.when(digit > 0, F.concat(F.get(digits, digit.cast("int")), F.lit(unit))).when((over(k) > 0) & (F.col(n) % 10**k > 0), "零").otherwise(""))
+        if k in (4, 12):
+            parts.append(F.when(over(k) % 10000 > 0, "万").otherwise(""))
+        elif k in (8, 16):
+            parts.append(F.when(over(k) > 0, "亿").otherwise(""))
+    text = F.regexp_replace(F.concat(*parts), "零+(?=[万亿]|$)", "")
+    return F.when(F.col(n) == 0, "零").otherwise(F.regexp_replace(text, "零+", "零"))
 
-    def place(k: int):
-        return F.floor(F.col("n") / 10**k) % 10
 
-    parts = [F.when(place(k) > 0, F.concat(F.get(digits, place(k).cast("int")), F.lit(unit))).when((place(k) == 0) & (F.col("n") > 10 ** (k + 1)) & (F.col("n") % 10**k > 0), "零").otherwise("") for k, unit in ((4, "万"), (3, "千"), (2, "百"), (1, "十"), (0, ""))]
-    text = F.regexp_replace(F.concat(*parts), "零+", "零")
+@query("numeral_values", "SELECT l_orderkey, l_linenumber, l_partkey + 1 AS value, CAST(l_quantity AS BIGINT) AS arabic FROM lineitem")
+def numeral_values(spark, sf):
+    """Numbers of any size in Chinese numerals and in Arabic digits, read back."""
+    li = views.table(spark, sf, "lineitem").withColumn("n", F.col("l_partkey").cast("bigint") + 1)
+    text = chinese_numeral("n")
     return li.select("l_orderkey", "l_linenumber", tags.numeral_value(text).alias("value"), tags.numeral_value(F.col("l_quantity").cast("bigint").cast("string")).alias("arabic"))
 
 

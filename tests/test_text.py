@@ -168,3 +168,11 @@ def test_a_coupon_is_the_clause_around_its_leftmost_word(one):
 
     told = one(history.coupon, "满意的商品，满99减10", "打折促销，8折", "到手价 9 优惠券：新人专享。满2件", "5元券满50可用，立减3", "满意", "", None)
     assert told == ["满99减10", "8折", "新人专享", "5元券满50可用", "", "", ""]
+
+
+def test_numerals_beyond_the_tens_of_thousands(spark, one):
+    from shelfwise.plans.lookups import chinese_numeral
+
+    assert one(tags.numeral_value, "十二万三千", "一亿", "三亿零五十万", "一万二千亿", "一亿亿", "九亿亿亿亿") == [123000, 10**8, 300500000, 1200000000000, 10**16, None]
+    numbers = [0, 9, 10, 20000, 99999, 100000, 100005, 7200000, 10**8, 10**8 + 5, 123456789012, 10**16 + 1, 2**63 - 1]
+    assert one(lambda c: tags.numeral_value(chinese_numeral(c)), *numbers, kind="long") == numbers
