@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +22,16 @@ def unescape_entities(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+_REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)")
+
+
+@F.pandas_udf(T.StringType())
+def unescape_terminated(s: pd.Series) -> pd.Series:
+    """HTML entities that end with their semicolon; a reference that is cut off stays as it is."""
+    own = lambda m: html.unescape(m[0]) if m[1][0] == "#" or m[1] in html5 else m[0]
+    return s.map(lambda x: _REFERENCE.sub(own, x), na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Full NFKC folding; `text.compatible` does it character by character without leaving the JVM."""
@@ -80,8 +91,9 @@ def clean_page_title(c) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(t, r"[-_]\s*京东.*$", ""), "【图片.*?】", ""))
 
 
-def html_title(c) -> Column:
-    return clean_page_title(unescape_entities(raw_html_title(c)))
+def html_title(c, terminated: bool = False) -> Column:
+    """``terminated`` unescapes only the entities that have their semicolon, else those that browsers accept too."""
+    return clean_page_title((unescape_terminated if terminated else unescape_entities)(raw_html_title(c)))
 
 
 def html_price(c) -> Column:

@@ -176,3 +176,8 @@ def test_numerals_beyond_the_tens_of_thousands(spark, one):
     assert one(tags.numeral_value, "十二万三千", "一亿", "三亿零五十万", "一万二千亿", "一亿亿", "九亿亿亿亿") == [123000, 10**8, 300500000, 1200000000000, 10**16, None]
     numbers = [0, 9, 10, 20000, 99999, 100000, 100005, 7200000, 10**8, 10**8 + 5, 123456789012, 10**16 + 1, 2**63 - 1]
     assert one(lambda c: tags.numeral_value(chinese_numeral(c)), *numbers, kind="long") == numbers
+
+
+def test_a_reference_without_its_semicolon_stays_text_if_asked(one):
+    assert one(lambda c: pg.html_title(c, terminated=True), "<title>a &amp; b &amp</title>", "<title>&amp;lt &lt;c&gt;</title>") == ["a & b &amp", "&lt <c>"]
+    assert one(pg.html_title, "<title>a &amp; b &amp</title>") == ["a & b &"]
