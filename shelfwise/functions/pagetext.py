@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.functions import words
-from shelfwise.functions.text import col, contains_any, let, rx, strip
+from shelfwise.functions.text import BLANK, col, contains_any, let, rx, strip
 
 
 @F.pandas_udf(T.StringType())
@@ -50,12 +50,14 @@ def either(options) -> str:
 
 def labelled(c, labels, value: str, gap: str = r"\s*[:：]?\s*") -> Column:
     """The value that follows one of the labels, or NULL."""
-    return rx(c, rf"(?i){either(labels)}{gap}({value})")
+    found = rx(c, rf"(?i){either(labels)}{gap}({value})")
+    # looking for words is cheaper than the pattern; letters would need both cases
+    return found if re.search("[a-zA-Z]", "".join(labels)) else F.when(contains_any(c, labels), found)
 
 
 def ended(c, value: str, endings) -> Column:
     """The value that one of the endings follows, or NULL."""
-    return rx(c, rf"({value})\s*{either(endings)}")
+    return F.when(contains_any(c, endings), rx(c, rf"({value})\s*{either(endings)}"))
 
 
 def tag_attribute(tag, name: str) -> Column:
@@ -87,7 +89,7 @@ def raw_html_title(c) -> Column:
 
 def clean_page_title(c) -> Column:
     """Collapse blanks, then drop the site suffix and picture marker."""
-    t = strip(F.regexp_replace(col(c), r"(?U)\s+", " "))
+    t = strip(F.regexp_replace(col(c), f"{BLANK}+", " "))
     return strip(F.regexp_replace(F.regexp_replace(t, r"[-_]\s*京东.*$", ""), "【图片.*?】", ""))
 
 
@@ -105,7 +107,7 @@ def html_price(c) -> Column:
 
 def spoken_price(c) -> Column:
     """Price in visible text: worded, then currency sign, then 元."""
-    t = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?U)\s+", " ")
+    t = F.regexp_replace(F.coalesce(col(c), F.lit("")), f"{BLANK}+", " ")
     money = r"[1-9]\d*(?:\.\d{1,2})?"
     found = [labelled(t, words.SPOKEN_PRICE_LABELS, money, r"\D{0,8}"), rx(t, rf"[￥¥]\s*({money})"), ended(t, money, ["元"])]
     return F.coalesce(*[n.try_cast("double") for n in found])
@@ -131,7 +133,7 @@ def card_prices(c) -> Column:
 
 def card_sales(c) -> Column:
     """Sales wording with the latin magnitude letter as 万."""
-    t = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?U)\s+", "")
+    t = F.regexp_replace(F.coalesce(col(c), F.lit("")), f"{BLANK}+", "")
     n = r"(\d+(?:\.\d+)?[万千wW]?\+?)"
     found = F.coalesce(rx(t, rf"已售{n}"), rx(t, rf"{n}已售出"), rx(t, rf"{n}人已买"))
     return F.coalesce(F.translate(found, "wW", "万万"), F.lit(""))
@@ -168,13 +170,19 @@ ATTRIBUTE_NAMES = {
 }
 
 
-def attribute(c, names: list[str], max_chars: int | None = None) -> Column:
+def joined_lines(c) -> Column:
+    """Attribute text as one line."""
+    return F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[|;\n\r]+", " | ")
+
+
+def attribute(c, names: list[str], max_chars: int | None = None, joined: Column | None = None) -> Column:
     """Value after ``name:`` or ``name ``, first alias that occurs; ``max_chars`` cuts it (the published form has 80)."""
-    joined = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[|;\n\r]+", " | ")
+    joined = joined_lines(c) if joined is None else joined
     size = f"{{1,{max_chars}}}" if max_chars else "+"
     picks = []
     for n in names:
-        picks += [rx(joined, rf"{n}\s*[:：]\s*([^|;；，,]{size})"), rx(joined, rf"{n}\s+([^|;；，,]{size})")]
+        forms = [rx(joined, rf"{n}\s*[:：]\s*([^|;；，,]{size})"), rx(joined, rf"{n}\s+([^|;；，,]{size})")]
+        picks.append(F.when(F.contains(joined, F.lit(n)), F.coalesce(*forms)))
     return F.coalesce(strip(F.coalesce(*picks)), F.lit(""))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfwise.functions import words
-from shelfwise.functions.text import col, contains_any, let, normalize_text, strip
+from shelfwise.functions.text import BLANK, col, contains_any, let, normalize_text, strip
 
 _NUM = words.NUMERAL_CLASS
 _TAKEN = ""  # private-use character that marks text already consumed by an earlier pattern
@@ -39,7 +40,19 @@ def first_tags(title, terms: Sequence[str] = tuple(words.TITLE_FLAVOR_WORDS), li
 
 
 def package_tags(name, patterns: Sequence[tuple[str, str]] = tuple(words.PACKAGE_PATTERNS)) -> Column:
-    return F.array_compact(F.array(*[F.when(col(name).rlike(p), F.lit(label)) for label, p in patterns]))
+    return F.array_compact(F.array(*[F.when(_any_of(name, p), F.lit(label)) for label, p in patterns]))
+
+
+def _any_of(text, pattern: str) -> Column:
+    """``rlike``; alternatives that are words, or words behind a numeral, are looked for as words first."""
+    options = pattern.split("|")
+    bare = [o.removeprefix(_NUM) for o in options]
+    if not all(re.fullmatch(r"\w+", b) for b in bare):
+        return col(text).rlike(pattern)
+    hit = contains_any(text, [o for o, b in zip(options, bare) if o == b])
+    counted = [b for o, b in zip(options, bare) if o != b]
+    # of a numeral, its last character is enough
+    return hit | (contains_any(text, counted) & col(text).rlike(f"{_NUM[:-1]}(?:{'|'.join(counted)})")) if counted else hit
 
 
 def is_gift(name, terms: Sequence[str] = tuple(words.GIFT_WORDS)) -> Column:
@@ -93,7 +106,9 @@ def _arabic(spec: Column) -> Column:
     """Rewrite every numeral run of a specification phrase in Arabic digits and drop blanks."""
     runs = F.regexp_extract_all(spec, F.lit(f"({_NUM}|[^0-9一二两三四五六七八九十百千万]+)"), F.lit(1))
     mapped = F.transform(runs, lambda r: F.when(r.rlike(f"^{_NUM}$"), F.coalesce(numeral_value(r).cast("string"), r)).otherwise(r))
-    return F.regexp_replace(F.array_join(mapped, ""), r"(?U)\s+", "")
+    # digits without leading zeros are Arabic already
+    told = F.when(spec.rlike(r"[一二两三四五六七八九十百千万]|(?<![0-9])0|[0-9]{19}"), F.array_join(mapped, "")).otherwise(spec)
+    return F.regexp_replace(told, f"{BLANK}+", "")
 
 
 def specification(name) -> Column:
@@ -110,9 +125,14 @@ def specification(name) -> Column:
     )
     box = f"[{words.QUANTITY_WORDS}]"
     parts, rest = [], t
-    for pattern in (rf"共\s*{_NUM}\s*款", rf"买\s*{_NUM}\s*送\s*{_NUM}", rf"{_NUM}\s*{box}\s*装", rf"{_NUM}\s*{box}"):
-        parts.append(F.regexp_extract_all(rest, F.lit(f"({pattern})"), F.lit(1)))
-        rest = F.regexp_replace(rest, pattern, _TAKEN)
+    none = F.array().cast("array<string>")
+    for needed, pattern in (("共款", rf"共\s*{_NUM}\s*款"), ("买送", rf"买\s*{_NUM}\s*送\s*{_NUM}"), ("装", rf"{_NUM}\s*{box}\s*装"), ("", rf"{_NUM}\s*{box}")):
+        # a phrase needs its fixed characters; most titles have none of them
+        may = F.lit(True)
+        for ch in needed:
+            may = may & F.contains(t, F.lit(ch))
+        parts.append(F.when(may.isNull() | may, F.regexp_extract_all(rest, F.lit(f"({pattern})"), F.lit(1))).otherwise(none))
+        rest = F.when(may, F.regexp_replace(rest, pattern, _TAKEN)).otherwise(rest)
     counts = F.filter(F.transform(F.concat(*parts), _arabic), lambda s: s != "")
     # series keep their repetitions, counts are added once
     return let(series, lambda ser: F.concat(ser, F.array_except(counts, ser)))
@@ -123,15 +143,15 @@ def char_bigrams(text) -> Column:
     return F.regexp_extract_all(col(text), F.lit(r"(?s)(?=(..))"), F.lit(1))
 
 
-def keyword_tags(name, extra: Sequence = (), stop: Sequence[str] = tuple(words.KEYWORD_STOP_WORDS), vocabulary: Sequence[str] = tuple(words.FLAVOR_WORDS)) -> Column:
+def keyword_tags(name, extra: Sequence = (), stop: Sequence[str] = tuple(words.KEYWORD_STOP_WORDS), vocabulary: Sequence[str] = tuple(words.FLAVOR_WORDS), normalized: bool = False) -> Column:
     """Keywords without a segmenter: latin words, Han bigrams, vocabulary terms and known entities."""
 
     def found(t: Column) -> Column:
         latin = F.regexp_extract_all(t, F.lit(r"([A-Za-z]{2,})"), F.lit(1))
-        han = F.filter(char_bigrams(t), lambda w: w.rlike(r"^[一-龥]{2}$"))
+        han = F.regexp_extract_all(t, F.lit(r"(?=([一-龥]{2}))"), F.lit(1))
         return F.concat(contained_terms(t, vocabulary), latin, han)
 
-    tokens = F.filter(F.array_distinct(let(normalize_text(name), found)), lambda w: ~w.rlike(r"(?i)^(kg|g|克|斤)$"))
+    tokens = F.filter(F.array_distinct(let(col(name) if normalized else normalize_text(name), found)), lambda w: ~F.lower(w).isin("kg", "g", "克", "斤"))
     known = F.filter(F.array_compact(F.array(*[strip(col(c)) for c in extra])) if extra else F.array().cast("array<string>"), lambda w: w != "")
     return F.array_except(F.array_distinct(F.concat(tokens, known)), string_array(list(stop)))
 

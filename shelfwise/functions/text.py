@@ -6,6 +6,7 @@ cell yields NULL under ANSI mode instead of failing a job.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Sequence
 
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import words
 
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+#: All Unicode white space: what ``(?U)\\s`` matches, without its cost per character.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def _compatibility_forms() -> dict[str, str]:
@@ -41,6 +44,8 @@ def _ranges(chars: Sequence[str]) -> str:
 
 
 LONG_CLASS = _ranges(list(LONG_FORMS))
+_DEAL = 128
+_DEALT_FORMS = json.dumps([{c: f for c, f in LONG_FORMS.items() if ord(c) % _DEAL == i} for i in range(_DEAL)])
 
 
 def col(c: Column | str) -> Column:
@@ -52,10 +57,17 @@ def let(value, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def one_per_id(items, last: bool = False) -> Column:
+    """Of an array of structs ``(id, at, ...)``, the one with the smallest (``last``: greatest) ``at`` per ``id``, inside the row."""
+    step = 1 if last else -1
+    return let(F.sort_array(items), lambda a: F.filter(a, lambda x, i: ~F.coalesce(F.get(a, i + step)["id"].eqNullSafe(x["id"]), F.lit(False))))
+
+
 # --- regex helpers ------------------------------------------------------------
 def rx(c, pattern: str, group: int = 1) -> Column:
     """First match of ``pattern``; NULL (not ``''``) when there is none."""
-    return F.nullif(F.regexp_extract(col(c), pattern, group), F.lit(""))
+    # nullif would scan the text twice wherever Spark writes its argument out: in lambdas and in later branches
+    return let(F.regexp_extract(col(c), pattern, group), lambda m: F.when(m != "", m))
 
 
 def rx_number(c, pattern: str, group: int = 1) -> Column:
@@ -76,13 +88,13 @@ def contains_any(c, terms: Sequence[str]) -> Column:
 
 # --- text and blanks ----------------------------------------------------------
 def strip(c) -> Column:
-    return F.regexp_replace(col(c), _EDGE_SPACE, "")
+    return F.trim(col(c), F.lit(BLANKS))
 
 
 def clean_text(c, collapse: bool = False) -> Column:
     """Trim all Unicode white space; NULL and the word ``nan`` become ``''``."""
-    t = F.regexp_replace(col(c), r"(?U)\s+", " ") if collapse else col(c)
-    return F.regexp_replace(strip(F.coalesce(t, F.lit(""))), "(?i)^nan$", "")
+    t = F.regexp_replace(col(c), f"{BLANK}+", " ") if collapse else col(c)
+    return let(strip(F.coalesce(t, F.lit(""))), lambda t: F.when(F.lower(t) == "nan", "").otherwise(t))
 
 
 def nonempty(c) -> Column:
@@ -110,17 +122,28 @@ def compatible(c) -> Column:
     Combining marks are not composed with their letters; :func:`.pagetext.nfkc` does that in Arrow batches.
     """
     t = F.translate(col(c), "".join(SINGLE_FORMS), "".join(SINGLE_FORMS.values()))
-    plain = ~col(c).rlike(r"[^\x00-\x7f\u3001-\u3029\u4e00-\u9fff]")
-    forms = F.map_from_arrays(F.split(F.lit(" ".join(LONG_FORMS)), " "), F.split(F.lit("\n".join(LONG_FORMS.values())), "\n"))
-    spread = F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(forms, x), x))
+    # most titles are ASCII but for their brackets, and lengths cost less than a pattern
+    bare = F.replace(F.replace(col(c), F.lit("【")), F.lit("】"))
+    plain = (F.length(bare) == F.octet_length(bare)) | ~col(c).rlike(r"[^\x00-\x7f\u3001-\u3029\u4e00-\u9fff]")
+    # a map of many entries is searched from its start, so it is dealt into small ones by code point
+    forms = F.from_json(F.lit(_DEALT_FORMS), "array<map<string,string>>")
+    form = lambda x: F.try_element_at(F.get(forms, F.ascii(x) % _DEAL), x)
+    pieces = F.regexp_extract_all(t, F.lit(f"{LONG_CLASS}|[^{LONG_CLASS[1:]}+"), F.lit(0))
+    spread = F.transform(pieces, lambda x: F.coalesce(F.when(F.length(x) == 1, form(x)), x))
     return F.when(plain, col(c)).when(col(c).rlike(LONG_CLASS), F.array_join(spread, "")).otherwise(t)
 
 
 def normalize_text(c) -> Column:
     """Fold compatibility forms, unify the multiplication sign, list punctuation to blanks, collapse blanks."""
-    t = F.translate(compatible(F.coalesce(col(c), F.lit(""))), "×X", "xx")
-    t = F.regexp_replace(t, "[，、；;]+", " ")
-    return strip(F.regexp_replace(t, r"(?U)\s+", " "))
+    t = let(F.coalesce(col(c), F.lit("")), compatible)
+    t = _where_any(t, "×X", lambda t: F.translate(t, "×X", "xx"))
+    t = _where_any(t, "，、；;", lambda t: F.regexp_replace(t, "[，、；;]+", " "))
+    return strip(_where_any(t, ["  ", *BLANKS.replace(" ", "")], lambda t: F.regexp_replace(t, f"{BLANK}+", " ")))
+
+
+def _where_any(t: Column, terms: Sequence[str], change) -> Column:
+    """``change`` applied to texts that hold one of the terms; looking for them costs less than a pattern."""
+    return let(t, lambda x: F.when(contains_any(x, list(terms)), change(x)).otherwise(x))
 
 
 # --- numbers ------------------------------------------------------------------
@@ -210,7 +233,7 @@ def normalize_key(c, mode: str = "plain", url=None) -> Column:
 
 
 # --- brands and categories ----------------------------------------------------
-_SEPARATORS = {"spaced": r" - ", "dash": r"(?U)\s*[-－—–]\s*", "any": r"(?U)\s*[-—–|/]\s*"}
+_SEPARATORS = {"spaced": r" - ", "dash": r"[-－—–]", "any": r"[-—–|/]"}
 _SHOP_SUFFIX = r"(旗舰店|官方|自营|专营店|食品|零食|坚果炒货)$"
 
 

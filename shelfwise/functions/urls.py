@@ -63,7 +63,7 @@ def product_id(c, min_digits: int = 6) -> Column:
 
     def pick(x: Column) -> Column:
         t, query, path = x["t"], x["query"], x["path"]
-        keyed = [rx(query, rf"(?:^|&){k}=[^&]*?{d}") for k in _ID_KEYS]
+        keyed = [F.when(F.contains(query, F.lit(f"{k}=")), rx(query, rf"(?:^|&){k}=[^&]*?{d}")) for k in _ID_KEYS]
         pathed = [rx(path, p) for p in (rf"/{d}\.html", rf"/product/{d}", rf"/item/{d}", rf"/{d}(?:/|$)")]
         return F.coalesce(F.when(t.rlike(rf"^{d}$"), t), F.when(query != "", F.coalesce(*keyed)), *pathed, rx(t, d), F.lit(""))
 

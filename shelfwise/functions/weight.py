@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfwise.functions import words
-from shelfwise.functions.text import col, let, normalize_text, rx, rx_number, strip
+from shelfwise.functions.text import col, contains_any, let, normalize_text, rx, rx_number, strip
 
 NUM = r"(\d+(?:\.\d+)?)"
 KILO = "公斤|千克|kg"
@@ -22,7 +22,8 @@ def _factor(unit: Column) -> Column:
 def weight_first(title) -> Column:
     """First ``g``/``kg`` quantity."""
     p = rf"(?i){NUM}\s*(kg|千克|公斤|g|克)"
-    return rx_number(title, p, 1) * _factor(rx(title, p, 2))
+    # one scan finds the phrase, the short phrase gives number and unit
+    return let(F.regexp_extract(col(title), p, 0), lambda m: rx_number(m, p, 1) * _factor(rx(m, p, 2)))
 
 
 def weight_multi(title) -> Column:
@@ -72,8 +73,9 @@ def _from_segment(t: Column) -> Column:
         unit = _factor(rx(end, f"(?i){UNIT}"))
         return (rx_number(start, NUM) * F.coalesce(_factor(rx(start, f"(?i){UNIT}")), unit) + rx_number(end, NUM) * unit) / 2
 
+    marks = ["共", "合计", "总重", "净重", "重量", "规格", "实发"]
     rules = [
-        ("强信号重量", rf"(?i)(?:共|合计|总重|净重|重量|规格|实发)\s*[:：]?\s*({NUM}\s*{UNIT})", 1, _quantity),
+        ("强信号重量", rf"(?i)(?:{'|'.join(marks)})\s*[:：]?\s*({NUM}\s*{UNIT})", 1, _quantity),
         ("倍数重量", rf"(?i)({NUM}\s*{UNIT}\s*(?:\*|x|/)\s*{NUM}\s*{box}?)", 1, product),
         ("反向倍数重量", rf"(?i)({NUM}\s*{box}\s*(?:\*|x)\s*{NUM}\s*{UNIT})", 1, lambda m: rx_number(m, NUM) * _quantity(F.regexp_extract(m, r"[*xX]\s*(.*)$", 1))),
         ("范围重量均值", rf"(?i)({NUM}\s*{UNIT}?\s*(?:-|~|至|到)\s*{NUM}\s*{UNIT})", 1, mean),
@@ -81,7 +83,10 @@ def _from_segment(t: Column) -> Column:
     ]
 
     def found(label: str, pattern: str, group: int, formula) -> Column:
-        value = let(F.regexp_extract(t, pattern, group), lambda m: F.when(m != "", formula(m)))
+        phrase = F.regexp_extract(t, pattern, group)
+        if label == rules[0][0]:
+            phrase = F.when(contains_any(t, marks), phrase)
+        value = let(phrase, lambda m: F.when(m != "", formula(m)))
         return let(value, lambda v: F.when(v.isNotNull(), F.struct(F.round(v, 2).alias("weight_g"), F.lit(label).alias("note"))))
 
     return F.coalesce(*[found(*r) for r in rules])
@@ -100,10 +105,11 @@ def weight_structured(title, normalized: bool = False) -> Column:
     return let(col(title) if normalized else normalize_text(title), of)
 
 
-def weight_fallback(title) -> Column:
-    """Structured mode, then the plain first quantity including 斤."""
+def weight_fallback(title, structured: Column | None = None) -> Column:
+    """Structured mode, then the plain first quantity including 斤; ``structured`` is that weight if it is known already."""
     p = rf"(?i){NUM}\s*{UNIT}"
-    return F.coalesce(weight_structured(title)["weight_g"], rx_number(title, p, 1) * _factor(rx(title, p, 2)))
+    known = weight_structured(title)["weight_g"] if structured is None else structured
+    return F.coalesce(known, rx_number(title, p, 1) * _factor(rx(title, p, 2)))
 
 
 MODES = {

@@ -259,7 +259,7 @@ def structure_titles(df: DataFrame, key: str = "sku", title: str = "title", bran
     seen = tx.clean_brand(tx.normalize_text("brand_from_name"), separators="any", strip_suffix=True)
     given = F.col(weight).try_cast("double") if weight else F.lit(None).cast("double")
     out = (
-        out.withColumn("keywords", tags.keyword_tags("_name", ["brand_from_name", F.array_join("flavor_tags", ";"), F.array_join("package_tags", ";"), *extra]))
+        out.withColumn("keywords", tags.keyword_tags("_name", ["brand_from_name", F.array_join("flavor_tags", ";"), F.array_join("package_tags", ";"), *extra], normalized=True))
         .withColumn("brand_match_status", tags.brand_status("_own_brand", seen))
         .withColumn("weight_match_status", tags.weight_status(given, "weight_from_text"))
     )

@@ -263,7 +263,7 @@ _N = "CAST(regexp_extract(title, '(\\d+)g\\*(\\d+)', 2) AS DOUBLE)"
 def title_weights(spark, sf):
     return views.raw_listing(spark, sf).withColumn("s", wt.weight_structured("title")).select(
         *KEYS, wt.weight_first("title").alias("first"), wt.weight_multi("title").alias("multi"), wt.weight_strict("title").alias("strict"),
-        F.col("s.weight_g").alias("structured"), F.col("s.note").alias("note"), wt.weight_fallback("title").alias("fallback"),
+        F.col("s.weight_g").alias("structured"), F.col("s.note").alias("note"), wt.weight_fallback("title", F.col("s.weight_g")).alias("fallback"),
     )
 
 

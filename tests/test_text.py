@@ -181,3 +181,11 @@ def test_numerals_beyond_the_tens_of_thousands(spark, one):
 def test_a_reference_without_its_semicolon_stays_text_if_asked(one):
     assert one(lambda c: pg.html_title(c, terminated=True), "<title>a &amp; b &amp</title>", "<title>&amp;lt &lt;c&gt;</title>") == ["a & b &amp", "&lt <c>"]
     assert one(pg.html_title, "<title>a &amp; b &amp</title>") == ["a & b &"]
+
+
+def test_edges_of_any_white_space_go_and_long_forms_fold(one):
+    from shelfwise.functions import text as tx
+
+    blanks = [chr(c) for c in range(1, 0x10000) if chr(c) in tx.BLANKS]
+    assert len(blanks) == 25 and one(tx.strip, *[f"{b}a{b}b{b}" for b in blanks]) == [f"a{b}b" for b in blanks]
+    assert one(tx.compatible, "㎏ﬁ①【a】", "【a】", "㎏") == ["kgfi1【a】", "【a】", "kg"]
