@@ -10,21 +10,28 @@ from shelfwise.functions.text import col, let, rx, strip
 
 _TAIL = r"[^\s\"'<>，。；、]+"
 _HOSTS = r"item\.jd\.com|item\.m\.jd\.com|3\.cn|u\.jd\.com|jd\.com|m\.jd\.com|item\.taobao\.com|detail\.tmall\.com|e\.tb\.cn"
+# listed one by one, the characters of a class are looked up in one table
+_PLAIN = "".join(f"\\x{i:02x}" for i in range(0x21, 0x7F) if chr(i) not in "\"'<>")
 _ID_KEYS = ["sku", "skuId", "wareId", "itemId", "productId", "id"]
 
 
 def url_candidate(c) -> Column:
     """First address in a shared text; a text without blanks is its own candidate."""
-    t = strip(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[\x00-\x1f\x7f]+", " "))
-    return let(
-        t,
-        lambda t: F.coalesce(
+
+    def searched(t: Column) -> Column:
+        return F.coalesce(
             rx(t, rf"(?i)(https?://{_TAIL})"),
             rx(t, rf"(//{_TAIL})"),
             rx(t, rf"(?i)((?:{_HOSTS})/{_TAIL})"),
             F.when(~t.rlike(r"(?U)\s"), t).otherwise(F.lit("")),
-        ),
-    )
+        )
+
+    def of(c: Column) -> Column:
+        # most cells are one address and nothing else
+        whole = c.rlike(rf"^(?:https?:)?//[{_PLAIN}]++\z") & (~F.startswith(c, F.lit("//")) | ~F.contains(c, F.lit("://")))
+        return F.when(whole, c).otherwise(let(strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x1f\x7f]+", " ")), searched))
+
+    return of(F.col(c)) if isinstance(c, str) else let(c, of)
 
 
 def with_scheme(u: Column) -> Column:
@@ -57,8 +64,8 @@ def fetchable_url(c) -> Column:
     return let(canonical_url(c), quote)
 
 
-def product_id(c, min_digits: int = 6) -> Column:
-    """Product number of an address: query keys, then path forms, then any long digit run."""
+def product_id(c, min_digits: int = 6, canonical: Column | None = None) -> Column:
+    """Product number of an address: query keys, then path forms, then any long digit run; ``canonical`` is its canonical form if that is known already."""
     d = rf"(\d{{{min_digits},}})"
 
     def pick(x: Column) -> Column:
@@ -73,7 +80,7 @@ def product_id(c, min_digits: int = 6) -> Column:
         )
 
     t = strip(F.coalesce(col(c), F.lit("")))
-    return let(let(t, lambda t: let(canonical_url(t), lambda u: split(u, t))), pick)
+    return let(let(t, lambda t: let(canonical_url(t) if canonical is None else canonical, lambda u: split(u, t))), pick)
 
 
 def url_host(c) -> Column:
@@ -85,7 +92,7 @@ def set_query_params(c, values: dict[str, str]) -> Column:
     u = col(c)
     base = F.regexp_extract(u, r"^([^?#]*)", 1)
     query = F.regexp_extract(u, r"\?([^#]*)", 1)
-    fragment = F.regexp_extract(u, r"(#.*)$", 1)
+    fragment = F.when(F.contains(u, F.lit("#")), F.regexp_extract(u, r"(#.*)$", 1)).otherwise("")
 
     def rewrite(pairs: Column) -> Column:
         seen = F.transform(pairs, lambda p: F.substring_index(p, "=", 1))

@@ -317,8 +317,9 @@ def appended_listing(spark, sf):
     ["listing"],
 )
 def url_parts(spark, sf):
-    c = urls.canonical_url("detail_url")
-    return views.raw_listing(spark, sf).select(
-        *KEYS, urls.product_id("detail_url").alias("product_id"), c.alias("canonical"), urls.url_host(c).alias("host"),
-        urls.set_query_params(c, {"from": "page", "page": "2"}).alias("rewritten"),
+    # a column of its own: all other parts start from it
+    c = views.raw_listing(spark, sf).select(*KEYS, "detail_url", urls.canonical_url("detail_url").alias("canonical"))
+    return c.select(
+        *KEYS, urls.product_id("detail_url", canonical=F.col("canonical")).alias("product_id"), "canonical", urls.url_host("canonical").alias("host"),
+        urls.set_query_params("canonical", {"from": "page", "page": "2"}).alias("rewritten"),
     )

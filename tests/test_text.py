@@ -189,3 +189,10 @@ def test_edges_of_any_white_space_go_and_long_forms_fold(one):
     blanks = [chr(c) for c in range(1, 0x10000) if chr(c) in tx.BLANKS]
     assert len(blanks) == 25 and one(tx.strip, *[f"{b}a{b}b{b}" for b in blanks]) == [f"a{b}b" for b in blanks]
     assert one(tx.compatible, "㎏ﬁ①【a】", "【a】", "㎏") == ["kgfi1【a】", "【a】", "kg"]
+
+
+def test_whole_addresses_are_told_at_once_and_a_known_canonical_form_is_used(spark, one):
+    got = one(urls.url_candidate, "//a.b/c?x=1", "//a.b/c?u=http://x.y/1", "https://a.b/c", "HTTPS://a.b/c", "http://a.b/c\n", "http://a.b/'c", "看 //a.b/c")
+    assert got == ["//a.b/c?x=1", "http://x.y/1", "https://a.b/c", "HTTPS://a.b/c", "http://a.b/c", "http://a.b/", "//a.b/c"]
+    df = spark.createDataFrame([("//a.b/p", "https://c.d/123456.html")], "x string, known string")
+    assert df.select(urls.product_id("x", canonical=df["known"])).first()[0] == "123456"
