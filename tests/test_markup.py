@@ -56,3 +56,17 @@ def test_cards_with_nested_fields(spark):
     rows = [(1, html), (2, None), (3, ""), (4, "<p>no class, but text that is long enough</p>"), (5, "<p>short</p>")]
     got = {r.k: (r.nickname, r.content, r.like_count) for r in parsing.review_cards(spark.createDataFrame(rows, "k int, html string"), "k", "html").collect()}
     assert got == {1: ("Li**", "badtasteand late", "12"), 4: ("", "no class, but text that is long enough", "0")}
+
+
+def test_layouts_equal_the_scan(monkeypatch):
+    rng = random.Random(11)
+    layouts = markup.Layouts({"a": ("nick", "date"), "b": ("info",)})
+    odd = ["", "<", "a < b", "<!-- <div class=info>x</div> -->", "<script>var a='<i>'</script>", "</div>", "<div class='info'>open ", '<div title="<p>" class=info>t</div>', "<STYLE>x</STYLE>", "<br/>", "<div class=nick> </div>", "<div"]
+    for _ in range(400):
+        html = "".join(rng.choice([rng.choice(odd), write(grow(rng, 3))]) for _ in range(rng.randrange(1, 5)))
+        found = markup.scan(html, layouts.names)
+        want = [next((found[n] for n in parts if n in found), "") for parts in layouts.fields.values()]
+        assert layouts.texts(html) == want == layouts.texts(html)
+    # of a known layout no text is scanned
+    monkeypatch.setattr(markup, "scan", None)
+    assert [layouts.texts(f'<p class="info">{i} <b>c</b></p>') for i in range(3)] == [["", f"{i}c"] for i in range(3)]
