@@ -121,38 +121,56 @@ _AD_LINE, _SOLD = "广告", "已售"
 
 def lines(c) -> Column:
     """Trimmed non-blank lines."""
-    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), r"\r?\n"), strip), lambda x: x != "")
+    # a carriage return in front of the line break is trimmed off; a pattern would be compiled for every row
+    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), "\n"), strip), lambda x: x != "")
 
 
-def card_prices(c) -> Column:
-    """Distinct prices of a card in reading order; a price whose digits stand on several lines is joined."""
-    flat = F.array_join(lines(c), "\n")
+def _lines(c, own: Column | None) -> Column:
+    return lines(c) if own is None else own
+
+
+def card_prices(c, own: Column | None = None) -> Column:
+    """Distinct prices of a card in reading order; a price whose digits stand on several lines is joined. ``own``, here and below: the lines if they are known already."""
+    flat = F.array_join(_lines(c, own), "\n")
     found = F.regexp_extract_all(flat, F.lit(r"(?m)^[￥¥]\s*((?:\d+|\.)(?:\n(?:\d+|\.)$|\d|\.)*+)"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"\n", "").try_cast("double")), lambda x: x > 0))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.replace(x, F.lit("\n"), F.lit("")).try_cast("double")), lambda x: x > 0))
 
 
 def card_sales(c) -> Column:
     """Sales wording with the latin magnitude letter as 万."""
-    t = F.regexp_replace(F.coalesce(col(c), F.lit("")), f"{BLANK}+", "")
+    t = F.coalesce(col(c), F.lit(""))
+    for blank in " \n\r\t":
+        t = F.replace(t, F.lit(blank), F.lit(""))
     n = r"(\d+(?:\.\d+)?[万千wW]?\+?)"
-    found = F.coalesce(rx(t, rf"已售{n}"), rx(t, rf"{n}已售出"), rx(t, rf"{n}人已买"))
-    return F.coalesce(F.translate(found, "wW", "万万"), F.lit(""))
+
+    def found(t: Column) -> Column:
+        return F.coalesce(rx(t, rf"已售{n}"), rx(t, rf"{n}已售出"), rx(t, rf"{n}人已买"))
+
+    # the other blanks are rare
+    bare = let(t, lambda t: F.when(t.rlike(r"[\x0b\x0c\x85\xa0]") | t.rlike(r"[\u1680-\u3000]"), F.regexp_replace(t, f"{BLANK}+", "")).otherwise(t))
+    return F.coalesce(F.replace(F.replace(let(bare, found), F.lit("w"), F.lit("万")), F.lit("W"), F.lit("万")), F.lit(""))
 
 
-def card_shop(c) -> Column:
+def card_shop(c, own: Column | None = None) -> Column:
     """Last line that names a shop."""
-    return F.coalesce(F.try_element_at(F.filter(lines(c), lambda x: contains_any(x, CARD_SHOP_WORDS)), F.lit(-1)), F.lit(""))
+    return F.coalesce(F.try_element_at(F.filter(_lines(c, own), lambda x: contains_any(x, CARD_SHOP_WORDS)), F.lit(-1)), F.lit(""))
 
 
-def card_promotions(c) -> Column:
-    return F.array_distinct(F.filter(lines(c), lambda x: contains_any(x, CARD_PROMO_WORDS)))
+def card_promotions(c, own: Column | None = None) -> Column:
+    named = F.array_distinct(F.filter(_lines(c, own), lambda x: contains_any(x, CARD_PROMO_WORDS)))
+    return F.when(contains_any(c, CARD_PROMO_WORDS), named).otherwise(F.array().cast("array<string>"))
 
 
-def card_title(c) -> Column:
+def card_title(c, own: Column | None = None) -> Column:
     """First line above the price that is no advertisement, sales or promotion line."""
-    above = F.split(F.array_join(lines(c), "\n"), r"(?m)^[￥¥]", 2)[0]
+    ls = _lines(c, own)
+    flat = F.array_join(ls, "\n")
+    above = F.split(F.substring_index(F.substring_index(F.concat(F.lit("\n"), flat), "\n￥", 1), "\n¥", 1), "\n")
+    # a price may also follow one of the rare line ends inside of a line
+    rare = F.split(F.split(flat, r"(?m)^[￥¥]", 2)[0], "\n")
+    above = F.when(contains_any(c, ["\r", "\x85", "\u2028", "\u2029"]), rare).otherwise(above)
     good = F.filter(
-        F.split(above, "\n"),
+        above,
         lambda x: (x != "") & (x != _AD_LINE) & ~F.contains(x, F.lit(_SOLD)) & ~F.startswith(x, F.lit("|")) & ~contains_any(x, CARD_PROMO_WORDS),
     )
     return F.coalesce(F.try_element_at(good, F.lit(1)), F.lit(""))

@@ -196,3 +196,10 @@ def test_whole_addresses_are_told_at_once_and_a_known_canonical_form_is_used(spa
     assert got == ["//a.b/c?x=1", "http://x.y/1", "https://a.b/c", "HTTPS://a.b/c", "http://a.b/c", "http://a.b/", "//a.b/c"]
     df = spark.createDataFrame([("//a.b/p", "https://c.d/123456.html")], "x string, known string")
     assert df.select(urls.product_id("x", canonical=df["known"])).first()[0] == "123456"
+
+
+def test_card_fields_from_known_lines(one):
+    cards = ["广告\nA b\n￥\n12\n.\n5\n已售 3w+\n券后立省", "x\r￥5", "￥1\nlate"]
+    for f, want in ((pg.card_title, ["A b", "x\r", ""]), (pg.card_prices, [[12.5], [5.0], [1.0]]), (pg.card_promotions, [["券后立省"], [], []])):
+        assert one(lambda c: f(c, pg.lines(c)), *cards) == one(f, *cards) == want
+    assert one(pg.card_sales, *cards) == ["3万+", "", ""]
