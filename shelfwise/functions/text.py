@@ -77,7 +77,8 @@ def rx_number(c, pattern: str, group: int = 1) -> Column:
 
 def contains_any(c, terms: Sequence[str]) -> Column:
     """True when any literal term occurs; NULL text counts as false, an empty term never matches."""
-    hits = [F.contains(col(c), F.lit(t)) for t in terms if t]
+    # a term with another one inside adds nothing
+    hits = [F.contains(col(c), F.lit(t)) for t in dict.fromkeys(terms) if t and not any(o and o != t and o in t for o in terms)]
     if not hits:
         return F.lit(False)
     out = hits[0]
@@ -133,12 +134,26 @@ def compatible(c) -> Column:
     return F.when(plain, col(c)).when(col(c).rlike(LONG_CLASS), F.array_join(spread, "")).otherwise(t)
 
 
+#: Texts of printable ASCII, Han and their punctuation only. One range per class: unions of ranges cost several calls a character.
+_PLAIN = r"^(?:[ -~]++|[\u4e00-\u9fff]++|[\u3002-\u3029]++)*+\z"
+
+
 def normalize_text(c) -> Column:
     """Fold compatibility forms, unify the multiplication sign, list punctuation to blanks, collapse blanks."""
-    t = let(F.coalesce(col(c), F.lit("")), compatible)
-    t = _where_any(t, "×X", lambda t: F.translate(t, "×X", "xx"))
-    t = _where_any(t, "，、；;", lambda t: F.regexp_replace(t, "[，、；;]+", " "))
-    return strip(_where_any(t, ["  ", *BLANKS.replace(" ", "")], lambda t: F.regexp_replace(t, f"{BLANK}+", " ")))
+
+    def fold(t: Column) -> Column:
+        t = let(F.coalesce(t, F.lit("")), compatible)
+        t = _where_any(t, "×X", lambda t: F.translate(t, "×X", "xx"))
+        t = _where_any(t, "，、；;", lambda t: F.regexp_replace(t, "[，、；;]+", " "))
+        return strip(_where_any(t, ["  ", *BLANKS.replace(" ", "")], lambda t: F.regexp_replace(t, f"{BLANK}+", " ")))
+
+    def of(t: Column) -> Column:
+        # most titles need no change; the pattern's depth follows the text, so long ones are not tried
+        plain = (F.length(t) < 500) & ~contains_any(t, ["X", ";", "  "]) & t.rlike(_PLAIN)
+        return F.when(plain, strip(t)).otherwise(fold(t))
+
+    # a column needs no binding, and outside of a lambda the common way is compiled
+    return of(F.col(c)) if isinstance(c, str) else let(c, of)
 
 
 def _where_any(t: Column, terms: Sequence[str], change) -> Column:
@@ -226,23 +241,33 @@ def normalize_key(c, mode: str = "plain", url=None) -> Column:
             .otherwise(rest)
         )
 
-    key = let(clean_text(col(c).cast("string")), key_of)
+    # digits, with or without their .0, are told by one pattern
+    t = strip(col(c).cast("string"))
+    key = let(F.regexp_extract(t, r"^(\d+)(?:\.0+)?\z", 1), lambda n: F.when(n != "", n).otherwise(let(clean_text(t), key_of)))
     if url is not None:
         key = let(key, lambda k: F.when(k != "", k).otherwise(F.regexp_extract(F.coalesce(col(url), F.lit("")), r"item\.jd\.com/(\d+)\.html", 1)))
     return key
 
 
 # --- brands and categories ----------------------------------------------------
-_SEPARATORS = {"spaced": r" - ", "dash": r"[-－—–]", "any": r"[-—–|/]"}
-_SHOP_SUFFIX = r"(旗舰店|官方|自营|专营店|食品|零食|坚果炒货)$"
+#: What stands in front of the first separator; a split would compile its pattern for every row.
+_HEADS = {"dash": r"^[^-－—–]*", "any": r"^[^-—–|/]*"}
+_SHOP_SUFFIXES = ["旗舰店", "官方", "自营", "专营店", "食品", "零食", "坚果炒货"]
+
+
+def _without_suffix(t: Column) -> Column:
+    out = t
+    for s in _SHOP_SUFFIXES:
+        out = F.when(F.endswith(t, F.lit(s)), strip(F.substring(t, F.lit(1), F.length(t) - len(s)))).otherwise(out)
+    return out
 
 
 def clean_brand(c, separators: str = "spaced", strip_suffix: bool = False, unknown: str | None = None) -> Column:
     """Brand in front of the separator; optionally without a shop suffix."""
     t = clean_text(c)
-    head = strip(F.split(t, _SEPARATORS[separators], 2)[0])
+    head = strip(F.substring_index(t, " - ", 1) if separators == "spaced" else F.regexp_extract(t, _HEADS[separators], 0))
     if strip_suffix:
-        head = strip(F.regexp_replace(head, _SHOP_SUFFIX, ""))
+        head = let(head, _without_suffix)
     if unknown is not None:
         head = F.when(t == "", F.lit(unknown)).when(head == "", t).otherwise(head)
     return head

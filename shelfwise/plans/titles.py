@@ -25,8 +25,9 @@ def listing(spark, sf):
     o = views.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("pk"), F.col("p_brand").alias("p_brand"), (F.col("p_size") * 10).cast("string").alias("weight_g"))
     j = raw.join(o, tx.normalize_key("item_id") == F.col("pk"))
     blank = F.startswith("item_id", F.lit(" "))
-    # extraction reads its input in several branches; a crawl is a stored table
-    return stage(j.withColumn("brand", F.when(blank, "").otherwise(F.concat("p_brand", F.lit(" - "), "category_breadcrumb"))))
+    brand = F.when(blank, "").otherwise(F.concat("p_brand", F.lit(" - "), "category_breadcrumb"))
+    # extraction reads its input in several branches; a crawl is a stored table of the columns that it reads
+    return stage(j.select(*KEYS, "item_id", "title", brand.alias("brand"), "weight_g"))
 
 
 @query("brand_dictionary", "SELECT DISTINCT brand AS alias FROM catalog", ["catalog"])

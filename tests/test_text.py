@@ -203,3 +203,9 @@ def test_card_fields_from_known_lines(one):
     for f, want in ((pg.card_title, ["A b", "x\r", ""]), (pg.card_prices, [[12.5], [5.0], [1.0]]), (pg.card_promotions, [["券后立省"], [], []])):
         assert one(lambda c: f(c, pg.lines(c)), *cards) == one(f, *cards) == want
     assert one(pg.card_sales, *cards) == ["3万+", "", ""]
+
+
+def test_a_plain_text_is_only_trimmed_and_a_long_one_takes_the_whole_way(spark, one):
+    assert one(tx.normalize_text, " 【Ab】 3g*5袋 ", "a  b", "3×5", "a、b", "Ａ", None, "") == ["【Ab】 3g*5袋", "a b", "3x5", "a b", "A", "", ""]
+    assert one(tx.normalize_text, "a袋" * 100_000) == ["a袋" * 100_000]
+    assert tx._PLAIN
