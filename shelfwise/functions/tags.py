@@ -40,7 +40,8 @@ def first_tags(title, terms: Sequence[str] = tuple(words.TITLE_FLAVOR_WORDS), li
 
 
 def package_tags(name, patterns: Sequence[tuple[str, str]] = tuple(words.PACKAGE_PATTERNS)) -> Column:
-    return F.array_compact(F.array(*[F.when(_any_of(name, p), F.lit(label)) for label, p in patterns]))
+    # joined arrays are compiled, a filter over them would not be
+    return F.concat(*[F.when(_any_of(name, p), string_array([label])).otherwise(string_array([])) for label, p in patterns])
 
 
 def _any_of(text, pattern: str) -> Column:
@@ -51,8 +52,19 @@ def _any_of(text, pattern: str) -> Column:
         return col(text).rlike(pattern)
     hit = contains_any(text, [o for o, b in zip(options, bare) if o == b])
     counted = [b for o, b in zip(options, bare) if o != b]
-    # of a numeral, its last character is enough
-    return hit | (contains_any(text, counted) & col(text).rlike(f"{_NUM[:-1]}(?:{'|'.join(counted)})")) if counted else hit
+    # of a numeral, its last character is enough; it is looked for behind the word only, a class of many characters is slow
+    word = f"(?:{'|'.join(counted)})"
+    found = hit | (contains_any(text, counted) & col(text).rlike(f"{word}(?<={_NUM[:-1]}{word})")) if counted else hit
+    return contains_any(text, _common_characters(bare)) & found
+
+
+def _common_characters(options: Sequence[str]) -> list[str]:
+    """A few characters of which every option has one."""
+    left, out = list(options), []
+    while left:
+        out.append(max(dict.fromkeys("".join(left)), key=lambda c: sum(c in o for o in left)))
+        left = [o for o in left if out[-1] not in o]
+    return out
 
 
 def is_gift(name, terms: Sequence[str] = tuple(words.GIFT_WORDS)) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfwise.functions import words
-from shelfwise.functions.text import col, contains_any, let, normalize_text, rx, rx_number, strip
+from shelfwise.functions.text import col, let, normalize_text, rx, rx_number, strip
 
 NUM = r"(\d+(?:\.\d+)?)"
 KILO = "公斤|千克|kg"
@@ -85,7 +85,7 @@ def _from_segment(t: Column) -> Column:
     def found(label: str, pattern: str, group: int, formula) -> Column:
         phrase = F.regexp_extract(t, pattern, group)
         if label == rules[0][0]:
-            phrase = F.when(contains_any(t, marks), phrase)
+            phrase = F.when(t.rlike(f"[{''.join(m[0] for m in marks)}]"), phrase)
         value = let(phrase, lambda m: F.when(m != "", formula(m)))
         return let(value, lambda v: F.when(v.isNotNull(), F.struct(F.round(v, 2).alias("weight_g"), F.lit(label).alias("note"))))
 
@@ -102,7 +102,7 @@ def weight_structured(title, normalized: bool = False) -> Column:
         none = F.struct(F.lit(None).cast("double").alias("weight_g"), F.lit("未识别重量").alias("note"))
         return F.coalesce(F.try_element_at(marked, F.lit(1)), F.when(t.rlike(r"\d"), _from_segment(t)), none)
 
-    return let(col(title) if normalized else normalize_text(title), of)
+    return of(col(title)) if normalized and isinstance(title, str) else let(col(title) if normalized else normalize_text(title), of)
 
 
 def weight_fallback(title, structured: Column | None = None) -> Column:

@@ -256,16 +256,17 @@ def structure_titles(df: DataFrame, key: str = "sku", title: str = "title", bran
         .withColumn("weight_from_text", F.col("_w.weight_g"))
         .withColumn("weight_note", F.col("_w.note"))
     )
-    seen = tx.clean_brand(tx.normalize_text("brand_from_name"), separators="any", strip_suffix=True)
+    # a column of its own: its status asks for it again and again
+    out = out.withColumn("_seen", tx.clean_brand(tx.normalize_text("brand_from_name"), separators="any", strip_suffix=True))
     given = F.col(weight).try_cast("double") if weight else F.lit(None).cast("double")
     out = (
         out.withColumn("keywords", tags.keyword_tags("_name", ["brand_from_name", F.array_join("flavor_tags", ";"), F.array_join("package_tags", ";"), *extra], normalized=True))
-        .withColumn("brand_match_status", tags.brand_status("_own_brand", seen))
+        .withColumn("brand_match_status", tags.brand_status("_own_brand", "_seen"))
         .withColumn("weight_match_status", tags.weight_status(given, "weight_from_text"))
     )
     return out.withColumn(
         "extraction_notes", tags.structure_notes("brand_match_status", "weight_match_status", "flavor_tags", "package_tags", "weight_note")
-    ).drop("_w", "_name", "_own_brand")
+    ).drop("_w", "_name", "_own_brand", "_seen")
 
 
 def extraction_report(df: DataFrame) -> DataFrame:

@@ -205,6 +205,12 @@ def test_card_fields_from_known_lines(one):
     assert one(pg.card_sales, *cards) == ["3万+", "", ""]
 
 
+def test_package_words_are_looked_for_by_their_common_characters(one):
+    assert tags._common_characters(["礼盒装", "礼品盒", "小包"]) == ["礼", "小"]
+    assert one(tags.package_tags, "礼袋 十袋", "x袋", "3罐", "", None) == [["礼包", "袋装"], [], ["罐装"], [], []]
+    assert one(lambda c: tx.clean_brand(c, "any", True), "官方 旗舰店", "A食品零食 | b", "零食") == ["官方", "A食品", ""]
+
+
 def test_a_plain_text_is_only_trimmed_and_a_long_one_takes_the_whole_way(spark, one):
     assert one(tx.normalize_text, " 【Ab】 3g*5袋 ", "a  b", "3×5", "a、b", "Ａ", None, "") == ["【Ab】 3g*5袋", "a b", "3x5", "a b", "A", "", ""]
     assert one(tx.normalize_text, "a袋" * 100_000) == ["a袋" * 100_000]
