@@ -409,19 +409,19 @@ def trend_points(spark, sf):
 
 
 def _trend_strings(o):
-    """A trend string per offer as feeds deliver them: array form for even years, object form for odd ones, one void point."""
-    ms = (F.unix_seconds(F.col("ship_date").cast("timestamp")) * 1000).cast("string")
-
-    def row(p):
-        return F.concat(F.lit("["), ms, F.lit(","), p, F.lit(',"'), "promotion", F.lit('"]'))
+    """A trend string per offer as feeds deliver them: array form for even years, object form for odd ones, one void point.
 
-    def obj(p):
-        return F.concat(F.lit('{"timestamp":'), ms, F.lit(',"price":'), p, F.lit(',"promo":"'), "promotion", F.lit('"}'))
-
-    prices = [F.col("price").cast("string"), F.lit("0"), F.col("original_price").cast("string"), F.col("price").cast("string")]
+    What its points share, and each price, is written once; behind a column of its own Spark does not repeat it.
+    """
+    ms = (F.unix_seconds(F.col("ship_date").cast("timestamp")) * 1000).cast("string")
     even = F.year("ship_date") % 2 == 0
-    text = F.when(even, F.concat_ws(",", *[row(p) for p in prices])).otherwise(F.concat_ws(",", *[obj(p) for p in prices]))
-    return o.withColumn("trend", F.concat(F.lit("["), text, F.lit("]")))
+    o = o.withColumns({
+        "_head": F.when(even, F.concat(F.lit("["), ms, F.lit(","))).otherwise(F.concat(F.lit('{"timestamp":'), ms, F.lit(',"price":'))),
+        "_tail": F.when(even, F.concat(F.lit(',"'), "promotion", F.lit('"]'))).otherwise(F.concat(F.lit(',"promo":"'), "promotion", F.lit('"}'))),
+        "_now": F.col("price").cast("string"), "_was": F.col("original_price").cast("string"),
+    })
+    points = [F.concat("_head", p, "_tail") for p in (F.col("_now"), F.lit("0"), F.col("_was"), F.col("_now"))]
+    return o.withColumn("trend", F.concat(F.lit("["), F.concat_ws(",", *points), F.lit("]"))).drop("_head", "_tail", "_now", "_was")
 
 
 @query(

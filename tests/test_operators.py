@@ -205,6 +205,32 @@ def test_trend_points_forms(spark):
     assert [r.n for r in df.select("k", hs.point_count("trend").alias("n")).orderBy("k").collect()] == [4, 1, 0, 0]
 
 
+def test_trend_points_odd_times_and_promos(spark):
+    blanks = '[[1717200000000,19.9,"x"],["1717200000000","19.90"," x\u3000"],[1717200000000.4,19.9,"\\tx"],[1717200000000,19.9,"a b"],[1717200000000,19.9]]'
+    late = '[[1e300,5,"far"],[9223372036854775807,5,"far"],["NaN",5,"none"],[-9000000000000000,5,"first"],[9000000000000000,5,"last"]]'
+    objects = '[{"timestamp":1e300,"price":5,"promo":"far"},{"price":5},{"timestamp":7,"price":5,"promo":"\xa0y\u2003"},{"timestamp":7,"price":5.0,"promo":"y"}]'
+    df = spark.createDataFrame([("blanks", blanks), ("late", late), ("objects", objects)], "k string, trend string")
+    got = hs.trend_points(df, "k", "trend").select("k", F.unix_millis("ts").alias("ms"), "price", "promo").collect()
+    assert sorted(map(tuple, got)) == [
+        ("blanks", 1717200000000, 19.9, ""), ("blanks", 1717200000000, 19.9, "a b"), ("blanks", 1717200000000, 19.9, "x"),
+        ("late", -9000000000000000, 5.0, "first"), ("late", 9000000000000000, 5.0, "last"), ("objects", 7, 5.0, "y"),
+    ]
+
+
+def test_trend_strings_write_shared_parts_once(spark):
+    from shelfwise.plans import pricing
+
+    rows = [("2023-03-01", 9.5, 10.0, "满99减10"), ("2024-03-01", 12345678.0, 12345678.0, "")]
+    df = spark.createDataFrame(rows, "d string, price double, original_price double, promotion string").select(F.to_date("d").alias("ship_date"), "price", "original_price", "promotion")
+    out = pricing._trend_strings(df)
+    assert [r.trend for r in out.orderBy("ship_date").collect()] == [
+        "[" + ",".join(f'{{"timestamp":1677628800000,"price":{p},"promo":"满99减10"}}' for p in ("9.5", "0", "10.0", "9.5")) + "]",
+        "[" + ",".join(f'[1709251200000,{p},""]' for p in ("1.2345678E7", "0", "1.2345678E7", "1.2345678E7")) + "]",
+    ]
+    # a time per form, not one per point
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("unix_seconds") == 2
+
+
 def test_quota_windows(spark):
     df = spark.createDataFrame([("2024-06-01 23:30:00",), ("2024-06-02 05:59:00",), ("2024-06-02 06:00:00",)], "t string").select(F.to_timestamp("t").alias("ts"))
     got = [(r.w.scope, str(r.w.start)) for r in df.select(tg.limit_window("ts").alias("w")).collect()]
